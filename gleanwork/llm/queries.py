@@ -5,7 +5,8 @@ from __future__ import annotations
 from gleanwork.llm.language import op7_language_id
 from gleanwork.llm.licenses import op9_licenses
 from gleanwork.llm.mixing import OP5_SQL, op5_mixing
+from gleanwork.llm.quality import op2_quality
 from gleanwork.llm.sharding import op8_sharding
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_language_id, op8_sharding, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_mixing, op7_language_id, op8_sharding, op9_licenses)}
 SQL = {"op5_mixing": OP5_SQL}
