@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from gleanwork.llm.ann import op6_ann
 from gleanwork.llm.language import op7_language_id
 from gleanwork.llm.licenses import op9_licenses
 from gleanwork.llm.mixing import OP5_SQL, op5_mixing
 from gleanwork.llm.quality import op2_quality
 from gleanwork.llm.sharding import op8_sharding
+from gleanwork.llm.topk import OP3_SQL, op3_topk
 
-QUERIES = {f.__name__: f for f in (op2_quality, op5_mixing, op7_language_id, op8_sharding, op9_licenses)}
-SQL = {"op5_mixing": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_topk, op5_mixing, op6_ann, op7_language_id, op8_sharding, op9_licenses)}
+SQL = {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL}
