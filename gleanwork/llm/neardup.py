@@ -5,15 +5,17 @@ candidates, and the MinHash values fold into a parity bitmap, the odd sketch, wh
 XOR population count estimates high similarities precisely. Candidates that the
 sketches leave over are confirmed by intersecting the full shingle sets.
 
-Groups of any size stay linear. Equal sets are one class, found by a hash aggregate.
-In each bucket of a band, members are first compared with one centre per bucket, and
-confirmed links are contracted to components; the centres change from round to round.
-Only members outside the component of their bucket's centre are then compared with the
-bucket's other members, in the JVM and by sketches alone, so what is emitted is pairs
-of different components that the sketches find similar. Nothing is capped: every pair
-of one bucket is either in one component already or has been compared. What can be
-lost is a link that no band proposes or whose sketches differ by chance beyond the
-margin: below 1 in 100,000 at the threshold with the settings here, less above.
+Groups of any size stay linear in rows. Equal sets are one class, found by a hash
+aggregate. In each bucket of a band, members are compared by sketch with one centre
+per bucket and similar ones are contracted to families; then only members outside the
+family of their bucket's centre are compared with the bucket's other members, so what
+is emitted is pairs of different families that the sketches find similar, and those
+families merge too. Every pair of one bucket that may reach the threshold is then in
+one family. Within a family, tasks of bounded size intersect full sets and return the
+links that connect its documents, never all pairs; a family too large for one task is
+dealt over a grid of blocks, each pair of blocks once. Nothing is capped. What can be
+lost is a link that no band proposes or whose sketches differ by chance beyond five
+sigma: about 1 in 100,000 at the threshold with the settings here, less above.
 
 Nulls and edge cases: documents without words, or with null text, have an empty set
 and are linked with nothing; with fewer words than a shingle has, the whole sequence is
@@ -39,11 +41,13 @@ from gleanwork.llm.common import documents, materialize
 
 PIECE = 1 << 20
 MEMO = 200_000
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 SPACE = b" \t\n\r\x0b\x0c"
-#: Rows up to which pairs of ids are broadcast to the scan of the texts (16 bytes each); beyond, the join shuffles.
-BROADCAST_PAIRS = 500_000
-STAR_ROUNDS = 4
+#: Rows up to which ids and their families are broadcast to the scan of the texts (16 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+STAR_TURNS = 2
+#: Documents of one family that a task intersects at once; larger families go over a grid.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -57,15 +61,13 @@ class Settings:
     def hashes(self) -> int:
         return self.bands * self.rows
 
-    def linked(self, inter: Column, union: Column) -> Column:
-        return (union > 0) & (inter * 100 >= union * self.percent)
-
     def sketch_limit(self) -> int:
-        """Differing sketch bits up to which a pair may reach the threshold: 5 sigma of the MinHash sample, then 3 of the folding."""
-        t, n = self.percent / 100, self.hashes
-        flips = 2 * (n * (1 - t) + 5 * math.sqrt(n * t * (1 - t)))
-        mean = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
-        return math.ceil(mean + 3 * math.sqrt(SKETCH_BITS / 4 * (1 - math.exp(-4 * flips / SKETCH_BITS))))
+        """Differing sketch bits up to which a pair may reach the threshold: five sigma of sampling and folding together."""
+        t, n, b = self.percent / 100, self.hashes, SKETCH_BITS
+        flips, spread = 2 * n * (1 - t), 2 * math.sqrt(n * t * (1 - t))
+        mean = b / 2 * (1 - math.exp(-2 * flips / b))
+        sampling, folding = spread * math.exp(-2 * flips / b), math.sqrt(b / 4 * (1 - math.exp(-4 * flips / b)))
+        return math.ceil(mean + 5 * math.hypot(sampling, folding))
 
 
 class _WordHashes(dict):
@@ -126,7 +128,7 @@ class Shingler:
         return _mix((rows * self.band_odd).sum(axis=1, dtype=np.uint64) ^ self.band_salt).view(np.int64)
 
     def sketch(self, low: np.ndarray) -> np.ndarray:
-        at = _mix(low.astype(np.uint64) ^ self.sample_salt) >> np.uint64(64 - 9)
+        at = _mix(low.astype(np.uint64) ^ self.sample_salt) >> np.uint64(64 - 10)
         odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
         return np.packbits(odd).view(np.int64)
 
@@ -164,17 +166,63 @@ def shingle_sets(docs: DataFrame, how: Settings) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], sets("text").alias("set"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, how: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only the texts in pairs are shingled again."""
-    ends = pairs.select("b").distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        pairs, ends = F.broadcast(pairs), F.broadcast(ends)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    left = shingle_sets(texts.join(pairs, F.col("doc_id") == F.col("a")).select("a", "b", "text"), how).withColumnRenamed("set", "set_a")
-    right = shingle_sets(texts.join(ends, F.col("doc_id") == F.col("b")).select(F.col("b").alias("end"), "text"), how).withColumnRenamed("set", "set_b")
-    inter = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    both = left.join(right, F.col("b") == F.col("end")).select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sizes"))
-    return both.where(how.linked(F.col("inter"), F.col("sizes") - F.col("inter"))).select("a", "b").distinct()
+def cell_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links (larger id, smaller id) that connect what is linked in one cell; documents of side 1 are compared with side 0 only."""
+    order = np.argsort(np.array(ids), kind="stable")
+    ids, side = [ids[i] for i in order], np.array(side)[order]
+    sizes = np.array([len(sets[i]) for i in order])
+    distinct, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark, label = np.zeros(len(distinct), dtype=bool), np.arange(len(ids))
+    two_sided = side.any()
+    for i in range(len(ids)):
+        other = label != label[i]
+        if two_sided:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        inter = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own] = False
+        linked = np.flatnonzero(other & (inter * 100 >= (sizes + sizes[i] - inter) * percent))
+        for j in linked:
+            if label[j] != label[i]:
+                yield max(ids[i], ids[j]), min(ids[i], ids[j])
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+
+
+def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFrame:
+    """Links (a, b) by full sets within families (id, family): enough of them to connect all that is linked."""
+    sizes = families.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = materialize(families.join(sizes, F.col("family") == F.col("f")).select("id", "family", blocks.alias("blocks")))
+    small = member.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(member) if small else member, F.col("doc_id") == F.col("id"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = shingle_sets(texts.select("id", "family", own.alias("own"), "blocks", "text"), how).withColumn("other", other)
+    placed = placed.select("id", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, side, sets = None, [], [], []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for f, x, y, i, s, v in zip(batch["family"], batch["x"], batch["y"], batch["id"], batch["side"], batch["set"], strict=True):
+                if (f, x, y) != key:
+                    if len(ids) > 1:
+                        found.extend(cell_links(ids, side, sets, how.percent))
+                    key, ids, side, sets = (f, x, y), [], [], []
+                ids.append(i)
+                side.append(s)
+                sets.append(np.array(v))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if len(ids) > 1:
+            yield pd.DataFrame(list(cell_links(ids, side, sets, how.percent)), columns=["a", "b"], dtype="int64")
+
+    cells = placed.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    return cells.mapInPandas(link, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,42 +257,45 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFram
     return both.where(_differing("sa", "sb") <= limit).select("a", "b").distinct()
 
 
-def class_links(docs: DataFrame, classes: DataFrame, how: Settings) -> DataFrame:
-    """Confirmed links (a, b) between classes (id, bands, sketch): enough of them to connect what is connected."""
+def placed_in(member: DataFrame, families: DataFrame | None) -> DataFrame:
+    """The members (bucket, id) of buckets that hold several families, with their family."""
+    if families is None:
+        return member.withColumn("family", F.col("id"))
+    known = families.withColumnsRenamed({"id": "kid", "family": "kf"})
+    placed = member.join(known, F.col("id") == F.col("kid"), "left").select("bucket", "id", F.coalesce("kf", "id").alias("family"))
+    mixed = placed.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("mixed"))
+    return materialize(placed.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "id", "family"))
+
+
+def outside_centre(placed: DataFrame, turn: int) -> DataFrame:
+    """Members with their bucket's centre, those in the centre's family left out; each turn has other centres."""
+    order = F.col("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
+    centre = placed.groupBy(F.col("bucket").alias("cb")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("centre"), F.col("family").alias("cf"))).alias("c"))
+    around = placed.join(centre.select("cb", "c.centre", "c.cf"), F.col("bucket") == F.col("cb"))
+    return around.where(F.col("family") != F.col("cf")).select("bucket", "id", "family", "centre")
+
+
+def sketch_families(classes: DataFrame, how: Settings) -> DataFrame:
+    """id, family: two classes (id, bands, sketch) that share a bucket and may be linked are in one family."""
     limit = how.sketch_limit()
     rows = classes.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("shared"))
     member = materialize(rows.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "id"))
     sketches = classes.select("id", "sketch")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    comp = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = member
-        if comp is not None:
-            placed = member.join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("mixed"))
-            placed = materialize(placed.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "id", "component"))
-        else:
-            placed = placed.withColumn("component", F.col("id"))
-        order = F.col("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
-        centre = placed.groupBy(F.col("bucket").alias("cb")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("centre"), F.col("component").alias("cc"))).alias("c"))
-        around = placed.join(centre.select("cb", "c.centre", "c.cc"), F.col("bucket") == F.col("cb"))
-        apart = around.where(F.col("component") != F.col("cc"))
-        if turn == STAR_ROUNDS:
-            break
-        pairs = materialize(similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit))
-        if pairs.isEmpty():
-            break
-        found = materialize(confirmed(docs, pairs, how))
-        links = links.union(found)
-        comp = materialize(components(links))
-    if comp is None:
-        return links
+    edges, families = None, None
+    for turn in range(STAR_TURNS):
+        apart = outside_centre(placed_in(member, families), turn)
+        pairs = similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit)
+        edges = materialize(pairs if edges is None else edges.union(pairs))
+        families = materialize(components(edges).withColumnRenamed("component", "family"))
+    placed = placed_in(member, families)
     known = sketches.withColumnsRenamed({"id": "kid", "sketch": "sk"})
-    side = apart.select("bucket", "id", "component").join(known, F.col("id") == F.col("kid")).select(F.col("bucket").alias("ob"), F.col("id").alias("a"), F.col("component").alias("oc"), F.col("sk").alias("sa"))
-    rest = placed.join(known, F.col("id") == F.col("kid")).select("bucket", F.col("id").alias("b"), F.col("component").alias("mc"), F.col("sk").alias("sb"))
-    across = side.join(rest, (F.col("ob") == F.col("bucket")) & (F.col("oc") != F.col("mc")) & (_differing("sa", "sb") <= limit))
-    return links.union(confirmed(docs, materialize(across.select("a", "b").distinct()), how))
+    apart = outside_centre(placed, STAR_TURNS).join(known, F.col("id") == F.col("kid")).select(F.col("bucket").alias("ob"), F.col("id").alias("a"), F.col("family").alias("of"), F.col("sk").alias("sa"))
+    rest = placed.join(known, F.col("id") == F.col("kid")).select("bucket", F.col("id").alias("b"), F.col("family").alias("mf"), F.col("sk").alias("sb"))
+    across = apart.join(rest, (F.col("ob") == F.col("bucket")) & (F.col("of") != F.col("mf")) & (_differing("sa", "sb") <= limit))
+    # families already name what their members share: one edge for each pair of them is enough
+    merged = materialize(edges.union(across.select(F.col("of").alias("a"), F.col("mf").alias("b")).distinct()))
+    return components(merged).withColumnRenamed("component", "family")
 
 
 def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
@@ -256,7 +307,7 @@ def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     first = named.where(F.col("doc_id") == F.col("id")).select("id", "bands", "sketch").dropDuplicates(["id", "bands"])
     several = named.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("doc_id")
     by_name = named.join(several.withColumnRenamed("doc_id", "twice"), F.col("doc_id") == F.col("twice")).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    links = class_links(docs, materialize(first), how).union(by_name)
+    links = family_links(docs, materialize(sketch_families(materialize(first), how)), how).union(by_name)
     comp = components(links).withColumnRenamed("id", "cid")
     member = classes.join(comp, F.col("id") == F.col("cid"), "left").select(F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "id").alias("component"))
     has = F.col("n_shingles") > 0
