@@ -172,8 +172,19 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0) -> Qu
     wanted = max_rows + max_rows // 4
     spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     share = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
-    picked = train.withColumn("h", spread).where(share < wanted / rows.sum()).limit(2 * wanted)
-    sample = picked.select("h", "label", indicators("text").alias("at")).toPandas().sort_values(["h", "label"], kind="stable")
+    picked = train.withColumn("h", spread).where(share < wanted / rows.sum()).select("h", "label", indicators("text").alias("at"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, slope, shift = fit_sample(pd.concat(batches), ratios, cost)
+        yield pd.DataFrame({"w": [w], "slope": slope, "shift": shift})
+
+    got = picked.limit(2 * wanted).repartition(1).mapInPandas(fit, "w array<double>, slope double, shift double").first()
+    return QualityModel(ratios, np.array(got["w"]), got["slope"], got["shift"])
+
+
+def fit_sample(sample: pd.DataFrame, ratios: np.ndarray, cost: float) -> tuple[np.ndarray, float, float]:
+    """Weights, slope and shift from the sample's hashes, labels and buckets, of which a fifth is for the curve."""
+    sample = sample.sort_values(["h", "label"], kind="stable")
     labels, at = sample["label"].to_numpy(), list(sample["at"])
     fit_on = np.arange(len(at)) % 5 != 4
     y = np.where(labels == 1, 1.0, -1.0)
@@ -181,8 +192,7 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0) -> Qu
     w = dual_coordinate_descent([at[i] for i in np.flatnonzero(fit_on)], ratios, y[fit_on], cost * balance[fit_on])
     model = QualityModel(ratios, w, 1.0, 0.0)
     rest = np.flatnonzero(~fit_on) if (~fit_on).sum() >= 20 else np.arange(len(at))
-    model.slope, model.shift = logistic_fit(np.array([model.margin(at[i]) for i in rest]), labels[rest])
-    return model
+    return w, *logistic_fit(np.array([model.margin(at[i]) for i in rest]), labels[rest])
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
