@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(_known(text), F.lit(r"\S+"))
 
 
 def headings(text: Column) -> Column:
@@ -61,7 +61,7 @@ def headings(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Heading lines left out; split after . ! ? and white space before a capital or digit."""
     lines = F.filter(F.split(_known(text), "\n"), lambda s: ~F.trim(s).rlike(HEADING))
-    return F.filter(F.transform(F.split(F.array_join(lines, " "), SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.array_join(lines, " "), SENTENCE_END), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -70,11 +70,11 @@ def paragraphs(text: Column) -> Column:
 
 def rhythm(parts: Column) -> Column:
     """Population standard deviation of the parts' word counts over their mean; null without words."""
-    lengths = F.transform(parts, lambda p: word_count(p).cast("double"))
-    n = F.size(parts)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
-    spread = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0))
-    return F.sqrt(spread) / F.nullif(mean, F.lit(0.0))
+    lengths = F.transform(parts, lambda p: word_count(p).cast("long"))
+    zero = F.lit(0).cast("long")
+    n, total = F.size(parts), F.aggregate(lengths, zero, lambda a, x: a + x)
+    squares = F.aggregate(lengths, zero, lambda a, x: a + x * x)
+    return F.sqrt((n * squares - total * total).cast("double")) / F.nullif(total, zero)
 
 
 def banned_phrases(text: Column, phrases: list[str] = BANNED_PHRASES) -> Column:

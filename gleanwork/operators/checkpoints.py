@@ -5,17 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder of this machine only where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="gleanwork-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once under spark.checkpoint.dir and read back; the files go with the session's JVM."""
+    """``df`` written once in the shared folder and read back; a lost executor costs a re-read. The files go with the session's JVM."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gleanwork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/gleanwork-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/gleanwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

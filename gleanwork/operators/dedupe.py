@@ -119,8 +119,3 @@ def split_covered(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataF
     """The new items that nothing covers yet, and the covered ones with their match."""
     told = find_duplicates(new, existing)
     return told.where("reason IS NULL").select(*new.columns), told.where("reason IS NOT NULL")
-
-
-def url_dedup_stream(rows: DataFrame, url: Column, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """Streaming twin of exact URL dedup: first of each canonical URL within the watermark."""
-    return rows.withColumn("canonical", U.canonical_url(url)).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["canonical"])
