@@ -20,7 +20,6 @@ unless its total is a power of two.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +32,12 @@ from gleanwork.llm.common import documents, materialize
 
 CACHED_WORDS = 800_000
 SLICE = 1 << 20
-IRREGULAR = ("\0", "\n\n\n", "\n\n ")
-MARKS = re.compile(r"[^\w\s][,.]|_[,.]")
+#: Every ASCII mark but comma and full stop becomes !, so a few searches find a comma or full stop after a mark.
+MARK_BYTES = bytes(33 if chr(b) in "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~" else b for b in range(256))
+IRREGULAR = (b"\0", b"\n\n\n", b"\n\n ", b"!,", b"!.", b",,", b",.", b".,", b"..")
+#: The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others counted on from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: One tokenizer for each path and worker: its known words serve all tasks of the worker.
 _tokenizers: dict[str, CachedTokenizer] = {}
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids array<int>"
@@ -46,8 +49,8 @@ class CachedTokenizer:
     The vocabulary's pre-tokenizer ends a token before a space with something visible on
     both sides, before a comma or full stop that follows a letter or digit, and on both
     sides of one or two line feeds. Texts are split there, known words are looked up and
-    new ones encoded together, a line each. Texts with other white space or with a comma
-    or full stop after another mark go to the tokenizer whole.
+    only new ones encoded. Texts with other white space or with a comma or full stop after
+    another mark go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,22 +64,31 @@ class CachedTokenizer:
         self.known: dict[str, bytes | None] = {"": b"", "\n": self._ids("\n").tobytes(), ",": self._ids(",").tobytes(), ".": self._ids(".").tobytes()}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        self.known.update((w, None) for w in words)
-        regular = [w for w in words if not w[-1].isspace() and (w[0] == " " or not w[0].isspace()) and not w[1:2].isspace()]
-        for at in range(0, len(regular), 4096):
-            some = regular[at : at + 4096]
+        """Words of letters alone, after at most one space, go straight to the vocabulary's merges; others are encoded together, a line each."""
+        known, merges, others = self.known, self.tokenizer.model.tokenize, []
+        for w in words:
+            if (w[1:] if w[0] == " " else w).isalpha():
+                ids = [t.id for t in merges(w.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                known[w] = np.array(ids, dtype="<u4").tobytes()
+            else:
+                known[w] = None
+                if not w[-1].isspace() and (w[0] == " " or not w[0].isspace()) and not w[1:2].isspace() and (w[-1].isalnum() or w[-1].isascii()):
+                    others.append(w)
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
             ids = self._ids("\n".join(some))
             ends = np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
             raw, lo = ids.tobytes(), 0
             for w, hi in zip(some, ends, strict=True):
-                self.known[w] = raw[4 * lo : 4 * hi]
+                known[w] = raw[4 * lo : 4 * hi]
                 lo = hi + 1
 
     def _words(self, text: str) -> list[str] | None:
-        if any(x in text for x in IRREGULAR) or text.endswith("\n\n") or MARKS.search(text):
+        marks = text.encode("utf-8", "replace").translate(MARK_BYTES)
+        if any(x in marks for x in IRREGULAR) or marks.endswith(b"\n\n"):
             return None
         return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
@@ -105,8 +117,8 @@ class CachedTokenizer:
                 else:
                     split.append((s, None, None, None))
             split.append(None)
-        new -= self.known.keys()
-        self._learn(list(new))
+        new = [w for w in new if w not in self.known]  # others are known not to be regular
+        self._learn(new)
         out, parts = [], []
         for piece in split:
             if piece is None:
