@@ -6,7 +6,8 @@ pieces, what is left of each document is one shorter piece. Piece lengths fall i
 over patterns (multisets of classes that fit one sequence) is solved by column
 generation, where knapsack dynamic programming prices new patterns with the program's
 duals. Rounded pattern counts fix how many sequences of each kind there are; pieces of
-a class are ranked and a piece's rank says which sequence and place it takes. Only the
+a class are ranked and a piece's rank says which sequence and place it takes; all that
+moves narrow rows, and token ids join their piece's place at the end. Only the
 histogram, size / grain counts, comes to the driver, whatever the corpus. Padding is
 what classes round up (under grain / 2 a piece on average) and what the program leaves.
 
@@ -275,8 +276,8 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple]:
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, grain: int = 8, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids (null without ``with_ids``), sequence_id, offset per piece."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, size, end_id, with_ids))
-    cut = cut.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    wide = materialize(pieces(docs, tokenizer_path, size, end_id, with_ids).withColumn("uid", F.monotonically_increasing_id()))
+    cut = wide.drop("ids").withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
     room = size // grain
     counted = sorted((r["class"], r["n"]) for r in cut.groupBy("class").agg(F.count("*").alias("n")).collect())
     plan = [({room: 1}, n) for c, n in counted if c == room]
@@ -297,12 +298,16 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
     hit = F.element_at(F.filter("runs", lambda s: (s["lo"] <= F.col("r")) & (F.col("r") < s["hi"])), 1)
     inside = F.col("r") - F.col("hit.lo")
     placed = joined.withColumn("hit", hit).select(
-        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "ids",
+        "uid", "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.col("hit.base") + F.floor(inside / F.col("hit.copies"))).cast("long").alias("sequence_id"),
         (F.col("hit.at") + inside % F.col("hit.copies")).alias("place"),
     )
     earlier = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("place")
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")).drop("place")
+    if not with_ids:
+        return placed.drop("uid").withColumn("ids", F.lit(None).cast("array<int>"))
+    ids = wide.select(F.col("uid").alias("of"), "ids")  # the ids are exchanged once, unsorted: the narrow side is hashed
+    return ids.join(placed.hint("shuffle_hash"), F.col("of") == F.col("uid")).select(*[c for c in placed.columns if c != "uid"], "ids")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
