@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import extract, lint, route
 from gleanwork.functions import text as T
-from gleanwork.operators import signals
+from gleanwork.operators import briefs, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.page_queries import _score_sql
 from gleanwork.plans.registry import query, table
@@ -268,6 +268,23 @@ def internal_links(spark, folder):
     return _docs(spark, folder).select("doc_id", F.array_join(hits["keyword"], ",").alias("keywords"))
 
 
+_DESCRIPTION = f"""CASE WHEN length({_SRC}) <= 160 THEN {_SRC} ELSE rtrim(CASE WHEN strpos({_CUT}, ' ') > 0 AND {_SPACE} > 100 THEN substr({_CUT}, 1, {_SPACE}) ELSE {_CUT} END, ',.;: ') || '…' END"""
+
+
+@query(f"""SELECT doc_id, {S.slug('substr(text, 1, 60)', 100)} AS slug, {_DESCRIPTION} AS description,
+  len(list_filter({S.strings([k for k, _ in TEST_LINKS])}, lambda k: contains(lower(text), k))) AS n_links FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+def seo_package(spark, folder):
+    plain = _docs(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    package = briefs.seo_package(_title(), F.col("text"), F.lit(""), TEST_LINKS)
+    return plain.select("doc_id", package.alias("p")).select("doc_id", "p.slug", F.col("p.meta_description").alias("description"), F.size("p.internal_links").cast("long").alias("n_links"))
+
+
+@query()
+def issue_segments(spark, folder):
+    """Topics of every document as if it were an issue: vendors it names, then themes."""
+    return briefs.segments(_docs(spark, folder), TEST_VENDORS, {"license": ["license"], "thing": ["thing"]})
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(line, '\d+(?:[.,]\d+)?\s*%')) AS v FROM l)
 SELECT doc_id, count(*) AS n_percentages FROM m GROUP BY doc_id""")
 def percentages(spark, folder):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.functions import pages as PG
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
-from gleanwork.operators import dedupe, expand, signals
+from gleanwork.operators import briefs, dedupe, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
 
@@ -243,6 +244,20 @@ def html_main_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.substring(F.array_join(F.filter(ps, lambda p: p != ""), " "), 1, 1800).alias("text"))
 
 
+@query(f"""WITH {S.SIGNALS}, {_SCORED}, best AS (SELECT seq, row_number() OVER (ORDER BY score DESC, seq) AS place FROM scored), texts AS (SELECT page_id, substr(array_to_string({_PS}, ' '), 1, 1800) AS text FROM pages)
+SELECT scored.seq, score, CASE WHEN place <= 20 THEN nullif(text, '') END AS full_text FROM scored JOIN best ON best.seq = scored.seq JOIN texts ON texts.page_id = scored.seq""")
+def enriched_leaders(spark, folder):
+    texts = html_main_text(spark, folder).join(table(spark, folder, "pages").select("page_id", "url"), "page_id")
+    return briefs.enriched(scored_signals(spark, folder), texts).select("seq", "score", "full_text")
+
+
+@query()
+def page_dates(spark, folder):
+    """The date that each page states, and where; null without one."""
+    found = PG.page_date(F.col("html"), F.lit("2024-01-20").cast("timestamp"))
+    return table(spark, folder, "pages").select("page_id", found.alias("d")).select("page_id", F.date_format("d.at", "yyyy-MM-dd").alias("day"), F.col("d.source").alias("date_source"))
+
+
 def _plain_sql() -> str:
     t = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<\s*br\s*/?\s*>', chr(10), 'g'), '(?i)</\s*(p|div|h[1-6]|li|ul|ol|blockquote|section|article)\s*>', chr(10) || chr(10), 'g')"
     t = S.strip_tags(t)

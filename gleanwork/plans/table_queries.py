@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import dates
 from gleanwork.functions import text as T
-from gleanwork.operators import checkpoints, drafts, signals
+from gleanwork.operators import briefs, checkpoints, drafts, signals
 from gleanwork.plans.registry import query, table
 
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-20 00:00:00", "2001-07-01 00:00:00"
@@ -159,6 +159,32 @@ def delete_rewrite(spark, folder):
     return drafts.delete_drafts(_drafts(spark, folder), [1, 2, 3, 64])
 
 
+@query("SELECT o_orderkey AS id, o_orderpriority AS title, CAST(len(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'http://l/' || o_orderkey END, 'http://j/' || o_custkey], lambda u: u IS NOT NULL)) AS BIGINT) AS n_urls FROM orders ORDER BY o_orderkey DESC LIMIT 2000")
+def stored_index(spark, folder):
+    key = F.col("o_orderkey")
+    inside = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("http://j/"), F.col("o_custkey").cast("string")).alias("source_url"))).alias("sources")))
+    link = F.when(key % 2 == 0, F.concat(F.lit("http://l/"), key.cast("string")))
+    news = table(spark, folder, "orders").select(key.alias("id"), F.col("o_orderpriority").alias("title"), link.alias("link"), F.lit("").alias("source_url"), inside.alias("frontmatter_json"))
+    return briefs.stored_index(news).select("id", "title", F.size("urls").cast("long").alias("n_urls"))
+
+
+_WATCH = "https://www.youtube.com/watch?v="
+
+
+@query(f"SELECT '{_WATCH}' || event_id AS url, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE CAST(ts AS DATE) >= CAST({_E} - INTERVAL 7 DAY AS DATE) AND event_id % 3 <> 0")
+def new_videos(spark, folder):
+    events = table(spark, folder, "events")
+    kind = F.col("event_type")
+    found = events.select(F.col("event_id").cast("string").alias("id"), kind.alias("title"), F.date_format("ts", "yyyyMMdd").alias("upload_date"), kind.alias("channel"), kind.alias("description"))
+    known = events.where("event_id % 3 = 0").select(F.concat(F.lit(_WATCH), F.col("event_id").cast("string")).alias("url"))
+    return briefs.new_videos(found, known, F.lit(EVENTS_AS_OF).cast("timestamp"), 7).select("url", F.date_format("published", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT coalesce(kind, want) AS kind, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS matches FROM (SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1) FULL JOIN (VALUES ('view', 5::BIGINT), ('nothing', 0::BIGINT)) AS w(want, expected) ON kind = want")
+def registry_parity(spark, folder):
+    return briefs.parity(table(spark, folder, "events"), "event_type", {"view": 5, "nothing": 0})
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_events(spark, folder):
     """A stream over the landed events that passes each (user, type) once, run until it has read all."""
