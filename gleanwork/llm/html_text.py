@@ -4,8 +4,11 @@ Pages are cut into blocks at block-level tags. The first pass classifies each bl
 its length, link density and stop-word density, and by where it stands: inside menus,
 footers, forms, adverts, notices or comments, as tags and class names tell, it is
 boilerplate. Short blocks and blocks of middling density stay undecided; in the second
-pass they inherit the label of their nearest decided neighbours. Where a page marks its
-article, blocks outside of it are boilerplate, and undecided ones inside side with it.
+pass they inherit the label of their nearest decided neighbours. All pages go through
+both passes. A marked article is evidence only: its edges count as good neighbours of the
+undecided blocks inside, and blocks without stop words inside stay undecided, as their
+language may have none here. It counts for nothing where it holds no dense text and less
+text than the dense blocks elsewhere, as teasers do; dense text outside of it is kept.
 
 Nulls and edge cases: a null or empty page gives an empty text and 0 characters; broken
 markup is read as far as it goes (unclosed and unmatched tags, a ``<`` that begins no
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -65,7 +68,7 @@ class Block:
     text: str
     linked: int
     tag: str
-    inside: bool
+    region: int  # which marked article it stands in, from 1 on; 0: none
     outcast: bool
 
 
@@ -87,17 +90,18 @@ def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     page = RAW.sub(" ", COMMENT.sub("", page))
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, in the article from here on
+    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, in which article from here on
+    rescued: set[int] = set()  # articles inside of boilerplate
     text: list[str] = []
-    linked = anchors = at = 0
+    linked = anchors = at = regions = 0
     tag = "body"
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, bad, inside = stack[-1] if stack else ("", False, False)
-            out.append(Block(joined, min(linked, len(joined)), tag, inside, bad))
+            _, bad, region = stack[-1] if stack else ("", False, 0)
+            out.append(Block(joined, min(linked, len(joined)), tag, region, bad))
         text.clear()
         linked = 0
 
@@ -121,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
             tag = name if not closing else (stack[-1][0] if stack else "body")
             if name in ("p", "hr"):
                 if not closing and _is_boilerplate(name, attrs, bool(stack and stack[-1][2])):
-                    stack.append((name, True, stack[-1][2] if stack else False))
+                    stack.append((name, True, stack[-1][2] if stack else 0))
                 elif closing and stack and stack[-1][0] == "p":
                     stack.pop()
             elif closing:
@@ -132,54 +136,82 @@ def blocks_of(page: str) -> list[Block]:
             elif not attrs.endswith("/"):
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, inside = stack[-1] if stack else ("", False, False)
-                marked = _is_boilerplate(name, attrs, inside)
-                if name in ("article", "main") and not inside and not marked:
-                    bad, inside = False, True  # an unclosed menu or header doesn't swallow the article
-                stack.append((name, bad or marked, inside))
+                _, bad, region = stack[-1] if stack else ("", False, 0)
+                marked = _is_boilerplate(name, attrs, bool(region))
+                if name in ("article", "main") and not region and not marked:
+                    regions += 1
+                    rescued.update([regions] if bad else [])
+                    bad, region = False, regions  # an unclosed menu or header doesn't swallow the article
+                stack.append((name, bad or marked, region))
     if page[at:]:
         text.append(page[at:])
     close()
+    for r in rescued:  # they are boilerplate after all where the page has more text elsewhere
+        if _mass(b for b in out if b.region == r) <= _mass(b for b in out if b.region not in rescued):
+            for b in out:
+                b.outcast |= b.region == r
     return out
 
 
-def first_pass(b: Block, marked: bool) -> str:
+def _mass(blocks: Iterable[Block]) -> int:
+    """Characters that no tag or link speaks against."""
+    return sum(len(b.text) for b in blocks if not b.outcast and b.linked <= LINKS * len(b.text))
+
+
+def first_pass(b: Block, inside: bool = False) -> str:
     """good, bad, or undecided: near (middling) or short."""
-    if b.outcast or marked and not b.inside or not b.inside and len(b.text) < LONG and RIGHTS.search(b.text):
+    if b.outcast or not inside and len(b.text) < LONG and RIGHTS.search(b.text):
         return "bad"
     density = b.linked / len(b.text)
     if density > LINKS:
         return "bad"
     if len(b.text) < SHORT:
-        return "bad" if b.linked and not marked else "short"
+        return "bad" if b.linked and not inside else "short"
     words = WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LONG else "near"
-    return "near" if stops >= STOPS_LOW or marked else "bad"
-
-
-def second_pass(blocks: list[Block], labels: list[str], marked: bool) -> list[bool]:
-    """Undecided blocks inherit from the nearest decided neighbours; the page's edges count as bad."""
+    if stops >= STOPS_LOW:
+        return "near"
+    return "short" if inside else "bad"
+
+
+def trusted_regions(blocks: list[Block], labels: list[str]) -> set[int]:
+    """Marked articles that count as evidence: they hold dense text, or no less text than the dense blocks elsewhere."""
+    good: dict[int, int] = {}
+    for b, x in zip(blocks, labels, strict=True):
+        if x == "good":
+            good[b.region] = good.get(b.region, 0) + len(b.text)
+    regions: dict[int, list[Block]] = {}
+    for b in blocks:
+        if b.region and not b.outcast:
+            regions.setdefault(b.region, []).append(b)
+    return {r for r, held in regions.items() if r in good or _mass(held) >= sum(good.values())}
+
+
+def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[bool]:
+    """Undecided blocks inherit from the nearest decided neighbours; the page's edges count as bad, those of a trusted article as good inside."""
+    regions = [b.region if b.region in trusted else 0 for b in blocks]
+
+    def one_way(decided: Iterable[tuple[str, int]]) -> list[str]:
+        out, last, at = [], "bad", 0
+        for x, region in decided:
+            if region and region != at:
+                last = "good"
+            at = region
+            out.append(last)
+            last = x if x in ("good", "bad") else last
+        return out
 
     def neighbours(decided: list[str]) -> list[tuple[str, str]]:
-        before, after, last = [], [], "bad"
-        for x in decided:
-            before.append(last)
-            last = x if x in ("good", "bad") else last
-        last = "bad"
-        for x in reversed(decided):
-            after.append(last)
-            last = x if x in ("good", "bad") else last
-        return list(zip(before, reversed(after), strict=True))
+        pairs = list(zip(decided, regions, strict=True))
+        return list(zip(one_way(pairs), reversed(one_way(reversed(pairs))), strict=True))
 
-    if marked:  # inside the marked article only boilerplate is decided against
-        return [x != "bad" for x in labels]
     around = neighbours(labels)
     nears = [("good" if "good" in around[i] else "bad") if x == "near" else x for i, x in enumerate(labels)]
-    if "good" not in nears:
+    if "good" not in nears and not trusted:
         nears = ["good" if x == "near" else y for x, y in zip(labels, nears, strict=True)]
-    if "good" not in nears:  # a page of short blocks only: its paragraphs and headings are all there is
+    if "good" not in nears and not trusted:  # a page of short blocks only: its paragraphs and headings are all there is
         return [x == "short" and b.tag in HEADINGS | {"p"} for x, b in zip(nears, blocks, strict=True)]
     around = neighbours(nears)
     out = []
@@ -195,9 +227,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    marked = any(b.inside and not b.outcast for b in blocks)
-    labels = [first_pass(b, marked) for b in blocks]
-    return "\n\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels, marked), strict=True) if keep)
+    labels = [first_pass(b) for b in blocks]
+    trusted = trusted_regions(blocks, labels)
+    labels = [first_pass(b, True) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]
+    return "\n\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels, trusted), strict=True) if keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
