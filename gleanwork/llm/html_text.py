@@ -2,8 +2,10 @@
 
 Pages are cut into blocks at block-level tags. The first pass classifies each block by
 its length, link density and stop-word density, and by where it stands: inside menus,
-footers, forms, adverts, notices or comments, as tags and class names tell, it is
-boilerplate. Short blocks and blocks of middling density stay undecided; in the second
+footers or forms, as tags and roles tell, it is boilerplate. Class names that tell of
+adverts, notices, comments and the like lower a block's label, where they enclose it more
+closely than the page's other dense text: a dense block needs good neighbours on both
+sides then, and undecided ones go. Short blocks and blocks of middling density stay undecided; in the second
 pass they inherit the label of their nearest decided neighbours. All pages go through
 both passes. A marked article is evidence only: its edges count as good neighbours of the
 undecided blocks inside, and blocks without stop words inside stay undecided, as their
@@ -12,7 +14,8 @@ text than the dense blocks elsewhere, as teasers do; dense text outside of it is
 
 Nulls and edge cases: a null or empty page gives an empty text and 0 characters; broken
 markup is read as far as it goes (unclosed and unmatched tags, a ``<`` that begins no
-tag); unknown character references stay as they are; pages of any length are read
+tag; an unclosed head or title ends at the next block tag, and only an unclosed comment,
+script or style takes the rest of the page, as in browsers); unknown character references stay as they are; pages of any length are read
 whole; only page_id, url and html are read, and repeated rows give one row each.
 """
 
@@ -32,7 +35,7 @@ BLOCK_TAGS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|head|title|select|datalist"
+UNREAD_TAGS = "noscript|template|iframe|object|svg|math|canvas|textarea|select|datalist"
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header"}
 BOILERPLATE_WORDS = set(
     "ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion sidebar side widget nav navbar navigation menu submenu topbar "
@@ -54,8 +57,13 @@ STOP_WORDS = set(
 SHORT, LONG = 70, 200
 LINKS, STOPS_LOW, STOPS_HIGH = 0.33, 0.10, 0.20
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW = re.compile(rf"<({RAW_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+ATTRS = r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+#: Code and comments, whichever begins first.
+CODE = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style){ATTRS}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)", re.S | re.I)
+UNREAD = re.compile(rf"<(/?)({UNREAD_TAGS}){ATTRS}(?<!/)>", re.I)
+_BLOCK = rf"(?:{'|'.join(sorted(BLOCK_TAGS - {'html', 'title'}))})(?=[\s/>])"
+TITLE = re.compile(rf"<title{ATTRS}(?<!/)>(?:[^<]*(?:<(?!/?title(?=[\s/>])|/head(?=[\s/>])|body(?=[\s/>]))[^<]*)*</title\s*>|[^<]*(?:<(?!/head(?=[\s/>])|/?{_BLOCK})[^<]*)*)", re.I)
+HEAD = re.compile(rf"<head{ATTRS}(?<!/)>[^<]*(?:<(?!/head(?=[\s/>])|/?{_BLOCK})[^<]*)*", re.I)
 NAMED = re.compile(r"\b(class|id|role|aria-hidden|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 RIGHTS = re.compile(r"©|\(c\) \d{4}|all rights reserved", re.I)
@@ -70,11 +78,16 @@ class Block:
     tag: str
     region: int  # which marked article it stands in, from 1 on; 0: none
     outcast: bool
+    depth: int  # how many elements around it have class words of boilerplate
 
 
 def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in BOILERPLATE_TAGS and not (inside and tag == "header"):
         return True
+    return _told_by_attributes(attrs)
+
+
+def _told_by_attributes(attrs: str) -> bool:
     if "=" in attrs or "hidden" in attrs:
         for name, a, b, c in NAMED.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
@@ -82,15 +95,41 @@ def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
                 return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
-            if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(PARTS.findall(value)):
-                return True
     return False
 
 
+def _has_class_words(tag: str, attrs: str) -> bool:
+    """Class words of the page and its article as a whole tell of a part of it or of its layout."""
+    if "=" not in attrs or tag in ("html", "body", "main", "article"):
+        return False
+    return any(n.lower() in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(PARTS.findall((a or b or c).lower())) for n, a, b, c in NAMED.findall(attrs))
+
+
+def without_unread(page: str) -> str:
+    """The page without code, comments, head and elements that hold no text. Of unclosed elements only the tag goes."""
+    page = CODE.sub(lambda m: " " if m.group(1) else "", page)
+    opened: dict[str, list[int]] = {}
+    cuts: list[tuple[int, int]] = []
+    for m in UNREAD.finditer(page):
+        name = m.group(2).lower()
+        if not m.group(1):
+            opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            cuts.append((opened[name].pop(), m.end()))
+    if cuts:
+        parts, at = [], 0
+        for lo, hi in sorted(cuts):
+            if lo >= at:
+                parts.append(page[at:lo])
+            at = max(at, hi)
+        page = " ".join([*parts, page[at:]])
+    return HEAD.sub(" ", TITLE.sub(" ", page))
+
+
 def blocks_of(page: str) -> list[Block]:
-    page = RAW.sub(" ", COMMENT.sub("", page))
+    page = without_unread(page)
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, in which article from here on
+    stack: list[tuple[str, bool, int, int]] = []  # tag, then what holds from here on: boilerplate, in which article, class words around
     rescued: set[int] = set()  # articles inside of boilerplate
     text: list[str] = []
     linked = anchors = at = regions = 0
@@ -100,8 +139,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, bad, region = stack[-1] if stack else ("", False, 0)
-            out.append(Block(joined, min(linked, len(joined)), tag, region, bad))
+            _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
+            out.append(Block(joined, min(linked, len(joined)), tag, region, bad, depth))
         text.clear()
         linked = 0
 
@@ -124,8 +163,12 @@ def blocks_of(page: str) -> list[Block]:
             anchors = 0
             tag = name if not closing else (stack[-1][0] if stack else "body")
             if name in ("p", "hr"):
-                if not closing and _is_boilerplate(name, attrs, bool(stack and stack[-1][2])):
-                    stack.append((name, True, stack[-1][2] if stack else 0))
+                marked, worded = not closing and _is_boilerplate(name, attrs, False), not closing and _has_class_words(name, attrs)
+                if not closing and stack and stack[-1][0] == "p":
+                    stack.pop()
+                if name == "p" and (marked or worded):
+                    _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
+                    stack.append((name, bad or marked, region, depth + worded))
                 elif closing and stack and stack[-1][0] == "p":
                     stack.pop()
             elif closing:
@@ -136,13 +179,13 @@ def blocks_of(page: str) -> list[Block]:
             elif not attrs.endswith("/"):
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, region = stack[-1] if stack else ("", False, 0)
+                _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
                 marked = _is_boilerplate(name, attrs, bool(region))
                 if name in ("article", "main") and not region and not marked:
                     regions += 1
                     rescued.update([regions] if bad else [])
                     bad, region = False, regions  # an unclosed menu or header doesn't swallow the article
-                stack.append((name, bad or marked, region))
+                stack.append((name, bad or marked, region, depth + _has_class_words(name, attrs)))
     if page[at:]:
         text.append(page[at:])
     close()
@@ -177,16 +220,25 @@ def first_pass(b: Block, inside: bool = False) -> str:
 
 
 def trusted_regions(blocks: list[Block], labels: list[str]) -> set[int]:
-    """Marked articles that count as evidence: they hold dense text, or no less text than the dense blocks elsewhere."""
+    """Marked articles that count as evidence: they hold dense text, or no less text than the dense blocks elsewhere that no more class words enclose."""
     good: dict[int, int] = {}
     for b, x in zip(blocks, labels, strict=True):
         if x == "good":
-            good[b.region] = good.get(b.region, 0) + len(b.text)
+            good[b.depth] = good.get(b.depth, 0) + len(b.text)
     regions: dict[int, list[Block]] = {}
+    dense = {b.region for b, x in zip(blocks, labels, strict=True) if x == "good"}
     for b in blocks:
         if b.region and not b.outcast:
             regions.setdefault(b.region, []).append(b)
-    return {r for r, held in regions.items() if r in good or _mass(held) >= sum(good.values())}
+    least = {r: min(b.depth for b in held) for r, held in regions.items()}
+    return {r for r, held in regions.items() if r in dense or _mass(held) >= sum(n for d, n in good.items() if d <= least[r])}
+
+
+def lowered(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[str]:
+    """Labels after class words: they count where more of them enclose a block than the text with the strongest label does."""
+    among = [(b.depth, x) for b, x in zip(blocks, labels, strict=True) if not trusted or b.region in trusted]
+    base = next((min(d for d, x in among if x == label) for label in ("good", "near", "short") if any(x == label for _, x in among)), 0)
+    return [x if b.depth <= base else "short" if x == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
 
 
 def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[bool]:
@@ -230,6 +282,7 @@ def main_text(page: str | None) -> str:
     labels = [first_pass(b) for b in blocks]
     trusted = trusted_regions(blocks, labels)
     labels = [first_pass(b, True) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]
+    labels = lowered(blocks, labels, trusted)
     return "\n\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels, trusted), strict=True) if keep)
 
 

@@ -24,3 +24,29 @@ def test_article_is_evidence_for_undecided_blocks():
     assert html_text.main_text(page).split("\n\n")[:3] == ["Otsikko", " ".join(foreign.split()), "Loppu."]
     teasers = "".join(f"<article><h2>Story {i}</h2><p>What the story is about.</p></article>" for i in range(3))
     assert html_text.main_text(f"<body>{teasers}</body>").count("What the story") == 3
+
+
+def test_unclosed_elements_keep_the_page():
+    body = f"<div><h1>Head</h1><p>{PROSE}</p></div>"
+    for start in (
+        "<html><head><title>t</title><meta charset=utf-8><body>", "<head><title>t<body>", "<head><title>t</head><body>", "<title>t", "<body><select><option>a", "<body><noscript>",
+        "<body><svg-icon></svg-icon>", "<body><select-box>", "<body><textarea rows=2>", "<body><script>var a = '<!--';</script>", "<body><style>a{}</style >", "<!--><body>",
+    ):
+        assert html_text.main_text(start + body).endswith(f"Head\n\n{TEXT}"), start
+        assert f"Head\n\n{TEXT}" in html_text.main_text(start + body + "<select><option>b</select><noscript>c</noscript>"), start
+    gone = f"<head><title>a <b> title</title><style>{PROSE}</style></head><body><!-- <script> -->{body}<svg><svg></svg><text>{PROSE}</text></svg><noscript><p>{PROSE}</p></noscript><script>'<p>{PROSE}'"
+    assert html_text.main_text(gone) == f"Head\n\n{TEXT}"
+
+
+def test_class_words_lower_but_do_not_outlaw():
+    parts = f"<p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>"
+    want = [TEXT, "Short.", TEXT]
+    for page in (
+        f"<body class='has-sidebar'>{parts}", f"<html id=search><body class=social><main class='with-comments'>{parts}</main>", f"<article class='post has-sidebar'>{parts}</article>",
+        f"<div class='page nav-open'>{parts}</div><p>&copy; 2024</p>", f"<div class=wrap><div class='has-sidebar'>{parts}<div class=related><p>{PROSE}</p></div></div></div>",
+    ):
+        assert html_text.main_text(page).split("\n\n") == want, page
+    notices = f"<div class=ad><p>{PROSE}</p></div>{parts}<div class=comments><p>{PROSE}</p><p>Thanks.</p><p>{PROSE}</p></div>"
+    assert html_text.main_text(f"<body>{notices}</body>").split("\n\n") == want
+    quoted = f"<body><p>{PROSE}</p><div class='social-proof'><p>{PROSE}</p></div><p>{PROSE}</p></body>"
+    assert html_text.main_text(quoted).split("\n\n") == [TEXT] * 3
