@@ -27,7 +27,7 @@ WITH_HEADINGS = ["insight", "review", "vendor"]
 RULE_OF_THREE = r"(?iU)\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\w+){0,2}),?\sand\s(\w+(?:\s\w+){0,2})\b"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZА-Я0-9])"
 HEADING = r"^##\s+\S"
-NUMBER = r"\b\d[\d,.]*\s?%?\b"
+NUMBER = r"(?U)\b\d[\d,.]*\s?%?\b"
 FLAT_SENTENCES, FLAT_PARAGRAPHS = 0.28, 0.25
 COSTS = {"error": 15, "warning": 6}
 
@@ -123,7 +123,7 @@ def is_specific(title: Column) -> Column:
     t = _known(title)
     later = F.filter(F.slice(words(t), 2, 10_000), lambda w: w.rlike(r"^\p{Lu}"))
     proper = F.exists(later, lambda w: ~F.lower(F.trim(w, F.lit(".,:"))).isin(GENERIC_TITLE_WORDS))
-    return t.rlike(r"\d") | t.rlike(r"\b[A-Z]{2,}\b") | proper
+    return t.rlike(r"(?U)\d") | t.rlike(r"(?U)\b[A-Z]{2,}\b") | proper
 
 
 def title_specificity(title: Column) -> Column:

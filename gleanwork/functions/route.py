@@ -52,11 +52,11 @@ def normalize_section(value: Column) -> Column:
 
 
 def weighted_score(text: Column, patterns: list[tuple[str, int]]) -> Column:
-    return sum((F.when(text.rlike(p), w).otherwise(0) for p, w in patterns), F.lit(0))
+    return sum((F.when(text.rlike("(?U)" + p), w).otherwise(0) for p, w in patterns), F.lit(0))
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def scores(text: Column, review=REVIEW, insight=INSIGHT, news=NEWS, vendor=VENDOR, equipment=EQUIPMENT, product=PRODUCT_LIKE, buyer=BUYER) -> Column:

@@ -124,8 +124,7 @@ _THREES = r"len(regexp_extract_all(text, '(?i)\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\
 
 @query(f"SELECT doc_id, {_THREES} >= 2 AS flagged FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def lint_rule_of_three(spark, folder):
-    plain = _docs(spark, folder).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", (F.size(lint.rule_of_three(F.col("text"))) > 0).alias("flagged"))
+    return _docs(spark, folder).select("doc_id", (F.size(lint.rule_of_three(F.col("text"))) > 0).alias("flagged"))
 
 
 def _bound_sql(i: int) -> str:
@@ -146,8 +145,7 @@ _TITLE_WORDS = r"list_filter(string_split_regex(substr(text, 1, 60), '\s+'), lam
   OR len(list_filter(({_TITLE_WORDS})[2:], lambda w: regexp_matches(w, '^\p{{Lu}}') AND NOT list_contains({S.strings(lint.GENERIC_TITLE_WORDS)}, lower(trim(w, '.,:'))))) > 0 AS specific
 FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
 def lint_title(spark, folder):
-    plain = _docs(spark, folder).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", lint.is_specific(_title()).alias("specific"))
+    return _docs(spark, folder).select("doc_id", lint.is_specific(_title()).alias("specific"))
 
 
 _NUM = r"list_distinct(regexp_extract_all({c}, '\b\d[\d,.]*\s?%?\b'))"
@@ -157,7 +155,7 @@ _NUM = r"list_distinct(regexp_extract_all({c}, '\b\d[\d,.]*\s?%?\b'))"
 SELECT doc_id, len(wanted) > 0 AND NOT list_has_any(wanted, body) AS ungrounded FROM f""")
 def lint_grounding(spark, folder):
     issues = lint.fact_grounding(F.expr("substring(text, 301)"), F.array(F.substring("text", 1, 2000)))
-    return _docs(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", (F.size(issues) > 0).alias("ungrounded"))
+    return _docs(spark, folder).select("doc_id", (F.size(issues) > 0).alias("ungrounded"))
 
 
 _CV = f"(SELECT stddev_pop(n) / avg(n) FROM (SELECT unnest({_LENGTHS}) AS n))"
@@ -173,9 +171,8 @@ scored AS (SELECT doc_id, CAST(greatest(0, 100 - 15 * errors - 6 * (threes + fla
 
 
 def _reports(spark, folder):
-    plain = _docs(spark, folder).where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
     report = lint.lint_report(_title(), F.col("text"), _kind(), F.array().cast("array<string>"))
-    return plain.select("doc_id", report.alias("r")).select("doc_id", "r.score", "r.has_errors")
+    return _docs(spark, folder).select("doc_id", report.alias("r")).select("doc_id", "r.score", "r.has_errors")
 
 
 @query(f"{_REPORT} SELECT doc_id, score, has_errors FROM scored")
@@ -200,8 +197,7 @@ _SCORES = f"""WITH s AS (SELECT doc_id, {S.weighted('lower(text)', TEST_REVIEW)}
 
 
 def _routed(spark, folder):
-    plain = _docs(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", _section_scores().alias("s"), F.when(F.col("doc_id") % 5 == 0, "news").when(F.col("doc_id") % 5 == 1, "insights").alias("explicit"), (F.col("doc_id") % 2 == 0).alias("sourced"))
+    return _docs(spark, folder).select("doc_id", _section_scores().alias("s"), F.when(F.col("doc_id") % 5 == 0, "news").when(F.col("doc_id") % 5 == 1, "insights").alias("explicit"), (F.col("doc_id") % 2 == 0).alias("sourced"))
 
 
 @query(f"{_SCORES} SELECT doc_id, review, insight, news, vendor, equipment, product, buyer FROM s")
@@ -247,9 +243,8 @@ _HAY = "lower(concat_ws(' ', substr(text, 1, 60), source, '', substr(text, 1, 25
   array_to_string((list_filter([{', '.join(f"CASE WHEN regexp_matches({_HAY}, {S.quoted(chr(92) + 'b' + chr(92) + 'Q' + n.lower() + chr(92) + 'E' + chr(92) + 'b')}) THEN {S.quoted(n)} END" for n in TEST_TECHNOLOGIES)}], lambda n: n IS NOT NULL))[1:8], ',') AS technologies
 FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def entities(spark, folder):
-    plain = _docs(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     found = extract.technologies(_title(), F.col("text"), F.col("source"), names=TEST_TECHNOLOGIES)
-    return plain.select("doc_id", extract.company(_title(), F.col("text"), F.col("source"), vendors=TEST_VENDORS).alias("company"), F.array_join(found, ",").alias("technologies"))
+    return _docs(spark, folder).select("doc_id", extract.company(_title(), F.col("text"), F.col("source"), vendors=TEST_VENDORS).alias("company"), F.array_join(found, ",").alias("technologies"))
 
 
 _SRC = f"trim({S.strip_tags('text')})"
@@ -274,9 +269,8 @@ _DESCRIPTION = f"""CASE WHEN length({_SRC}) <= 160 THEN {_SRC} ELSE rtrim(CASE W
 @query(f"""SELECT doc_id, {S.slug('substr(text, 1, 60)', 100)} AS slug, {_DESCRIPTION} AS description,
   len(list_filter({S.strings([k for k, _ in TEST_LINKS])}, lambda k: contains(lower(text), k))) AS n_links FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def seo_package(spark, folder):
-    plain = _docs(spark, folder).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     package = briefs.seo_package(_title(), F.col("text"), F.lit(""), TEST_LINKS)
-    return plain.select("doc_id", package.alias("p")).select("doc_id", "p.slug", F.col("p.meta_description").alias("description"), F.size("p.internal_links").cast("long").alias("n_links"))
+    return _docs(spark, folder).select("doc_id", package.alias("p")).select("doc_id", "p.slug", F.col("p.meta_description").alias("description"), F.size("p.internal_links").cast("long").alias("n_links"))
 
 
 @query()
