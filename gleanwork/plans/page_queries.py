@@ -279,11 +279,11 @@ def page_titles(spark, folder):
     return pages.where(plain).select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-TOPIC_STEP = 25  # every so many pages one stands for a topic
+TOPIC_STEP = 25  # the SQL takes every so many pages one as a topic, the queries all
 
 
 def _topics(s: DataFrame) -> DataFrame:
-    return s.where(F.col("seq") % TOPIC_STEP == 0).select(F.col("seq").alias("topic_id"), F.concat_ws(" ", "title", "snippet").alias("text"), F.lit(True).alias("has_primary"), "source")
+    return s.where("title <> '' AND source <> ''").select(F.col("seq").alias("topic_id"), F.concat_ws(" ", "title", "snippet").alias("text"), F.lit(True).alias("has_primary"), "source")
 
 
 _TOPIC_PAIRS = f"""WITH {S.SIGNALS}, k AS (SELECT seq, source, {S.topic_tokens("concat_ws(' ', title, snippet)", T.TOPIC_STOPS)} AS k FROM signals WHERE title <> '' AND source <> ''),

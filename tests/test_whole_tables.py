@@ -6,7 +6,8 @@ import re
 import duckdb
 import pytest
 
-from gleanwork.functions import lint, route
+from gleanwork.functions import lint
+from gleanwork.functions import text as T
 from gleanwork.plans import document_queries as D
 from gleanwork.plans import registry
 
@@ -62,3 +63,31 @@ def test_rows_of_the_sql_are_the_same(spark, name):
     sql = con.sql(registry.SQL[name])
     mine = {tuple(r[c] for c in sql.columns) for r in df.collect()}
     assert set(sql.fetchall()) < mine
+
+
+def test_every_page_is_a_topic(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    words = "solder reflow stencil placement inspection voids nozzle feeder".split()
+    page = lambda i: f"<title>{' '.join(words[i % 5 : i % 5 + 4])}</title><p>{words[-i % 8]} item{i}</p>"
+    rows = [(i, f"https://host{i % 3}.example/{i}", page(i)) for i in range(1, 13)] + [(13, "https://host1.example/13", "<p>no title</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    sets = {i: set(re.findall(r"[a-z0-9-]{3,}", re.sub(r"<[^>]*>", " ", html).lower())) - set(T.TOPIC_STOPS) for i, _, html in rows[:-1]}
+    host = {i: url.split("/")[2] for i, url, _ in rows}
+    want = {}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            score = len(x & y) / min(len(x), len(y))
+            if 0.28 <= score < 0.97:
+                want[a, b] = round(score, 6)
+    got = {(r["topic_id"], r["seq"]): r["score"] for r in registry.QUERIES["source_expansion"](spark, at).collect()}
+    assert got == want and len({a for a, _ in got}) == 12
+    picks = set()
+    for a in sets:
+        scored = sorted((-v, b) for (t, b), v in want.items() if t == a)
+        first = {}
+        for v, b in scored:
+            if host[b] != host[a]:
+                first.setdefault(host[b], b)
+        order = sorted(scored, key=lambda s: (first.get(host[s[1]]) != s[1], s))
+        picks |= {(a, b, host[b], n) for n, (_, b) in enumerate(order[:4], 1)}
+    assert {(r["topic_id"], r["seq"], r["domain"], r["place"]) for r in registry.QUERIES["domain_diverse_pick"](spark, at).collect()} == picks
