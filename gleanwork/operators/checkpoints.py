@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,3 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 1 on in ``order``: ranges are sorted apart, and the counts of the ranges before are added."""
+    ranges = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = ranges.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))  # one row per range
+    before = counts.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))
+    placed = ranges.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    joined = placed.join(F.broadcast(before), F.col("__range") == F.col("__of"))
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__of", "__n", "__before")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwork.operators.checkpoints import materialize
+from gleanwork.operators.checkpoints import materialize, numbered
 
 
 def content_stats(items: DataFrame, since: Column) -> DataFrame:
@@ -82,8 +82,8 @@ def retention(drafts: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
 def insert(drafts: DataFrame, new: DataFrame) -> DataFrame:
     """Both, with ids for the new rows after the highest, in order of seq."""
     top = drafts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy("seq"))).join(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("__n")).cast("long"))
-    return drafts.unionByName(numbered.drop("__n", "top", "seq").withColumn("is_published", F.lit(False)), allowMissingColumns=True)
+    placed = numbered(new, [F.asc("seq")], "__place").join(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("__place")).cast("long"))
+    return drafts.unionByName(placed.drop("__place", "top", "seq").withColumn("is_published", F.lit(False)), allowMissingColumns=True)
 
 
 def fresh_cache(entries: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
+from gleanwork.operators.checkpoints import numbered
 
 # Relevance terms, score weights, penalties, authoritative hosts.
 RELEVANT = [
@@ -66,8 +67,8 @@ def editorial_score(text: Column, source: Column, feed: Column, verified: Column
 
 
 def ranked(signals: DataFrame) -> DataFrame:
-    """rank by score, ties in input order. For lists that are shown; a global order ends in one task, so cut first."""
-    return signals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
+    """rank by score, ties in input order."""
+    return numbered(signals, [F.desc("score"), F.asc("seq")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def source_key(feed: Column, query: Column | None = None) -> Column:

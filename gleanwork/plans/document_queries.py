@@ -87,8 +87,8 @@ def editorial_score(spark, folder):
 @query(f"SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, {_DOC_SCORE} AS score FROM documents) QUALIFY rank <= 100")
 def ranked_signals(spark, folder):
     score = signals.editorial_score(F.col("text"), F.col("source"), F.col("source"))
-    best = _docs(spark, folder).select(F.col("doc_id").alias("seq"), score.alias("score")).orderBy(F.desc("score"), "seq").limit(100)
-    return signals.ranked(best).withColumnRenamed("seq", "doc_id").select("doc_id", "score", "rank")
+    scored = _docs(spark, folder).select(F.col("doc_id").alias("seq"), score.alias("score"))
+    return signals.ranked(scored).withColumnRenamed("seq", "doc_id").select("doc_id", "score", "rank")
 
 
 @query(f"""SELECT doc_id, source, score FROM (SELECT doc_id, source, {_DOC_SCORE} AS score FROM documents)
@@ -106,8 +106,8 @@ def content_hash_groups(spark, folder):
 
 @query(f"SELECT doc_id, array_to_string(list_sort({S.topic_tokens('substr(text, 1, 400)', T.TOPIC_STOPS)}), ' ') AS tokens FROM documents WHERE lang = 'en'")
 def topic_token_sets(spark, folder):
-    tokens = T.topic_tokens(F.substring("text", 1, 400))
-    return _docs(spark, folder).where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
+    tokens = T.topic_tokens(F.col("text"))
+    return _docs(spark, folder).select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
 _BANNED = f"list_filter({S.strings(TEST_BANNED)}, lambda p: contains(lower(substr(text, 1, 60) || ' ' || text), p))"
@@ -154,7 +154,7 @@ _NUM = r"list_distinct(regexp_extract_all({c}, '\b\d[\d,.]*\s?%?\b'))"
 @query(f"""WITH f AS (SELECT doc_id, {_NUM.format(c="substr(text, 1, 2000)")} AS wanted, {_NUM.format(c="substr(text, 301)")} AS body FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
 SELECT doc_id, len(wanted) > 0 AND NOT list_has_any(wanted, body) AS ungrounded FROM f""")
 def lint_grounding(spark, folder):
-    issues = lint.fact_grounding(F.expr("substring(text, 301)"), F.array(F.substring("text", 1, 2000)))
+    issues = lint.fact_grounding(F.expr("substring(text, 301)"), F.array("text"))
     return _docs(spark, folder).select("doc_id", (F.size(issues) > 0).alias("ungrounded"))
 
 

@@ -274,9 +274,7 @@ def html_plain_text(spark, folder):
 
 @query(f"SELECT page_id, {S.collapsed(S.strip_tags('regexp_extract(html, ' + S.quoted('(?is)<h1[^>]*>(.*?)</h1>') + ', 1)'))} AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&') AND regexp_matches(html, '(?i)<h1')")
 def page_titles(spark, folder):
-    pages = table(spark, folder, "pages")
-    plain = ~F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).contains("&") & F.col("html").rlike("(?i)<h1")
-    return pages.where(plain).select("page_id", T.page_title(F.col("html")).alias("title"))
+    return table(spark, folder, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
 TOPIC_STEP = 25  # the SQL takes every so many pages one as a topic, the queries all

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleanwork.functions import dates
 from gleanwork.functions import text as T
 from gleanwork.operators import briefs, checkpoints, drafts, signals
+from gleanwork.operators.checkpoints import numbered
 from gleanwork.plans.registry import query, table
 
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-20 00:00:00", "2001-07-01 00:00:00"
@@ -81,11 +82,9 @@ def drafts_top30(spark, folder):
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey = 7 THEN 0 ELSE 1 END, o_orderkey) - 1 AS INTEGER) AS idx FROM orders WHERE o_orderkey <= 100")
 def move_to_front(spark, folder):
-    from pyspark.sql import Window
-
-    few = table(spark, folder, "orders").where("o_orderkey <= 100")
-    order = Window.orderBy(F.when(F.col("o_orderkey") == 7, 0).otherwise(1), "o_orderkey")
-    return few.select("o_orderkey", (F.row_number().over(order) - 1).alias("idx"))
+    keys = table(spark, folder, "orders").select("o_orderkey")
+    placed = numbered(keys, [F.when(F.col("o_orderkey") == 7, 0).otherwise(1).asc(), F.asc("o_orderkey")], "place")
+    return placed.select("o_orderkey", (F.col("place") - 1).cast("int").alias("idx"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE o_orderdate >= {_O}) AS created, count(*) FILTER (WHERE o_orderdate >= {_O} AND o_orderstatus = 'F') AS published, count(*) FILTER (WHERE o_orderstatus <> 'F') AS pending FROM orders")

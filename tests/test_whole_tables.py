@@ -9,7 +9,7 @@ import pytest
 from gleanwork.functions import lint
 from gleanwork.functions import text as T
 from gleanwork.plans import document_queries as D
-from gleanwork.plans import registry
+from gleanwork.plans import page_queries, registry, table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [
@@ -91,3 +91,38 @@ def test_every_page_is_a_topic(spark, tmp_path):
         order = sorted(scored, key=lambda s: (first.get(host[s[1]]) != s[1], s))
         picks |= {(a, b, host[b], n) for n, (_, b) in enumerate(order[:4], 1)}
     assert {(r["topic_id"], r["seq"], r["domain"], r["place"]) for r in registry.QUERIES["domain_diverse_pick"](spark, at).collect()} == picks
+
+
+def test_whole_texts_and_all_rows(spark, docs):
+    long = "aaa " + "filler " * 400 + "zzzlast 42 "
+    spark.createDataFrame([(9, long, "fr", "s")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{docs}/documents.parquet")
+    assert set(told(spark, "topic_token_sets", docs)) == {*(i for i, *_ in TEXTS), 9}
+    assert told(spark, "topic_token_sets", docs)[9]["tokens"] == "aaa filler zzzlast"
+    assert not told(spark, "lint_grounding", docs)[9]["ungrounded"]
+    spark.createDataFrame([(10, "9 " + "filler " * 300 + "8", "fr", "s")], "doc_id long, text string, lang string, source string").write.mode("append").parquet(f"{docs}/documents.parquet")
+    assert told(spark, "lint_grounding", docs)[10]["ungrounded"] is False  # 8 stands beyond 2,000 characters
+
+
+def test_places_over_all_rows(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    spark.range(1, 1001).selectExpr("id AS o_orderkey").repartition(7).write.parquet(f"{at}/orders.parquet")
+    order = [7, *(k for k in range(1, 1001) if k != 7)]
+    assert {r["o_orderkey"]: r["idx"] for r in registry.QUERIES["move_to_front"](spark, at).collect()} == {k: n for n, k in enumerate(order)}
+    texts = [(i, "solder " * (i % 3 == 0) + "yield " * (i % 7 == 0), "en", "s") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{at}/documents.parquet")
+    got = sorted((r["rank"], r["doc_id"], r["score"]) for r in registry.QUERIES["ranked_signals"](spark, at).collect())
+    assert [r[0] for r in got] == list(range(1, 301))
+    assert [r[1] for r in got] == [i for _, i in sorted((-s, i) for _, i, s in got)]
+    pages = [(1, "u", "<h1>A &amp; B</h1>"), (2, "u", "<title>Only a title</title>"), (3, "u", "<h1>Plain</h1>"), (4, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    titles = {r["page_id"]: r["title"] for r in registry.QUERIES["page_titles"](spark, at).collect()}
+    assert titles == {1: "A & B", 2: "Only a title", 3: "Plain", 4: ""}
+
+
+def test_inserted_drafts_are_numbered_in_order(spark):
+    from gleanwork.operators import drafts
+
+    old = spark.createDataFrame([(5, "x", True)], "id long, t string, is_published boolean")
+    new = spark.createDataFrame([(i, f"t{i}") for i in range(50, 0, -1)], "seq long, t string").repartition(6)
+    got = drafts.insert(old, new)
+    assert {r["t"]: r["id"] for r in got.collect()} == {"x": 5, **{f"t{i}": 5 + i for i in range(1, 51)}}
