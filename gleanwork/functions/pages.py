@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,13 @@ JSON_LD_KEYS = ["datePublished", "dateModified", "uploadDate", "dateCreated"]
 ROLE_LABELS = {"fresh_primary": "primary source", "related_fresh_signal": "independent confirmation", "context_link": "maker's context"}
 
 
+#: Elements without article text, and classes of the element that holds it.
+UNREAD = re.compile(r"<!--.*?-->|<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>", re.S | re.I)
+BOILERPLATE = re.compile(r"<(/?)(nav|header|footer|aside|form)(?=[\s/>])[^>]*>", re.I)
+ARTICLE = re.compile(r"<(article)(?=[\s/>])[^>]*>", re.I)
+ENTRY = re.compile(r"<([a-z][a-z0-9]*)\s(?:[^>]*?\s)?class\s*=\s*(?:\"[^\">]*?|'[^'>]*?|[^\s\"'>]*?)(?:article|post|entry)[-_]?(?:body|content)[^>]*>", re.I)
+
+
 def _known(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -110,3 +118,41 @@ def writer_prompt(topic: Column, angle: Column, facts: Column, sources: Column)
         F.when(F.size(bare) > 0, F.concat(F.lit("Links without text:\n"), F.array_join(link, "\n"))),
     ]
     return F.concat_ws("\n\n", *parts)
+
+
+def container_of(page: str | None) -> str:
+    """What the page's article holds, else an element classed as article, post or entry body, else the whole page; boilerplate elements go first."""
+    page = UNREAD.sub(" ", page or "")
+    opened: dict[str, list[int]] = {}
+    cuts = []
+    for m in BOILERPLATE.finditer(page):
+        if not m.group(1):
+            opened.setdefault(m.group(2).lower(), []).append(m.start())
+        elif opened.get(m.group(2).lower()):
+            cuts.append((opened[m.group(2).lower()].pop(), m.end()))
+    parts, at = [], 0
+    for lo, hi in sorted(cuts):
+        if lo >= at:
+            parts.append(page[at:lo])
+        at = max(at, hi)
+    page = " ".join([*parts, page[at:]])
+    found = ARTICLE.search(page) or ENTRY.search(page)
+    if not found:
+        return page
+    depth = 1
+    for m in re.compile(rf"<(/?){found.group(1)}(?=[\s/>])[^>]*>", re.I).finditer(page, found.end()):
+        depth += -1 if m.group(1) else 1
+        if not depth:
+            return page[found.end() : m.start()]
+    return page[found.end() :]
+
+
+def article_html(html: Column) -> Column:
+    """``container_of`` as an expression."""
+
+    @F.pandas_udf("string")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(container_of, na_action=None)
+
+    return held(html)

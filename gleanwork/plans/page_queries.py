@@ -161,10 +161,16 @@ _LINKS = rf"""SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1))
   unnest(range(len(regexp_extract_all(html, '{LINK}', 1)))) AS pos FROM pages"""
 
 
+ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a\s*>"
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, href, title of all plain links."""
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("title"))
-    return pages.select("page_id", "url", F.posexplode(both).alias("pos", "link")).select("page_id", "url", "pos", "link.href", "link.title")
+    """page_id, url, pos, href, title, hints (attributes title and type) of all links, whatever their attributes and inner tags."""
+    each = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
+    group = lambda i: F.regexp_extract("a", ANCHOR, i)
+    attribute = lambda n: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\s{n}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    title = F.regexp_replace(group(4), "<[^>]+>", " ")
+    return each.select("page_id", "url", "pos", F.trim(F.concat(group(1), group(2), group(3))).alias("href"), title.alias("title"), F.concat_ws(" ", attribute("title"), attribute("type")).alias("hints"))
 
 
 _CLEAN = S.collapsed("title")
@@ -184,8 +190,9 @@ def link_candidates(spark, folder):
 @query(f"""WITH links AS ({_LINKS}) SELECT page_id, count(*) AS n_links,
   count(*) FILTER (WHERE regexp_matches(lower(href), '\\.pdf($|\\?)') AND NOT {S.any_of('lower(href)', U.LEGAL_PDFS)}) AS n_pdf FROM links GROUP BY page_id""")
 def pdf_links(spark, folder):
-    low = F.lower("href")
-    pdf = low.rlike(r"\.pdf($|\?)") & ~U.contains_any(low, U.LEGAL_PDFS)
+    low, text = F.lower("href"), F.lower(F.concat_ws(" ", "title", "hints"))
+    elsewhere = low.rlike("^(mailto:|tel:|javascript:|#)") | (low == "")
+    pdf = (low.rlike(r"\.pdf($|[?#])") | text.contains("pdf")) & ~elsewhere & ~U.contains_any(low, U.LEGAL_PDFS) & ~U.contains_any(text, U.LEGAL_PDFS)
     return links(table(spark, folder, "pages")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(pdf).alias("n_pdf"))
 
 
@@ -239,7 +246,7 @@ _PS = f"list_filter(list_transform(regexp_extract_all({_ARTICLE}, '(?is)<p[^>]*>
 
 @query(f"SELECT page_id, substr(array_to_string({_PS}, ' '), 1, 1800) AS text FROM pages")
 def html_main_text(spark, folder):
-    article = F.regexp_extract("html", "(?is)<article[^>]*>(.*?)</article>", 1)
+    article = PG.article_html(F.col("html"))
     ps = F.transform(F.regexp_extract_all(article, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: T.title_collapsed(T.strip_tags(p)))
     return table(spark, folder, "pages").select("page_id", F.substring(F.array_join(F.filter(ps, lambda p: p != ""), " "), 1, 1800).alias("text"))
 

@@ -126,3 +126,22 @@ def test_inserted_drafts_are_numbered_in_order(spark):
     new = spark.createDataFrame([(i, f"t{i}") for i in range(50, 0, -1)], "seq long, t string").repartition(6)
     got = drafts.insert(old, new)
     assert {r["t"]: r["id"] for r in got.collect()} == {"x": 5, **{f"t{i}": 5 + i for i in range(1, 51)}}
+
+
+def test_ordinary_pages(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    pages = [
+        (1, "https://h.example/a", "<nav><p>menu</p></nav><div class='x post-body y'><div>pic</div><p>One.</p><p>Two <b>b</b>.</p></div><p>after</p>"),
+        (2, "https://h.example/b", "<header><p>top</p></header><!-- <article> --><p>All of it.</p><form><p>name</p></form><p>And more.</p>"),
+        (3, "https://h.example/c", "<article><aside><p>side</p></aside><p>In.</p><article><p>Inner.</p></article><p>Last.</p></article><p>out</p>"),
+        (4, "https://h.example/d", None), (5, "https://h.example/e", "<article class=x><p>Never closed.</p>"),
+    ]
+    anchors = "<a class=x href='/news/new-launch'>New <b>launch</b> of it</a><a href=\"/doc\" title='PDF data'>Sheet</a><A target=_blank HREF=/x.pdf?v=1>file</A><a href=\"/get\">Manual (PDF)</a><a href='/t.pdf'>Terms of use</a><a data-href='/no'>no</a><a href='#pdf'>pdf here</a>"
+    spark.createDataFrame([*pages, (6, "https://h.example/f", anchors)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    run = lambda n: registry.QUERIES[n](spark, at).collect()
+    texts = {r["page_id"]: r["text"] for r in run("html_main_text")}
+    assert texts == {1: "One. Two b.", 2: "All of it. And more.", 3: "In. Inner. Last.", 4: "", 5: "Never closed.", 6: ""}
+    leaders = {r["seq"]: r["full_text"] for r in run("enriched_leaders")}
+    assert leaders[1] == "One. Two b." and leaders[2] == "All of it. And more."
+    assert {r["pos"]: r["candidate"] for r in run("link_candidates")} == {i: i in (0, 4) for i in range(6)}  # a path with .pdf is a hint
+    assert [tuple(r) for r in run("pdf_links")] == [(6, 6, 3)]
