@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleanwork.llm.common import documents, materialize
 from gleanwork.llm.language import fit_languages, identify
 from gleanwork.llm.mixing import mixed
-from gleanwork.llm.neardup import BROADCAST_ROWS, Settings, near_duplicates
+from gleanwork.llm.neardup import BROADCAST_ROWS, Settings, bands_for, near_duplicates
 from gleanwork.llm.packing import pack
 from gleanwork.llm.quality import fit_quality, labelled, score_quality
 
@@ -41,7 +41,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Texts stay where they are: only the ids that go are joined to them, by broadcast while those are few.
     """
-    told = materialize(near_duplicates(docs.select("doc_id", "text"), Settings(words=5, percent=80)).where(F.col("doc_id").isNotNull()))
+    told = materialize(near_duplicates(docs.select("doc_id", "text"), Settings(words=5, percent=80, bands=bands_for(80))).where(F.col("doc_id").isNotNull()))
     twice = told.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
     kept_twice = told.where("kept").join(twice, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("__id")).distinct()
     gone = materialize(told.where("NOT kept").select(F.col("doc_id").alias("__id")).union(twice).distinct())
@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and hashed sketches are beyond SQL; the tests hold each stage against brute force.
+#: Trained models and hashed sketches are beyond SQL; the tests hold the near-duplicate stage against brute force.
 ORACLE_SQL = None
 
 

@@ -15,7 +15,8 @@ one family. Within a family, tasks of bounded size intersect full sets and retur
 links that connect its documents, never all pairs; a family too large for one task is
 dealt over a grid of blocks, each pair of blocks once. Nothing is capped. What can be
 lost is a link that no band proposes or whose sketches differ by chance beyond five
-sigma: about 1 in 100,000 at the threshold with the settings here, less above.
+sigma: about 1 in 100,000 at the threshold of 85 percent with 32 bands, and with as many
+bands as ``bands_for`` gives for another threshold, less above.
 
 Nulls and edge cases: documents without words, or with null text, have an empty set
 and are linked with nothing; with fewer words than a shingle has, the whole sequence is
@@ -70,6 +71,11 @@ class Settings:
         return math.ceil(mean + 5 * math.hypot(sampling, folding))
 
 
+def bands_for(percent: int, rows: int = 7, miss: float = 1e-5) -> int:
+    """The bands with which at most ``miss`` of the pairs at the threshold share none."""
+    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
