@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions.bind import once
 from gleanwork.functions.url import contains_any
 
 # Phrases not to use, words that make no title specific, word ranges by format.
@@ -70,17 +71,20 @@ def paragraphs(text: Column) -> Column:
 
 def rhythm(parts: Column) -> Column:
     """Population standard deviation of the parts' word counts over their mean; null without words."""
-    lengths = F.transform(parts, lambda p: word_count(p).cast("long"))
     zero = F.lit(0).cast("long")
-    n, total = F.size(parts), F.aggregate(lengths, zero, lambda a, x: a + x)
-    squares = F.aggregate(lengths, zero, lambda a, x: a + x * x)
-    return F.sqrt((n * squares - total * total).cast("double")) / F.nullif(total, zero)
+
+    def spread(lengths: Column) -> Column:
+        n, total = F.size(lengths), F.aggregate(lengths, zero, lambda a, x: a + x)
+        squares = F.aggregate(lengths, zero, lambda a, x: a + x * x)
+        return F.sqrt((n * squares - total * total).cast("double")) / F.nullif(total, zero)
+
+    return once(F.transform(parts, lambda p: word_count(p).cast("long")), spread)
 
 
 def banned_phrases(text: Column, phrases: list[str] = BANNED_PHRASES) -> Column:
     """One error per phrase that occurs, in list order."""
-    low = F.lower(_known(text))
-    hits = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
+    each = F.array(*[F.lit(p) for p in phrases])
+    hits = once(F.lower(_known(text)), lambda low: F.filter(each, lambda p: F.contains(low, p)))
     return F.transform(hits, lambda p: _issue("banned_phrase", "error", p))
 
 
@@ -92,18 +96,22 @@ def rule_of_three(text: Column) -> Column:
     return _one(threes(text) >= 2, _issue("rule_of_three", "warning"))
 
 
-def sentence_rhythm(text: Column) -> Column:
-    parts = sentences(text)
-    return _one((F.size(parts) >= 6) & (rhythm(parts) < FLAT_SENTENCES), _issue("flat_sentence_rhythm", "warning"))
+def _flat(parts: Column, least: int, below: float, code: str) -> Column:
+    return once(parts, lambda p: _one((F.size(p) >= least) & (rhythm(p) < below), _issue(code, "warning")))
+
+
+def sentence_rhythm(text: Column, parts: Column | None = None) -> Column:
+    """``parts``: the text's sentences, where they are at hand."""
+    return _flat(sentences(text) if parts is None else parts, 6, FLAT_SENTENCES, "flat_sentence_rhythm")
 
 
 def paragraph_rhythm(text: Column) -> Column:
-    parts = paragraphs(text)
-    return _one((F.size(parts) >= 4) & (rhythm(parts) < FLAT_PARAGRAPHS), _issue("flat_paragraph_rhythm", "warning"))
+    return _flat(paragraphs(text), 4, FLAT_PARAGRAPHS, "flat_paragraph_rhythm")
 
 
-def missing_headings(text: Column, kind: Column) -> Column:
-    return _one(kind.isin(WITH_HEADINGS) & (F.size(headings(text)) == 0), _issue("missing_headings", "warning"))
+def missing_headings(text: Column, kind: Column, found: Column | None = None) -> Column:
+    """``found``: the text's headings, where they are at hand."""
+    return _one(kind.isin(WITH_HEADINGS) & (F.size(headings(text) if found is None else found) == 0), _issue("missing_headings", "warning"))
 
 
 def _bound(kind: Column, i: int) -> Column:
@@ -113,17 +121,24 @@ def _bound(kind: Column, i: int) -> Column:
     return out
 
 
-def word_range(text: Column, kind: Column) -> Column:
-    n = word_count(text)
-    return F.when(n < _bound(kind, 0), F.array(_issue("too_short", "warning", n))).when(n > _bound(kind, 1), F.array(_issue("too_long", "warning", n))).otherwise(F.array().cast(ISSUES))
+def word_range(text: Column, kind: Column, n: Column | None = None) -> Column:
+    """``n``: the text's number of words, where it is at hand."""
+
+    def judged(n: Column) -> Column:
+        too_short, too_long = _issue("too_short", "warning", n), _issue("too_long", "warning", n)
+        return F.when(n < _bound(kind, 0), F.array(too_short)).when(n > _bound(kind, 1), F.array(too_long)).otherwise(F.array().cast(ISSUES))
+
+    return judged(n) if n is not None else once(word_count(text), judged)
 
 
 def is_specific(title: Column) -> Column:
     """A digit, an acronym, or a capitalised word after the first that isn't a generic one."""
-    t = _known(title)
-    later = F.filter(F.slice(words(t), 2, 10_000), lambda w: w.rlike(r"^\p{Lu}"))
-    proper = F.exists(later, lambda w: ~F.lower(F.trim(w, F.lit(".,:"))).isin(GENERIC_TITLE_WORDS))
-    return t.rlike(r"(?U)\d") | t.rlike(r"(?U)\b[A-Z]{2,}\b") | proper
+
+    def specific(t: Column) -> Column:
+        proper = once(words(t), lambda w: F.exists(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda x: x.rlike(r"^\p{Lu}") & ~F.lower(F.trim(x, F.lit(".,:"))).isin(GENERIC_TITLE_WORDS)))
+        return t.rlike(r"(?U)\d") | t.rlike(r"(?U)\b[A-Z]{2,}\b") | proper
+
+    return once(_known(title), specific)
 
 
 def title_specificity(title: Column) -> Column:
@@ -137,13 +152,14 @@ def numbers(text: Column) -> Column:
 def fact_grounding(body: Column, facts: Column) -> Column:
     """An error if the facts hold numbers and the body none of them."""
     wanted = F.array_distinct(F.flatten(F.transform(F.coalesce(facts, F.array().cast("array<string>")), numbers)))
-    return _one((F.size(wanted) > 0) & ~F.arrays_overlap(wanted, numbers(body)), _issue("no_fact_grounding", "error"))
+    return once(wanted, lambda w: _one((F.size(w) > 0) & ~F.arrays_overlap(w, numbers(body)), _issue("no_fact_grounding", "error")))
 
 
-def lint_issues(title: Column, body: Column, kind: Column, facts: Column) -> Column:
+def lint_issues(title: Column, body: Column, kind: Column, facts: Column, parts: Column | None = None, found: Column | None = None, n: Column | None = None) -> Column:
+    """All checks' issues in order; ``parts``, ``found`` and ``n``: the body's sentences, headings and number of words, where they are at hand."""
     return F.concat(
-        banned_phrases(F.concat(_known(title), F.lit(" "), _known(body))), rule_of_three(body), sentence_rhythm(body), paragraph_rhythm(body),
-        missing_headings(body, kind), word_range(body, kind), title_specificity(title), fact_grounding(body, facts),
+        banned_phrases(F.concat(_known(title), F.lit(" "), _known(body))), rule_of_three(body), sentence_rhythm(body, parts), paragraph_rhythm(body),
+        missing_headings(body, kind, found), word_range(body, kind, n), title_specificity(title), fact_grounding(body, facts),
     )
 
 
@@ -158,11 +174,19 @@ def has_errors(issues: Column) -> Column:
 
 
 def lint_report(title: Column, body: Column, kind: Column, facts: Column) -> Column:
-    issues = lint_issues(title, body, kind, facts)
-    return F.struct(
-        score(issues).alias("score"), has_errors(issues).alias("has_errors"), word_count(body).alias("word_count"),
-        F.size(sentences(body)).alias("sentence_count"), F.size(headings(body)).alias("heading_count"), issues.alias("issues"),
-    )
+    """score, has_errors, counts and issues; the body is split and counted once."""
+
+    def report(issues: Column, parts: Column, found: Column, n: Column) -> Column:
+        return F.struct(
+            score(issues).alias("score"), has_errors(issues).alias("has_errors"), n.alias("word_count"),
+            F.size(parts).alias("sentence_count"), F.size(found).alias("heading_count"), issues.alias("issues"),
+        )
+
+    def measured(m: Column) -> Column:
+        parts, found, n = m["parts"], m["found"], m["n"]
+        return once(lint_issues(title, body, kind, facts, parts, found, n), lambda issues: report(issues, parts, found, n))
+
+    return once(F.struct(sentences(body).alias("parts"), headings(body).alias("found"), word_count(body).alias("n")), measured)
 
 
 def is_relevant(text: Column, terms: list[str]) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions.bind import once
+from gleanwork.functions.url import contains_any
+
 # Pattern tables (each pattern counts once), term lists, aliases and paths.
 REVIEW = [
     (r"\breview\b", 30), (r"\bbuyer\s+guide\b", 28), (r"\bcomparison\b|\bcompare\b|\bvs\.?\b", 22), (r"\bbest\b|\btop\s+\d+\b|\bshortlist\b", 18),
@@ -51,26 +56,67 @@ def normalize_section(value: Column) -> Column:
     return F.try_element_at(names, v)
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The pattern's alternatives outside of brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def needed_text(pattern: str) -> list[str] | None:
+    """Strings of which any match of the pattern holds one; None where an alternative needs none of two characters.
+
+    A search for plain strings is many times faster than one by pattern and most texts hold none.
+    """
+    out = []
+    for alternative in alternatives(pattern):
+        bare = re.sub(r"\([^()]*\)[?*]?|\\[sdw][+*?]?|\\?.[?*]", "\0", alternative.replace(r"\b", ""))
+        runs = re.findall(r"[a-z0-9-]{2,}", bare)
+        if not runs or re.search(r"[\[\]{}|^$]", bare):
+            return None
+        out.append(max(runs, key=len))
+    return out
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    needed = needed_text(pattern)
+    found = text.rlike("(?U)" + pattern)
+    return found if needed is None else contains_any(text, needed) & found
+
+
 def weighted_score(text: Column, patterns: list[tuple[str, int]]) -> Column:
-    return sum((F.when(text.rlike("(?U)" + p), w).otherwise(0) for p, w in patterns), F.lit(0))
+    """The weights of the patterns that match the (lower-cased) text, each once."""
+    return sum((F.when(_matches(text, p), w).otherwise(0) for p, w in patterns), F.lit(0))
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    return _matches(text, "|".join(patterns))
 
 
 def scores(text: Column, review=REVIEW, insight=INSIGHT, news=NEWS, vendor=VENDOR, equipment=EQUIPMENT, product=PRODUCT_LIKE, buyer=BUYER) -> Column:
     """Scores and flags of the lower-cased text; other pattern tables can be given."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.struct(
-        weighted_score(low, review).alias("review"), weighted_score(low, insight).alias("insight"), weighted_score(low, news).alias("news"),
-        weighted_score(low, vendor).alias("vendor"), any_match(low, equipment).alias("equipment"), any_match(low, product).alias("product"),
-        any_match(low, buyer).alias("buyer"),
-    )
 
+    def scored(low: Column) -> Column:
+        return F.struct(
+            weighted_score(low, review).alias("review"), weighted_score(low, insight).alias("insight"), weighted_score(low, news).alias("news"),
+            weighted_score(low, vendor).alias("vendor"), any_match(low, equipment).alias("equipment"), any_match(low, product).alias("product"),
+            any_match(low, buyer).alias("buyer"),
+        )
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), scored)
 
-def decide(s: Column, explicit: Column, sourced: Column) -> Column:
+
+def decide(scores: Column, explicit: Column, sourced: Column) -> Column:
     """section, confidence and reason from ``scores``; the first rule that holds decides. ``explicit`` is a section or null."""
+    return once(scores, lambda s: _decision(s, explicit, sourced))
+
+
+def _decision(s: Column, explicit: Column, sourced: Column) -> Column:
     wanted = F.coalesce(explicit, F.lit(""))
     product = s["equipment"] & s["product"]
     rules = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
+from gleanwork.functions.bind import once
 from gleanwork.operators.checkpoints import numbered
 
 # Relevance terms, score weights, penalties, authoritative hosts.
@@ -47,7 +48,10 @@ def editorial_score(text: Column, source: Column, feed: Column, verified: Column
     Overlapping terms both count; three penalties hold only in certain company; a date in
     the future counts as recent.
     """
-    low, feed = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(feed, F.lit("")))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: _points(low, source, F.lower(F.coalesce(feed, F.lit(""))), verified, published, as_of, weights, penalties))
+
+
+def _points(low: Column, source: Column, feed: Column, verified: Column | None, published: Column | None, as_of: Column | None, weights: dict[str, int], penalties: list[str]) -> Column:
     has = lambda t: F.contains(low, F.lit(t))
     points = [F.when(has(t), w).otherwise(0) for t, w in weights.items()]
     conditional = [

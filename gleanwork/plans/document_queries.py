@@ -84,7 +84,7 @@ def editorial_score(spark, folder):
     return _docs(spark, folder).select("doc_id", signals.editorial_score(F.col("text"), F.col("source"), F.col("source")).alias("score"))
 
 
-@query(f"SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, {_DOC_SCORE} AS score FROM documents) QUALIFY rank <= 100")
+@query(f"SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, {_DOC_SCORE} AS score FROM documents)")
 def ranked_signals(spark, folder):
     score = signals.editorial_score(F.col("text"), F.col("source"), F.col("source"))
     scored = _docs(spark, folder).select(F.col("doc_id").alias("seq"), score.alias("score"))
@@ -104,7 +104,7 @@ def content_hash_groups(spark, folder):
     return _docs(spark, folder).groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({S.topic_tokens('substr(text, 1, 400)', T.TOPIC_STOPS)}), ' ') AS tokens FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_sort({S.topic_tokens('text', T.TOPIC_STOPS)}), ' ') AS tokens FROM documents")
 def topic_token_sets(spark, folder):
     tokens = T.topic_tokens(F.col("text"))
     return _docs(spark, folder).select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
@@ -119,10 +119,10 @@ def lint_banned(spark, folder):
     return _docs(spark, folder).select("doc_id", F.array_join(found["detail"], "|").alias("phrases")).where("phrases <> ''")
 
 
-_THREES = r"len(regexp_extract_all(text, '(?i)\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\w+){0,2}),?\sand\s(\w+(?:\s\w+){0,2})\b'))"
+_THREES = rf"len(regexp_extract_all({S.wordy('text')}, '(?i)\b(\w+(?:\s\w+){{0,2}}),\s(\w+(?:\s\w+){{0,2}}),?\sand\s(\w+(?:\s\w+){{0,2}})\b'))"
 
 
-@query(f"SELECT doc_id, {_THREES} >= 2 AS flagged FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"SELECT doc_id, {_THREES} >= 2 AS flagged FROM documents")
 def lint_rule_of_three(spark, folder):
     return _docs(spark, folder).select("doc_id", (F.size(lint.rule_of_three(F.col("text"))) > 0).alias("flagged"))
 
@@ -141,9 +141,9 @@ def lint_word_range(spark, folder):
 _TITLE_WORDS = r"list_filter(string_split_regex(substr(text, 1, 60), '\s+'), lambda w: w <> '')"
 
 
-@query(rf"""SELECT doc_id, regexp_matches(substr(text, 1, 60), '\d') OR regexp_matches(substr(text, 1, 60), '\b[A-Z]{{2,}}\b')
+@query(rf"""SELECT doc_id, regexp_matches(substr(text, 1, 60), '\d') OR regexp_matches({S.wordy('substr(text, 1, 60)')}, '\b[A-Z]{{2,}}\b')
   OR len(list_filter(({_TITLE_WORDS})[2:], lambda w: regexp_matches(w, '^\p{{Lu}}') AND NOT list_contains({S.strings(lint.GENERIC_TITLE_WORDS)}, lower(trim(w, '.,:'))))) > 0 AS specific
-FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+FROM documents""")
 def lint_title(spark, folder):
     return _docs(spark, folder).select("doc_id", lint.is_specific(_title()).alias("specific"))
 
@@ -151,7 +151,7 @@ def lint_title(spark, folder):
 _NUM = r"list_distinct(regexp_extract_all({c}, '\b\d[\d,.]*\s?%?\b'))"
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_NUM.format(c="substr(text, 1, 2000)")} AS wanted, {_NUM.format(c="substr(text, 301)")} AS body FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
+@query(f"""WITH f AS (SELECT doc_id, {_NUM.format(c=S.wordy("text"))} AS wanted, {_NUM.format(c=S.wordy("substr(text, 301)"))} AS body FROM documents)
 SELECT doc_id, len(wanted) > 0 AND NOT list_has_any(wanted, body) AS ungrounded FROM f""")
 def lint_grounding(spark, folder):
     issues = lint.fact_grounding(F.expr("substring(text, 301)"), F.array("text"))
@@ -159,12 +159,12 @@ def lint_grounding(spark, folder):
 
 
 _CV = f"(SELECT stddev_pop(n) / avg(n) FROM (SELECT unnest({_LENGTHS}) AS n))"
-_REPORT = rf"""WITH d AS (SELECT doc_id, text, {_kind_sql()} AS kind FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+_REPORT = rf"""WITH d AS (SELECT doc_id, text, {_kind_sql()} AS kind FROM documents),
 l AS (SELECT doc_id, unnest({_LENGTHS}) AS n FROM d), r AS (SELECT doc_id, count(*) AS n, stddev_pop(n) / avg(n) AS cv FROM l GROUP BY doc_id),
 parts AS (SELECT d.doc_id, kind, len({_WORDS}) AS n, len(list_filter({S.strings(lint.BANNED_PHRASES)}, lambda p: contains(lower(substr(text, 1, 60) || ' ' || text), p))) AS errors,
   CAST({_THREES} >= 2 AS INTEGER) AS threes, CAST(coalesce(r.n >= 6 AND r.cv < {lint.FLAT_SENTENCES}, false) AS INTEGER) AS flat,
   CAST(list_contains({S.strings(lint.WITH_HEADINGS)}, kind) AND len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(trim(s), '^##\s+\S'))) = 0 AS INTEGER) AS heads,
-  CAST(NOT (regexp_matches(substr(text, 1, 60), '\d') OR regexp_matches(substr(text, 1, 60), '\b[A-Z]{{2,}}\b')
+  CAST(NOT (regexp_matches(substr(text, 1, 60), '\d') OR regexp_matches({S.wordy('substr(text, 1, 60)')}, '\b[A-Z]{{2,}}\b')
     OR len(list_filter(({_TITLE_WORDS})[2:], lambda w: regexp_matches(w, '^\p{{Lu}}') AND NOT list_contains({S.strings(lint.GENERIC_TITLE_WORDS)}, lower(trim(w, '.,:'))))) > 0) AS INTEGER) AS generic
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
 scored AS (SELECT doc_id, CAST(greatest(0, 100 - 15 * errors - 6 * (threes + flat + heads + generic + CAST(n < {_bound_sql(0)} OR n > {_bound_sql(1)} AS INTEGER))) AS INTEGER) AS score, errors > 0 AS has_errors FROM parts)"""
@@ -191,9 +191,9 @@ def _section_scores():
     return route.scores(F.col("text"), TEST_REVIEW, TEST_INSIGHT, TEST_NEWS, TEST_VENDOR, TEST_EQUIPMENT, TEST_PRODUCT, TEST_BUYER)
 
 
-_SCORES = f"""WITH s AS (SELECT doc_id, {S.weighted('lower(text)', TEST_REVIEW)} AS review, {S.weighted('lower(text)', TEST_INSIGHT)} AS insight, {S.weighted('lower(text)', TEST_NEWS)} AS news,
-  {S.weighted('lower(text)', TEST_VENDOR)} AS vendor, {S.any_match('lower(text)', TEST_EQUIPMENT)} AS equipment, {S.any_match('lower(text)', TEST_PRODUCT)} AS product, {S.any_match('lower(text)', TEST_BUYER)} AS buyer,
-  CASE doc_id % 5 WHEN 0 THEN 'news' WHEN 1 THEN 'insight' END AS explicit, doc_id % 2 = 0 AS sourced FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"""
+_SCORES = f"""WITH s AS (SELECT doc_id, {S.weighted('words', TEST_REVIEW)} AS review, {S.weighted('words', TEST_INSIGHT)} AS insight, {S.weighted('words', TEST_NEWS)} AS news,
+  {S.weighted('words', TEST_VENDOR)} AS vendor, {S.any_match('words', TEST_EQUIPMENT)} AS equipment, {S.any_match('words', TEST_PRODUCT)} AS product, {S.any_match('words', TEST_BUYER)} AS buyer,
+  CASE doc_id % 5 WHEN 0 THEN 'news' WHEN 1 THEN 'insight' END AS explicit, doc_id % 2 = 0 AS sourced FROM (SELECT doc_id, {S.wordy('lower(text)')} AS words FROM documents))"""
 
 
 def _routed(spark, folder):
@@ -240,8 +240,8 @@ _HAY = "lower(concat_ws(' ', substr(text, 1, 60), source, '', substr(text, 1, 25
 
 
 @query(f"""SELECT doc_id, coalesce((list_filter({S.strings(TEST_VENDORS)}, lambda v: contains({_HAY}, lower(v))))[1], '') AS company,
-  array_to_string((list_filter([{', '.join(f"CASE WHEN regexp_matches({_HAY}, {S.quoted(chr(92) + 'b' + chr(92) + 'Q' + n.lower() + chr(92) + 'E' + chr(92) + 'b')}) THEN {S.quoted(n)} END" for n in TEST_TECHNOLOGIES)}], lambda n: n IS NOT NULL))[1:8], ',') AS technologies
-FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+  array_to_string((list_filter([{', '.join(f"CASE WHEN regexp_matches({S.wordy(_HAY)}, {S.quoted(chr(92) + 'b' + chr(92) + 'Q' + n.lower() + chr(92) + 'E' + chr(92) + 'b')}) THEN {S.quoted(n)} END" for n in TEST_TECHNOLOGIES)}], lambda n: n IS NOT NULL))[1:8], ',') AS technologies
+FROM documents""")
 def entities(spark, folder):
     found = extract.technologies(_title(), F.col("text"), F.col("source"), names=TEST_TECHNOLOGIES)
     return _docs(spark, folder).select("doc_id", extract.company(_title(), F.col("text"), F.col("source"), vendors=TEST_VENDORS).alias("company"), F.array_join(found, ",").alias("technologies"))
@@ -267,7 +267,7 @@ _DESCRIPTION = f"""CASE WHEN length({_SRC}) <= 160 THEN {_SRC} ELSE rtrim(CASE W
 
 
 @query(f"""SELECT doc_id, {S.slug('substr(text, 1, 60)', 100)} AS slug, {_DESCRIPTION} AS description,
-  len(list_filter({S.strings([k for k, _ in TEST_LINKS])}, lambda k: contains(lower(text), k))) AS n_links FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+  len(list_filter({S.strings([k for k, _ in TEST_LINKS])}, lambda k: contains(lower(text), k))) AS n_links FROM documents""")
 def seo_package(spark, folder):
     package = briefs.seo_package(_title(), F.col("text"), F.lit(""), TEST_LINKS)
     return _docs(spark, folder).select("doc_id", package.alias("p")).select("doc_id", "p.slug", F.col("p.meta_description").alias("description"), F.size("p.internal_links").cast("long").alias("n_links"))

@@ -267,9 +267,7 @@ def page_dates(spark, folder):
 
 def _plain_sql() -> str:
     t = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<\s*br\s*/?\s*>', chr(10), 'g'), '(?i)</\s*(p|div|h[1-6]|li|ul|ol|blockquote|section|article)\s*>', chr(10) || chr(10), 'g')"
-    t = S.strip_tags(t)
-    for name, char in T.ENTITIES.items():
-        t = f"replace({t}, {S.quoted(name)}, {S.quoted(char)})"
+    t = S.decoded(S.strip_tags(t))
     t = rf"regexp_replace(regexp_replace(replace({t}, chr(160), ' '), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')"
     return rf"trim(regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10)"
 
@@ -279,12 +277,13 @@ def html_plain_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", T.html_to_plain(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, {S.collapsed(S.strip_tags('regexp_extract(html, ' + S.quoted('(?is)<h1[^>]*>(.*?)</h1>') + ', 1)'))} AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&') AND regexp_matches(html, '(?i)<h1')")
-def page_titles(spark, folder):
-    return table(spark, folder, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
+_TITLES = [r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<meta\s+(?:property|name)=[\"'](?:og:title|title)[\"']\s+content=[\"']([^\"']*)[\"']", r"(?is)<title[^>]*>(.*?)</title>"]
+_TITLE = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(coalesce(html, ''), {S.quoted(p)}, 1), ' '), '')" for p in _TITLES) + ")"
 
 
-TOPIC_STEP = 25  # the SQL takes every so many pages one as a topic, the queries all
+@query(f"SELECT page_id, {S.collapsed(S.decoded(S.strip_tags(_TITLE)))} AS title FROM pages")
+def page_titles(spark, folder):
+    return table(spark, folder, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
 def _topics(s: DataFrame) -> DataFrame:
@@ -292,7 +291,7 @@ def _topics(s: DataFrame) -> DataFrame:
 
 
 _TOPIC_PAIRS = f"""WITH {S.SIGNALS}, k AS (SELECT seq, source, {S.topic_tokens("concat_ws(' ', title, snippet)", T.TOPIC_STOPS)} AS k FROM signals WHERE title <> '' AND source <> ''),
-related AS (SELECT t.seq AS topic_id, s.seq, s.source AS url, {S.overlap('t.k', 's.k')} AS score FROM k t JOIN k s ON t.seq % {TOPIC_STEP} = 0 AND {S.overlap('t.k', 's.k')} >= 0.28 AND {S.overlap('t.k', 's.k')} < 0.97)"""
+related AS (SELECT t.seq AS topic_id, s.seq, s.source AS url, {S.overlap('t.k', 's.k')} AS score FROM k t JOIN k s ON {S.overlap('t.k', 's.k')} >= 0.28 AND {S.overlap('t.k', 's.k')} < 0.97)"""
 
 
 @query(f"{_TOPIC_PAIRS} SELECT topic_id, seq, round(score, 6) AS score FROM related")
@@ -301,7 +300,7 @@ def source_expansion(spark, folder):
     return expand.related(_topics(s), s).select("topic_id", "seq", F.round("score", 6).alias("score"))
 
 
-@query(f"""{_TOPIC_PAIRS}, named AS (SELECT *, {S.host('url')} AS domain FROM related), seen AS (SELECT seq AS topic_id, {S.host('source')} AS domain FROM signals WHERE seq % {TOPIC_STEP} = 0),
+@query(f"""{_TOPIC_PAIRS}, named AS (SELECT *, {S.host('url')} AS domain FROM related), seen AS (SELECT seq AS topic_id, {S.host('source')} AS domain FROM signals WHERE title <> '' AND source <> ''),
 phased AS (SELECT n.*, CASE WHEN seen.domain IS NULL AND row_number() OVER (PARTITION BY n.topic_id, n.domain ORDER BY score DESC, seq) = 1 THEN 1 ELSE 2 END AS phase FROM named n LEFT JOIN seen ON seen.topic_id = n.topic_id AND seen.domain = n.domain)
 SELECT topic_id, seq, domain, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY phase, score DESC, seq) AS place FROM phased) WHERE place <= 4""")
 def domain_diverse_pick(spark, folder):

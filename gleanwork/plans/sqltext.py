@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gleanwork.functions.text import ENTITIES
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -11,6 +13,11 @@ def strings(items) -> str:
     return "[" + ", ".join(map(quoted, items)) + "]"
 
 
+def wordy(c: str) -> str:
+    """``c`` with _ for each letter, digit or mark beyond ASCII, so that \\w and \\b, which know ASCII only, find the same words."""
+    return rf"regexp_replace(coalesce({c}, ''), '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]|[^\x00-\x7F\P{{M}}]', '_', 'g')"
+
+
 def spaced(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -65,6 +72,12 @@ def strip_tags(c: str) -> str:
     return f"regexp_replace(coalesce({c}, ''), '<[^>]+>', '', 'g')"
 
 
+def decoded(c: str) -> str:
+    for name, char in ENTITIES.items():
+        c = f"replace({c}, {quoted(name)}, {quoted(char)})"
+    return c
+
+
 def any_of(c: str, terms) -> str:
     return "(" + " OR ".join(f"contains({c}, {quoted(t)})" for t in terms) + ")" if terms else "false"
 

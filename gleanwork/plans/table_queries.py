@@ -43,10 +43,11 @@ def iso_dates(spark, folder):
 
 
 _PHRASES = ["today", "yesterday", "3 days ago", "2 weeks ago", "on 2023-12-05 there", "Dec 24, 2023", "5th January 2024", "2024-02-31 or Jan 3, 2024", "nothing"]
-_MEANT = ["2024-01-20", "2024-01-19", "2024-01-17", "2024-01-02", "2023-12-05", "2023-12-24", "2024-01-05", "2024-01-03", None]
+_DAY = f"CAST({_E} AS DATE)"
+_MEANT = [_DAY, f"{_DAY} - 1", f"{_DAY} - 3", f"{_DAY} - 2 * 7", "DATE '2023-12-05'", "DATE '2023-12-24'", "DATE '2024-01-05'", "DATE '2024-01-03'", "NULL"]
 
 
-@query(f"SELECT event_id, ([{', '.join('NULL' if m is None else repr(m) for m in _MEANT)}])[CAST(event_id % 9 AS INTEGER) + 1] AS day FROM events")
+@query(f"SELECT event_id, strftime(CASE event_id % 9 {' '.join(f'WHEN {i} THEN {m}' for i, m in enumerate(_MEANT))} END, '%Y-%m-%d') AS day FROM events")
 def free_text_dates(spark, folder):
     said = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("event_id") % 9).cast("int") + 1)
     at = dates.parse_any_date(said, F.lit(EVENTS_AS_OF).cast("timestamp"))
@@ -80,7 +81,7 @@ def drafts_top30(spark, folder):
     return table(spark, folder, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderkey")).select("o_orderkey", "o_orderdate").limit(30)
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey = 7 THEN 0 ELSE 1 END, o_orderkey) - 1 AS INTEGER) AS idx FROM orders WHERE o_orderkey <= 100")
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey = 7 THEN 0 ELSE 1 END, o_orderkey) - 1 AS INTEGER) AS idx FROM orders")
 def move_to_front(spark, folder):
     keys = table(spark, folder, "orders").select("o_orderkey")
     placed = numbered(keys, [F.when(F.col("o_orderkey") == 7, 0).otherwise(1).asc(), F.asc("o_orderkey")], "place")
