@@ -1,121 +1,130 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 All rolling word 3-grams of every document are hashed and joined to the positions
-of the same grams in the license templates (a broadcast table of fixed size). A
-match at document word d and template word t votes for the diagonal d - t of that
-template. Votes are summed per diagonal, diagonals at most ``gap`` apart are merged
-(an inserted or dropped word shifts the rest of a license by one), and a merged span
-is verified: the grams themselves were compared word by word in the join, so a span
-counts by the share of its template's grams that it really holds. A template marked
-exact counts only where one diagonal holds all its grams, which is to say where its
-words stand consecutively.
+of the same grams in the license templates (a broadcast table of fixed size); grams
+with a word that no template has match nothing and are left out before. A match at
+document word d and template word t votes for the diagonal d - t of that template.
+Votes are summed per diagonal, and diagonals at most ``gap`` apart are merged (an
+inserted or dropped word shifts the rest of a license by one). A merged span is
+verified: the grams were compared word by word in the join, and the span counts if
+``min_share`` of the template's grams stand in it, each template position counted
+once, and fill ``min_dense`` of the words that it reaches over. A template marked exact
+counts only where one diagonal holds all its grams, which is to say where its words
+stand consecutively. Texts are read once and move in one exchange, the matches only,
+with one row that stands for the document.
 
 Nulls and edge cases: a null text counts as empty; texts with fewer than three words
 match nothing; no match gives empty labels, score 0 and null first and last words;
-overlapping places all count; rows with the same doc_id and text get the same result
-each; rows with the same doc_id and other texts are kept apart by their text's hash;
-an empty table gives an empty result; only doc_id and text are read.
+overlapping places all count; diagonals that tie are all kept; rows that repeat, in
+doc_id, text or both, get a result each; an empty table gives an empty result; only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import ascii_lower, documents, word_count
+from gleanwork.llm.common import documents
+from gleanwork.llm.license_texts import NOTICES
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-CASED_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 
-# The phrases and labels to find, and short public license notices (label, exact, words).
+
+def template_words(text: str) -> str:
+    return " ".join(re.findall(WORDS, text.lower()))
+
+
+# The phrases and labels to find (label, exact, words); then the notices.
 TEMPLATES = [
     ("mit", True, "under the mit license"),
     ("apache-2", True, "apache license version 2"),
     ("cc-by-nc", True, "cc by nc"),
-    ("mit", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", False, "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", False, "licensed under the gnu general public license version 3"),
-    ("gpl", False, "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", False, "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", False, "this work is licensed under a creative commons attribution noncommercial license"),
-    ("cc-by", False, "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", False, "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
-    ("proprietary", False, "no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
+    *((label, False, template_words(text)) for label, text in NOTICES),
 ]
 
 
-def _grams(words: Column) -> Column:
-    """Each word with the two after it; where those are missing, null."""
-    later = [F.slice(words, i + 1, F.greatest(F.size(words), F.lit(1))) for i in range(1, K)]
-    return F.arrays_zip(words.alias("g0"), *[x.alias(f"g{i}") for i, x in enumerate(later, 1)])
-
+def words_of(text: Column) -> Column:
+    """The text's words with A-Z in lower case.
 
-def _exploded(df: DataFrame, words: str, pos: str) -> DataFrame:
-    kept = [F.col(c) for c in df.columns if c != words]
-    out = df.select(*kept, F.posexplode(_grams(F.col(words))).alias(pos, "__gram"))
-    out = out.select(*kept, pos, *[F.col("__gram")[f"g{i}"].alias(f"g{i}") for i in range(K)])
-    return out.where(F.col(f"g{K - 1}").isNotNull())
+    Splitting between words is many times faster than matching them. ``lower`` also changes
+    letters beyond ASCII, which are compared with nothing; the one of them that it would turn
+    into an ASCII letter is replaced before.
+    """
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("κ")))
+    return F.filter(F.split(low, BETWEEN), lambda w: w != "")
 
 
-def _gram_hash() -> Column:
-    return F.xxhash64(*[F.col(f"g{i}") for i in range(K)])
+def _grams(words: Column, known: list[str]) -> Column:
+    """array<struct<pos, g0, g1, g2>> of the words' 3-grams, those of known words only."""
+    at = F.sequence(F.lit(0), F.size(words) - K)
+    hits = F.filter(at, lambda i: F.get(words, i).isin(known) & F.get(words, i + 1).isin(known) & F.get(words, i + 2).isin(known))
+    each = F.transform(hits, lambda i: F.struct(i.alias("pos"), *[F.get(words, i + k).alias(f"g{k}") for k in range(K)]))
+    return F.when(F.size(words) >= K, each).otherwise(F.array().cast("array<struct<pos:int,g0:string,g1:string,g2:string>>"))
 
 
 def template_grams(spark: SparkSession, templates=None) -> DataFrame:
-    rows = [(i, label, exact, words.split(" "), len(words.split(" ")) - K + 1) for i, (label, exact, words) in enumerate(TEMPLATES if templates is None else templates)]
-    df = spark.createDataFrame(rows, "tid int, label string, exact boolean, w array<string>, n_grams int")
-    out = _exploded(df, "w", "tpos").withColumn("h", _gram_hash())
-    return out.select("tid", "label", "exact", "n_grams", "tpos", "h", *[F.col(f"g{i}").alias(f"t{i}") for i in range(K)])
+    """tid, label, exact, n_grams, tpos, h, t0, t1, t2: the templates' grams with their hash."""
+    rows = []
+    for tid, (label, exact, words) in enumerate(TEMPLATES if templates is None else templates):
+        w = words.split(" ")
+        rows += [(tid, label, exact, len(w) - K + 1, i, *w[i : i + K]) for i in range(len(w) - K + 1)]
+    df = spark.createDataFrame(rows, "tid int, label string, exact boolean, n_grams int, tpos int, t0 string, t1 string, t2 string")
+    return df.withColumn("h", F.xxhash64("t0", "t1", "t2"))
+
+
+def license_hits(docs: DataFrame, templates=None) -> DataFrame:
+    """Matches (uid, doc_id, n_words, tid, label, exact, n_grams, tpos, diagonal), and for every row of docs one with a null tid."""
+    known = sorted({w for _, _, words in (TEMPLATES if templates is None else templates) for w in words.split(" ")})
+    read = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", words_of(F.col("text")).alias("w"))
+    mark = F.array(F.struct(F.lit(None).cast("int").alias("pos"), *[F.lit(None).cast("string").alias(f"g{k}") for k in range(K)]))
+    each = read.select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(mark, _grams(F.col("w"), known))).alias("g"))
+    grams = each.select("uid", "doc_id", "n_words", "g.*").withColumn("gh", F.xxhash64("g0", "g1", "g2"))
+    same = (F.col("gh") == F.col("h")) & (F.col("g0") == F.col("t0")) & (F.col("g1") == F.col("t1")) & (F.col("g2") == F.col("t2"))
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), same, "left").where(F.col("pos").isNull() | F.col("tid").isNotNull())
+    return hits.select("uid", "doc_id", "n_words", "tid", "label", "exact", "n_grams", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
 
 
-def license_spans(docs: DataFrame, min_share: float = 0.6, gap: int = 2, templates=None) -> DataFrame:
-    """doc_id, text_hash, label, exact, first_word, last_word, share: the verified spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0)).alias("w"))
-    grams = _exploded(words, "w", "pos").withColumn("gh", _gram_hash())
-    same = (F.col("gh") == F.col("h")) & (F.col("g0") == F.col("t0")) & (F.col("g1") == F.col("t1")) & (F.col("g2") == F.col("t2"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), same)
-    hits = hits.select("doc_id", "text_hash", "tid", "label", "exact", "n_grams", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).distinct()
-    key = ["doc_id", "text_hash", "tid", "label", "exact", "n_grams"]
-    votes = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("tpos").alias("low"), F.max("tpos").alias("high"))
-    order = Window.partitionBy(*key).orderBy("diagonal")
+def verified_spans(hits: DataFrame, min_share: float, min_dense: float, gap: int) -> DataFrame:
+    """The hits merged to spans (uid, doc_id, n_words, label, exact, first_word, last_word, share), and the documents' own rows, whose label is null."""
+    by = ["uid", "doc_id", "n_words", "tid", "label", "exact", "n_grams"]
+    order = Window.partitionBy("uid", "tid").orderBy("diagonal", "tpos")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
-    starts = F.when(F.col("exact") | step.isNull() | (step > gap), 1).otherwise(0)
-    merged = votes.withColumn("start", starts).withColumn("run", F.sum("start").over(order)).groupBy(*key, "run").agg(
-        F.least(F.sum("votes"), F.max("n_grams")).alias("held"),
-        F.min(F.col("diagonal") + F.col("low")).alias("first_word"),
-        F.max(F.col("diagonal") + F.col("high") + K - 1).alias("last_word"),
-    )
+    start = F.when(step.isNull() | (F.col("exact") & (step > 0)) | (step > gap), 1).otherwise(0)
+    runs = hits.withColumn("start", start).withColumn("run", F.sum("start").over(order))
+    at = F.col("diagonal") + F.col("tpos")
+    once = runs.groupBy(*by, "run", "tpos").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    spans = once.groupBy(*by, "run").agg(F.count("tpos").alias("held"), F.min("low").alias("first_word"), (F.max("high") + K - 1).alias("last_word"))
     share = F.col("held") / F.col("n_grams")
-    return merged.withColumn("share", share).where((F.col("held") == F.col("n_grams")) | (~F.col("exact") & (F.col("share") >= min_share))).select("doc_id", "text_hash", "label", "exact", "first_word", "last_word", "share")
+    reach = F.col("last_word") - F.col("first_word") - (K - 2)
+    holds = (F.col("held") == F.col("n_grams")) & F.col("exact") | ~F.col("exact") & (share >= min_share) & (F.col("held") >= min_dense * reach)
+    return spans.withColumn("share", share).where(F.col("tid").isNull() | holds)
+
 
+def license_spans(docs: DataFrame, min_share: float = 0.6, min_dense: float = 0.5, gap: int = 2, templates=None) -> DataFrame:
+    """doc_id, label, exact, first_word, last_word, share: the verified spans."""
+    found = verified_spans(license_hits(docs, templates).repartition("uid"), min_share, min_dense, gap)
+    return found.where("tid IS NOT NULL").select("doc_id", "label", "exact", "first_word", "last_word", "share")
 
-def scan_licenses(docs: DataFrame, **how) -> DataFrame:
+
+def scan_licenses(docs: DataFrame, min_share: float = 0.6, min_dense: float = 0.5, gap: int = 2, templates=None) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    exact = F.col("exact")
-    spans = license_spans(docs, **how).groupBy("doc_id", "text_hash").agg(
+    exact = F.coalesce(F.col("exact"), F.lit(False))
+    found = verified_spans(license_hits(docs, templates).repartition("uid"), min_share, min_dense, gap)
+    out = found.groupBy("uid", "doc_id", "n_words").agg(
         F.count_if(exact).alias("n_base"),
-        F.min(F.when(exact, F.col("first_word"))).alias("first_word"),
-        F.max(F.when(exact, F.col("first_word"))).alias("last_word"),
+        F.min(F.when(exact, F.col("first_word"))).cast("long").alias("first_word"),
+        F.max(F.when(exact, F.col("first_word"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(exact, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"),
-    )
-    spans = spans.withColumnsRenamed({"doc_id": "s_id", "text_hash": "s_hash"})
-    each = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), word_count(F.col("text"), CASED_WORDS).alias("n_words"))
-    out = each.join(spans, (F.col("text_hash") == F.col("s_hash")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
-    return out.select(
-        "doc_id", "n_words",
-        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
-        F.col("first_word").cast("long").alias("first_word"),
-        F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
+    return out.drop("uid")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
