@@ -48,18 +48,30 @@ def test_mix_edges(spark, prose, folder):
     assert mixing.op5_mixing(spark, folder(**{"empty/documents": docs.limit(0)}) + "/empty").count() == 0
 
 
-def test_shards_by_bytes(spark, prose, folder):
-    rows = [(i, prose(i, 5 + i % 40), "s") for i in range(3000)] + [(5000 + i, "the same text again", "s") for i in range(1500)] + [(9000, None, None), (9001, "", None), (None, "no id", "s"), (1, prose(1, 6), "s")]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("shard", F.lit("clash"))
-    got = sharding.op8_sharding(spark, folder(documents=docs)).collect()
-    assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, _ in rows)
-    size, slots = Counter(), defaultdict(list)
+def check_shards(got, rows, shards=40):
+    """Bytes per shard; every row once, slots gapless, and equal texts together unless they are more than a shard's share."""
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for t in rows)
+    size, slots, where, group = Counter(), defaultdict(list), defaultdict(set), Counter()
     for r in got:
         size[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    ideal = sum(size.values()) / 40
-    assert sorted(size) == list(range(40)) and all(abs(n - ideal) < 400 for n in size.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+        group[r["text_crc32"], r["size"]] += r["size"]
+    assert sorted(size) == list(range(shards)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share = sum(size.values()) / shards
+    assert all(len(s) == 1 or group[t] > share for t, s in where.items())
+    return size, share
+
+
+def test_shards_by_bytes(spark, prose, folder):
+    rows = [(i, prose(i, 5 + i % 40), "s") for i in range(6000)] + [(7000 + i, "the same text again", "s") for i in range(1500)] + [(9000, None, None), (9001, "", None), (None, "no id", "s"), (1, prose(1, 6), "s")]
+    rows += [(10_000 + i, "a larger text " * 80, "s") for i in range(60)] + [(11_000 + i, f"copies {i % 40} " * 30, "s") for i in range(400)] + [(5, prose(5, 10), "s")] * 300
+    docs = spark.createDataFrame(rows, DOCS).withColumn("shard", F.lit("clash"))
+    size, share = check_shards(sharding.op8_sharding(spark, folder(documents=docs)).collect(), [t for _, t, _ in rows])
+    assert all(abs(n - share) < 0.05 * share for n in size.values())
+    huge = spark.createDataFrame([(i, "x" * 100, "s") for i in range(50)] + [(99, "y" * 5000, "s")], DOCS)
+    got = sharding.shard_by_bytes(huge, shards=4).collect()
+    assert sorted(Counter(r["shard"] for r in got).values())[0] == 1 and len(got) == 51
     assert sharding.op8_sharding(spark, folder(**{"empty/documents": docs.limit(0)}) + "/empty").count() == 0
 
 
@@ -70,10 +82,11 @@ def base_places(text):
 
 
 def test_license_places(spark, prose, folder):
-    long_mit = licenses.TEMPLATES[3][2]
+    long_mit = next(w for label, _, w in licenses.TEMPLATES if label == "mit" and w.startswith("permission") and len(w.split()) < 30)
     texts = [
         "Released under the MIT License.", "under the mit", "x Under-the MIT license under the mit license", None, "", "cc by-nc 4.0 / CC BY NC", "Apache License, Version 2.0 and ccé by nc",
         prose(1, 300) + " cc by nc " + prose(2, 300), long_mit.replace("charge", "any charge") + " the end", "permission is hereby granted", "by nc cc by", "a b",
+        "\u212a\u0130 CC\u00a0BY NC cc by nc", "cc by nc " * 3000,
     ]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (0, "cc by nc", "s"), (None, texts[5], "s")]
     got = licenses.op9_licenses(spark, folder(documents=spark.createDataFrame(rows, DOCS).withColumn("labels", F.lit(1)))).collect()
@@ -82,3 +95,47 @@ def test_license_places(spark, prose, folder):
     told = {r["doc_id"]: r for r in got}
     assert told[8]["labels"] == "mit" and told[8]["base_labels"] == "" and 0.6 <= told[8]["score"] < 1 and told[9]["labels"] == ""
     assert licenses.op9_licenses(spark, folder(**{"empty/documents": spark.createDataFrame([], DOCS)}) + "/empty").count() == 0
+
+
+def brute_spans(text, templates, min_share=0.6, min_dense=0.5, gap=2):
+    """Labels of the spans that hold enough distinct grams of a template."""
+    words, labels = re.findall(licenses.WORDS, re.sub("[A-Z]", lambda m: m.group().lower(), text)), set()
+    for label, exact, phrase in templates:
+        t = phrase.split()
+        n = len(t) - 2
+        hits = sorted((d - p, p) for p in range(n) for d in range(len(words) - 2) if words[d : d + 3] == t[p : p + 3])
+        runs = []
+        for diagonal, p in hits:
+            if not runs or diagonal - runs[-1][-1][0] > (0 if exact else gap):
+                runs.append([])
+            runs[-1].append((diagonal, p))
+        for run in runs:
+            held, at = len({p for _, p in run}), [d + p for d, p in run]
+            if held == n if exact else held >= min_share * n and held >= min_dense * (max(at) - min(at) + 1):
+                labels.add(label)
+    return labels
+
+
+def test_a_position_votes_once(spark):
+    template = [("t", False, "x y x y p q r s t u")]
+    docs = spark.createDataFrame([(1, "x y x y x y x y"), (2, "x y x y p q r s t u"), (3, "x y x y p q r z s t u")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_spans(docs, templates=template).collect()}
+    assert set(got) == {2, 3} and got[2]["share"] == 1.0 and got[3]["share"] == 0.75
+
+
+def test_license_labels_against_brute_force(spark, prose):
+    import random
+
+    draw, texts = random.Random(8), []
+    for label, notice in licenses.NOTICES:
+        words = notice.split()
+        for edits in (0, 3, len(words)):
+            w = list(words)
+            for _ in range(edits):
+                w[draw.randrange(len(w))] = draw.choice(["odd", "", "of the", "software"])
+            texts.append(f"{prose(len(texts), 40)} {' '.join(w)} {prose(len(texts) + 1, 40)}")
+        texts.append(" ".join(words[: len(words) // 2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: ",".join(sorted(brute_spans(t, licenses.TEMPLATES))) for i, t in enumerate(texts)}
+    assert all(label in got[4 * i].split(",") for i, (label, _) in enumerate(licenses.NOTICES))
