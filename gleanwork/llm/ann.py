@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanwork.llm.common import materialize
-from gleanwork.llm.vectors import clean_vectors, on_grid, spread
+from gleanwork.llm.vectors import clean_vectors, dealt, on_grid, wide
 
-INDEX = "cell int, node int, vec_ids array<long>, v array<double>, edges array<int>"
+INDEX = "cell int, node int, vec_ids array<long>, v {v}, edges array<int>"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -142,7 +142,7 @@ def index_shard(shard: pd.DataFrame, degree: int, beam: int, alpha: float) -> pd
             vectors.setdefault(key, v)
             if names.setdefault(key, [])[-1:] != [i]:
                 names[key].append(i)
-        edges = build_graph(unit(np.stack(list(vectors.values()))), degree, beam, alpha)
+        edges = build_graph(unit(wide(vectors.values())), degree, beam, alpha)
         out.append(pd.DataFrame({"cell": shard["cell"].iloc[0], "node": np.arange(node, node + len(vectors)), "vec_ids": list(names.values()), "v": list(vectors.values()), "edges": [e[e >= 0].astype(np.int32) for e in edges]}))
         node += len(vectors)
     return pd.concat(out)
@@ -156,7 +156,7 @@ def search_shard(shard: pd.DataFrame, block: pd.DataFrame, k: int, beam: int, ba
             same = shard[shard["d"] == d]
             if not len(same):
                 continue
-            exact = np.stack(same["v"].to_list())
+            exact = wide(same["v"])
             points, ids = unit(exact), same["vec_ids"].to_list()
             edges = np.full((len(same), max(1, same["edges"].map(len).max())), -1, dtype=np.int64)
             for i, e in enumerate(same["edges"]):
@@ -164,7 +164,7 @@ def search_shard(shard: pd.DataFrame, block: pd.DataFrame, k: int, beam: int, ba
             norm = np.sqrt((exact * exact).sum(axis=1))
             for lo in range(0, len(queries), batch):
                 own = queries["vec_id"].to_numpy()[lo : lo + batch]
-                q = np.stack(queries["v"].to_list()[lo : lo + batch])
+                q = wide(queries["v"].iloc[lo : lo + batch])
                 near, _ = beam_search(points, edges, np.array([0]), unit(q), min(beam, len(same)))
                 for i, name in enumerate(own):
                     at = near[i][near[i] >= 0]
@@ -180,15 +180,17 @@ def build_index(vectors: DataFrame, shard_rows: int = 4096, degree: int = 24, be
     """The index, one row per distinct vector of a shard with its ids and out-edges, and the number of shards."""
     vectors = clean_vectors(vectors, allow_zero=False)
     n = max(1, -(-vectors.count() // shard_rows))
-    placed = vectors.withColumn("cell", spread(F.col("vec_id"), n, 11))
-    return materialize(placed.groupBy("cell").applyInPandas(lambda s: index_shard(s, degree, beam, alpha), INDEX)), n
+    placed = vectors.withColumn("cell", dealt(vectors, n, 11))
+    schema = INDEX.format(v=vectors.schema["v"].dataType.simpleString())
+    return materialize(placed.groupBy("cell").applyInPandas(lambda s: index_shard(s, degree, beam, alpha), schema)), n
 
 
-def search(index: DataFrame, n_shards: int, queries: DataFrame, k: int = 5, beam: int = 96, block_rows: int = 2048) -> DataFrame:
+def search(index: DataFrame, n_shards: int, queries: DataFrame, k: int = 5, beam: int = 96, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine that the beam searches find."""
     queries = clean_vectors(queries, allow_zero=False).dropDuplicates(["vec_id", "v"])
     n_blocks = max(1, -(-queries.count() // block_rows))
     found = on_grid(index, queries, n_shards, n_blocks, 13).applyInPandas(lambda s, b: search_shard(s, b, k, beam), FOUND)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id on several rows may be found in several shards
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

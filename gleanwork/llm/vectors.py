@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def clean_vectors(vectors: DataFrame, allow_zero: bool = True) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part: not null or empty, all components finite."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    out = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
+    """vec_id, v of the vectors that take part: not null or empty, all components finite. v keeps its type; tasks widen it to double."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    out = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
     return out if allow_zero else out.where(F.exists("v", lambda x: x != 0))
 
 
-def spread(key: Column, n: int, salt: int) -> Column:
-    """One of n places by hash: near-even whatever the ids and vectors are."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
+def wide(vectors) -> np.ndarray:
+    """A column of vectors of one length as a matrix of doubles."""
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+
+def dealt(rows: DataFrame, n: int, salt: int) -> Column:
+    """One of n places by hash of the row, not of its id, so no repeated id or vector fills one place."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), F.lit(n)).cast("int")
 
 
 def on_grid(cells: DataFrame, queries: DataFrame, n_cells: int, n_blocks: int, salt: int):
@@ -26,5 +31,5 @@ def on_grid(cells: DataFrame, queries: DataFrame, n_cells: int, n_blocks: int, s
     cell and one block: both are of bounded size, however many queries or vectors there are.
     """
     left = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = queries.withColumn("block", spread(F.col("vec_id"), n_blocks, salt)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
+    right = queries.withColumn("block", dealt(queries, n_blocks, salt)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))))
     return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block"))
