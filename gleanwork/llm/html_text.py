@@ -10,7 +10,8 @@ pass they inherit the label of their nearest decided neighbours. All pages go th
 both passes. A marked article is evidence only: its edges count as good neighbours of the
 undecided blocks inside, and blocks without stop words inside stay undecided, as their
 language may have none here. It counts for nothing where it holds no dense text and less
-text than the dense blocks elsewhere, as teasers do; dense text outside of it is kept.
+text than the dense blocks elsewhere, as teasers do; dense text outside of it is kept. On
+pages whose long blocks hold next to none of the known stop words, length and links decide.
 
 Nulls and edge cases: a null or empty page gives an empty text and 0 characters; broken
 markup is read as far as it goes (unclosed and unmatched tags, a ``<`` that begins no
@@ -35,7 +36,7 @@ BLOCK_TAGS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-UNREAD_TAGS = "noscript|template|iframe|object|svg|math|canvas|textarea|select|datalist"
+UNREAD_TAGS = set("noscript template iframe object svg math canvas textarea select datalist".split())
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "header"}
 BOILERPLATE_WORDS = set(
     "ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion sidebar side widget nav navbar navigation menu submenu topbar "
@@ -43,6 +44,9 @@ BOILERPLATE_WORDS = set(
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations popular trending "
     "pagination pager tags toolbar copyright legal disclaimer search form skip".split()
 )
+#: Class words that tell of boilerplate unless the same name tells of content, as article-header does.
+WEAK_WORDS = set("header head side form notice notices search legal".split())
+CONTENT_WORDS = set("article post entry story content body text main".split())
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 STOP_WORDS = set(
@@ -56,14 +60,12 @@ STOP_WORDS = set(
 
 SHORT, LONG = 70, 200
 LINKS, STOPS_LOW, STOPS_HIGH = 0.33, 0.10, 0.20
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRS = r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
-#: Code and comments, whichever begins first.
-CODE = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style){ATTRS}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)", re.S | re.I)
-UNREAD = re.compile(rf"<(/?)({UNREAD_TAGS}){ATTRS}(?<!/)>", re.I)
-_BLOCK = rf"(?:{'|'.join(sorted(BLOCK_TAGS - {'html', 'title'}))})(?=[\s/>])"
-TITLE = re.compile(rf"<title{ATTRS}(?<!/)>(?:[^<]*(?:<(?!/?title(?=[\s/>])|/head(?=[\s/>])|body(?=[\s/>]))[^<]*)*</title\s*>|[^<]*(?:<(?!/head(?=[\s/>])|/?{_BLOCK})[^<]*)*)", re.I)
-HEAD = re.compile(rf"<head{ATTRS}(?<!/)>[^<]*(?:<(?!/head(?=[\s/>])|/?{_BLOCK})[^<]*)*", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[\"'>]")
+COMMENT_END = re.compile(r"--!?>")
+CODE_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style")}
+#: Block tags that end an unclosed head or title.
+ENDS_HEAD = BLOCK_TAGS - {"html", "title"} | {"body"}
 NAMED = re.compile(r"\b(class|id|role|aria-hidden|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 RIGHTS = re.compile(r"©|\(c\) \d{4}|all rights reserved", re.I)
@@ -79,6 +81,8 @@ class Block:
     region: int  # which marked article it stands in, from 1 on; 0: none
     outcast: bool
     depth: int  # how many elements around it have class words of boilerplate
+    path: tuple[int, ...]  # the elements that it stands in, innermost first, at most ``LEVELS``
+    holder: int  # the marked article that it stands in, as such an element
 
 
 def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -102,58 +106,151 @@ def _has_class_words(tag: str, attrs: str) -> bool:
     """Class words of the page and its article as a whole tell of a part of it or of its layout."""
     if "=" not in attrs or tag in ("html", "body", "main", "article"):
         return False
-    return any(n.lower() in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(PARTS.findall((a or b or c).lower())) for n, a, b, c in NAMED.findall(attrs))
+    names = [name for n, a, b, c in NAMED.findall(attrs) if n.lower() in ("class", "id") for name in (a or b or c).lower().split()]
+    return any(_is_boilerplate_name(set(PARTS.findall(name))) for name in names)
+
+
+def _is_boilerplate_name(parts: set[str]) -> bool:
+    return not parts.isdisjoint(BOILERPLATE_WORDS - WEAK_WORDS if parts & CONTENT_WORDS else BOILERPLATE_WORDS)
+
+
+def tag_end(page: str, at: int, quoted: bool) -> int:
+    """Where the tag whose name ends at ``at`` is closed by >, -1 if it isn't. ``quoted``: a > in a quoted value doesn't count."""
+    if not quoted:
+        return page.find(">", at)
+    while True:
+        m = MARK.search(page, at)
+        if not m or m.group() == ">":
+            return m.start() if m else -1
+        if page[max(0, m.start() - 16) : m.start()].rstrip().endswith("="):
+            at = page.find(m.group(), m.end()) + 1
+            if not at:
+                return -1
+        else:
+            at = m.end()
+
+
+Item = str | tuple[bool, str, str]
+
+
+def scan(page: str) -> list[Item]:
+    """The page as texts and tags (closing, name, attributes), in one pass: comments and code go.
+
+    Each character is looked at a fixed number of times: a tag that ends in no > outside of quotes
+    turns quotes off for the rest, and a page without a further > has no further tags.
+    """
+    out: list[Item] = []
+    at = done = 0
+    quoted, last = True, page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
+            out.append(page[done:])
+            return out
+        if page.startswith("<!--", at):
+            end = COMMENT_END.search(page, at + 4)
+            stop = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else end.end() if end else len(page)
+            out.append(page[done:at])
+            at = done = stop
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = page.find("]]>", at) + 3 if page.startswith("<![CDATA[", at) else page.find(">", at) + 1
+            out.append(page[done:at])
+            at = done = end if end > 2 or page.startswith("<!>", at) else len(page)
+            continue
+        m = NAME.match(page, at + 1)
+        if not m:
+            at += 1
+            continue
+        end = tag_end(page, m.end(), quoted)
+        if end < 0 and quoted:
+            quoted = False
+            end = page.find(">", m.end())
+        if end < 0:
+            out.append(page[done:])
+            return out
+        out.append(page[done:at])
+        name, attrs = m.group(2).lower(), page[m.end() : end]
+        at = done = end + 1
+        if name in CODE_END and not m.group(1) and not attrs.endswith("/"):
+            closed = CODE_END[name].search(page, at)
+            out.append(" ")
+            at = done = closed.end() if closed else len(page)
+        else:
+            out.append((m.group(1) == "/", name, attrs))
+
+
+def without_unread(items: list[Item]) -> list[Item]:
+    """The items without head and title and without elements that hold no text. Of unclosed elements only the tag goes."""
+    opened: dict[str, list[int]] = {}
+    cuts: dict[int, int] = {}
+    for i, x in enumerate(items):
+        if isinstance(x, tuple) and x[1] in UNREAD_TAGS and not x[2].endswith("/"):
+            if not x[0]:
+                opened.setdefault(x[1], []).append(i)
+            elif opened.get(x[1]):
+                cuts[opened[x[1]].pop()] = i
+    kept: list[Item] = []
+    i = 0
+    while i < len(items):
+        if i in cuts:
+            kept.append(" ")
+            i = cuts[i]
+        else:
+            kept.append(items[i])
+        i += 1
+    out: list[Item] = []
+    i = 0
+    while i < len(kept):
+        x = kept[i]
+        if not isinstance(x, tuple) or x[0] or x[1] not in ("head", "title") or x[2].endswith("/"):
+            out.append(x)
+            i += 1
+            continue
+        i += 1
+        ends = ("title", "head", "body") if x[1] == "title" else ()
+        stop = next((j for j in range(i, len(kept)) if isinstance(kept[j], tuple) and _ends_title(kept[j])), len(kept)) if ends else i
+        if ends and stop < len(kept) and kept[stop][:2] == (True, "title"):
+            i = stop + 1
+        else:  # to the head's end, or the first block where that is missing
+            i = next((j for j in range(i, len(kept)) if isinstance(kept[j], tuple) and (kept[j][:2] == (True, "head") or kept[j][1] in ENDS_HEAD)), len(kept))
+        out.append(" ")
+    return out
 
 
-def without_unread(page: str) -> str:
-    """The page without code, comments, head and elements that hold no text. Of unclosed elements only the tag goes."""
-    page = CODE.sub(lambda m: " " if m.group(1) else "", page)
-    opened: dict[str, list[int]] = {}
-    cuts: list[tuple[int, int]] = []
-    for m in UNREAD.finditer(page):
-        name = m.group(2).lower()
-        if not m.group(1):
-            opened.setdefault(name, []).append(m.start())
-        elif opened.get(name):
-            cuts.append((opened[name].pop(), m.end()))
-    if cuts:
-        parts, at = [], 0
-        for lo, hi in sorted(cuts):
-            if lo >= at:
-                parts.append(page[at:lo])
-            at = max(at, hi)
-        page = " ".join([*parts, page[at:]])
-    return HEAD.sub(" ", TITLE.sub(" ", page))
+def _ends_title(x: tuple[bool, str, str]) -> bool:
+    return x[1] == "title" or x[1] == "body" and not x[0] or x[:2] == (True, "head")
+
+
+LEVELS = 8
+OUTSIDE = ("", False, 0, 0, ())
 
 
 def blocks_of(page: str) -> list[Block]:
-    page = without_unread(page)
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, then what holds from here on: boilerplate, in which article, class words around
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, then what holds from here on: boilerplate, in which article, class words around; its path
+    holders = [0]
     rescued: set[int] = set()  # articles inside of boilerplate
     text: list[str] = []
-    linked = anchors = at = regions = 0
+    linked = anchors = regions = elements = 0
     tag = "body"
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
-            out.append(Block(joined, min(linked, len(joined)), tag, region, bad, depth))
+            _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
+            out.append(Block(joined, min(linked, len(joined)), tag, region, bad, depth, path, holders[region]))
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        piece = page[at : m.start()]
-        at = m.end()
-        if piece:
-            text.append(piece)
-            linked += len(piece.strip()) if anchors else 0
-        name = (m.group(2) or "").lower()
-        if not name:
+    for item in without_unread(scan(page)):
+        if isinstance(item, str):
+            if item:
+                text.append(item)
+                linked += len(item.strip()) if anchors else 0
             continue
-        closing, attrs = m.group(1), m.group(3)
+        closing, name, attrs = item
         if name == "a":
             anchors = 0 if closing else 1
         elif name == "br":
@@ -167,8 +264,8 @@ def blocks_of(page: str) -> list[Block]:
                 if not closing and stack and stack[-1][0] == "p":
                     stack.pop()
                 if name == "p" and (marked or worded):
-                    _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
-                    stack.append((name, bad or marked, region, depth + worded))
+                    _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
+                    stack.append((name, bad or marked, region, depth + worded, path))
                 elif closing and stack and stack[-1][0] == "p":
                     stack.pop()
             elif closing:
@@ -179,15 +276,15 @@ def blocks_of(page: str) -> list[Block]:
             elif not attrs.endswith("/"):
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, region, depth = stack[-1] if stack else ("", False, 0, 0)
+                _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
+                elements += 1
                 marked = _is_boilerplate(name, attrs, bool(region))
                 if name in ("article", "main") and not region and not marked:
                     regions += 1
+                    holders.append(elements)
                     rescued.update([regions] if bad else [])
                     bad, region = False, regions  # an unclosed menu or header doesn't swallow the article
-                stack.append((name, bad or marked, region, depth + _has_class_words(name, attrs)))
-    if page[at:]:
-        text.append(page[at:])
+                stack.append((name, bad or marked, region, depth + _has_class_words(name, attrs), (elements, *path)[:LEVELS]))
     close()
     for r in rescued:  # they are boilerplate after all where the page has more text elsewhere
         if _mass(b for b in out if b.region == r) <= _mass(b for b in out if b.region not in rescued):
@@ -201,8 +298,13 @@ def _mass(blocks: Iterable[Block]) -> int:
     return sum(len(b.text) for b in blocks if not b.outcast and b.linked <= LINKS * len(b.text))
 
 
-def first_pass(b: Block, inside: bool = False) -> str:
-    """good, bad, or undecided: near (middling) or short."""
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, inside: bool = False, foreign: bool = False) -> str:
+    """good, bad, or undecided: near (middling) or short. ``foreign``: stop words tell nothing, so length and links decide."""
     if b.outcast or not inside and len(b.text) < LONG and RIGHTS.search(b.text):
         return "bad"
     density = b.linked / len(b.text)
@@ -210,8 +312,7 @@ def first_pass(b: Block, inside: bool = False) -> str:
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.linked and not inside else "short"
-    words = WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = stop_share(b.text) if not foreign else STOPS_HIGH if len(b.text) > LONG else STOPS_LOW
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LONG else "near"
     if stops >= STOPS_LOW:
@@ -238,39 +339,50 @@ def lowered(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[s
     """Labels after class words: they count where more of them enclose a block than the text with the strongest label does."""
     among = [(b.depth, x) for b, x in zip(blocks, labels, strict=True) if not trusted or b.region in trusted]
     base = next((min(d for d, x in among if x == label) for label in ("good", "near", "short") if any(x == label for _, x in among)), 0)
-    return [x if b.depth <= base else "short" if x == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
+    return [x if b.depth <= base else "low" if x == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
+
+
+Decided = tuple[str, tuple[int, ...]]
 
 
 def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[bool]:
-    """Undecided blocks inherit from the nearest decided neighbours; the page's edges count as bad, those of a trusted article as good inside."""
+    """Undecided blocks inherit from the nearest decided neighbours; the page's edges count as bad, those of a trusted article as good inside.
+
+    Menus, asides and the like lie beside the text and are nobody's neighbours. Where the two
+    neighbours of a short block differ, the one with which it shares the closer element decides.
+    """
     regions = [b.region if b.region in trusted else 0 for b in blocks]
 
-    def one_way(decided: Iterable[tuple[str, int]]) -> list[str]:
-        out, last, at = [], "bad", 0
-        for x, region in decided:
+    def one_way(decided: Iterable[tuple[str, int, Block]]) -> list[Decided]:
+        out, last, at = [], ("bad", ()), 0
+        for x, region, b in decided:
             if region and region != at:
-                last = "good"
+                last = ("good", (b.holder,))
             at = region
             out.append(last)
-            last = x if x in ("good", "bad") else last
+            last = (x, b.path) if x in ("good", "bad") and not b.outcast else last
         return out
 
-    def neighbours(decided: list[str]) -> list[tuple[str, str]]:
-        pairs = list(zip(decided, regions, strict=True))
-        return list(zip(one_way(pairs), reversed(one_way(reversed(pairs))), strict=True))
+    def neighbours(decided: list[str]) -> list[tuple[Decided, Decided]]:
+        each = list(zip(decided, regions, blocks, strict=True))
+        return list(zip(one_way(each), reversed(one_way(reversed(each))), strict=True))
+
+    def nearer(b: Block, before: Decided, after: Decided) -> str:
+        away = [next((i for i, e in enumerate(b.path) if e in path), LEVELS) for _, path in (before, after)]
+        return "bad" if before[0] != after[0] and away[0] == away[1] else before[0] if away[0] <= away[1] else after[0]
 
     around = neighbours(labels)
-    nears = [("good" if "good" in around[i] else "bad") if x == "near" else x for i, x in enumerate(labels)]
+    nears = [("good" if "good" in (around[i][0][0], around[i][1][0]) else "bad") if x == "near" else x for i, x in enumerate(labels)]
     if "good" not in nears and not trusted:
         nears = ["good" if x == "near" else y for x, y in zip(labels, nears, strict=True)]
     if "good" not in nears and not trusted:  # a page of short blocks only: its paragraphs and headings are all there is
         return [x == "short" and b.tag in HEADINGS | {"p"} for x, b in zip(nears, blocks, strict=True)]
-    around = neighbours(nears)
     out = []
-    for i, x in enumerate(nears):
+    for b, x, (before, after) in zip(blocks, nears, neighbours(nears), strict=True):
         if x == "short":
-            heading = blocks[i].tag in HEADINGS and around[i][1] == "good"
-            x = "good" if heading or around[i] == ("good", "good") else "bad"
+            x = "good" if b.tag in HEADINGS and after[0] == "good" else nearer(b, before, after)
+        elif x == "low":
+            x = "good" if before[0] == after[0] == "good" else "bad"
         out.append(x == "good")
     return out
 
@@ -279,9 +391,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    labels = [first_pass(b) for b in blocks]
+    long = [b for b in blocks if len(b.text) > LONG and not b.outcast and b.linked <= LINKS * len(b.text)]
+    foreign = bool(long) and all(stop_share(b.text) < STOPS_LOW / 2 for b in long)
+    labels = [first_pass(b, False, foreign) for b in blocks]
     trusted = trusted_regions(blocks, labels)
-    labels = [first_pass(b, True) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]
+    labels = [first_pass(b, True, foreign) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]
     labels = lowered(blocks, labels, trusted)
     return "\n\n".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels, trusted), strict=True) if keep)
 

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from gleanwork.llm import html_text
 
 PROSE = "the cat and the dog of the house are in the garden now and they are not out " * 4
@@ -50,3 +55,66 @@ def test_class_words_lower_but_do_not_outlaw():
     assert html_text.main_text(f"<body>{notices}</body>").split("\n\n") == want
     quoted = f"<body><p>{PROSE}</p><div class='social-proof'><p>{PROSE}</p></div><p>{PROSE}</p></body>"
     assert html_text.main_text(quoted).split("\n\n") == [TEXT] * 3
+
+
+def test_lost_text_cases():
+    russian = "Кошка и собака сидят в саду и никуда оттуда не уходят, хотя дождь идёт уже третий день подряд. " * 4
+    for page, want in (
+        (f"<html><head><meta charset=utf-8><p>{PROSE}</p>", TEXT),
+        (f"<body><script>var a=\"<!--\";</script><p>{PROSE}</p>", TEXT),
+        (f"<body class=\"right-sidebar\"><p>{PROSE}</p>", TEXT),
+        (f"<article class=\"post has-related tags\"><p>{PROSE}</p></article>", TEXT),
+        (f"<div id=\"search-results-side\"><p>{PROSE}</p></div>", TEXT),
+        (f"<body><div><a href=/>Home</a></div><h1>Заголовок</h1><p>{russian}</p><p>{russian}</p><div><a href=/x>Ещё</a></div>", "Заголовок\n\n" + "\n\n".join([" ".join(russian.split())] * 2)),
+        (f"<article><div class=\"article-header\"><h1>Head</h1></div><p>{PROSE}</p></article>", f"Head\n\n{TEXT}"),
+        (f"<article><div class=\"entry-header\"><h1>Head</h1></div><p>{PROSE}</p><div class=\"post-comments\"><p>Nice.</p></div></article>", f"Head\n\n{TEXT}"),
+        (f"<article><select><option>a</option><p>{PROSE}</p></article>", TEXT),
+        (f"<p title='a > b'>{PROSE}</p><p x=\">{PROSE}</p>", f"{TEXT}\n\n{TEXT}"),
+    ):
+        assert html_text.main_text(page).endswith(want), page[:80]
+
+
+@pytest.mark.parametrize("part", ["<svg <", "<", "<a b='", "<a b='>", "<title ", "<title>", "<head>", "<!--", "<script>", "<style ", "<![CDATA[", "<select>", "<a \"", "<a x=\"' y='\"", "<a<", "&#x", "<div class='a ", "</div>", "<a = "])
+def test_malformed_pages_take_linear_time(part):
+    took = []
+    for size in (1 << 17, 1 << 20):
+        began = time.process_time()
+        html_text.main_text(part * (size // len(part)) + ">")
+        took.append(time.process_time() - began)
+    assert took[1] < max(1.0, 24 * took[0]), took
+
+
+def labelled_page(draw, n):
+    """A page in one of many layouts, with the blocks of its main text and those of its clutter."""
+    words = PROSE.split()
+    text = lambda k: " ".join(draw.choices(words, k=k)).capitalize() + "."
+    main, clutter = [f"Title {n} of the story"], []
+    for i in range(draw.randint(3, 7)):
+        main.append(f"{text(draw.choice([9, 40, 70, 120]))} m{n}x{i}")
+    inner = [f"<h1>{main[0]}</h1>"]
+    for i, p in enumerate(main[1:]):
+        inner.append(draw.choice([f"<p>{p}</p>", f"<p class=lead>{p}</p>", f"<div>{p}</div>"]))
+
+    def junk(k, wrap):
+        clutter.append(f"{text(k)} c{n}x{len(clutter)}")
+        return wrap.format(clutter[-1])
+
+    if draw.random() < 0.4:
+        inner.insert(2, junk(30, "<aside><p>{}</p></aside>"))
+    if draw.random() < 0.4:
+        inner.append(junk(40, "<div class='comments'><p>{}</p></div>"))
+    open_, close = draw.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-body'>", "</div>"), ("<div id=content>", "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+    head = [junk(3, "<nav><ul><li><a href=/>{}</a></li></ul></nav>"), junk(12, "<header><div>{}</div></header>"), junk(35, "<div class='cookie-banner'><p>{}</p></div>")]
+    tail = [junk(5, "<div class='related'><a href=/r>{}</a></div>"), junk(25, "<form><p>{}</p></form>"), junk(14, "<footer><p>{}</p></footer>")]
+    return f"<html><head><title>t</title></head><body>{''.join(head)}{open_}{''.join(inner)}{close}{''.join(tail)}</body></html>", main, clutter
+
+
+def test_precision_and_recall_of_blocks():
+    draw, hit, kept, wanted = random.Random(12), 0, 0, 0
+    for n in range(400):
+        page, main, _ = labelled_page(draw, n)
+        got = html_text.main_text(page).split("\n\n")
+        hit += len(set(got) & set(main))
+        kept += len(got)
+        wanted += len(main)
+    assert hit / kept >= 0.97 and hit / wanted >= 0.97, (hit / kept, hit / wanted)
