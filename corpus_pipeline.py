@@ -18,16 +18,26 @@ from gleanwork.llm.neardup import BROADCAST_ROWS, Settings, bands_for, near_dupl
 from gleanwork.llm.packing import pack
 from gleanwork.llm.quality import fit_quality, labelled, score_quality
 
+#: Languages to keep; None: all that the documents state.
+LANGUAGES: tuple[str, ...] | None = None
 #: Least posterior of the language, and least quality score, of a document that stays.
 MIN_LANGUAGE_SCORE = 0.5
 MIN_QUALITY = 0.5
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a learned language: those without letters (und) or without a clear language go."""
-    model = fit_languages(docs)
-    told = identify(docs, *model)
-    return told.where((F.col("__predicted.lang_pred") != "und") & (F.col("__predicted.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES) -> DataFrame:
+    """Keeps documents that are clearly in one of ``languages``.
+
+    What goes: documents without letters (und) or without a clear language; those no likelier in any
+    language than in equally likely n-grams, such as random letters or an unknown script; those in
+    another language than they state.
+    """
+    told = identify(docs, fit_languages(docs))
+    lang = F.col("__predicted.lang_pred")
+    keep = (lang != "und") & (F.col("__predicted.score") >= MIN_LANGUAGE_SCORE) & (F.col("__predicted.fit") > 0) & F.coalesce(F.col("lang") == lang, F.lit(True))
+    if languages is not None:
+        keep &= lang.isin(*languages)
+    return told.where(keep).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.llm import html_text, language, neardup, packing, quality
+from gleanwork.llm import html_text, language, neardup, packing, quality, tokenize
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string"
@@ -35,13 +36,49 @@ def test_language_held_out(spark, folder):
     assert {r["lang_pred"] for r in language.op7_language_id(spark, blank).collect()} == {"und"}
 
 
-def test_pieces_of_a_text_count_the_same():
-    points = language.code_points("the cat sat on the mat " * 50)
-    whole = np.bincount(language.grams(points), minlength=language.BUCKETS)
-    keep, language.PIECE = language.PIECE, 100
-    parts = sum(np.bincount(language.grams(p), minlength=language.BUCKETS) for p in language.pieces(points))
-    language.PIECE = keep
-    assert abs(int(whole.sum()) - int(parts.sum())) <= 3 * (len(points) // 100 + 1)
+def plain_grams(text, bits=language.BITS):
+    """Buckets of the text's n-grams, one by one."""
+    points, out = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32], Counter()
+    for i in range(len(points)):
+        h = 0
+        for k, m in enumerate(language.MULTIPLIERS.tolist()):
+            if i + k < len(points):
+                h = (h * 31 + (points[i + k] + k) * m) % 2**32
+                out[((h * 0x27D4EB2F) % 2**32) >> (32 - bits)] += 1
+    return out
+
+
+def test_scores_are_those_of_naive_bayes(spark, prose, monkeypatch):
+    rows = [(lang, speak(lang, i, 1 + 7 * i)) for i in range(12) for lang in SOUNDS] + [("xa", "Ab"), ("xb", ""), ("xb", None), (None, "abc")]
+    model = language.fit_languages(spark.createDataFrame(rows, "lang string, text string"))
+    counts, texts = {x: Counter() for x in SOUNDS}, Counter()
+    for lang, text in rows:
+        if lang and text is not None:
+            texts[lang] += 1
+            counts[lang] += plain_grams(text) if text else Counter()
+    asked = [t for _, t in rows] + ["a", "ku zz äö", "12", "ba" * 5000]
+    for piece in (1 << 16, 50):
+        monkeypatch.setattr(language, "PIECE", piece)
+        got = language.predict(model, asked)
+        for text, lang, score in zip(asked, got["lang_pred"], got["score"], strict=True):
+            if not text or not any(c.isalpha() for c in text):
+                assert (lang, score) == ("und", 0.0)
+                continue
+            logs = {x: np.log(texts[x] / sum(texts.values())) for x in SOUNDS}
+            for x in SOUNDS:
+                whole = sum(c for c in counts[x].values()) + 0.5 * (1 << language.BITS)
+                logs[x] += sum(n * np.log((counts[x][b] + 0.5) / whole) for b, n in plain_grams(text).items())
+            best = max(sorted(logs), key=logs.get)
+            assert lang == best and score == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+
+
+def test_language_ties_and_many_languages(spark, monkeypatch):
+    same = spark.createDataFrame([("xb", "ba be"), ("xa", "ba be")], "lang string, text string")
+    assert language.predict(language.fit_languages(same), ["ba"])["lang_pred"].tolist() == ["xa"]
+    monkeypatch.setattr(language, "ENTRIES", 1 << 12)
+    rows = [(f"l{i:02}", f"{chr(97 + i)}{chr(98 + i)} " * 9) for i in range(20)]
+    model = language.fit_languages(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.bits == 7 and language.predict(model, [t for _, t in rows])["lang_pred"].tolist() == [x for x, _ in rows]
 
 
 def test_quality_held_out(spark, prose, folder):
@@ -146,42 +183,104 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "  a b", "a\n\nb", "a \n b", "x  y", "it's don't 12 a1b2 ...", "\n", "a\n\n\nb", "é ü b", "a\tb", "foo<|endoftext|> bar", "tail \n", "a. B, (c) [d]\n- e: f", "x\n\n", "x\n\n y", "a_, b", "a!! b!!. c", "1.5, 2,3 4.", "a b  c", "日本 語, x。y"]
 
 
-def test_cached_tokenizer_is_exact(prose, monkeypatch):
-    t = packing.CachedTokenizer(TOKENIZER)
-    texts = ODD + [prose(i, 200) for i in range(20)]
-    want = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_batch(texts)] == want
-    monkeypatch.setattr(packing, "SLICE", 50)
-    monkeypatch.setattr(packing, "CACHED_WORDS", 10)
-    assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_batch(texts)] == want
-
-
-def test_packing_round_trip(spark, prose, folder):
-    rows = [(i, prose(i, 1 + (i * 37) % 900)) for i in range(200)] + [(900, None), (901, ""), (902, "x"), (902, "x"), (None, "no id"), (903, prose(3, 9000))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash"))
-    at = folder(documents=docs)
-    got = packing.pack(docs, TOKENIZER).collect()
-    ids = {i: [*packing.CachedTokenizer(TOKENIZER).tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
-    parts: dict = {}
+def test_encoder_is_exact(prose, monkeypatch):
+    from tokenizers import Tokenizer
+
+    told = Tokenizer.from_file(TOKENIZER)
+    told.encode_special_tokens = True
+    encode, draw = tokenize.encoder(TOKENIZER), random.Random(4)
+    letters = [*"aZ é\n\t 1.,'!s<|>“ß日本\u3000\xa0\r", "'ll", "  ", "\n\n", "\x85", "🙂", "endoftext"]
+    texts = ODD + [prose(i, 200) for i in range(20)] + ["".join(draw.choices(letters, k=draw.randrange(60))) for _ in range(3000)]
+    texts += [f"a{chr(c)} {chr(c)}1\n{chr(c)}" for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000] + ["a" * 50_000, " " * 50_000 + "x", "!?" * 20_000]
+    want = [told.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tokenize.byte_level_ranks(TOKENIZER) is not None
+    assert [np.frombuffer(encode(x), "<u4").tolist() for x in texts] == want
+    monkeypatch.setattr(tokenize, "SLICE", 50)
+    assert [np.frombuffer(encode(x), "<u4").tolist() for x in texts] == want
+    monkeypatch.setattr(tokenize, "byte_level_ranks", lambda path: None)
+    encode = tokenize.encoder(TOKENIZER)
+    assert [np.frombuffer(encode(x), "<u4").tolist() for x in texts[:500]] == want[:500]
+
+
+def check_packing(got, ids, size=1024):
+    """Every id lies in one piece, pieces lie gapless in their sequences; the number of sequences."""
+    parts, spans = {}, {}
     for r in got:
-        assert r["ids"] == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
-        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        spans.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
         parts.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert r["ids_crc32"] == zlib.crc32(part) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert "ids" not in r or r["ids"] == part
     for p in parts.values():
         end = 0
         for offset, length in sorted(p):
-            assert offset == end
+            assert offset == end and length > 0
             end += length
-        assert end <= 1024
+        assert end <= size
+    for (_, n), found in spans.items():
+        starts = sorted(found)
+        times = sum(s == 0 for s, _ in starts)
+        assert sum(k for _, k in starts) == times * n
+        cover = np.zeros(n, int)
+        for s, k in starts:
+            cover[s : s + k] += 1
+        assert (cover == times).all()
+    return len(parts)
+
+
+def encoded(rows):
+    from tokenizers import Tokenizer
+
+    told = Tokenizer.from_file(TOKENIZER)
+    told.encode_special_tokens = True
+    return {i: [*told.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+
+
+def test_packing_round_trip(spark, prose, folder):
+    rows = [(i, prose(i, 1 + (i * 37) % 900)) for i in range(200)] + [(900, None), (901, ""), (902, "x"), (902, "x"), (None, "no id"), (903, prose(3, 9000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash"))
+    at, ids = folder(documents=docs), encoded(rows)
+    got = [r.asDict() for r in packing.pack(docs, TOKENIZER).collect()]
+    n = check_packing(got, ids)
     total = sum(len(ids[i]) for i, _ in rows)
-    assert sum(r["length"] for r in got) == total and total / (1024 * len(parts)) > 0.95
-    assert len(packing.op1_packing(spark, at).collect()) == len(got)
+    assert sum(r["length"] for r in got) == total and total / (1024 * n) > 0.95
+    digest = [r.asDict() for r in packing.op1_packing(spark, at).collect()]
+    assert check_packing(digest, ids) == n and len(digest) == len(got)
     assert packing.op1_packing(spark, folder(**{"empty/documents": docs.limit(0)}) + "/empty").count() == 0
 
 
+@pytest.mark.parametrize(("low", "high"), [(520, 680), (700, 700), (9, 9), (65, 70), (3, 1020)])
+def test_padding_is_little_whatever_the_lengths(low, high):
+    draw, counts, tokens = random.Random(6), {}, 0
+    for _ in range(4000):
+        n = draw.randint(low, high)
+        kind = n if n <= packing.BUNDLED else min(1024, -(-n // packing.GRAIN) * packing.GRAIN)
+        tokens += n if kind < 1024 else 0
+        if kind < 1024:
+            counts.setdefault(kind, np.zeros(packing.BUCKETS, dtype=np.int64))[draw.randrange(packing.BUCKETS)] += 1
+    runs, after = packing.choose_cuts(counts, 1024)
+    assert sum(k * n for k, n in after.items()) == sum(k * int(n.sum()) for k, n in counts.items())
+    assert all(0 <= lo < hi <= packing.BUCKETS and 0 < first < kind for kind, found in runs.items() for lo, hi, first in found)
+    items, of_kind = packing.items_of(after)
+    assert {k: sum(hi - lo for lo, hi, *_ in found) for k, found in of_kind.items()} == after
+    classes, n = packing._present(items)
+    plan = packing.round_patterns(classes, n, *packing.solve_patterns(classes, n, 128)[:2], 128)
+    assert tokens / 1024 / sum(times for _, times in plan) >= 0.97
+
+
+def test_cut_pieces_come_back_whole(spark, prose, folder):
+    rows = [(i, prose(i, 330 + i % 40)) for i in range(300)]
+    ids = encoded(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.asDict() for r in packing.pack(docs, TOKENIZER).collect()]
+    n = check_packing(got, ids)
+    assert len(got) > len(rows) + sum(len(v) // 1024 for v in ids.values())
+    assert sum(len(v) for v in ids.values()) / (1024 * n) > 0.96
+
+
 def test_patterns_meet_every_count():
     lengths, counts = np.array([5, 9, 13, 40, 64, 90]), np.array([7, 11, 3, 20, 5, 9])
-    plan = packing.round_patterns(lengths, counts, *packing.solve_patterns(lengths, counts.astype(float), 128), 128)
+    plan = packing.round_patterns(lengths, counts, *packing.solve_patterns(lengths, counts.astype(float), 128)[:2], 128)
     used = {int(n): 0 for n in lengths}
     for pattern, times in plan:
         assert sum(n * c for n, c in pattern.items()) <= 128
