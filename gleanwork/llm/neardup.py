@@ -5,18 +5,19 @@ candidates, and the MinHash values fold into a parity bitmap, the odd sketch, wh
 XOR population count estimates high similarities precisely. Candidates that the
 sketches leave over are confirmed by intersecting the full shingle sets.
 
-Groups of any size stay linear in rows. Equal sets are one class, found by a hash
+Groups of any size stay close to linear in rows. Equal sets are one class, found by a hash
 aggregate. In each bucket of a band, members are compared by sketch with one centre
 per bucket and similar ones are contracted to families; then only members outside the
-family of their bucket's centre are compared with the bucket's other members, so what
-is emitted is pairs of different families that the sketches find similar, and those
-families merge too. Every pair of one bucket that may reach the threshold is then in
-one family. Within a family, tasks of bounded size intersect full sets and return the
-links that connect its documents, never all pairs; a family too large for one task is
-dealt over a grid of blocks, each pair of blocks once. Nothing is capped. What can be
-lost is a link that no band proposes or whose sketches differ by chance beyond five
-sigma: about 1 in 100,000 at the threshold of 85 percent with 32 bands, and with as many
-bands as ``bands_for`` gives for another threshold, less above.
+family of their bucket's centre are compared with the bucket's other members, over a grid
+of blocks where a bucket is large, so what is emitted is pairs of different families that
+the sketches find similar, and those families merge too. Every pair of one bucket that may
+reach the threshold is then in one family. Within a family, tasks of bounded bytes
+intersect full sets and return the links that connect its documents, never all pairs. A
+family too large for one task is split into blocks, each with the family's first document;
+only documents that this leaves unconnected to it are compared with the other blocks. Nothing
+is capped. What can be lost is a link that no band proposes or whose sketches differ by
+chance beyond five sigma: about 1 in 100,000 at the threshold of 85 percent with 32 bands,
+and with as many bands as ``bands_for`` gives for another threshold, less above.
 
 Nulls and edge cases: documents without words, or with null text, have an empty set
 and are linked with nothing; with fewer words than a shingle has, the whole sequence is
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, materialize
+from gleanwork.llm.common import documents, materialize, narrow_result
 
 PIECE = 1 << 20
 MEMO = 200_000
@@ -47,8 +48,8 @@ SPACE = b" \t\n\r\x0b\x0c"
 #: Rows up to which ids and their families are broadcast to the scan of the texts (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 STAR_TURNS = 2
-#: Documents of one family that a task intersects at once; larger families go over a grid.
-BLOCK = 2048
+#: Documents of one family, and shingles of theirs, that a task intersects at once; members of a bucket that it compares with as many.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -172,15 +173,15 @@ def shingle_sets(docs: DataFrame, how: Settings) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], sets("text").alias("set"))
 
 
-def cell_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect what is linked in one cell; documents of side 1 are compared with side 0 only."""
+def cell_roots(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Each document with the smallest one that it is connected to in this cell; with two sides only documents of different sides are compared."""
     order = np.argsort(np.array(ids), kind="stable")
     ids, side = [ids[i] for i in order], np.array(side)[order]
     sizes = np.array([len(sets[i]) for i in order])
     distinct, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mark, label = np.zeros(len(distinct), dtype=bool), np.arange(len(ids))
-    two_sided = side.any()
+    two_sided = side.any() and not side.all()
     for i in range(len(ids)):
         other = label != label[i]
         if two_sided:
@@ -191,44 +192,66 @@ def cell_links(ids: list[int], side: list[int], sets: list[np.ndarray], percent:
         mark[own] = True
         inter = np.add.reduceat(mark[flat], starts, dtype=np.int64)
         mark[own] = False
-        linked = np.flatnonzero(other & (inter * 100 >= (sizes + sizes[i] - inter) * percent))
-        for j in linked:
+        for j in np.flatnonzero(other & (inter * 100 >= (sizes + sizes[i] - inter) * percent)):
             if label[j] != label[i]:
-                yield max(ids[i], ids[j]), min(ids[i], ids[j])
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
+    return [(i, ids[x]) for i, x in zip(ids, label, strict=True)]
 
 
-def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFrame:
-    """Links (a, b) by full sets within families (id, family): enough of them to connect all that is linked."""
-    sizes = families.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = materialize(families.join(sizes, F.col("family") == F.col("f")).select("id", "family", blocks.alias("blocks")))
-    small = member.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(member) if small else member, F.col("doc_id") == F.col("id"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = shingle_sets(texts.select("id", "family", own.alias("own"), "blocks", "text"), how).withColumn("other", other)
-    placed = placed.select("id", "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
+def roots_of_cells(placed: DataFrame, percent: int) -> DataFrame:
+    """family, id, root: ``cell_roots`` of each cell (family, x, y) of the rows (family, x, y, id, side, set)."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, side, sets = None, [], [], []
+
+        def found() -> list[tuple[int, int, int]]:
+            return [(key[0], i, r) for i, r in cell_roots(ids, side, sets, percent)] if len(ids) > 1 else [(key[0], ids[0], ids[0])] if ids else []
+
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for f, x, y, i, s, v in zip(batch["family"], batch["x"], batch["y"], batch["id"], batch["side"], batch["set"], strict=True):
                 if (f, x, y) != key:
-                    if len(ids) > 1:
-                        found.extend(cell_links(ids, side, sets, how.percent))
+                    out.extend(found())
                     key, ids, side, sets = (f, x, y), [], [], []
                 ids.append(i)
                 side.append(s)
                 sets.append(np.array(v))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if len(ids) > 1:
-            yield pd.DataFrame(list(cell_links(ids, side, sets, how.percent)), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(out, columns=["family", "id", "root"], dtype="int64")
+        yield pd.DataFrame(found(), columns=["family", "id", "root"], dtype="int64")
 
     cells = placed.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    return cells.mapInPandas(link, "a long, b long").where("a <> b").distinct()
+    return cells.mapInPandas(link, "family long, id long, root long")
+
+
+def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFrame:
+    """Links (a, b) by full sets within families (id, family, n_shingles): enough of them to connect all that is linked."""
+    sizes = families.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(sizes.select("f", blocks.alias("blocks")))
+    member = materialize(families.join(sizes, F.col("family") == F.col("f")).select("id", "family", "blocks"))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(id, family, blocks, own, set) of these members; a narrow side of known size is broadcast to the scan of the texts."""
+        side = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("id"))
+        return shingle_sets(texts.select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "text"), how)
+
+    # a family's id is its first document's; that one is in each of its blocks
+    every, zero = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
+    placed = sets_of(member).withColumn("x", F.explode(F.when(F.col("id") == F.col("family"), every).otherwise(F.array("own"))))
+    roots = materialize(roots_of_cells(placed.select("family", "x", zero.alias("y"), "id", zero.alias("side"), "set"), how.percent))
+    links = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    left = roots.where("root <> family").select(F.col("id").alias("left_id")).distinct()
+    left = materialize(member.where("blocks > 1").join(left, F.col("id") == F.col("left_id")).select("id", "family", "blocks"))
+    if left.isEmpty():
+        return links.distinct()
+    # those meet all blocks of their family, in blocks of their own
+    open_families = member.join(left.select(F.col("family").alias("lf")).distinct(), F.col("family") == F.col("lf"), "left_semi")
+    theirs = sets_of(left).select("family", F.col("own").alias("x"), F.explode(every).alias("y"), "id", F.lit(1).alias("side"), "set")
+    others = sets_of(open_families).select("family", F.explode(every).alias("x"), F.col("own").alias("y"), "id", zero.alias("side"), "set")
+    more = roots_of_cells(theirs.unionByName(others), how.percent).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return links.unionByName(more).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,62 +286,79 @@ def similar_pairs(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFram
     return both.where(_differing("sa", "sb") <= limit).select("a", "b").distinct()
 
 
-def placed_in(member: DataFrame, families: DataFrame | None) -> DataFrame:
-    """The members (bucket, id) of buckets that hold several families, with their family."""
+def placed_in(rows: DataFrame, families: DataFrame | None) -> DataFrame:
+    """The rows (bucket, id) with their family; an id without one is its own."""
     if families is None:
-        return member.withColumn("family", F.col("id"))
+        return rows.withColumn("family", F.col("id"))
     known = families.withColumnsRenamed({"id": "kid", "family": "kf"})
-    placed = member.join(known, F.col("id") == F.col("kid"), "left").select("bucket", "id", F.coalesce("kf", "id").alias("family"))
-    mixed = placed.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("mixed"))
-    return materialize(placed.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "id", "family"))
+    return rows.join(known, F.col("id") == F.col("kid"), "left").select("bucket", "id", F.coalesce("kf", "id").alias("family"))
 
 
-def outside_centre(placed: DataFrame, turn: int) -> DataFrame:
-    """Members with their bucket's centre, those in the centre's family left out; each turn has other centres."""
+def centres(placed: DataFrame, turn: int) -> DataFrame:
+    """Buckets of several families: cb, n, centre and its family; each turn has other centres. Aggregates combine before they are exchanged."""
     order = F.col("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
-    centre = placed.groupBy(F.col("bucket").alias("cb")).agg(F.min(F.struct(order.alias("o"), F.col("id").alias("centre"), F.col("family").alias("cf"))).alias("c"))
-    around = placed.join(centre.select("cb", "c.centre", "c.cf"), F.col("bucket") == F.col("cb"))
-    return around.where(F.col("family") != F.col("cf")).select("bucket", "id", "family", "centre")
+    told = placed.groupBy(F.col("bucket").alias("cb")).agg(
+        F.count("*").alias("n"), F.min("family").alias("lo"), F.max("family").alias("hi"),
+        F.min(F.struct(order.alias("o"), F.col("id").alias("centre"), F.col("family").alias("cf"))).alias("c"),
+    )
+    return materialize(told.where("lo <> hi").select("cb", "n", "c.centre", "c.cf"))
+
+
+def similar_families(classes: DataFrame, placed: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of families that share a bucket and hold members whose sketches are similar, of which one is outside of the centre's family.
+
+    A bucket is dealt over a grid of blocks of its outsiders and its members.
+    """
+    told = centres(placed, STAR_TURNS)
+    inside = materialize(placed.join(told, F.col("bucket") == F.col("cb")).select("bucket", "id", "family", "cf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    sketch = classes.select(F.col("id").alias("kid"), F.col("sketch").alias("s"))
+    inside = inside.join(sketch, F.col("id") == F.col("kid")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    apart = inside.where("family <> cf").select(F.col("bucket").alias("ob"), F.col("own").alias("ox"), every.alias("oy"), F.col("family").alias("of"), F.col("s").alias("sa"))
+    rest = inside.select("bucket", every.alias("x"), F.col("own").alias("y"), F.col("family").alias("mf"), F.col("s").alias("sb"))
+    same = (F.col("ob") == F.col("bucket")) & (F.col("ox") == F.col("x")) & (F.col("oy") == F.col("y"))
+    across = apart.join(rest, same & (F.col("of") != F.col("mf")) & (_differing("sa", "sb") <= limit))
+    # families already name what their members share: one edge for each pair of them is enough
+    return across.select(F.col("of").alias("a"), F.col("mf").alias("b")).distinct()
 
 
 def sketch_families(classes: DataFrame, how: Settings) -> DataFrame:
-    """id, family: two classes (id, bands, sketch) that share a bucket and may be linked are in one family."""
+    """id, family: two classes (id, bands, sketch) that share a bucket and may be linked are in one family, named by its smallest id."""
     limit = how.sketch_limit()
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("shared"))
-    member = materialize(rows.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "id"))
     sketches = classes.select("id", "sketch")
     edges, families = None, None
     for turn in range(STAR_TURNS):
-        apart = outside_centre(placed_in(member, families), turn)
+        placed = placed_in(rows, families)
+        told = centres(placed, turn)
+        apart = placed.join(told, F.col("bucket") == F.col("cb")).where("family <> cf")
         pairs = similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit)
         edges = materialize(pairs if edges is None else edges.union(pairs))
         families = materialize(components(edges).withColumnRenamed("component", "family"))
-    placed = placed_in(member, families)
-    known = sketches.withColumnsRenamed({"id": "kid", "sketch": "sk"})
-    apart = outside_centre(placed, STAR_TURNS).join(known, F.col("id") == F.col("kid")).select(F.col("bucket").alias("ob"), F.col("id").alias("a"), F.col("family").alias("of"), F.col("sk").alias("sa"))
-    rest = placed.join(known, F.col("id") == F.col("kid")).select("bucket", F.col("id").alias("b"), F.col("family").alias("mf"), F.col("sk").alias("sb"))
-    across = apart.join(rest, (F.col("ob") == F.col("bucket")) & (F.col("of") != F.col("mf")) & (_differing("sa", "sb") <= limit))
-    # families already name what their members share: one edge for each pair of them is enough
-    merged = materialize(edges.union(across.select(F.col("of").alias("a"), F.col("mf").alias("b")).distinct()))
+    merged = materialize(edges.union(similar_families(classes, placed_in(rows, families), limit)))
     return components(merged).withColumnRenamed("component", "family")
 
 
+@narrow_result
 def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     signed = materialize(signatures(docs, how))
     full = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
-    named = full.join(classes.withColumnsRenamed({"set_a": "ca", "set_b": "cb"}), (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")))
-    first = named.where(F.col("doc_id") == F.col("id")).select("id", "bands", "sketch").dropDuplicates(["id", "bands"])
-    several = named.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("doc_id")
-    by_name = named.join(several.withColumnRenamed("doc_id", "twice"), F.col("doc_id") == F.col("twice")).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    links = family_links(docs, materialize(sketch_families(materialize(first), how)), how).union(by_name)
+    classes = materialize(full.groupBy(F.col("set_a").alias("ca"), F.col("set_b").alias("cb")).agg(F.min("doc_id").alias("id")))
+    same = (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb"))
+    first = full.join(classes.select("id", "ca", "cb"), same & (F.col("doc_id") == F.col("id"))).select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id", "bands"])
+    first = materialize(first)
+    # ids on several rows with different texts link their sets
+    twice = materialize(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")))
+    named = full.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").select("doc_id", "set_a", "set_b").join(classes.select("id", "ca", "cb"), same)
+    by_name = named.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    families = sketch_families(first, how).join(first.select(F.col("id").alias("fid"), "n_shingles").distinct(), F.col("id") == F.col("fid")).select("id", "family", "n_shingles")
+    links = family_links(docs, materialize(families), how).union(by_name)
     comp = components(links).withColumnRenamed("id", "cid")
-    member = classes.join(comp, F.col("id") == F.col("cid"), "left").select(F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "id").alias("component"))
+    member = materialize(classes.join(comp, F.col("id") == F.col("cid"), "left").select("ca", "cb", F.coalesce("component", "id").alias("component")))
     has = F.col("n_shingles") > 0
     out = signed.select("doc_id", "n_shingles", F.when(has, F.col("set_a")).alias("set_a"), F.when(has, F.col("set_b")).alias("set_b"))
-    out = out.join(member, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")), "left")
+    out = out.join(member, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -1,6 +1,7 @@
 """Language, quality, HTML, near-duplicates and packing: brute force, round trips and held-out accuracy."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -116,9 +117,15 @@ def test_html_blocks(spark, folder):
     assert html_text.op4_html_text(spark, folder(**{"empty/pages": pages.limit(0)}) + "/empty").count() == 0
 
 
+def plain_set(text, words):
+    """The contract's shingle set in plain strings."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
 def brute_components(rows, words, percent):
-    how = neardup.Shingler(neardup.Settings(words=words, percent=percent))
-    sets = [(i, set(how.shingles(t).tolist())) for i, t in rows]
+    sets = [(i, plain_set(t, words)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -151,6 +158,7 @@ def test_near_duplicates(spark, prose, folder):
     got = neardup.op10_neardup(spark, folder(documents=docs)).collect()
     want = brute_components(rows, 3, 85)
     assert len(got) == len(rows)
+    assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in got) == sorted((str(i), len(plain_set(t, 3))) for i, t in rows)
     for row in got:
         if row["doc_id"] is not None:
             assert row["component_id"] == want[row["doc_id"]] and row["kept"] == (row["doc_id"] == row["component_id"])
@@ -159,12 +167,23 @@ def test_near_duplicates(spark, prose, folder):
     assert neardup.op10_neardup(spark, folder(**{"empty/documents": docs.limit(0)}) + "/empty").count() == 0
 
 
-def test_large_families_over_a_grid(spark, prose, monkeypatch):
+def test_large_families_and_buckets_in_blocks(spark, prose, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
-    base = prose("grid", 120)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    base, draw = prose("grid", 120), random.Random(2)
     rows = [(i, base + f" tail{i} end{i}") for i in range(90)]
+    # a chain whose ends are far apart, and documents that share half their words only
+    words = prose("chain", 200).split()
+    for i in range(60):
+        words[draw.randrange(200)] = f"step{i}"
+        words[draw.randrange(200)] = f"more{i}"
+        rows.append((1000 + i, " ".join(words)))
+    half = prose("half", 70)
+    rows += [(2000 + i, f"{half} {prose(f'own{i}', 70)}") for i in range(120)] + [(3000 + i, f"{half} {prose(f'own{i}', 70)} x") for i in range(0, 120, 9)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Settings(words=3, percent=85)).collect()
-    assert {row["component_id"] for row in got} == {0}
+    want = brute_components(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sum(v == 0 for v in want.values()) == 90 and len({v for k, v in want.items() if k >= 2000}) == 120
 
 
 def test_sketches_estimate():
