@@ -1,13 +1,13 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM).
 
 Features are indicators of hashed n-grams: characters (1- to 3-grams of the raw
-text) and words (1- and 2-grams, and one mark for all 3-grams of one word thrice). Class
-counts over *all* training rows are summed in Spark and give each bucket its
-log-count ratio; indicators scaled by those ratios, at unit length, are the inputs
-of a linear hinge-loss model fitted by dual coordinate descent on a bounded sample,
-about ``max_rows`` training rows chosen by hash and never more than twice that.
-Margins become scores by a logistic curve fitted on a second, disjoint sample of a
-quarter of that size.
+text), words (1- and 2-grams) and the sequence of whether words repeat the one before
+(1- and 2-grams). Class counts over *all* training rows are summed in Spark and give each bucket its log-count ratio; indicators scaled by those ratios, at
+unit length, are the inputs of a linear hinge-loss model fitted by dual coordinate
+descent on a bounded sample: about ``max_rows`` different training rows, those of the
+smallest hashes, never more than twice that nor more than ``max_features`` indicators
+together; a row that repeats weighs as often as it occurs. Margins become scores by a
+logistic curve fitted on a second, disjoint sample of a quarter of that size.
 
 Nulls and edge cases: a null text counts as empty, and an empty text scores the
 curve at the model's bias; labels other than 0 and 1, or null, teach nothing; a
@@ -27,14 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import crc_bucket, documents
+from gleanwork.llm.common import crc_bucket, documents, materialize
 
 BITS = 17
 BUCKETS = 1 << BITS
 CHAR_BITS = 16
 PIECE = 1 << 18
 MEMO = 200_000
-REPEAT = 1 << CHAR_BITS
+#: Labels up to which they are broadcast to the scan of the texts (16 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 class _WordHashes(dict):
@@ -71,7 +72,9 @@ class Indicators:
         if len(h):
             self._set(h * np.uint32(0x9E3779B1) + np.uint32(1), 1 << CHAR_BITS)
             self._set(h[:-1] * np.uint32(0x85EBCA77) + h[1:], 1 << CHAR_BITS)
-            mark[REPEAT] = bool(((h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])).any())
+            same = (h[1:] == h[:-1]).astype(np.uint32)
+            self._set(same * np.uint32(0xC2B2AE3D) + np.uint32(2), 1 << CHAR_BITS)
+            self._set((same[:-1] * np.uint32(2) + same[1:]) * np.uint32(0xC2B2AE3D) + np.uint32(3), 1 << CHAR_BITS)
         return np.flatnonzero(mark)
 
 
@@ -155,7 +158,7 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(at) + self.shift, -500, 500))))
 
 
-def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0) -> QualityModel:
+def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0, max_features: int = 1 << 24) -> QualityModel:
     """``train``: doc_id, text, label (0 or 1). The ratios read every row; the two fits read the bounded samples."""
     train = train.where(F.col("label").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     ratios, rows = log_count_ratios(train)
@@ -172,24 +175,35 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0) -> Qu
     wanted = max_rows + max_rows // 4
     spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     share = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
-    picked = train.withColumn("h", spread).where(share < wanted / rows.sum()).select("h", "label", indicators("text").alias("at"))
+    picked = train.withColumn("h", spread).where(share < wanted / rows.sum())
+    different = picked.groupBy("h", "label").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, slope, shift = fit_sample(pd.concat(batches), ratios, cost)
-        yield pd.DataFrame({"w": [w], "slope": slope, "shift": shift})
-
-    got = picked.limit(2 * wanted).repartition(1).mapInPandas(fit, "w array<double>, slope double, shift double").first()
+        at, labels, times, held = [], [], [], 0
+        for batch in batches:
+            for one, label, n in zip(batch["at"], batch["label"], batch["n"], strict=True):
+                held += len(one)
+                if held <= max_features and len(at) < 2 * wanted:
+                    at.append(np.array(one, dtype=np.int32))
+                    labels.append(label)
+                    times.append(n)
+        if at:
+            w, slope, shift = fit_sample(at, np.array(labels), np.array(times, dtype=np.float64), ratios, cost)
+            yield pd.DataFrame({"w": [w], "slope": slope, "shift": shift})
+
+    sample = different.select("h", "label", "n", indicators("text").alias("at")).repartition(1).sortWithinPartitions("h", "label")
+    got = sample.mapInPandas(fit, "w array<double>, slope double, shift double").first()
+    if got is None:  # so few different rows that none was chosen
+        return QualityModel(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS + 1), 0.0, float(np.log((rows[1] + 1e-6) / (rows[0] + 1e-6))))
     return QualityModel(ratios, np.array(got["w"]), got["slope"], got["shift"])
 
 
-def fit_sample(sample: pd.DataFrame, ratios: np.ndarray, cost: float) -> tuple[np.ndarray, float, float]:
-    """Weights, slope and shift from the sample's hashes, labels and buckets, of which a fifth is for the curve."""
-    sample = sample.sort_values(["h", "label"], kind="stable")
-    labels, at = sample["label"].to_numpy(), list(sample["at"])
+def fit_sample(at: list[np.ndarray], labels: np.ndarray, times: np.ndarray, ratios: np.ndarray, cost: float) -> tuple[np.ndarray, float, float]:
+    """Weights, slope and shift from the sample's buckets, labels and repeats, of which a fifth is for the curve."""
     fit_on = np.arange(len(at)) % 5 != 4
     y = np.where(labels == 1, 1.0, -1.0)
-    balance = len(labels) / np.maximum(1, 2 * np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum()))
-    w = dual_coordinate_descent([at[i] for i in np.flatnonzero(fit_on)], ratios, y[fit_on], cost * balance[fit_on])
+    balance = times.sum() / np.maximum(1, 2 * np.where(labels == 1, times[labels == 1].sum(), times[labels == 0].sum()))
+    w = dual_coordinate_descent([at[i] for i in np.flatnonzero(fit_on)], ratios, y[fit_on], (cost * balance * times)[fit_on])
     model = QualityModel(ratios, w, 1.0, 0.0)
     rest = np.flatnonzero(~fit_on) if (~fit_on).sum() >= 20 else np.arange(len(at))
     return w, *logistic_fit(np.array([model.margin(at[i]) for i in rest]), labels[rest])
@@ -209,8 +223,9 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their quality label; the ids are narrow, so the texts are shuffled only if labels are many."""
-    marks = labels.select(F.col("doc_id").alias("__marked"), F.col("quality").alias("label")).where(F.col("label").isin(0, 1))
+    """Documents with their quality label: few labels are broadcast to the texts; beyond ``BROADCAST_ROWS`` both are shuffled by id."""
+    marks = materialize(labels.select(F.col("doc_id").alias("__marked"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1)))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__marked")).select("doc_id", "text", "label")
 
 

@@ -99,6 +99,75 @@ def test_quality_held_out(spark, prose, folder):
     assert quality.op2_quality(spark, empty).count() == 0
 
 
+def plain_indicators(text):
+    """Buckets of the text's characters and words, one n-gram at a time."""
+    def at(h, base):
+        return base + (((h * 0x27D4EB2F) % 2**32) >> (32 - quality.CHAR_BITS))
+
+    c, w, out = [ord(x) for x in text], [zlib.crc32(x.encode()) for x in text.split()], set()
+    for i in range(len(c)):
+        one = c[i] * 0x9E3779B1
+        out.add(at(one, 0))
+        if i + 1 < len(c):
+            out.add(at(one * 31 + c[i + 1] * 0x85EBCA77, 0))
+        if i + 2 < len(c):
+            out.add(at((one * 31 + c[i + 1] * 0x85EBCA77) * 31 + c[i + 2] * 0xC2B2AE3D, 0))
+    half = 1 << quality.CHAR_BITS
+    for i in range(len(w)):
+        out.add(at(w[i] * 0x9E3779B1 + 1, half))
+        if i + 1 < len(w):
+            out.add(at(w[i] * 0x85EBCA77 + w[i + 1], half))
+            out.add(at((w[i] == w[i + 1]) * 0xC2B2AE3D + 2, half))
+        if i + 2 < len(w):
+            out.add(at((2 * (w[i] == w[i + 1]) + (w[i + 1] == w[i + 2])) * 0xC2B2AE3D + 3, half))
+    return sorted(out)
+
+
+def test_indicators_and_ratios(spark, monkeypatch):
+    texts = ["", "a", "ab cd ab cd", "é 日本 x\ty  z", "the the the the", "word " * 40]
+    found = quality.Indicators()
+    for piece in (1 << 18, 7):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert [found(t).tolist() for t in texts] == [plain_indicators(t) for t in texts]
+    rows = [(i, t, int(i % 3 == 0)) for i, t in enumerate(texts)]
+    ratios, n = quality.log_count_ratios(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    counts = np.zeros((2, quality.BUCKETS))
+    for _, t, label in rows:
+        counts[label, plain_indicators(t)] += 1
+    want = np.log(((counts[1] + 1) / (n[1] + 2)) / ((counts[0] + 1) / (n[0] + 2)))
+    assert n.tolist() == [4, 2] and np.allclose(ratios, want, atol=1e-5)
+
+
+def test_dual_coordinate_descent_finds_the_least_loss():
+    draw = np.random.default_rng(3)
+    rows = [np.sort(draw.choice(60, 12, replace=False)) for _ in range(80)]
+    ratios = draw.normal(size=quality.BUCKETS).astype(np.float32)
+    y = np.where(draw.random(80) < 0.5, 1.0, -1.0)
+    cost = draw.uniform(0.5, 3, 80)
+    x = np.zeros((80, 61))
+    for i, at in enumerate(rows):
+        x[i, at] = ratios[at] * quality.unit_scale(ratios, at)
+        x[i, 60] = 1.0
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = quality.dual_coordinate_descent(rows, ratios, y, cost, epochs=3000)
+    w = np.append(w[:60], w[-1])
+    best = loss(w)
+    step, v = 0.5, np.zeros(61)
+    for t in range(20_000):  # plain subgradient steps come no lower
+        g = v - (x * (cost * y * (y * (x @ v) < 1))[:, None]).sum(axis=0)
+        v = v - step / (1 + t) * g
+    assert best <= loss(v) * 1.001 and all(best <= loss(w + draw.normal(size=61) * s) for s in (1e-3, 1e-2, 0.1) for _ in range(50))
+
+
+def test_a_repeated_row_does_not_fill_the_sample(spark, prose):
+    rows = [(1, "bad bad!! row", 0)] * 400 + [(10 + i, prose(i, 20), 1) for i in range(60)] + [(100 + i, prose(i, 20).upper(), 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    one, two = (quality.fit_quality(frame.repartition(k), max_rows=160) for k in (3, 5))
+    assert np.array_equal(one.w, two.w) and (one.slope, one.shift) == (two.slope, two.shift)
+    found = quality.Indicators()
+    assert one.score(found(prose(500, 20))) > one.score(found(prose(500, 20).upper()))
+
+
 PAGE = """<html><head><title>t</title><script>var a="<p>";</script></head><body><nav><a href=/>Home page</a></nav><div class="cookie-notice"><p>We and our partners use what is on your device and it is good.</p></div>
 <article><h1>A &amp; B</h1><p>The first of the paragraphs is here, and it has<br>two lines of   words that are in the article.</p><p>Short.</p></article>
 <div id="comments"><p>I think that this is the best of all the articles that you have written so far.</p></div><footer>&copy; all</footer></body></html>"""
