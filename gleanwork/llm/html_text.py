@@ -26,6 +26,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,12 @@ class Block:
     path: tuple[int, ...]  # the elements that it stands in, innermost first, at most ``LEVELS``
     holder: int  # the marked article that it stands in, as such an element
 
+    @cached_property
+    def stops(self) -> float:
+        """The share of stop words among its words."""
+        words = WORD.findall(self.text.lower())
+        return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
 
 def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in BOILERPLATE_TAGS and not (inside and tag == "header"):
@@ -298,11 +305,6 @@ def _mass(blocks: Iterable[Block]) -> int:
     return sum(len(b.text) for b in blocks if not b.outcast and b.linked <= LINKS * len(b.text))
 
 
-def stop_share(text: str) -> float:
-    words = WORD.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
-
-
 def first_pass(b: Block, inside: bool = False, foreign: bool = False) -> str:
     """good, bad, or undecided: near (middling) or short. ``foreign``: stop words tell nothing, so length and links decide."""
     if b.outcast or not inside and len(b.text) < LONG and RIGHTS.search(b.text):
@@ -312,7 +314,7 @@ def first_pass(b: Block, inside: bool = False, foreign: bool = False) -> str:
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.linked and not inside else "short"
-    stops = stop_share(b.text) if not foreign else STOPS_HIGH if len(b.text) > LONG else STOPS_LOW
+    stops = b.stops if not foreign else STOPS_HIGH if len(b.text) > LONG else STOPS_LOW
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LONG else "near"
     if stops >= STOPS_LOW:
@@ -392,7 +394,7 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     long = [b for b in blocks if len(b.text) > LONG and not b.outcast and b.linked <= LINKS * len(b.text)]
-    foreign = bool(long) and all(stop_share(b.text) < STOPS_LOW / 2 for b in long)
+    foreign = bool(long) and all(b.stops < STOPS_LOW / 2 for b in long)
     labels = [first_pass(b, False, foreign) for b in blocks]
     trusted = trusted_regions(blocks, labels)
     labels = [first_pass(b, True, foreign) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]

@@ -2,12 +2,13 @@
 
 Features are indicators of hashed n-grams: characters (1- to 3-grams of the raw
 text), words (1- and 2-grams) and the sequence of whether words repeat the one before
-(1- and 2-grams). Class counts over *all* training rows are summed in Spark and give each bucket its log-count ratio; indicators scaled by those ratios, at
-unit length, are the inputs of a linear hinge-loss model fitted by dual coordinate
-descent on a bounded sample: about ``max_rows`` different training rows, those of the
-smallest hashes, never more than twice that nor more than ``max_features`` indicators
-together; a row that repeats weighs as often as it occurs. Margins become scores by a
-logistic curve fitted on a second, disjoint sample of a quarter of that size.
+(1- and 2-grams). Class counts over *all* training rows are summed in Spark and give
+each bucket its log-count ratio; indicators scaled by those ratios, at unit length, are
+the inputs of a linear hinge-loss model fitted by dual coordinate descent on a bounded
+sample: about ``max_rows`` different training rows, those of the smallest hashes, never
+more than twice that nor more than ``max_features`` indicators together; a row that
+repeats weighs as often as it occurs. Margins become scores by a logistic curve fitted on
+a second, disjoint sample of a quarter of that size.
 
 Nulls and edge cases: a null text counts as empty, and an empty text scores the
 curve at the model's bias; labels other than 0 and 1, or null, teach nothing; a
