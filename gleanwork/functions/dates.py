@@ -93,3 +93,8 @@ def is_fresh(at: Column, days: int, as_of: Column, strict: bool) -> Column:
     """Undated items pass unless ``strict``; stale ones never do."""
     fresh = within_lookback(at, days, as_of)
     return fresh if strict else fresh | at.isNull()
+
+
+def in_zone(at: Column, zone: str) -> Column:
+    """A time without a zone (timestamp_ntz) as the moment it names in this zone; moments stay."""
+    return F.to_utc_timestamp(at.cast("timestamp_ntz").cast("timestamp"), zone)

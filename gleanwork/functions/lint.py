@@ -189,6 +189,17 @@ def lint_report(title: Column, body: Column, kind: Column, facts: Column) -> Col
     return once(F.struct(sentences(body).alias("parts"), headings(body).alias("found"), word_count(body).alias("n")), measured)
 
 
+def quality_verdict(rated: Column, lint_score: Column, least: int = 75) -> Column:
+    """'improve' where the rating is 0 or the lint score below ``least``, else 'pass'."""
+    return F.when((rated == 0) | (lint_score < least), "improve").otherwise("pass")
+
+
+def repaired(before: Column, after: Column, issues_before: Column, issues_after: Column) -> Column:
+    """What stays of a draft and its one repair: the repair, unless it is missing or has errors that the draft had not."""
+    usable = (F.coalesce(F.trim(after), F.lit("")) != "") & ~(has_errors(issues_after) & ~has_errors(issues_before))
+    return F.when(F.coalesce(usable, F.lit(False)), after).otherwise(before)
+
+
 def is_relevant(text: Column, terms: list[str]) -> Column:
     """Any term as a substring of the lower-cased text."""
     return contains_any(F.lower(_known(text)), terms)

@@ -44,15 +44,20 @@ def json_urls(raw: Column) -> Column:
     return F.when(F.try_parse_json(raw).isNotNull(), F.filter(plain, lambda u: u != "")).otherwise(F.array().cast("array<string>"))
 
 
-def _first_date(value) -> str | None:
-    """Depth first; an object's own date keys, in order, come before its children."""
-    if isinstance(value, dict):
-        own = next((value[k] for k in JSON_LD_KEYS if value.get(k)), None)
-        if own:
-            return str(own)
-        value = list(value.values())
-    if isinstance(value, list):
-        return next((d for d in map(_first_date, value) if d), None)
+def stated_date(payload: str) -> str | None:
+    """The first date of a JSON-LD payload: objects in document order, each one's date keys in list order; None without one or if it isn't JSON."""
+    try:
+        waiting = [json.loads(payload)]
+    except (ValueError, RecursionError):
+        return None
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, dict):
+            for key in JSON_LD_KEYS:
+                if value.get(key):
+                    return str(value[key])
+        children = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        waiting.extend(reversed([c for c in children if isinstance(c, dict | list)]))
     return None
 
 
@@ -60,17 +65,8 @@ def _first_date(value) -> str | None:
 def json_ld_dates(scripts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """For each JSON-LD payload of a page the date it states; payloads without one or that aren't JSON are left out."""
 
-    def of(payloads) -> list[str]:
-        out = []
-        for p in payloads if payloads is not None else []:
-            try:
-                out.append(_first_date(json.loads(p)))
-            except (ValueError, TypeError, RecursionError):
-                continue
-        return [d for d in out if d]
-
     for batch in scripts:
-        yield batch.map(of)
+        yield batch.map(lambda payloads: [d for d in map(stated_date, payloads if payloads is not None else []) if d])
 
 
 def _meta(html: Column, key: str) -> Column:
@@ -156,3 +152,9 @@ def article_html(html: Column) -> Column:
             yield batch.map(container_of, na_action=None)
 
     return held(html)
+
+
+def article_text(html: Column, limit: int = 1800) -> Column:
+    """The text of the article's paragraphs, joined by spaces, up to ``limit`` characters."""
+    ps = F.transform(F.regexp_extract_all(article_html(html), F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: T.title_collapsed(T.strip_tags(p)))
+    return F.substring(F.array_join(F.filter(ps, lambda p: p != ""), " "), 1, limit)

@@ -94,6 +94,17 @@ def weighted_score(text: Column, patterns: list[tuple[str, int]]) -> Column:
     return sum((F.when(_matches(text, p), w).otherwise(0) for p, w in patterns), F.lit(0))
 
 
+def weighted_hits(text: Column, patterns: list[tuple[str, int]]) -> Column:
+    """The patterns that match, in table order: the reasons of ``weighted_score``."""
+    return F.filter(F.array(*[F.when(_matches(text, p), p) for p, _ in patterns]), lambda p: p.isNotNull())
+
+
+def routed_text(title: Column, body: Column, category: Column | None = None, tags: Column | None = None, brief: Column | None = None) -> Column:
+    """What the router reads of an item: title, body, category, tags and the text of its brief."""
+    joined = None if tags is None else F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ")
+    return F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (title, body, category, joined, brief) if c is not None])
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
     return _matches(text, "|".join(patterns))
 

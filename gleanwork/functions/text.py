@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions.bind import once
+
 # Stop words of duplicate titles and of topics, and the entities decoded without Python.
 TITLE_STOPS = [
     "the", "and", "for", "with", "what", "how", "why", "new", "review", "launch", "launches", "series", "system", "systems", "smt", "pcb", "pcba", "inspection",
@@ -73,13 +77,47 @@ def strip_tags(text: Column, limit: int | None = None) -> Column:
     return bare if limit is None else F.substring(bare, 1, limit)
 
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+AMPERSANDS = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
+
+
+def _character(reference: Column) -> Column:
+    """The character that a reference stands for; the reference itself where it stands for none."""
+    named = F.create_map(*[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))])
+    bare = F.substring(reference, F.lit(2), F.char_length(reference) - 2)
+    hexed = F.when(bare.rlike("^#[xX]"), F.substring(bare, F.lit(3), F.char_length(bare))).otherwise(F.hex(F.substring(bare, F.lit(2), F.char_length(bare)).try_cast("int")))
+    point = F.conv(hexed, 16, 10).try_cast("int")
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(bare.startswith("#"), numbered).otherwise(F.try_element_at(named, bare)), reference)
+
+
 def decode_entities(text: Column) -> Column:
-    """The common named references; & last."""
+    """Numeric and named character references (those of HTML 4), each different one once; & last, so nothing is decoded twice."""
     for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
+        if char != "&":
+            text = F.replace(text, F.lit(name), F.lit(char))
+
+    def rare(t: Column) -> Column:
+        found = F.array_except(F.array_distinct(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))), F.array(*[F.lit(a) for a in AMPERSANDS]))
+        return F.aggregate(found, t, lambda done, r: F.replace(done, r, _character(r)))
+
+    text = once(text, lambda t: F.when(t.rlike(REFERENCE), rare(t)).otherwise(t))
+    for name in AMPERSANDS:
+        text = F.replace(text, F.lit(name), F.lit("&"))
     return text
 
 
+def upload_name(text: Column) -> Column:
+    """A file name of letters, digits, dots, hyphens and underscores only."""
+    return F.regexp_replace(_known(text), r"[^a-zA-Z0-9_.-]", "")
+
+
+def request_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the fields as JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
 def html_to_plain(html: Column) -> Column:
     """Line breaks for br, empty lines for closed blocks, no tags, decoded, lines squeezed, one line feed at the end."""
     t = F.regexp_replace(_known(html), r"(?i)<\s*br\s*/?\s*>", "\n")

@@ -124,3 +124,10 @@ def unwrapped(href: Column) -> Column:
 def age_bucket(days: Column) -> Column:
     """A search engine's time filter for a look-back of so many days."""
     return F.when(days <= 1, "d").when(days <= 7, "w").when(days <= 31, "m").when(days <= 366, "y").otherwise("")
+
+
+def is_pdf_link(href: Column, text: Column) -> Column:
+    """Whether a link leads to a PDF, by its address or its words, that is no legal paper."""
+    low, said = F.lower(href), F.lower(F.coalesce(text, F.lit("")))
+    elsewhere = low.rlike("^(mailto:|tel:|javascript:|#)") | (low == "")
+    return (low.rlike(r"\.pdf($|[?#])") | said.contains("pdf")) & ~elsewhere & ~contains_any(low, LEGAL_PDFS) & ~contains_any(said, LEGAL_PDFS)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwork.functions import dates, pages
+from gleanwork.functions import dates, extract, pages, route
 from gleanwork.functions import text as T
-from gleanwork.operators import dedupe, signals
+from gleanwork.operators import dedupe, expand, signals
+from gleanwork.operators.checkpoints import materialize
 
 # How many stored items are compared with, lines and characters of an excerpt.
 STORED = 2000
@@ -107,3 +108,66 @@ def brief(items: DataFrame, days: int, as_of: Column, k: int, categories: list[t
     kept = accepted(items, days, as_of)
     score = signals.editorial_score(F.concat_ws(" ", "title", "snippet", "feed"), F.col("source"), F.col("feed"), published=F.col("published"), as_of=as_of)
     return rule_topics(signals.diversified(kept.withColumn("score", score), 80), k, categories)
+
+
+def with_specs(text: Column, facts: Column) -> Column:
+    """A text with its measured facts listed below it."""
+    listed = F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f["parameter"], F.lit(": "), f["value"])), "\n")
+    return F.when(F.size(facts) > 0, F.concat_ws("\n\n", text, listed)).otherwise(text)
+
+
+def build_briefs(
+    items: DataFrame, texts: DataFrame, as_of: Column, k: int, categories: list[tuple[str, list[str]]], results: DataFrame | None = None, links: DataFrame | None = None,
+    days: int = 30, most_sources: int = 5, least_sources: int = 2,
+) -> DataFrame:
+    """Rule-mode briefs of signals (seq, title, snippet, source, feed, published): score, enrichment, cap per source, topics, section, sources, corroboration, facts.
+
+    ``texts`` (url, text): landed pages. ``results`` (topic_id, seq, title, url, published, snippet): landed
+    searches for topics that have fewer than ``least_sources`` sources. ``links`` (page_url, pos, href,
+    title): links of landed pages. One row per topic: topic_id, topic, category, urgency, section,
+    section_path, confidence, source_count, sources, key_facts.
+    """
+    score = signals.editorial_score(F.concat_ws(" ", "title", "snippet", "feed"), F.col("source"), F.col("feed"), published=F.col("published"), as_of=as_of)
+    ranked = enriched(items.withColumn("score", score), texts)
+    facts = extract.technical_facts(F.col("full_text"))
+    ranked = materialize(ranked.withColumn("key_facts", F.transform(facts, lambda f: F.concat(f["parameter"], F.lit(": "), f["value"]))).withColumn("full_text", with_specs(F.col("full_text"), facts)).withColumn("published_at", dates.iso_or_unknown(F.col("published"))))
+    shown = signals.diversified(ranked, 80)
+    topics = rule_topics(shown, k, categories).withColumnRenamed("seq", "topic_id").drop("sources")
+    said = ranked.select(F.col("seq").alias("__s"), "snippet", "source", F.col("published_at").alias("date"), "title")
+    topics = materialize(topics.join(said, F.col("topic_id") == F.col("__s")).withColumn("text", F.concat_ws(" ", "topic", "snippet")).drop("__s"))
+    section = route.decide(route.scores(route.routed_text(F.col("topic"), F.col("snippet"), F.col("category"))), F.lit(None).cast("string"), F.col("source") != "")
+    own = topics.select("topic_id", F.lit(1).cast("long").alias("seq"), "title", F.col("source").alias("url"), "date", F.lit("").alias("fallback"))
+    sources = materialize(expand.expanded(topics.select("topic_id", "text"), own, ranked, links, most_sources))
+    if results is not None:
+        few = sources.groupBy("topic_id").agg(F.count("*").alias("n")).where(F.col("n") < least_sources)
+        open_ = topics.select("topic_id", F.col("topic").alias("text")).join(few.select(F.col("topic_id").alias("few"), "n"), F.col("topic_id") == F.col("few"))
+        fresh = dates.is_fresh(F.col("published"), days, as_of, False)
+        found = expand.corroborating(open_, results, sources.select("topic_id", "url"), fresh, most=least_sources)
+        told = results.select(F.col("topic_id").alias("rt"), F.col("seq").alias("rs"), dates.iso_or_unknown(F.col("published")).alias("date"), F.col("snippet").alias("excerpt"))
+        more = found.join(told, (F.col("topic_id") == F.col("rt")) & (F.col("seq") == F.col("rs"))).select("topic_id", (most_sources + F.col("place")).alias("place"), "title", "url", "date", F.lit("related_fresh_signal").alias("role"), "excerpt")
+        sources = sources.unionByName(more)
+    facts_of = ranked.select(F.col("source").alias("fu"), "key_facts").where(F.size("key_facts") > 0)
+    with_facts = sources.join(facts_of, F.col("url") == F.col("fu"), "left").select("topic_id", F.struct("place", "title", "url", "date", "role", "excerpt", "key_facts").alias("s"))
+    gathered = with_facts.groupBy(F.col("topic_id").alias("t")).agg(F.sort_array(F.collect_list("s")).alias("sources"))  # at most a few per topic
+    out = topics.withColumn("d", section).join(gathered, F.col("topic_id") == F.col("t"))
+    return out.select(
+        "topic_id", "topic", "category", "urgency", "d.section", "d.section_path", "d.confidence", F.size("sources").cast("long").alias("source_count"),
+        F.transform("sources", lambda s: F.struct(s["title"].alias("title"), s["url"].alias("url"), s["date"].alias("date"), s["role"].alias("role"), s["excerpt"].alias("excerpt"))).alias("sources"), unique_facts(F.col("sources")).alias("key_facts"),
+    )
+
+
+def document_brief(docs: DataFrame, category: str, kind: str = "review", as_of: Column | None = None) -> DataFrame:
+    """One topic for each document (title, url, text, company, products, technologies, facts, date): name, angle, section, keywords, facts and its one source."""
+    vendor = F.coalesce(F.nullif("company", F.lit("")), F.lit("SMT Equipment Vendor"))
+    product = F.try_element_at("products", F.lit(1))
+    topic = F.when(product.isNotNull(), F.concat(vendor, F.lit(" "), product, F.lit(": Technical Specifications & Engineering Review"))).otherwise(F.concat(F.lit("Engineering Review: "), "title"))
+    stated = F.array_join(F.transform(F.slice("facts", 1, 4), lambda f: F.concat(f["parameter"], F.lit(" = "), f["value"])), "; ")
+    angle = F.when(stated != "", F.concat(F.lit("What "), "title", F.lit(" by "), vendor, F.lit(" can do on a line, by its stated values ("), stated, F.lit(")"))).otherwise(F.concat(F.lit("What "), "title", F.lit(" by "), vendor, F.lit(" means for a line")))
+    named = F.when(F.size("technologies") > 0, F.col("technologies")).otherwise(F.array(*[F.lit(x) for x in ("SMT", "Electronics Manufacturing", "Quality Control")]))
+    keywords = F.slice(F.array_distinct(F.concat(F.array(vendor), named, F.slice("products", 1, 3))), 1, 8)
+    facts = F.transform("facts", lambda f: F.concat(f["parameter"], F.lit(": "), f["value"]))
+    d = docs.withColumn("topic", topic).withColumn("angle", angle).withColumn("keywords", keywords).withColumn("key_facts", facts)
+    text = route.routed_text(F.col("topic"), F.concat_ws("\n", "angle", F.substring("text", 1, 1500)), F.lit(category), F.col("technologies"))
+    section = route.decide(route.scores(text), route.normalize_section(F.lit(kind)), F.coalesce("url", F.lit("")) != "")
+    source = F.struct("title", "url", dates.iso_or_unknown(F.col("date")).alias("date"), F.lit("primary_pdf_source").alias("role"), F.substring("text", 1, 1800).alias("excerpt"))
+    return d.withColumn("d", section).select("url", "topic", "angle", F.lit(category).alias("category"), "d.section", "d.section_path", "keywords", F.lit("HIGH").alias("urgency"), "key_facts", F.array(source).alias("sources"))

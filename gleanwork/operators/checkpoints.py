@@ -31,7 +31,8 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def _remove(spark: SparkSession, path: str, now: bool) -> None:
+def remove(spark: SparkSession, path: str, now: bool = True) -> None:
+    """Delete a folder, now or when the session's JVM ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark._jsc.hadoopConfiguration())
     store.delete(at, True) if now else store.deleteOnExit(at)
@@ -45,7 +46,7 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/gleanwork-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _remove(spark, path, now=False)
+    remove(spark, path, now=False)
     if _open.get():
         _open.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,7 +67,7 @@ def narrow_result(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         _open.reset(token)
         out = materialize(df)
         for path in written:
-            _remove(df.sparkSession, path, now=True)
+            remove(df.sparkSession, path)
         return out
 
     return called

@@ -1,9 +1,9 @@
 """Exact and fuzzy duplicates of titles, URLs and slugs.
 
-Fuzzy joins never compare all pairs. Overlap of at least t needs shared tokens: of a
-set of m tokens, any m - ceil(t * m) + 1 must hold one of the other's if it is the
-smaller set. So rows meet only in tokens of that prefix, rarest tokens first, and the
-score is computed for the pairs that met.
+Fuzzy joins never compare all pairs. Overlap of at least t needs shared tokens: of the
+smaller set's m tokens, any m - ceil(t * m) + 1 must hold one of the other's. So rows meet
+only in tokens of the smaller set's prefix, its rarest tokens, in two joins: prefixes of
+one side with all tokens of the other where the one is smaller, and the reverse.
 """
 
 from __future__ import annotations
@@ -23,51 +23,58 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return named.join(first, F.col("__key").eqNullSafe(F.col("__of")) & (F.col(order) == F.col("__first"))).select(*rows.columns)
 
 
-def by_prefix(sets: DataFrame, threshold: float) -> DataFrame:
-    """Rows (id, tokens, token, is_prefix): every token, rarest first, and whether it is in the smaller-set prefix."""
-    each = sets.select("id", "tokens", F.explode("tokens").alias("token"))
+def by_token(sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows (side, id, tokens, size, token, is_prefix): every token, and whether it is among the rarest that a smaller set must share."""
+    each = sets.select("side", "id", "tokens", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     frequent = each.groupBy("token").agg(F.count("*").alias("df")).withColumnRenamed("token", "of_token")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    length = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9) + 1
-    return each.join(frequent, F.col("token") == F.col("of_token")).withColumn("is_prefix", place <= length).select("id", "tokens", "token", "is_prefix")
+    place = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "token"))
+    length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
+    known = each.join(frequent, F.col("token") == F.col("of_token"))
+    return known.withColumn("is_prefix", place <= length).select("side", "id", "tokens", "size", "token", "is_prefix")
+
+
+def _met(small: DataFrame, large: DataFrame, fits: Column, threshold: float) -> DataFrame:
+    """(s, l, score) of rows whose prefix token the other side has and that fit."""
+    a = small.where("is_prefix").select(F.col("id").alias("s"), F.col("tokens").alias("ts"), F.col("size").alias("ns"), "token")
+    b = large.select(F.col("id").alias("l"), F.col("tokens").alias("tl"), F.col("size").alias("nl"), F.col("token").alias("lt"))
+    met = a.join(b, (F.col("token") == F.col("lt")) & fits)
+    return met.withColumn("score", T.overlap(F.col("ts"), F.col("tl"))).where(F.col("score") >= threshold).select("s", "l", "score")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score) of rows (id, tokens) with overlap of at least ``threshold``; ids must not repeat."""
-    l, r = left.where(F.size("tokens") > 0), right.where(F.size("tokens") > 0)
-    both = by_prefix(l.select(F.struct(F.lit(0).alias("side"), F.col("id")).alias("id"), "tokens").unionByName(r.select(F.struct(F.lit(1).alias("side"), F.col("id")).alias("id"), "tokens")), threshold)
-    a = both.where("id.side = 0").select(F.col("id.id").alias("a"), F.col("tokens").alias("ta"), "token", F.col("is_prefix").alias("pa"))
-    b = both.where("id.side = 1").select(F.col("id.id").alias("b"), F.col("tokens").alias("tb"), F.col("token").alias("bt"), F.col("is_prefix").alias("pb"))
-    smaller_prefix = F.when(F.size("ta") <= F.size("tb"), F.col("pa")).otherwise(F.col("pb"))
-    met = a.join(b, (F.col("token") == F.col("bt")) & smaller_prefix)
-    score = T.overlap(F.col("ta"), F.col("tb"))
-    # a pair may meet in several tokens; count it at the first shared one only
-    return met.withColumn("score", score).where(F.col("score") >= threshold).groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
-def greedy_keep(rows: DataFrame, id_col: str, tokens: Column, threshold: float = 0.85, max_rounds: int = 1000) -> DataFrame:
+    sides = [x.where(F.size("tokens") > 0).select(F.lit(i).alias("side"), "id", "tokens") for i, x in enumerate((left, right))]
+    both = materialize(by_token(sides[0].unionByName(sides[1]), threshold))
+    l, r = both.where("side = 0"), both.where("side = 1")
+    one = _met(l, r, F.col("ns") <= F.col("nl"), threshold).select(F.col("s").alias("a"), F.col("l").alias("b"), "score")
+    two = _met(r, l, F.col("ns") < F.col("nl"), threshold).select(F.col("l").alias("a"), F.col("s").alias("b"), "score")
+    return one.unionByName(two).groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def similar_within(sets: DataFrame, threshold: float) -> DataFrame:
+    """``similar_pairs`` of rows with themselves, each pair once, as a < b."""
+    each = materialize(by_token(sets.where(F.size("tokens") > 0).select(F.lit(0).alias("side"), "id", "tokens"), threshold))
+    met = _met(each, each, (F.col("ns") < F.col("nl")) | (F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")), threshold)
+    return met.groupBy(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).agg(F.max("score").alias("score"))
+
+
+def greedy_keep(rows: DataFrame, id_col: str, tokens: Column, threshold: float = 0.85) -> DataFrame:
     """``rows`` with kept: in order of id, a row goes if it is near one that was kept before it.
 
-    That is the lexicographically first independent set of the pairs, found in rounds: a
-    row without undecided earlier neighbours is kept unless a kept one is among them. Rows
-    without tokens are kept and block nothing. Each round is written out.
+    That is the lexicographically first independent set of the pairs, found in rounds until
+    nothing waits: a row without undecided earlier neighbours is kept unless a kept one is
+    among them, so each round decides the first that waits and all near it. Rows without
+    tokens are kept and block nothing. Each round is written out.
     """
     sets = rows.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    pairs = materialize(similar_pairs(sets, sets, threshold).where("a < b").select("a", "b"))
+    waiting = materialize(similar_within(sets, threshold).select("a", "b"))  # (earlier a, later b), both undecided
     gone = None
-    waiting = pairs  # (earlier a, later b), both undecided or a kept
-    kept_so_far: DataFrame | None = None
-    for _ in range(max_rounds):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():
         blocked = waiting.select(F.col("b").alias("x")).distinct()
-        sure = materialize(waiting.select(F.col("a").alias("k")).distinct().join(blocked, F.col("k") == F.col("x"), "left_anti"))
+        sure = waiting.select(F.col("a").alias("k")).distinct().join(blocked, F.col("k") == F.col("x"), "left_anti")
         dropped = materialize(waiting.join(sure, F.col("a") == F.col("k"), "left_semi").select(F.col("b").alias("d")).distinct())
         gone = dropped if gone is None else gone.union(dropped)
-        waiting = materialize(
-            waiting.join(dropped, F.col("a") == F.col("d"), "left_anti").join(dropped, F.col("b") == F.col("d"), "left_anti")
-        )
-        kept_so_far = sure if kept_so_far is None else kept_so_far.union(sure)
+        waiting = materialize(waiting.join(dropped, F.col("a") == F.col("d"), "left_anti").join(dropped, F.col("b") == F.col("d"), "left_anti").join(sure, F.col("a") == F.col("k"), "left_anti"))
     if gone is None:
         return rows.withColumn("kept", F.lit(True))
     lost = gone.distinct().select("d", F.lit(True).alias("__gone"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanwork.functions import route
+from gleanwork.functions import text as T
+from gleanwork.operators import dedupe
 from gleanwork.operators.checkpoints import materialize, numbered
 
 
@@ -81,11 +84,55 @@ def retention(drafts: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
 
 def insert(drafts: DataFrame, new: DataFrame) -> DataFrame:
     """Both, with ids for the new rows after the highest, in order of seq."""
-    top = drafts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    placed = numbered(new, [F.asc("seq")], "__place").join(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("__place")).cast("long"))
-    return drafts.unionByName(placed.drop("__place", "top", "seq").withColumn("is_published", F.lit(False)), allowMissingColumns=True)
+    top = drafts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    placed = numbered(new, [F.asc("seq")], "__place").withColumn("id", (F.lit(top) + F.col("__place")).cast("long"))
+    return drafts.unionByName(placed.drop("__place", "seq").withColumn("is_published", F.lit(False)), allowMissingColumns=True)
 
 
 def fresh_cache(entries: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Cache entries (key, at, value) that haven't expired."""
     return entries.where(F.col("at") > as_of - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def cached(entries: DataFrame, key: Column, value: Column, at: Column, new: DataFrame) -> DataFrame:
+    """A new snapshot of a cache (key, at, value) with the values of ``new``; a key's latest value stays."""
+    added = new.select(key.alias("key"), at.alias("at"), value.alias("value"))
+    latest = entries.select("key", "at", "value").unionByName(added).groupBy("key").agg(F.max_by(F.struct("at", "value"), "at").alias("e"))
+    return latest.select("key", "e.at", "e.value")
+
+
+def merged_metrics(content: DataFrame, flags: dict[str, float | None], overrides: dict[str, float] | None = None) -> DataFrame:
+    """The row of counts with the flags, each replaced by what an analytics file says of it; other names of that file are added."""
+    return content.withColumns({name: F.lit(v).cast("double") for name, v in {**flags, **(overrides or {})}.items()})
+
+
+def latest_drafts(drafts: DataFrame, k: int = 30) -> DataFrame:
+    """The k latest unpublished rows, by id."""
+    return drafts.where(~F.col("is_published")).orderBy(F.desc("id")).limit(k)
+
+
+def submit(new: DataFrame, existing: DataFrame, stored: DataFrame, as_of: Column, allow_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Drafts of ``new`` (seq, title, body, category, tags, explicit, link), and what the duplicate guard blocks (seq, reason, matched_id).
+
+    ``existing`` (id, slug) are the stored rows, ``stored`` (id, title, urls) those that the guard compares
+    with. A draft: seq, id after the highest, slug, title, editorial_type, section_path, url, summary, at, is_published.
+    """
+    told = dedupe.find_duplicates(new.withColumn("urls", F.filter(F.array("link"), lambda u: F.coalesce(u, F.lit("")) != "")), stored)
+    told = materialize(told.drop("urls"))
+    free = told if allow_duplicates else told.where("reason IS NULL")
+    text = route.routed_text(F.col("title"), F.col("body"), F.col("category"), F.col("tags"))
+    section = route.decide(route.scores(text), route.normalize_section(F.col("explicit")), F.coalesce("link", F.lit("")) != "")
+    slugs = unique_slugs(free.select("seq", T.slugify(F.col("title")).alias("base")), existing.select("slug")).select(F.col("seq").alias("s"), "slug")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    placed = numbered(free.select(*new.columns), [F.asc("seq")], "__place").join(slugs, F.col("seq") == F.col("s"))
+    summary = F.concat(F.rtrim(F.substring(F.coalesce("body", F.lit("")), 1, 200)), F.lit("…"))
+    out = placed.withColumn("d", section).select(
+        "seq", (F.lit(top) + F.col("__place")).cast("long").alias("id"), "slug", "title", F.col("d.section").alias("editorial_type"), "d.section_path",
+        F.concat("d.section_path", "slug").alias("url"), summary.alias("summary"), as_of.alias("at"), F.lit(False).alias("is_published"),
+    )
+    return out, told.where("reason IS NOT NULL").select("seq", "reason", "matched_id")
+
+
+def insert_videos(videos: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
+    """A new snapshot of videos (id, ...) with ``found`` (seq, title, url, channel, description) as drafts."""
+    return insert(videos, found.withColumn("published_at", as_of))

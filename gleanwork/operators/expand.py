@@ -9,6 +9,12 @@ from gleanwork.functions import text as T
 from gleanwork.functions import url as U
 from gleanwork.operators.dedupe import similar_pairs
 
+# Hosts and paths that no context link leads to, and words in paths of products.
+SOCIAL_HOSTS = ["twitter.com", "x.com", "linkedin.com", "facebook.com", "mailto"]
+NAVIGATION_PATHS = ["/category/", "/tag/", "/subscribe", "/contact", "/privacy", "/terms", "/go/", "/share", "/intent/"]
+PRODUCT_PATHS = ["product", "solution", "aoi", "spi", "axi", "x-ray", "xray", "zenith", "tr7600"]
+SAME_HOST_LEAST = 0.55
+
 
 def excerpts(sources: DataFrame, signals: DataFrame) -> DataFrame:
     """Sources (url, fallback) with the excerpt of the signal of that canonical URL: full text, snippet or fallback; the last signal wins."""
@@ -27,15 +33,16 @@ def related(topics: DataFrame, signals: DataFrame, low: float = 0.28, high: floa
     return joined.where((F.col("score") < high) | ~F.col("has_primary")).select("topic_id", "seq", "score")
 
 
-def diverse(scored: DataFrame, taken: DataFrame, room: int) -> DataFrame:
-    """Picks of (topic_id, seq, url, score): first the best of each domain that ``taken`` (topic_id, domain) lacks, then the best of the rest."""
+def diverse(scored: DataFrame, taken: DataFrame, room: int | None) -> DataFrame:
+    """Picks of (topic_id, seq, url, score): first the best of each domain that ``taken`` (topic_id, domain) lacks, then the best of the rest; without ``room`` all, in that order."""
     named = scored.withColumn("domain", U.host(F.col("url")))
     seen = taken.select(F.col("topic_id").alias("t"), F.col("domain").alias("d"), F.lit(True).alias("seen")).distinct()
     joined = named.join(seen, (F.col("topic_id") == F.col("t")) & (F.col("domain") == F.col("d")), "left")
     best = F.row_number().over(Window.partitionBy("topic_id", "domain").orderBy(F.desc("score"), "seq"))
     phased = joined.withColumn("phase", F.when(F.col("seen").isNull() & (best == 1), 1).otherwise(2))
     place = F.row_number().over(Window.partitionBy("topic_id").orderBy("phase", F.desc("score"), "seq"))
-    return phased.withColumn("place", place).where(F.col("place") <= room).select("topic_id", "seq", "url", "domain", "score", "phase", "place")
+    placed = phased.withColumn("place", place).select("topic_id", "seq", "url", "domain", "score", "phase", "place")
+    return placed if room is None else placed.where(F.col("place") <= room)
 
 
 def appended(sources: DataFrame) -> DataFrame:
@@ -59,3 +66,52 @@ def corroborating(topics: DataFrame, results: DataFrame, have: DataFrame, fresh:
     close = told.where(T.overlap(T.title_tokens(F.col("text")), T.title_tokens(F.col("title"))) >= least)
     one = close.withColumn("n", F.row_number().over(Window.partitionBy("topic_id", "cu").orderBy("seq"))).where("n = 1")
     return one.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy("seq"))).where(F.col("place") <= most).select("topic_id", "seq", "title", "url", "place")
+
+
+def is_context_link(page_url: Column, url: Column, link_text: Column, topic_text: Column) -> Column:
+    """Whether a link (absolute ``url``) of a source page gives context to a topic.
+
+    No navigation and no social host; on the page's own host only links close to the topic;
+    elsewhere links that share a word with it or lead to a product.
+    """
+    bare_host = lambda u: F.replace(U.host(u), F.lit("www."), F.lit(""))
+    here, there, path = bare_host(page_url), bare_host(url), F.lower(U.path(url))
+    asked, said = T.topic_tokens(topic_text), T.topic_tokens(F.concat_ws(" ", F.coalesce(link_text, F.lit("")), url))
+    elsewhere = (F.size(F.array_intersect(asked, said)) > 0) | U.contains_any(path, PRODUCT_PATHS)
+    close = T.overlap(asked, said) >= SAME_HOST_LEAST
+    allowed = url.rlike("^https?://") & ~there.isin(SOCIAL_HOSTS) & ~U.contains_any(path, NAVIGATION_PATHS)
+    return F.coalesce(allowed & F.when(here == there, close).otherwise(elsewhere), F.lit(False))
+
+
+def context_links(links: DataFrame, limit: int = 20) -> DataFrame:
+    """(topic_id, page_url, pos, title, url) of links (topic_id, topic_text, page_url, pos, href, title) that give context: each address once, the first ``limit`` of a page."""
+    absolute = links.withColumn("url", U.canonical_url(U.resolve(F.col("page_url"), F.trim("href")), fold_host=False)).withColumn("title", T.title_collapsed(F.col("title")))
+    kept = absolute.where((F.col("url") != "") & is_context_link(F.col("page_url"), F.col("url"), F.col("title"), F.col("topic_text")))
+    page = ["topic_id", "page_url"]
+    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy(*page, "url").orderBy("pos"))).where("__n = 1")
+    place = F.row_number().over(Window.partitionBy(*page).orderBy("pos"))
+    return one.withColumn("__n", place).where(F.col("__n") <= limit).select(*page, "pos", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "url")
+
+
+def expanded(topics: DataFrame, own: DataFrame, signals: DataFrame, links: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """The sources (topic_id, place, title, url, date, role, excerpt) of topics (topic_id, text): their own, then related signals, then context links of the first two sources' pages.
+
+    ``own``: topic_id, seq, title, url, date, fallback. ``signals``: seq, title, snippet, source, published_at,
+    perhaps full_text. ``links``: page_url, pos, href, title. Each address once; beyond the own ones, at most ``most``.
+    """
+    primary = own.where(U.canonical_url(F.col("url"), fold_host=False) != "").select(F.col("topic_id").alias("t")).distinct()
+    asked = topics.join(primary, F.col("topic_id") == F.col("t"), "left").select("topic_id", "text", F.col("t").isNotNull().alias("has_primary"))
+    first = excerpts(own, signals).select("topic_id", F.lit(1).alias("phase"), "seq", "title", "url", "date", F.lit("fresh_primary").alias("role"), "excerpt")
+    full = F.nullif(F.col("full_text"), F.lit("")) if "full_text" in signals.columns else F.lit(None).cast("string")
+    told = signals.select(F.col("seq").alias("s"), F.col("title"), F.col("source").alias("url"), F.col("published_at").alias("date"), F.coalesce(full, "snippet").alias("excerpt"))
+    scored = related(asked, signals).join(told.select("s", "url"), F.col("seq") == F.col("s")).drop("s")
+    picks = diverse(scored, own.select("topic_id", U.host(F.col("url")).alias("domain")), None).select("topic_id", "seq", "place")
+    second = picks.join(told, F.col("seq") == F.col("s")).select("topic_id", F.lit(2).alias("phase"), F.col("place").cast("long").alias("seq"), "title", "url", "date", F.lit("related_fresh_signal").alias("role"), "excerpt")
+    order = Window.partitionBy("topic_id").orderBy("phase", "seq")
+    sources = appended(first.unionByName(second)).withColumn("place", F.row_number().over(order))
+    if links is not None:
+        pages = sources.where("place <= 2").join(topics.select(F.col("topic_id").alias("t"), F.col("text").alias("topic_text")), F.col("topic_id") == F.col("t")).select("topic_id", "topic_text", F.col("url").alias("of"), "place")
+        found = context_links(pages.join(links, U.canonical_url(F.col("page_url"), fold_host=False) == F.col("of")), 10)
+        third = found.select("topic_id", F.lit(3).alias("phase"), F.col("pos").cast("long").alias("seq"), "title", "url", F.lit("unknown").alias("date"), F.lit("context_link").alias("role"), F.lit("").alias("excerpt"))
+        sources = appended(sources.drop("place").unionByName(third)).withColumn("place", F.row_number().over(order))
+    return sources.where((F.col("place") <= most) | (F.col("phase") == 1)).select("topic_id", "place", "title", "url", "date", "role", "excerpt")

@@ -99,3 +99,40 @@ def union_channels(channels: list[DataFrame]) -> DataFrame:
     """All channels with the channel's place before each signal's own order."""
     tagged = [c.withColumn("channel_no", F.lit(i)) for i, c in enumerate(channels)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def signal_line(published: Column, title: Column, body: Column, source: Column, score: Column | None = None) -> Column:
+    """A signal on one line: date, score, title, 500 characters of its text, address; bars inside become spaces."""
+    bare = lambda c: F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit(" ")))
+    tag = F.lit("") if score is None else F.when(score.isNotNull(), F.concat(F.lit(" [score:"), score.cast("string"), F.lit("]"))).otherwise("")
+    head = F.concat(F.lit("- "), F.coalesce(published, F.lit("unknown")), tag)
+    return F.concat_ws(" | ", head, bare(title), F.substring(bare(body), 1, 500), F.trim(F.replace(F.coalesce(source, F.lit("")), F.lit("|"), F.lit(""))))
+
+
+def run_summary(items: DataFrame) -> DataFrame:
+    """One row: signals, different feeds and addresses, and the feeds by name."""
+    return items.agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.countDistinct("feed").alias("n_feeds"), F.sort_array(F.collect_set("feed")).alias("feeds"))
+
+
+def urgent_first(rows: DataFrame, urgency: Column, order: list[str], key: str, k: int) -> DataFrame:
+    """The k most urgent rows: by place of their urgency in ``order`` (others last), then key."""
+    place = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        place = F.when(urgency == name, i).otherwise(place)
+    return rows.orderBy(place, key).limit(k)
+
+
+def moved_to_front(rows: DataFrame, first: Column, key: str, name: str = "idx") -> DataFrame:
+    """``rows`` with their place from 0 on in order of key, those that ``first`` holds for before all others."""
+    placed = numbered(rows, [F.when(first, 0).otherwise(1).asc(), F.asc(key)], name)
+    return placed.withColumn(name, (F.col(name) - 1).cast("int"))
+
+
+def projected(sources: DataFrame, enabled: Column, fields: dict[str, Column]) -> DataFrame:
+    """The enabled sources in the shape that a collector takes."""
+    return sources.where(F.coalesce(enabled, F.lit(False))).select(*[c.alias(n) for n, c in fields.items()])
+
+
+def repeated(rows: DataFrame, key: Column) -> DataFrame:
+    """(id, n) of the keys that more than one row has."""
+    return rows.groupBy(key.alias("id")).agg(F.count("*").alias("n")).where("n > 1")

@@ -183,7 +183,7 @@ def lint_report_score(spark, folder):
 @query(f"{_REPORT} SELECT scored.doc_id, score, labels.quality, CASE WHEN labels.quality = 0 OR score < 75 THEN 'improve' ELSE 'pass' END AS verdict FROM scored JOIN labels ON labels.doc_id = scored.doc_id")
 def quality_gate(spark, folder):
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("l"), "quality")
-    verdict = F.when((F.col("quality") == 0) | (F.col("score") < 75), "improve").otherwise("pass")
+    verdict = lint.quality_verdict(F.col("quality"), F.col("score"))
     return _reports(spark, folder).join(labels, F.col("doc_id") == F.col("l")).select("doc_id", "score", "quality", verdict.alias("verdict"))
 
 
@@ -304,4 +304,10 @@ def reply_json(spark, folder):
 @query("SELECT doc_id, 'x-' || doc_id || '.pdf' AS name FROM documents")
 def upload_names(spark, folder):
     raw = F.concat(F.lit("x-"), F.col("doc_id").cast("string"), F.lit(" (é)/.pdf"))
-    return _docs(spark, folder).select("doc_id", F.regexp_replace(raw, r"[^a-zA-Z0-9_.-]", "").alias("name"))
+    return _docs(spark, folder).select("doc_id", T.upload_name(raw).alias("name"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(words, {S.quoted(p)}) THEN {S.quoted(p)} END' for p, _ in TEST_REVIEW)}], lambda p: p IS NOT NULL), ' ') AS hits FROM (SELECT doc_id, {S.wordy('lower(text)')} AS words FROM documents)")
+def section_hits(spark, folder):
+    """The patterns of the review table that each document matches."""
+    return _docs(spark, folder).select("doc_id", F.array_join(route.weighted_hits(F.lower(F.coalesce("text", F.lit(""))), TEST_REVIEW), " ").alias("hits"))

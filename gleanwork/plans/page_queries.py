@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.functions import pages as PG
+from gleanwork.functions import route
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
-from gleanwork.operators import briefs, dedupe, expand, signals
+from gleanwork.operators import briefs, dedupe, drafts, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
 
@@ -70,7 +71,7 @@ pairs AS (SELECT x.seq AS a, y.seq AS b, {S.overlap('x.k', 'y.k')} AS score FROM
 @query(f"{_PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
 def title_similarity_pairs(spark, folder):
     sets = _signals(spark, folder).select(F.col("seq").alias("id"), T.scan_tokens(F.col("title")).alias("tokens"))
-    return dedupe.similar_pairs(sets, sets, NEAR).where("a < b").select("a", "b", F.round("score", 6).alias("score"))
+    return dedupe.similar_within(sets, NEAR).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -190,9 +191,7 @@ def link_candidates(spark, folder):
 @query(f"""WITH links AS ({_LINKS}) SELECT page_id, count(*) AS n_links,
   count(*) FILTER (WHERE regexp_matches(lower(href), '\\.pdf($|\\?)') AND NOT {S.any_of('lower(href)', U.LEGAL_PDFS)}) AS n_pdf FROM links GROUP BY page_id""")
 def pdf_links(spark, folder):
-    low, text = F.lower("href"), F.lower(F.concat_ws(" ", "title", "hints"))
-    elsewhere = low.rlike("^(mailto:|tel:|javascript:|#)") | (low == "")
-    pdf = (low.rlike(r"\.pdf($|[?#])") | text.contains("pdf")) & ~elsewhere & ~U.contains_any(low, U.LEGAL_PDFS) & ~U.contains_any(text, U.LEGAL_PDFS)
+    pdf = U.is_pdf_link(F.col("href"), F.concat_ws(" ", "title", "hints"))
     return links(table(spark, folder, "pages")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(pdf).alias("n_pdf"))
 
 
@@ -223,9 +222,10 @@ def diversified_topk(spark, folder):
     return signals.diversified(scored_signals(spark, folder), 80).select("seq", "feed", "score")
 
 
-@query(f"""WITH {S.SIGNALS} SELECT seq, substr(replace(concat_ws(' | ', title, feed, source), '|', '/'), 1, 500) AS line FROM signals""")
+@query(f"""WITH {S.SIGNALS} SELECT seq, '- unknown [score:' || seq || '] | ' || trim(replace(title, '|', ' '), ' ') || ' | ' || substr(trim(replace(snippet, '|', ' '), ' '), 1, 500) || ' | ' || trim(replace(source, '|', ''), ' ') AS line FROM signals""")
 def signal_lines(spark, folder):
-    return _signals(spark, folder).select("seq", F.substring(F.replace(F.concat_ws(" | ", "title", "feed", "source"), F.lit("|"), F.lit("/")), 1, 500).alias("line"))
+    line = signals.signal_line(F.lit(None).cast("string"), F.col("title"), F.col("snippet"), F.col("source"), F.col("seq"))
+    return _signals(spark, folder).select("seq", line.alias("line"))
 
 
 @query(f"WITH {S.SIGNALS} SELECT feed, count(*) AS seen, count(*) FILTER (WHERE length(snippet) > 100) AS kept FROM signals GROUP BY feed")
@@ -235,9 +235,9 @@ def per_feed_counts(spark, folder):
     return counts(_signals(spark, folder), "feed", F.char_length("snippet") > 100)
 
 
-@query(f"WITH {S.SIGNALS} SELECT count(DISTINCT feed) AS n_feeds, count(DISTINCT source) AS n_sources, count(*) AS n FROM signals")
+@query(f"WITH {S.SIGNALS} SELECT count(DISTINCT feed) AS n_feeds, count(DISTINCT source) AS n_sources, count(*) AS n, array_to_string(list_sort(list(DISTINCT feed)), ' ') AS feeds FROM signals")
 def run_summary(spark, folder):
-    return _signals(spark, folder).agg(F.countDistinct("feed").alias("n_feeds"), F.countDistinct("source").alias("n_sources"), F.count("*").alias("n"))
+    return signals.run_summary(_signals(spark, folder)).withColumn("feeds", F.array_join("feeds", " "))
 
 
 _ARTICLE = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
@@ -246,9 +246,7 @@ _PS = f"list_filter(list_transform(regexp_extract_all({_ARTICLE}, '(?is)<p[^>]*>
 
 @query(f"SELECT page_id, substr(array_to_string({_PS}, ' '), 1, 1800) AS text FROM pages")
 def html_main_text(spark, folder):
-    article = PG.article_html(F.col("html"))
-    ps = F.transform(F.regexp_extract_all(article, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda p: T.title_collapsed(T.strip_tags(p)))
-    return table(spark, folder, "pages").select("page_id", F.substring(F.array_join(F.filter(ps, lambda p: p != ""), " "), 1, 1800).alias("text"))
+    return table(spark, folder, "pages").select("page_id", PG.article_text(F.col("html")).alias("text"))
 
 
 @query(f"""WITH {S.SIGNALS}, {_SCORED}, best AS (SELECT seq, row_number() OVER (ORDER BY score DESC, seq) AS place FROM scored), texts AS (SELECT page_id, substr(array_to_string({_PS}, ' '), 1, 1800) AS text FROM pages)
@@ -319,3 +317,72 @@ def top_signals(spark, folder):
     """The flagship: signals without repeated canonical URLs, scored, capped per source, the best 80."""
     first = dedupe.keep_first(scored_signals(spark, folder), U.canonical_url(F.col("source")), "seq")
     return signals.diversified(first, 80).select("seq", "title", U.canonical_url(F.col("source")).alias("url"), "feed", "score")
+
+
+_SOCIAL = S.strings(expand.SOCIAL_HOSTS)
+_SAID = S.topic_tokens("clean || ' ' || absolute", T.TOPIC_STOPS)
+_BARE = lambda c: f"replace({S.host(c)}, 'www.', '')"
+
+
+@query(f"""WITH {S.SIGNALS}, links AS (SELECT p.seq AS page_id, p.source AS url, q.seq AS pos, q.source AS href, q.title FROM signals p JOIN signals q ON q.seq % 40 = p.seq % 40 AND q.seq <> p.seq),
+a AS (SELECT *, {_CLEAN} AS clean, {S.canonical('href', False)} AS absolute FROM links),
+topic AS (SELECT seq, {S.topic_tokens("concat_ws(' ', title, snippet)", T.TOPIC_STOPS)} AS asked FROM signals),
+told AS (SELECT page_id, pos, absolute AS url, clean, asked, {_SAID} AS said, {_BARE('a.url')} AS here, {_BARE('absolute')} AS there, lower({S.path('absolute')}) AS p FROM a JOIN topic ON topic.seq = page_id),
+kept AS (SELECT * FROM told WHERE regexp_matches(url, '^https?://') AND NOT list_contains({_SOCIAL}, there) AND NOT {S.any_of('p', expand.NAVIGATION_PATHS)}
+  AND CASE WHEN here = there THEN {S.overlap('asked', 'said')} >= {expand.SAME_HOST_LEAST} ELSE len(list_intersect(asked, said)) > 0 OR {S.any_of('p', expand.PRODUCT_PATHS)} END),
+one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
+SELECT page_id AS topic_id, CAST(pos AS BIGINT) AS pos, url FROM one QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 20""")
+def context_links(spark, folder):
+    """Each page as a topic of its own, as if it linked to every page whose id leaves the same rest by 40."""
+    s = _signals(spark, folder)
+    to = s.select((F.col("seq") % 40).alias("rest"), F.col("seq").alias("pos"), F.col("source").alias("href"), F.col("title").alias("name"))
+    found = s.join(to, (F.col("seq") % 40 == F.col("rest")) & (F.col("seq") != F.col("pos")))
+    told = expand.context_links(found.select(F.col("seq").alias("topic_id"), F.concat_ws(" ", "title", "snippet").alias("topic_text"), F.col("source").alias("page_url"), "pos", "href", F.col("name").alias("title")))
+    return told.select("topic_id", F.col("pos").cast("long").alias("pos"), "url")
+
+
+#: Categories of the driver's invented titles.
+TEST_CATEGORIES = [("first", ["the", "er"]), ("second", ["on", "au"])]
+
+
+def _section_sql(words: str, sourced: str) -> str:
+    table_ = lambda patterns: S.weighted(words, patterns)
+    r, i, n, v = map(table_, (route.REVIEW, route.INSIGHT, route.NEWS, route.VENDOR))
+    e, p, b = (S.any_match(words, x) for x in (route.EQUIPMENT, route.PRODUCT_LIKE, route.BUYER))
+    return f"""CASE WHEN {v} >= 25 THEN 'vendor' WHEN {b} AND {e} THEN 'review' WHEN {e} AND {p} AND {r} >= 18 THEN 'review'
+  WHEN {i} >= greatest({n}, {r}) + 5 AND {i} >= 18 THEN 'insight' WHEN {n} > {r} AND {n} >= 16 THEN 'news' WHEN {r} >= 22 AND {e} THEN 'review' WHEN {sourced} THEN 'news' ELSE 'insight' END"""
+
+
+_TOPIC_CASE = "CASE " + " ".join(f"WHEN {S.any_of('lower(title)', terms)} THEN {S.quoted(name)}" for name, terms in TEST_CATEGORIES) + " ELSE 'general' END"
+_CANON = S.canonical("source", False)
+
+
+@query(f"""WITH {S.SIGNALS}, {_SCORED}, capped AS (SELECT * FROM scored {_DIVERSE.format(cap=4)}),
+topics AS (SELECT *, {_TOPIC_CASE} AS category FROM (SELECT * FROM capped ORDER BY score DESC, seq LIMIT 12)),
+k AS (SELECT seq, source, {S.topic_tokens("concat_ws(' ', title, snippet)", T.TOPIC_STOPS)} AS k FROM signals WHERE title <> '' AND source <> ''),
+related AS (SELECT t.seq AS topic_id, s.seq, s.source, {S.overlap('t.k', 's.k')} AS score FROM k t JOIN topics ON topics.seq = t.seq JOIN k s ON {S.overlap('t.k', 's.k')} >= 0.28 AND {S.overlap('t.k', 's.k')} < 0.97),
+phased AS (SELECT r.*, CASE WHEN {S.host('r.source')} <> {S.host('topics.source')} AND row_number() OVER (PARTITION BY r.topic_id, {S.host('r.source')} ORDER BY r.score DESC, r.seq) = 1 THEN 2 ELSE 3 END AS phase FROM related r JOIN topics ON topics.seq = r.topic_id),
+every AS (SELECT seq AS topic_id, {_CANON} AS url, 1 AS phase, 0 AS score, seq FROM topics UNION ALL SELECT topic_id, {_CANON}, phase, score, seq FROM phased),
+first AS (SELECT * FROM every WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY topic_id, url ORDER BY phase, score DESC, seq) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY phase, score DESC, seq) AS place FROM first),
+listed AS (SELECT topic_id, count(*) AS n, string_agg(url, ' ' ORDER BY place) AS urls FROM placed WHERE place <= 5 GROUP BY topic_id)
+SELECT topics.seq AS topic_id, title AS topic, category, {_section_sql(S.wordy("lower(concat_ws(' ', title, snippet, category))"), "source <> ''")} AS section, n AS source_count, urls FROM topics JOIN listed ON listed.topic_id = topics.seq""")
+def brief_rule_mode(spark, folder):
+    """The whole brief in rule mode: the best twelve topics, their section and up to five sources."""
+    pages = table(spark, folder, "pages")
+    items = _signals(spark, folder).withColumn("published", F.lit(None).cast("timestamp"))
+    texts = pages.select("url", PG.article_text(F.col("html")).alias("text"))
+    told = briefs.build_briefs(items, texts, F.lit("2024-01-20").cast("timestamp"), 12, TEST_CATEGORIES)
+    return told.select("topic_id", "topic", "category", "section", "source_count", F.array_join(F.transform("sources", lambda s: s["url"]), " ").alias("urls"))
+
+
+@query(f"""{_PRECEDENCE}, top AS (SELECT max(id) AS top FROM old),
+free AS (SELECT new.seq, {S.slug('title')} AS base, row_number() OVER (ORDER BY new.seq) AS n, row_number() OVER (PARTITION BY {S.slug('title')} ORDER BY new.seq) AS again FROM new JOIN told ON told.seq = new.seq WHERE reason IS NULL)
+SELECT seq, CAST(top + n AS BIGINT) AS id, base || CASE WHEN again > 1 THEN '-' || again ELSE '' END AS slug FROM free, top""")
+def submitted_drafts(spark, folder):
+    """New pages as drafts, without those that what exists covers already."""
+    new, old = _split(spark, folder, 5)
+    empty = F.lit("").alias("body"), F.lit("").alias("category"), F.array().cast("array<string>").alias("tags"), F.lit("news").alias("explicit")
+    existing = old.select("id", T.slugify(F.col("title")).alias("slug"))
+    made, _ = drafts.submit(new.select("seq", "title", *empty, F.col("urls")[0].alias("link")), existing, old, F.lit("2024-01-20").cast("timestamp"))
+    return made.select("seq", "id", "slug")

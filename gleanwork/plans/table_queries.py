@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.functions import dates
+from gleanwork.functions import dates, extract
 from gleanwork.functions import text as T
-from gleanwork.operators import briefs, checkpoints, drafts, signals
-from gleanwork.operators.checkpoints import numbered
+from gleanwork.operators import briefs, checkpoints, drafts, signals, sinks
 from gleanwork.plans.registry import query, table
+from gleanwork.streaming import twins
 
 EVENTS_AS_OF, ORDERS_AS_OF = "2024-01-20 00:00:00", "2001-07-01 00:00:00"
 _E, _O = f"TIMESTAMP '{EVENTS_AS_OF}'", f"TIMESTAMP '{ORDERS_AS_OF}'"
@@ -72,20 +73,19 @@ def most_recent_nulls_last(spark, folder):
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderkey LIMIT 10")
 def urgency_pick(spark, folder):
-    p = F.col("o_orderpriority")
-    return table(spark, folder, "orders").orderBy(F.when(p == "1-URGENT", 0).when(p == "2-HIGH", 1).when(p == "3-MEDIUM", 2).otherwise(3), "o_orderkey").select("o_orderkey", "o_orderpriority").limit(10)
+    return signals.urgent_first(table(spark, folder, "orders"), F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM"], "o_orderkey", 10).select("o_orderkey", "o_orderpriority")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey DESC LIMIT 30")
 def drafts_top30(spark, folder):
-    return table(spark, folder, "orders").where("o_orderstatus = 'O'").orderBy(F.desc("o_orderkey")).select("o_orderkey", "o_orderdate").limit(30)
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", (F.col("o_orderstatus") != "O").alias("is_published"))
+    return drafts.latest_drafts(rows).select(F.col("id").alias("o_orderkey"), "o_orderdate")
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey = 7 THEN 0 ELSE 1 END, o_orderkey) - 1 AS INTEGER) AS idx FROM orders")
 def move_to_front(spark, folder):
     keys = table(spark, folder, "orders").select("o_orderkey")
-    placed = numbered(keys, [F.when(F.col("o_orderkey") == 7, 0).otherwise(1).asc(), F.asc("o_orderkey")], "place")
-    return placed.select("o_orderkey", (F.col("place") - 1).cast("int").alias("idx"))
+    return signals.moved_to_front(keys, F.col("o_orderkey") == 7, "o_orderkey").select("o_orderkey", "idx")
 
 
 @query(f"SELECT count(*) FILTER (WHERE o_orderdate >= {_O}) AS created, count(*) FILTER (WHERE o_orderdate >= {_O} AND o_orderstatus = 'F') AS published, count(*) FILTER (WHERE o_orderstatus <> 'F') AS pending FROM orders")
@@ -125,12 +125,13 @@ def unique_slugs(spark, folder):
 
 @query("SELECT p_type AS id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def repeated_ids(spark, folder):
-    return table(spark, folder, "part").groupBy(F.col("p_type").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    return signals.repeated(table(spark, folder, "part"), F.col("p_type"))
 
 
 @query("SELECT s_suppkey, lower(s_name) AS name, s_nationkey FROM supplier WHERE s_acctbal > 0")
 def enabled_sources(spark, folder):
-    return table(spark, folder, "supplier").where("s_acctbal > 0").select("s_suppkey", F.lower("s_name").alias("name"), "s_nationkey")
+    fields = {"s_suppkey": F.col("s_suppkey"), "name": F.lower("s_name"), "s_nationkey": F.col("s_nationkey")}
+    return signals.projected(table(spark, folder, "supplier"), F.col("s_acctbal") > 0, fields)
 
 
 @query("SELECT DISTINCT CAST(floor(value) AS INTEGER) AS whole FROM events WHERE event_type = 'view' AND CAST(floor(value) AS INTEGER) NOT IN (SELECT CAST(floor(value) AS INTEGER) FROM events WHERE event_type = 'error')")
@@ -187,9 +188,91 @@ def registry_parity(spark, folder):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_events(spark, folder):
-    """A stream over the landed events that passes each (user, type) once, run until it has read all."""
+    """A stream over the landed events that passes each (user, type) once, run until it has read all. The watermark of 400 days bounds its state and is wider than the table."""
     batch = table(spark, folder, "events")
     root = f"{checkpoints.folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    once = twins.first_of(stream, ["user_id", "event_type"], "at", "400 days").drop("at")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    told = checkpoints.materialize(spark.read.schema(once.schema).parquet(f"{root}/out"))
+    checkpoints.remove(spark, root)
+    return told
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS seen, count(*) FILTER (WHERE value > 20) AS kept FROM events GROUP BY ALL")
+def stream_daily_counts(spark, folder):
+    """Seen and kept per type and day by the streaming twin, run until it has read all."""
+    batch = table(spark, folder, "events")
+    root = f"{checkpoints.folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*").select("event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    counted = twins.feed_counts(stream, "event_type", "at", "1 day", "1 day", F.col("value") > 20)
+    last: list[DataFrame] = []
+    keep = lambda df, _: last.append(checkpoints.materialize(df))  # noqa: E731  in complete mode the last batch holds all
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    checkpoints.remove(spark, root)
+    return last[-1].select("event_type", F.to_date("window.start").alias("day"), "seen", "kept")
+
+
+@query(f"""SELECT o_orderkey, sha256('{{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}') AS hash, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M') AS moment FROM orders""")
+def hashed_requests(spark, folder):
+    """The hash of a request's fields, and its local time (two hours ahead) as a moment."""
+    rows = table(spark, folder, "orders")
+    moment = dates.in_zone(F.col("o_orderdate"), "Etc/GMT-2")
+    return rows.select("o_orderkey", T.request_hash({"status": F.col("o_orderstatus"), "key": F.col("o_orderkey")}).alias("hash"), F.date_format(moment, "yyyy-MM-dd HH:mm").alias("moment"))
+
+
+@query("""SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS drafts_pending, count(*) AS articles_created, 5.0::DOUBLE AS sessions, 0.25::DOUBLE AS tool_ctr, NULL::DOUBLE AS subscribers FROM orders""")
+def merged_metrics(spark, folder):
+    counts = table(spark, folder, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("drafts_pending"), F.count("*").alias("articles_created"))
+    return drafts.merged_metrics(counts, {"sessions": 3, "subscribers": None, "tool_ctr": None}, {"tool_ctr": 0.25, "sessions": 5})
+
+
+@query("""SELECT p_partkey AS id, p_name || chr(10) || chr(10) || p_type || ' of ' || p_brand || chr(10) AS article,
+  '{"title":"' || p_name || '","source_url":"http://s/' || p_partkey || '","summary":"' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_type || ' of ' || p_brand || '…' END || '","category":"' || p_brand || '","tags":["' || p_type || '"],"editorial_type":"news","section_path":"/news/","generated_at":"2001-07-01T00:00:00","quality":{"size":' || p_size || '}}' AS meta FROM part""")
+def article_files(spark, folder):
+    """Articles and their metadata as files, with a rating added later."""
+    p = table(spark, folder, "part")
+    articles = p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat_ws(" of ", "p_type", "p_brand").alias("body"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("summary"), F.col("p_brand").alias("category"),
+        F.array("p_type").alias("tags"), F.lit("news").alias("section"), F.lit("/news/").alias("section_path"), F.array(F.struct(F.concat(F.lit("http://s/"), F.col("p_partkey").cast("string")).alias("url"))).alias("sources"),
+    )
+    files = sinks.article_files(articles, F.lit(ORDERS_AS_OF).cast("timestamp")).join(p.select(F.col("p_partkey").alias("k"), "p_size"), F.col("id") == F.col("k"))
+    return files.select("id", "article", sinks.with_part(F.col("meta"), "quality", F.to_json(F.struct(F.col("p_size").alias("size")))).alias("meta"))
+
+
+@query("""SELECT 'vendor' AS source_type, '- {"source_type":"vendor","id":"s-' || s_suppkey || '","name":"' || s_name || '","priority":' || s_nationkey || '}' AS value FROM supplier""")
+def registry_entries(spark, folder):
+    rows = table(spark, folder, "supplier").select(F.lit("vendor").alias("source_type"), F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("priority"))
+    return sinks.registry_yaml(rows)
+
+
+@query("""SELECT * FROM (VALUES ('region', 1, 'r_regionkey', 'int', true), ('region', 2, 'r_name', 'string', true), ('nation', 1, 'n_nationkey', 'int', true), ('nation', 2, 'n_name', 'string', true), ('nation', 3, 'n_regionkey', 'int', true)) AS t("table", place, "column", type, nullable)""")
+def described_tables(spark, folder):
+    return sinks.described({t: table(spark, folder, t) for t in ("region", "nation")})
+
+
+@query("""WITH v AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_type = 'view')
+SELECT CAST((SELECT max(event_id) FROM events) + n AS BIGINT) AS id, 'e' || event_id AS title, false AS is_published FROM v UNION ALL SELECT event_id, 'old', true FROM events WHERE event_type <> 'view'""")
+def inserted_videos(spark, folder):
+    events = table(spark, folder, "events")
+    top = events.where("event_type <> 'view'").select(F.col("event_id").alias("id"), F.lit("old").alias("title"), F.lit(True).alias("is_published"))
+    last = events.agg(F.max("event_id")).first()[0]  # the views' ids count as taken
+    found = events.where("event_type = 'view'").select(F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("title"))
+    marker = events.where("event_type <> 'view'").limit(1).select(F.lit(last).alias("id"), F.lit("marker").alias("title"), F.lit(True).alias("is_published"))
+    return drafts.insert_videos(top.unionByName(marker), found, _at(EVENTS_AS_OF)).where("title <> 'marker'").select("id", "title", "is_published")
+
+
+@query("""SELECT p_partkey, pos, parameter, value FROM (SELECT p_partkey, unnest([
+  {'pos': 0, 'parameter': 'throughput', 'value': (p_size * 100) || ' cph'}, {'pos': 1, 'parameter': 'accuracy', 'value': p_size || ' um accuracy'},
+  {'pos': 2, 'parameter': 'first_pass_yield', 'value': p_size || '%'}, {'pos': 3, 'parameter': 'first_pass_yield', 'value': (p_size + 1) || '%'},
+  {'pos': 4, 'parameter': 'pcb_size', 'value': p_size || ' x 10'}, {'pos': 5, 'parameter': 'weight', 'value': p_size || ' kg'}], recursive := true) FROM part)""")
+def stated_facts(spark, folder):
+    """Facts of a text of five lines about each part."""
+    size = F.col("p_size").cast("string")
+    lines = [
+        F.concat(F.lit("Throughput "), (F.col("p_size") * 100).cast("string"), F.lit(" cph on line 1")), F.concat(F.lit("Accuracy of "), size, F.lit(" um accuracy")),
+        F.concat(F.lit("First pass yield is "), size, F.lit("% good. "), (F.col("p_size") + 1).cast("string"), F.lit("% of boards fail.")),
+        F.concat(F.lit("PCB size: "), size, F.lit(" x 10")), F.concat(F.lit("weight - "), size, F.lit(" kg")),
+    ]
+    facts = table(spark, folder, "part").select("p_partkey", F.posexplode(extract.technical_facts(F.concat_ws("\n", *lines))).alias("pos", "f"))
+    return facts.select("p_partkey", "pos", "f.parameter", "f.value")

@@ -36,13 +36,18 @@ def child(block: Column, *names: str) -> Column:
     return F.coalesce(*found)
 
 
-def feed_items(feeds: DataFrame, as_of: Column, per_feed: int = 20) -> DataFrame:
-    """feed, pos, title, source, snippet, published of the first items of RSS or Atom payloads (feed, xml)."""
+def _items(feeds: DataFrame, most: int) -> DataFrame:
+    """The first items (pos, b) of RSS or Atom payloads, with the feeds' other columns."""
     xml = repaired(F.col("xml"))
     rss = F.regexp_extract_all(xml, F.lit(r"(?is)<item(?:\s[^>]*)?>.*?</item\s*>"), F.lit(0))
     atom = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?entry(?:\s[^>]*)?>.*?</(?:\w+:)?entry\s*>"), F.lit(0))
-    blocks = F.slice(F.when(F.size(rss) > 0, rss).otherwise(atom), 1, per_feed)
-    each = feeds.select("feed", F.posexplode(blocks).alias("pos", "b"))
+    blocks = F.slice(F.when(F.size(rss) > 0, rss).otherwise(atom), 1, most)
+    return feeds.select(*[c for c in feeds.columns if c != "xml"], F.posexplode(blocks).alias("pos", "b"))
+
+
+def feed_items(feeds: DataFrame, as_of: Column, per_feed: int = 20) -> DataFrame:
+    """feed, pos, title, source, snippet, published of the first items of RSS or Atom payloads (feed, xml)."""
+    each = _items(feeds, per_feed)
     href = F.nullif(F.regexp_extract("b", r"(?is)<(?:\w+:)?link\b[^>]*\bhref=[\"']([^\"']+)[\"']", 1), F.lit(""))
     return each.select(
         "feed", "pos", child(F.col("b"), "title").alias("title"), F.coalesce(child(F.col("b"), "link"), href).alias("source"),
@@ -51,6 +56,15 @@ def feed_items(feeds: DataFrame, as_of: Column, per_feed: int = 20) -> DataFrame
     )
 
 
+def search_feed_items(landed: DataFrame, as_of: Column, most: int = 8) -> DataFrame:
+    """query, pos, title, snippet, source, feed, date_source, published of the first items of search feeds (query, xml); the feed is named by the item's own source."""
+    named = F.coalesce(child(F.col("b"), "source"), F.lit(""))
+    return _items(landed, most).select(
+        "query", "pos", child(F.col("b"), "title").alias("title"), T.strip_tags(child(F.col("b"), "description"), 350).alias("snippet"), child(F.col("b"), "link").alias("source"),
+        F.concat(F.lit("GoogleNews:"), named).alias("feed"), F.lit("google_news_rss").alias("date_source"), dates.parse_feed_date(child(F.col("b"), "pubDate"), as_of).alias("published"),
+    )
+
+
 def collected(items: DataFrame, days: int, as_of: Column, terms: list[str], strict: bool = True) -> DataFrame:
     """Items with title and address that are relevant and fresh, one per address: the first."""
     low = F.lower(F.concat_ws(" ", "title", "snippet"))
@@ -132,3 +146,22 @@ def configured(spark: SparkSession, setting: str, registry: list[tuple], builtin
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def discovered_feeds(pages: DataFrame, probes: DataFrame) -> DataFrame:
+    """page, feed_url, title, kind, method: the feeds that pages (page, html) advertise; for pages without one, the probed common addresses (page, candidate, xml) that hold a feed."""
+    told = feed_links(pages).withColumn("method", F.lit("link_tag"))
+    silent = probes.join(told.select(F.col("page").alias("__p")).distinct(), F.col("page") == F.col("__p"), "left_anti").where(is_feed(F.col("xml")))
+    return told.unionByName(silent.select("page", F.col("candidate").alias("feed_url"), F.lit("").alias("title"), F.lit("rss").alias("kind"), F.lit("common_path_probe").alias("method")))
+
+
+def discovered_news(sitemaps: DataFrame, children: DataFrame, most_children: int = 5, most: int = 10) -> DataFrame:
+    """sitemap, place, loc, lastmod: each site's most recent news-like addresses, from its sitemap (sitemap, xml) or, if that is an index, from its first child sitemaps (loc, xml)."""
+    entries = sitemap_urls(sitemaps.select("sitemap", "xml"))
+    order = Window.partitionBy("sitemap").orderBy("loc")
+    first = entries.where("is_index").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_children).select(F.col("sitemap").alias("of"), F.col("loc").alias("child"))
+    inside = sitemap_urls(children.select(F.col("loc").alias("sitemap"), "xml")).where("NOT is_index")
+    merged = inside.join(first, F.col("sitemap") == F.col("child")).select(F.col("of").alias("sitemap"), "loc", "lastmod")
+    news = entries.where("NOT is_index").select("sitemap", "loc", "lastmod").unionByName(merged).where(U.is_news_like(F.col("loc")))
+    place = F.row_number().over(Window.partitionBy("sitemap").orderBy(F.desc_nulls_last("lastmod"), "loc"))
+    return news.withColumn("place", place).where(F.col("place") <= most).select("sitemap", "place", "loc", "lastmod")

@@ -1,7 +1,8 @@
 """Landed HTML to dated items: search results, listing pages, vendor pages; registry files to rows.
 
 Markup is cut by patterns: a search result runs to the next result, a listed item from
-its heading to the next heading, and a vendor link stands in the 1200 characters around it.
+its heading or card to the next one, and a vendor link stands in the text up to 600
+characters to either side of it, the neighbouring links' included.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gleanwork.functions import dates
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
+from gleanwork.functions.bind import once
 
 LINK = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 SHORTEST_TITLE = 8
@@ -33,7 +35,7 @@ def _first_of(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 
 def search_results(landed: DataFrame, as_of: Column, most: int = 5) -> DataFrame:
     """query, pos, title, snippet, source, published from landed result pages (query, html); redirects unwrapped, the first ``most`` with title and address."""
-    parts = F.slice(F.split("html", r"(?i)<div[^>]*class=[\"'][^\"']*\bresult__body\b"), 2, 1000)
+    parts = F.filter(F.split("html", r"(?i)<div[^>]*class=[\"'][^\"']*\bresult__body\b"), lambda b, i: i > 0)
     each = landed.select("query", F.posexplode(parts).alias("pos", "b"))
     found = r"(?is)<a\b(?=[^>]*class=[\"'][^\"']*result__a\b)[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
     rows = each.select(
@@ -44,29 +46,48 @@ def search_results(landed: DataFrame, as_of: Column, most: int = 5) -> DataFrame
     return _first_of(rows.where("title <> '' AND source <> ''"), ["query"], most)
 
 
-def listed_items(landed: DataFrame, as_of: Column, most: int = 50) -> DataFrame:
-    """feed, pos, title, snippet, source, published from listing pages (feed, page, html): headings h2 to h4 that hold a link."""
-    parts = F.filter(F.split("html", r"(?i)(?=<h[2-4]\b)"), lambda b: b.rlike(r"(?i)^<h[2-4]\b"))
-    each = landed.select("feed", "page", F.posexplode(parts).alias("pos", "b"))
-    head = F.regexp_extract("b", r"(?is)^<h[2-4]\b[^>]*>(.*?)</h[2-4]>", 1)
+#: What begins a listed item: a heading, or a card's link or its holder by class.
+ITEM = r"(?i)(?=<h[2-4]\b|<a\b[^>]*\bclass=[\"'][^\"']*\b(?:entry-)?title\b|<(?!h[2-4]|a\b)\w+\b[^>]*\bclass=[\"'][^\"']*\b(?:post-title|headline)\b)"
+CARD = r"(?is)^<(?!h[2-4]\b)"
+
+
+def listed_items(landed: DataFrame, as_of: Column, most: int = 50, page_dates: DataFrame | None = None) -> DataFrame:
+    """feed, pos, title, snippet, source, published from listing pages (feed, page, html): headings h2 to h4 that hold a link, then cards.
+
+    Items without a date get that of their own page from ``page_dates`` (url, at), where it is landed.
+    """
+    parts = F.filter(F.split("html", ITEM), lambda b: b.rlike(r"(?is)^<(h[2-4]\b|a\b[^>]*\bclass=|\w+\b[^>]*\bclass=)"))
+    ordered = F.concat(F.filter(parts, lambda b: ~b.rlike(CARD)), F.filter(parts, lambda b: b.rlike(CARD)))
+    each = landed.select("feed", "page", F.posexplode(ordered).alias("pos", "b"))
+    head = F.coalesce(F.nullif(F.regexp_extract("b", r"(?is)^(<h[2-4]\b[^>]*>.*?</h[2-4]>)", 1), F.lit("")), F.when(F.col("b").rlike(CARD), F.col("b")), F.lit(""))
     title, block = _bare(F.regexp_extract(head, LINK, 2)), _bare(F.col("b"))
     rows = each.select(
         "feed", "pos", title.alias("title"), F.substring(F.trim(F.replace(block, title, F.lit(""))), 1, 350).alias("snippet"),
         U.resolve(F.col("page"), F.nullif(F.regexp_extract(head, LINK, 1), F.lit(""))).alias("source"), dates.parse_any_date(block, as_of).alias("published"),
     )
-    return _first_of(rows.where((F.char_length("title") >= SHORTEST_TITLE) & F.col("source").isNotNull()), ["feed"], most)
+    kept = _first_of(rows.where((F.char_length("title") >= SHORTEST_TITLE) & F.col("source").isNotNull()), ["feed"], most)
+    if page_dates is None:
+        return kept
+    known = page_dates.groupBy(F.col("url").alias("__of")).agg(F.max("at").alias("__at"))
+    return kept.join(known, (F.col("source") == F.col("__of")) & F.col("published").isNull(), "left").withColumn("published", F.coalesce("published", "__at")).drop("__of", "__at")
 
 
 def vendor_items(landed: DataFrame, as_of: Column, most: int = 25) -> DataFrame:
     """feed, pos, title, snippet, source, published from vendors' pages (feed, page, html): links that may be news, dated by the text around."""
-    whole = F.regexp_extract_all("html", F.lit(LINK), F.lit(0))
-    each = landed.select("feed", "page", "html", F.posexplode(whole).alias("pos", "a"))
-    at = F.expr("locate(a, html)")
-    near = F.regexp_replace(F.expr(f"substring(html, greatest(1, locate(a, html) - {AROUND // 2}), length(a) + {AROUND})"), r"^[^<]*>|<[^>]*$", "")
+
+    def around(texts: Column, anchors: Column) -> Column:
+        get = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+        before = lambda i: F.right(F.concat(get(texts, i - 1), get(anchors, i - 1), get(texts, i)), F.lit(AROUND // 2))
+        after = lambda i: F.left(F.concat(get(texts, i + 1), get(anchors, i + 1), get(texts, i + 2)), F.lit(AROUND // 2))
+        return F.transform(anchors, lambda a, i: F.struct(a.alias("a"), F.concat(before(i), a, after(i)).alias("near")))
+
+    found = F.struct(F.split("html", LINK, -1).alias("texts"), F.regexp_extract_all("html", F.lit(LINK), F.lit(0)).alias("anchors"))
+    each = landed.select("feed", "page", F.posexplode(once(found, lambda f: around(f["texts"], f["anchors"]))).alias("pos", "x")).select("feed", "page", "pos", "x.a", "x.near")
+    near = _bare(F.regexp_replace("near", r"^[^<]*>|<[^>]*$", ""))
     title, href = _bare(F.regexp_extract("a", LINK, 2)), F.regexp_extract("a", LINK, 1)
-    rows = each.where(at > 0).where(U.is_link_candidate(F.col("page"), href, title)).select(
-        "feed", "pos", title.alias("title"), F.substring(F.trim(F.replace(_bare(near), title, F.lit(""))), 1, 350).alias("snippet"),
-        U.resolve(F.col("page"), href).alias("source"), dates.parse_any_date(_bare(near), as_of).alias("published"),
+    rows = each.where(U.is_link_candidate(F.col("page"), href, title)).select(
+        "feed", "pos", title.alias("title"), F.substring(F.trim(F.replace(near, title, F.lit(""))), 1, 350).alias("snippet"),
+        U.resolve(F.col("page"), href).alias("source"), dates.parse_any_date(near, as_of).alias("published"),
     )
     return _first_of(rows, ["feed"], most)
 

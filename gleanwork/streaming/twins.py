@@ -13,9 +13,14 @@ def fresh(stream: DataFrame, at: str, since: Column) -> DataFrame:
     return stream.where(F.col(at) >= since)
 
 
+def first_of(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
+    """The first row of each key within the watermark, which bounds the state; ``at`` is a timestamp."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def first_of_url(stream: DataFrame, url: Column, at: str, delay: str) -> DataFrame:
     """The first item of each canonical URL within the watermark; ``at`` is a timestamp."""
-    return stream.withColumn("canonical", U.canonical_url(url)).withWatermark(at, delay).dropDuplicatesWithinWatermark(["canonical"])
+    return first_of(stream.withColumn("canonical", U.canonical_url(url)), ["canonical"], at, delay)
 
 
 def feed_counts(stream: DataFrame, feed: str, at: str, window: str, delay: str, kept: Column) -> DataFrame:

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from gleanwork.plans import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "documents pages labels conversations orders events part supplier embeddings benchmark".split()
+TABLES = "documents pages labels conversations orders events part supplier embeddings benchmark region nation".split()
 
 
 @pytest.fixture(scope="module")
