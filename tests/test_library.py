@@ -1,0 +1,239 @@
+"""Composition, sinks, discovery and the smaller operators on small fixtures."""
+
+import datetime as dt
+import html
+import json
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanwork.functions import dates, extract, lint, pages
+from gleanwork.functions import text as T
+from gleanwork.operators import briefs, dedupe, drafts, expand, signals, sinks
+from gleanwork.sources import landing, listings
+
+
+def as_of(day="2024-01-20"):
+    return F.lit(day).cast("timestamp")
+
+
+def one(spark, col):
+    return spark.range(1).select(col.alias("x")).first()["x"]
+
+
+def test_character_references(spark):
+    texts = ["&#8217;&eacute;&nbsp;&amp;lt; &#x2019;&#X41;", "&unknown; &#0; &#99999999; & &; &#xD800;", "a &amp;#39; b &#38;lt; &hellip;", "plain", "", "&copy;&mdash;&Auml;&#128578;"]
+    got = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.decode_entities(F.col("t")).alias("x")).collect()]
+    for t, x in zip(texts, got, strict=True):
+        if "unknown" not in t:
+            assert x == html.unescape(t).replace("\xa0", " ") or x == html.unescape(t)
+    assert got[1] == "&unknown; &#0; &#99999999; & &; &#xD800;"
+
+
+def test_percentages_against_brute_force(spark):
+    def brute(line):
+        out = []
+        for m in re.finditer(extract.PERCENT, line):
+            value = m.group(1).strip()
+            near = f"{line[max(0, m.start() - 30) : m.start()].lower()} {value} {m.group(2).lower()}"
+            if any(k in near for k in extract.PERCENT_WORDS):
+                out.append(("first_pass_yield" if "yield" in near or "fpy" in near else "false_call_rate" if "false call" in near else "accuracy", value))
+        return out
+
+    draw = random.Random(1)
+    words = ["95%", "3 %", "1,5%", "yield", "false call", "of", "boards.", "accuracy", "x5%", "fpy", "uptime 9%", "and", "12345678901234567890%", "é", "."]
+    lines = ["First pass yield is 95% good. 3% of boards fail.", "a5% yield 5% x", "%", ""] + [draw.choice([" ", ""]).join(draw.choices(words, k=draw.randrange(1, 20))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", extract.percent_facts(F.col("line")).alias("f")).collect()
+    assert {r["i"]: [(f["parameter"], f["value"]) for f in r["f"]] for r in rows} == {i: brute(x) for i, x in enumerate(lines)}
+
+
+def test_pairs_with_a_token_in_every_row(spark):
+    draw = random.Random(7)
+    sets = [(i, sorted({"all", *draw.choices("abcdefghijklmnop", k=draw.randrange(1, 6))})) for i in range(120)] + [(500, []), (501, ["lone"])]
+    df = spark.createDataFrame(sets, "id long, tokens array<string>")
+    for threshold in (0.5, 0.85):
+        score = lambda x, y: len(set(x) & set(y)) / min(len(x), len(y))
+        want = {(i, j): score(x, y) for i, x in sets for j, y in sets if i < j and x and y and score(x, y) >= threshold}
+        assert {(r["a"], r["b"]): r["score"] for r in dedupe.similar_within(df, threshold).collect()} == pytest.approx(want)
+        left, right = df.where("id % 3 = 0"), df.where("id % 3 <> 0")
+        want = {(i, j): score(x, y) for i, x in sets for j, y in sets if i % 3 == 0 and j % 3 and x and y and score(x, y) >= threshold}
+        assert {(r["a"], r["b"]): r["score"] for r in dedupe.similar_pairs(left, right, threshold).collect()} == pytest.approx(want)
+
+
+def test_greedy_keep_of_a_chain(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 10))) for i in range(14)]  # each is near the next ones only
+    kept, want = dedupe.greedy_keep(spark.createDataFrame(rows, "seq long, title string"), "seq", T.scan_tokens(F.col("title")), 0.9), []
+    for i, t in rows:
+        if all(len(set(t.split()) & set(rows[j][1].split())) < 9 for j in want):
+            want.append(i)
+    assert sorted(r["seq"] for r in kept.where("kept").collect()) == want
+
+
+def test_json_ld_and_dates_inside(spark):
+    got = json.loads(one(spark, T.json_ld(F.lit("T \"q\""), F.lit("d"), F.lit("a-b"), F.lit("AOI"), "https://s.example", "P", as_of())))
+    assert got["@type"] == "Article" and got["headline"] == 'T "q"' and got["mainEntityOfPage"]["@id"] == "https://s.example/news/a-b" and got["datePublished"] == "2024-01-20"
+    deep = "[" * 3000 + '{"datePublished": "2024-01-02"}' + "]" * 3000
+    assert pages.stated_date('{"a": [{"b": 1}, {"uploadDate": "2023-01-01", "dateModified": "2023-02-02"}], "dateCreated": ""}') == "2023-02-02"
+    assert pages.stated_date(deep) in ("2024-01-02", None) and pages.stated_date("{") is None and pages.stated_date("[1, null]") is None
+
+
+def test_zones_and_hashes(spark):
+    at = F.lit("2024-07-01 12:00:00").cast("timestamp_ntz")
+    assert one(spark, F.date_format(dates.in_zone(at, "Europe/Berlin"), "yyyy-MM-dd HH:mm")) == "2024-07-01 10:00"
+    fields = {"b": F.lit(1), "a": F.lit("x")}
+    assert one(spark, T.request_hash(fields)) == one(spark, T.request_hash(dict(reversed(fields.items())))) and len(one(spark, T.request_hash(fields))) == 64
+
+
+def test_repair_keeps_what_is_better(spark):
+    clean, wrong = F.array().cast(lint.ISSUES), F.array(F.struct(F.lit("c").alias("code"), F.lit("").alias("detail"), F.lit("error").alias("severity")))
+    assert one(spark, lint.repaired(F.lit("a"), F.lit("b"), wrong, clean)) == "b" and one(spark, lint.repaired(F.lit("a"), F.lit("b"), clean, wrong)) == "a"
+    assert one(spark, lint.repaired(F.lit("a"), F.lit(None).cast("string"), wrong, clean)) == "a" and one(spark, lint.repaired(F.lit("a"), F.lit(" "), wrong, clean)) == "a"
+
+
+def test_cache_and_videos(spark):
+    old = spark.createDataFrame([("a", dt.datetime(2024, 1, 19, 12), "1"), ("b", dt.datetime(2024, 1, 18), "2")], "key string, at timestamp, value string")
+    new = spark.createDataFrame([("a", "3"), ("c", "4")], "k string, v string")
+    got = drafts.cached(old, F.col("k"), F.col("v"), as_of(), new)
+    assert {(r["key"], r["value"]) for r in got.collect()} == {("a", "3"), ("b", "2"), ("c", "4")}
+    assert {r["key"] for r in drafts.fresh_cache(got, as_of()).collect()} == {"a", "c"}
+    videos = spark.createDataFrame([(4, "x", True)], "id long, title string, is_published boolean")
+    found = spark.createDataFrame([(2, "n2"), (1, "n1")], "seq long, title string")
+    assert {(r["id"], r["title"], r["is_published"]) for r in drafts.insert_videos(videos, found, as_of()).collect()} == {(4, "x", True), (5, "n1", False), (6, "n2", False)}
+
+
+def test_channels_and_configuration(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "seq long, title string")
+    both = signals.union_channels([frame((1, "a")), frame((1, "b")).withColumn("query", F.lit("q"))])
+    assert sorted((r["channel_no"], r["title"], r["query"]) for r in both.collect()) == [(0, "a", None), (1, "b", "q")]
+    conf = lambda s: [tuple(r) for r in landing.configured(spark, s, [("R", "http://r")], [("B", "http://b")]).collect()]
+    assert conf("A|http://a|g; C | http://c") == [("A", "http://a", "g"), ("C", "http://c", None)] and conf("") == [("R", "http://r", None)]
+    assert [tuple(r) for r in landing.configured(spark, "", [], [("B", "http://b")]).collect()] == [("B", "http://b", None)]
+    urls = spark.createDataFrame([("b", None), ("c", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 2))], "loc string, lastmod timestamp")
+    assert [r["loc"] for r in landing.recent_first(urls).collect()] == ["a", "c", "b"]
+
+
+FEED = "<rss><channel><item><title>A &amp; B</title><link>http://n/1</link><source url='x'>The Paper</source><description>&lt;b&gt;said&lt;/b&gt; it</description><pubDate>Fri, 19 Jan 2024 10:00:00 GMT</pubDate></item><item><title>C</title><link>http://n/2</link></item></channel></rss>"
+
+
+def test_search_feeds_and_discovery(spark):
+    got = landing.search_feed_items(spark.createDataFrame([("q", FEED)], "query string, xml string"), as_of(), 1).collect()
+    assert [(r["query"], r["title"], r["source"], r["feed"], str(r["published"])[:10]) for r in got] == [("q", "A & B", "http://n/1", "GoogleNews:The Paper", "2024-01-19")]
+    pages_ = spark.createDataFrame([("http://a", '<link rel="alternate" type="application/rss+xml" href="/f.xml" title="F">'), ("http://b", "<p>none</p>")], "page string, html string")
+    probes = spark.createDataFrame([("http://a", "http://a/feed", FEED), ("http://b", "http://b/feed", FEED), ("http://b", "http://b/rss", "<html></html>")], "page string, candidate string, xml string")
+    assert {(r["page"], r["feed_url"], r["method"]) for r in landing.discovered_feeds(pages_, probes).collect()} == {("http://a", "http://a/f.xml", "link_tag"), ("http://b", "http://b/feed", "common_path_probe")}
+    urlset = lambda *locs: "<urlset>" + "".join(f"<url><loc>{u}</loc><lastmod>{d}</lastmod></url>" for u, d in locs) + "</urlset>"
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>http://s/c{i}.xml</loc></sitemap>" for i in range(7)) + "</sitemapindex>"
+    maps = spark.createDataFrame([("s", index), ("t", urlset(("http://t/news/1", "2024-01-01"), ("http://t/about", "2024-01-02"), ("http://t/blog/2", "2024-01-03")))], "sitemap string, xml string")
+    children = spark.createDataFrame([(f"http://s/c{i}.xml", urlset((f"http://s/news/{i}", f"2024-01-0{i + 1}"))) for i in range(7)], "loc string, xml string")
+    got = {(r["sitemap"], r["place"]): r["loc"] for r in landing.discovered_news(maps, children, most=3).collect()}
+    assert got == {("t", 1): "http://t/blog/2", ("t", 2): "http://t/news/1", ("s", 1): "http://s/news/4", ("s", 2): "http://s/news/3", ("s", 3): "http://s/news/2"}
+
+
+def test_cards_and_page_dates(spark):
+    page = '<a class="x entry-title" href="/n/3">A card of its own</a><p>2024-01-02 c</p><h2><a href="/n/1">A heading here</a></h2><p>no date</p><div class="post-title"><a href="/n/4">Held by a card</a></div><p>words</p>'
+    landed = spark.createDataFrame([("f", "http://h/p", page)], "feed string, page string, html string")
+    known = spark.createDataFrame([("http://h/n/1", dt.datetime(2024, 1, 9))], "url string, at timestamp")
+    got = sorted(listings.listed_items(landed, as_of(), page_dates=known).collect(), key=lambda r: r["pos"])
+    assert [(r["title"], r["source"], str(r["published"])[:10]) for r in got] == [("A heading here", "http://h/n/1", "2024-01-09"), ("A card of its own", "http://h/n/3", "2024-01-02"), ("Held by a card", "http://h/n/4", "None")]
+    same = "<a href='/news/x'>We launch a platform</a>"
+    vendor = f"<p>{'old ' * 400}</p>{same} 2024-01-06 {'words ' * 300} <a href='/news/y'>We launch a system</a> 2024-01-08"
+    got = sorted(listings.vendor_items(spark.createDataFrame([("v", "http://h/p", vendor)], "feed string, page string, html string"), as_of()).collect(), key=lambda r: r["pos"])
+    assert [(r["source"], str(r["published"])[:10]) for r in got] == [("http://h/news/x", "2024-01-06"), ("http://h/news/y", "2024-01-08")]
+
+
+SIGNALS = "seq long, title string, snippet string, source string, feed string, published timestamp"
+ROWS = [
+    (1, "AOI inspection of solder joints in reflow", "Defect rate fell, 99% yield", "https://a.example/1", "a.example", dt.datetime(2024, 1, 19)),
+    (2, "Solder joints after reflow seen by AOI", "More on the defect rate", "https://b.example/2", "b.example", None),
+    (3, "Stencil printer with nozzle cleaning", "A printer", "https://c.example/3", "c.example", dt.datetime(2024, 1, 10)),
+    (4, "AOI inspection of solder joints in reflow ovens", "again", "https://a.example/4", "a.example", None),
+]
+
+
+def test_excerpts_append_and_corroborate(spark):
+    s = spark.createDataFrame(ROWS, SIGNALS).withColumn("full_text", F.when(F.col("seq") == 1, "the whole text"))
+    own = spark.createDataFrame([(1, "https://a.example/1/?utm_x=1", "f"), (1, "https://b.example/2", "f"), (1, "https://z.example", "fallback")], "topic_id long, url string, fallback string")
+    assert {r["url"]: r["excerpt"] for r in expand.excerpts(own, s).collect()} == {"https://a.example/1/?utm_x=1": "the whole text", "https://b.example/2": "More on the defect rate", "https://z.example": "fallback"}
+    rows = [(1, 2, 1, "B", "http://x/a/", None, None, "e" * 700), (1, 1, 5, "A ", "http://x/a", "2024", "r", None), (1, 1, 6, "", "http://x/b", "", None, None), (1, 1, 7, "none", "", "", None, None)]
+    got = {r["url"]: r for r in expand.appended(spark.createDataFrame(rows, "topic_id long, phase int, seq long, title string, url string, date string, role string, excerpt string")).collect()}
+    assert set(got) == {"http://x/a", "http://x/b"} and got["http://x/a"]["title"] == "A" and got["http://x/b"]["title"] == "http://x/b" and got["http://x/b"]["date"] == "unknown" and got["http://x/b"]["role"] == "source"
+    topics = spark.createDataFrame([(1, "AOI joints in reflow ovens")], "topic_id long, text string")
+    found = [(1, 1, "Reflow ovens and joints", "http://n/1", dt.datetime(2024, 1, 19)), (1, 2, "Reflow ovens and joints", "http://n/1?utm_a=b", dt.datetime(2024, 1, 19)), (1, 3, "Reflow joints", "http://have", None), (1, 4, "Other things", "http://n/4", None), (1, 5, "Joints in ovens", "http://n/5", dt.datetime(2020, 1, 1)), (1, 6, "Ovens for reflow joints", "http://n/6", None)]
+    results = spark.createDataFrame(found, "topic_id long, seq long, title string, url string, published timestamp")
+    have = spark.createDataFrame([(1, "http://have/")], "topic_id long, url string")
+    got = expand.corroborating(topics, results, have, dates.is_fresh(F.col("published"), 30, as_of(), False)).collect()
+    assert [(r["seq"], r["place"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 1), (6, 2)]
+
+
+def test_context_links(spark):
+    links = [
+        (1, "Product page of AOI", "https://maker.example/solution/x"), (2, "share", "https://twitter.com/x"), (3, "Solder joints", "https://other.example/contact/a"), (4, "Weather", "https://other.example/rain"),
+        (5, "AOI solder joints inspection reflow", "/deep/aoi-solder"), (6, "home", "/"), (7, "Solder", "https://other.example/solder?utm_a=1"), (8, "Solder again", "https://other.example/solder"), (9, "mail", "mailto:a@b"),
+    ]
+    df = spark.createDataFrame([(1, "AOI inspection of solder joints in reflow", "https://www.site.example/p", *x) for x in links], "topic_id long, topic_text string, page_url string, pos int, title string, href string")
+    assert sorted(r["pos"] for r in expand.context_links(df).collect()) == [1, 5, 7]
+    assert [r["pos"] for r in expand.context_links(df, 1).collect()] == [1]
+
+
+def test_whole_brief(spark):
+    items = spark.createDataFrame(ROWS, SIGNALS)
+    texts = spark.createDataFrame([("https://a.example/1", "Throughput 100 cph on a line.\nYield 98% now")], "url string, text string")
+    results = spark.createDataFrame([(3, 1, "Nozzle cleaning in a stencil printer", "https://n.example/9", None, "said")], "topic_id long, seq long, title string, url string, published timestamp, snippet string")
+    links = spark.createDataFrame([("https://c.example/3", 0, "https://maker.example/product/printer", "The printer")], "page_url string, pos int, href string, title string")
+    got = {r["topic_id"]: r for r in briefs.build_briefs(items, texts, as_of(), 4, [("aoi", ["aoi"]), ("printing", ["printer"])], results, None).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1]["category"] == "aoi" and got[3]["category"] == "printing" and got[1]["urgency"] == "HIGH" and got[2]["urgency"] == "MEDIUM"
+    roles = [(s["url"], s["role"]) for s in got[1]["sources"]]
+    assert roles[0] == ("https://a.example/1", "fresh_primary") and ("https://b.example/2", "related_fresh_signal") in roles and roles[1][0] == "https://b.example/2"
+    assert any(f.startswith("throughput: 100 cph") for f in got[1]["key_facts"]) and "throughput" in got[1]["sources"][0]["excerpt"]
+    assert [s["url"] for s in got[3]["sources"]] == ["https://c.example/3", "https://n.example/9"] and got[3]["source_count"] == 2
+    linked = {r["topic_id"]: [s["url"] for s in r["sources"]] for r in briefs.build_briefs(items, texts, as_of(), 4, [], None, links).collect()}
+    assert linked[3] == ["https://c.example/3", "https://maker.example/product/printer"]
+
+
+def test_document_brief(spark):
+    docs = spark.createDataFrame([("Datasheet", "http://d/1", "An AOI machine with 10 um accuracy", "Acme", ["AX-1000"], ["AOI"], None), ("Paper", "http://d/2", "Words", "", [], [], None)], "title string, url string, text string, company string, products array<string>, technologies array<string>, date timestamp")
+    docs = docs.withColumn("facts", extract.technical_facts(F.col("text")))
+    got = {r["url"]: r for r in briefs.document_brief(docs, "SMT Equipment").collect()}
+    assert got["http://d/1"]["topic"] == "Acme AX-1000: Technical Specifications & Engineering Review" and got["http://d/1"]["section"] == "review" and got["http://d/1"]["keywords"] == ["Acme", "AOI", "AX-1000"]
+    assert got["http://d/1"]["key_facts"] == ["accuracy: 10 um accuracy"] and "accuracy = 10 um accuracy" in got["http://d/1"]["angle"]
+    assert got["http://d/2"]["topic"] == "Engineering Review: Paper" and got["http://d/2"]["keywords"][0] == "SMT Equipment Vendor" and got["http://d/2"]["sources"][0]["date"] == "unknown"
+    told = landing.document_signals(docs, F.col("facts")).collect()
+    assert {r["source"]: r["n_facts"] for r in told} == {"http://d/1": 1, "http://d/2": 0} and "- accuracy: 10 um accuracy" in {r["source"]: r["full_text"] for r in told}["http://d/1"]
+
+
+def test_submission_and_its_guard(spark):
+    existing = spark.createDataFrame([(7, "old-news"), (9, "fresh-start")], "id long, slug string")
+    stored = spark.createDataFrame([(7, "Old news", ["http://o/1"]), (9, "Fresh start?", [])], "id long, title string, urls array<string>")
+    new = [(1, "Old News!", "b", "http://n/1", None), (2, "Another", "b", "http://o/1?utm_a=1", None), (3, "Brand new thing", "x " * 200, "http://n/3", "review"), (4, "Brand new thing", "y", "", None)]
+    frame = spark.createDataFrame(new, "seq long, title string, body string, link string, explicit string").withColumn("category", F.lit("c")).withColumn("tags", F.array(F.lit("t")))
+    made, blocked = drafts.submit(frame, existing, stored, as_of())
+    assert {(r["seq"], r["reason"], r["matched_id"]) for r in blocked.collect()} == {(1, "same_slug", 7), (2, "same_source_url", 7)}
+    got = {r["seq"]: r for r in made.collect()}
+    assert {s: (r["id"], r["slug"], r["editorial_type"], r["url"]) for s, r in got.items()} == {3: (10, "brand-new-thing", "review", "/reviews/brand-new-thing"), 4: (11, "brand-new-thing-2", "insight", "/insights/brand-new-thing-2")}
+    assert got[3]["summary"].endswith("x…") and not got[3]["is_published"]
+    assert drafts.submit(frame, existing, stored, as_of(), allow_duplicates=True)[0].count() == 4
+
+
+def test_sinks(spark, tmp_path):
+    pytest.importorskip("yaml")
+    at = f"file://{tmp_path}"
+    s = spark.createDataFrame(ROWS, SIGNALS)
+    sinks.write_scan(f"{at}/scan", s, s.limit(1), s.limit(0), as_of(), lookback_days=30)
+    told = spark.read.json(f"{at}/scan/summary").first()
+    assert (told["signal_count"], told["duplicate_signal_count"], told["topic_count"], told["lookback_days"], told["generated_at"]) == (4, 1, 0, 30, "2024-01-20T00:00:00")
+    assert spark.read.json(f"{at}/scan/signals").count() == 4
+    sources = spark.createDataFrame([("rss", "ok-1", "N: \"q\"", "https://a", 3), ("vendor", "v-1", "V", "https://b", None)], "source_type string, id string, name string, url string, priority int")
+    sinks.write_registry(f"{at}/registry", sources)
+    text = spark.read.text(f"{at}/registry", recursiveFileLookup=True).collect()
+    import yaml
+
+    assert sorted((r["id"], r["name"], r.get("priority")) for line in text for r in yaml.safe_load(line["value"])) == [("ok-1", 'N: "q"', 3), ("v-1", "V", None)]
+    articles = spark.createDataFrame([(1, "T", "body", "", "c", None, "news", "/news/", [("http://s",)]), (2, "no body", " ", "", "c", None, "news", "/news/", [])], "id long, title string, body string, summary string, category string, tags array<string>, section string, section_path string, sources array<struct<url: string>>")
+    got = sinks.article_files(articles, as_of()).select("id", "article", sinks.with_part(F.col("meta"), "seo", F.lit('{"a":1}')).alias("meta")).collect()
+    assert [r["article"] for r in got] == ["T\n\nbody\n"]
+    meta = json.loads(got[0]["meta"])
+    assert meta["source_url"] == "http://s" and meta["summary"] == "body…" and meta["tags"] == [] and meta["seo"] == {"a": 1}
+    assert json.loads(one(spark, sinks.with_part(F.lit("{}"), "x", F.lit("2")))) == {"x": 2}
+    assert [(r["column"], r["type"]) for r in sinks.described({"s": sources}).collect()][:2] == [("source_type", "string"), ("id", "string")]
