@@ -224,6 +224,11 @@ def roots_of_cells(placed: DataFrame, percent: int) -> DataFrame:
     return cells.mapInPandas(link, "family long, id long, root long")
 
 
+def few(narrow: DataFrame) -> DataFrame:
+    """A narrow table, to be broadcast if it has at most ``BROADCAST_ROWS``; else the join shuffles."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
 def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFrame:
     """Links (a, b) by full sets within families (id, family, n_shingles): enough of them to connect all that is linked."""
     sizes = families.groupBy(F.col("family").alias("f")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
@@ -231,25 +236,22 @@ def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFra
     sizes = materialize(sizes.select("f", blocks.alias("blocks")))
     member = materialize(families.join(sizes, F.col("family") == F.col("f")).select("id", "family", "blocks"))
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(id, family, blocks, own, set) of these members; a narrow side of known size is broadcast to the scan of the texts."""
-        side = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("id"))
-        return shingle_sets(texts.select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "text"), how)
-
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(member), F.col("doc_id") == F.col("id"))
+    texts = texts.select("id", "family", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "text")
+    sets = materialize(shingle_sets(texts, how))
     # a family's id is its first document's; that one is in each of its blocks
     every, zero = F.sequence(F.lit(0), F.col("blocks") - 1), F.lit(0)
-    placed = sets_of(member).withColumn("x", F.explode(F.when(F.col("id") == F.col("family"), every).otherwise(F.array("own"))))
+    placed = sets.withColumn("x", F.explode(F.when(F.col("id") == F.col("family"), every).otherwise(F.array("own"))))
     roots = materialize(roots_of_cells(placed.select("family", "x", zero.alias("y"), "id", zero.alias("side"), "set"), how.percent))
     links = roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    left = roots.where("root <> family").select(F.col("id").alias("left_id")).distinct()
-    left = materialize(member.where("blocks > 1").join(left, F.col("id") == F.col("left_id")).select("id", "family", "blocks"))
+    large = sets.where("blocks > 1")
+    left = materialize(roots.where("root <> family").select(F.col("id").alias("left_id"), F.col("family").alias("lf")).join(few(sizes.where("blocks > 1")), F.col("lf") == F.col("f"), "left_semi").distinct())
     if left.isEmpty():
         return links.distinct()
     # those meet all blocks of their family, in blocks of their own
-    open_families = member.join(left.select(F.col("family").alias("lf")).distinct(), F.col("family") == F.col("lf"), "left_semi")
-    theirs = sets_of(left).select("family", F.col("own").alias("x"), F.explode(every).alias("y"), "id", F.lit(1).alias("side"), "set")
-    others = sets_of(open_families).select("family", F.explode(every).alias("x"), F.col("own").alias("y"), "id", zero.alias("side"), "set")
+    theirs = large.join(few(left.select("left_id")), F.col("id") == F.col("left_id"), "left_semi").select("family", F.col("own").alias("x"), F.explode(every).alias("y"), "id", F.lit(1).alias("side"), "set")
+    open_ = materialize(left.select("lf").distinct())
+    others = large.join(few(open_), F.col("family") == F.col("lf"), "left_semi").select("family", F.explode(every).alias("x"), F.col("own").alias("y"), "id", zero.alias("side"), "set")
     more = roots_of_cells(theirs.unionByName(others), how.percent).where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     return links.unionByName(more).distinct()
 
@@ -279,11 +281,14 @@ def _differing(x: str, y: str) -> Column:
 
 
 def similar_pairs(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """The distinct pairs (a, b) whose odd sketches differ in at most ``limit`` bits."""
+    """The distinct pairs (a, b) whose odd sketches differ in at most ``limit`` bits; many may share their b."""
+    pairs = materialize(pairs.distinct())
     one = sketches.select(F.col("id").alias("ia"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("id").alias("ib"), F.col("sketch").alias("sb"))
-    both = pairs.distinct().join(one, F.col("a") == F.col("ia")).join(two, F.col("b") == F.col("ib"))
-    return both.where(_differing("sa", "sb") <= limit).select("a", "b").distinct()
+    centres_ = materialize(two.join(few(pairs.select(F.col("b").alias("named")).distinct()), F.col("ib") == F.col("named"), "left_semi"))
+    small = centres_.count() <= BROADCAST_ROWS // 16  # a sketch is 128 bytes
+    both = pairs.join(one, F.col("a") == F.col("ia")).join(F.broadcast(centres_) if small else centres_, F.col("b") == F.col("ib"))
+    return both.where(_differing("sa", "sb") <= limit).select("a", "b")
 
 
 def placed_in(rows: DataFrame, families: DataFrame | None) -> DataFrame:
@@ -310,7 +315,7 @@ def similar_families(classes: DataFrame, placed: DataFrame, limit: int) -> DataF
     A bucket is dealt over a grid of blocks of its outsiders and its members.
     """
     told = centres(placed, STAR_TURNS)
-    inside = materialize(placed.join(told, F.col("bucket") == F.col("cb")).select("bucket", "id", "family", "cf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    inside = materialize(placed.join(few(told), F.col("bucket") == F.col("cb")).select("bucket", "id", "family", "cf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     sketch = classes.select(F.col("id").alias("kid"), F.col("sketch").alias("s"))
     inside = inside.join(sketch, F.col("id") == F.col("kid")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -326,16 +331,17 @@ def sketch_families(classes: DataFrame, how: Settings) -> DataFrame:
     """id, family: two classes (id, bands, sketch) that share a bucket and may be linked are in one family, named by its smallest id."""
     limit = how.sketch_limit()
     rows = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy(F.col("bucket").alias("shared")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("shared")
+    member = materialize(rows.join(few(materialize(shared)), F.col("bucket") == F.col("shared")).select("bucket", "id"))
     sketches = classes.select("id", "sketch")
     edges, families = None, None
     for turn in range(STAR_TURNS):
-        placed = placed_in(rows, families)
-        told = centres(placed, turn)
-        apart = placed.join(told, F.col("bucket") == F.col("cb")).where("family <> cf")
+        placed = placed_in(member, families)
+        apart = placed.join(few(centres(placed, turn)), F.col("bucket") == F.col("cb")).where("family <> cf")
         pairs = similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit)
         edges = materialize(pairs if edges is None else edges.union(pairs))
         families = materialize(components(edges).withColumnRenamed("component", "family"))
-    merged = materialize(edges.union(similar_families(classes, placed_in(rows, families), limit)))
+    merged = materialize(edges.union(similar_families(classes, placed_in(member, families), limit)))
     return components(merged).withColumnRenamed("component", "family")
 
 
