@@ -7,8 +7,8 @@ sketches leave over are confirmed by intersecting the full shingle sets.
 
 Groups of any size stay close to linear in rows. Equal sets are one class, found by a hash
 aggregate. In each bucket of a band, members are compared by sketch with one centre
-per bucket and similar ones are contracted to families; then only members outside the
-family of their bucket's centre are compared with the bucket's other members, over a grid
+per bucket and similar ones take the smallest such centre as their family; then only members
+outside the family of their bucket's centre are compared with the bucket's other members, over a grid
 of blocks where a bucket is large, so what is emitted is pairs of different families that
 the sketches find similar, and those families merge too. Every pair of one bucket that may
 reach the threshold is then in one family. Within a family, tasks of bounded bytes
@@ -259,21 +259,30 @@ def family_links(docs: DataFrame, families: DataFrame, how: Settings) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """id, component for every id with an edge (a, b): the smallest id reachable.
 
-    Large-star and small-star steps in turn; each needs a min per node, which is combined
-    before the shuffle, and every round is written out.
+    Large-star and small-star steps in turn. Each needs a min per node, which is combined before
+    it is exchanged and broadcast back while it is small; every step is written out.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        pointed = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = materialize(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m")))
+        large = materialize(both.where("v > u").join(few(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = materialize(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
+        pointed = large.join(few(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(pointed.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
-        parents = edges.select(F.col("v").alias("p")).distinct()
-        if edges.join(parents, F.col("u") == F.col("p"), "left_semi").isEmpty():
-            tops = edges.select("v").distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tops.select("v", "v"))
+        parents = materialize(edges.select(F.col("v").alias("p")).distinct())
+        if edges.join(few(parents), F.col("u") == F.col("p"), "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(parents.select("p", "p"))
+
+
+def labelled(families: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """id, family after the pairs (a, b) joined: of each a, the smallest family among its own and its partners'. Ids without a row are their own."""
+    reached = pairs.select(F.col("a").alias("id"), F.col("b").alias("family"))
+    if families is not None:
+        known = families.withColumnsRenamed({"id": "kid", "family": "kf"})
+        told = pairs.join(few(materialize(known)), F.col("b") == F.col("kid"), "left").select(F.col("a").alias("id"), F.coalesce("kf", "b").alias("family"))
+        reached = families.union(told)
+    return reached.groupBy("id").agg(F.min("family").alias("family")).select("id", F.least("id", "family").alias("family"))
 
 
 def _differing(x: str, y: str) -> Column:
@@ -338,9 +347,9 @@ def sketch_families(classes: DataFrame, how: Settings) -> DataFrame:
     for turn in range(STAR_TURNS):
         placed = placed_in(member, families)
         apart = placed.join(few(centres(placed, turn)), F.col("bucket") == F.col("cb")).where("family <> cf")
-        pairs = similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit)
-        edges = materialize(pairs if edges is None else edges.union(pairs))
-        families = materialize(components(edges).withColumnRenamed("component", "family"))
+        pairs = materialize(similar_pairs(apart.select(F.col("id").alias("a"), F.col("centre").alias("b")), sketches, limit))
+        edges = pairs if edges is None else edges.union(pairs)
+        families = materialize(labelled(families, pairs))
     merged = materialize(edges.union(similar_families(classes, placed_in(member, families), limit)))
     return components(merged).withColumnRenamed("component", "family")
 
