@@ -45,6 +45,9 @@ def test_mix_edges(spark, prose, folder):
     assert mixed.columns == docs.columns
     times = Counter(r["doc_id"] for r in mixed.collect())
     assert all(times[r["doc_id"]] == r["copies"] * (2 if r["doc_id"] == 902 else 1) for r in got)
+    nameless = spark.createDataFrame([(None, prose(i, 10), "s" if i % 2 else "t") for i in range(400)], DOCS)
+    drawn = [r["copies"] for r in mixing.mix_plan(nameless).collect()]
+    assert len(set(drawn)) > 1 and sum(drawn) == pytest.approx(600, rel=0.1)
     assert mixing.op5_mixing(spark, folder(**{"empty/documents": docs.limit(0)}) + "/empty").count() == 0
 
 
@@ -139,3 +142,17 @@ def test_license_labels_against_brute_force(spark, prose):
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()}
     assert got == {i: ",".join(sorted(brute_spans(t, licenses.TEMPLATES))) for i, t in enumerate(texts)}
     assert all(label in got[4 * i].split(",") for i, (label, _) in enumerate(licenses.NOTICES))
+
+
+def test_mixing_equals_its_sql(spark, prose, folder):
+    import duckdb
+
+    from gleanwork.llm.queries import SQL
+
+    rows = [(i, prose(i, 3 + i % 50), f"s{i % 5}" if i % 11 else None) for i in range(500)] + [(None, "a b", "s1"), (901, None, "s2")]
+    at = folder(documents=spark.createDataFrame(rows, DOCS))
+    got = mixing.op5_mixing(spark, at)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{at.removeprefix('file://')}/documents.parquet/*.parquet'")
+    told = con.sql(SQL["op5_mixing"])
+    assert sorted(map(tuple, got.select(*told.columns).collect()), key=repr) == sorted(told.fetchall(), key=repr)
