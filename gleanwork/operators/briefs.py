@@ -71,6 +71,13 @@ def seo_package(title: Column, body: Column, summary: Column, links: list[tuple[
     return F.struct(T.slugify(title, 100).alias("slug"), T.meta_description(body, summary).alias("meta_description"), F.filter(pairs, lambda x: F.contains(F.lower(body), x["keyword"])).alias("internal_links"))
 
 
+def seo_with_json_ld(title: Column, body: Column, summary: Column, category: Column, links: list[tuple[str, str]], site: str, publisher: str, as_of: Column) -> Column:
+    """``seo_package`` with the Article object for search engines, dated as_of."""
+    p = seo_package(title, body, summary, links)
+    jsonld = T.json_ld(title, p["meta_description"], p["slug"], category, site, publisher, as_of)
+    return F.struct(p["slug"].alias("slug"), p["meta_description"].alias("meta_description"), jsonld.alias("jsonld"), p["internal_links"].alias("internal_links"))
+
+
 def stored_index(news: DataFrame, most: int = STORED) -> DataFrame:
     """(id, title, urls) of the latest stored items (id, title, link, source_url, frontmatter_json): their own URLs and those inside their JSON."""
     latest = news.orderBy(F.desc("id")).limit(most)

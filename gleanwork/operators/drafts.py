@@ -23,6 +23,16 @@ def content_stats(items: DataFrame, since: Column) -> DataFrame:
     )
 
 
+def all_stats(items: DataFrame, videos: DataFrame, since: Column) -> DataFrame:
+    """One pass over items and videos (at, is_published): articles created and published since, articles waiting, videos added since, videos waiting."""
+    both = items.select(F.lit(True).alias("article"), "at", "is_published").unionByName(videos.select(F.lit(False).alias("article"), "at", "is_published"))
+    recent, article, shown = F.col("at") >= since, F.col("article"), F.col("is_published")
+    return both.agg(
+        F.count_if(article & recent).alias("articles_created"), F.count_if(article & recent & shown).alias("articles_published"), F.count_if(article & ~shown).alias("drafts_pending"),
+        F.count_if(~article & recent).alias("videos_created"), F.count_if(~article & ~shown).alias("video_drafts_pending"),
+    )
+
+
 def recommendations(m: DataFrame) -> DataFrame:
     """``m`` with ``recommendations``: the first four of the rules that hold, or one that all is well."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

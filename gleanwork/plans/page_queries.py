@@ -12,6 +12,7 @@ from gleanwork.functions import url as U
 from gleanwork.operators import briefs, dedupe, drafts, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
+from gleanwork.sources.listings import links
 
 NEAR, SIMILAR = 0.85, 0.72
 #: The driver's pages have language folders where news sites have sections.
@@ -162,18 +163,6 @@ _LINKS = rf"""SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1))
   unnest(range(len(regexp_extract_all(html, '{LINK}', 1)))) AS pos FROM pages"""
 
 
-ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a\s*>"
-
-
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, href, title, hints (attributes title and type) of all links, whatever their attributes and inner tags."""
-    each = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
-    group = lambda i: F.regexp_extract("a", ANCHOR, i)
-    attribute = lambda n: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\s{n}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    title = F.regexp_replace(group(4), "<[^>]+>", " ")
-    return each.select("page_id", "url", "pos", F.trim(F.concat(group(1), group(2), group(3))).alias("href"), title.alias("title"), F.concat_ws(" ", attribute("title"), attribute("type")).alias("hints"))
-
-
 _CLEAN = S.collapsed("title")
 _ABS = r"CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) || href ELSE href END"
 

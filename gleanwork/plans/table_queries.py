@@ -94,6 +94,13 @@ def content_stats(spark, folder):
     return drafts.content_stats(items, _at(ORDERS_AS_OF))
 
 
+@query(f"""SELECT count(*) FILTER (WHERE o_orderdate >= {_O}) AS articles_created, count(*) FILTER (WHERE o_orderdate >= {_O} AND o_orderstatus = 'F') AS articles_published, count(*) FILTER (WHERE o_orderstatus <> 'F') AS drafts_pending,
+  (SELECT count(*) FROM events WHERE ts >= {_O}) AS videos_created, (SELECT count(*) FROM events WHERE event_type <> 'view') AS video_drafts_pending FROM orders""")
+def all_stats(spark, folder):
+    videos = table(spark, folder, "events").select(F.col("ts").alias("at"), (F.col("event_type") == "view").alias("is_published"))
+    return drafts.all_stats(_drafts(spark, folder).select("at", "is_published"), videos, _at(ORDERS_AS_OF))
+
+
 @query("""SELECT o_orderpriority, array_to_string(CASE WHEN n > 0 THEN ['review article drafts: ' || n] ELSE [] END || CASE WHEN pub = 0 AND made > 0 THEN ['nothing created was published'] ELSE [] END || ['connect external analytics'], '; ') AS told
 FROM (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS n, count(*) AS made, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey < 0) AS pub FROM orders GROUP BY 1)""")
 def recommendations(spark, folder):

@@ -137,6 +137,19 @@ def registry_errors(sources: DataFrame) -> DataFrame:
     return joined.select(*sources.columns, errors.alias("errors"))
 
 
+def registry_strict(sources: DataFrame) -> DataFrame:
+    """``sources`` if none of them breaks a rule; else reading the result fails, naming a row and its errors."""
+    told = registry_errors(sources)
+    message = F.concat(F.lit("source "), F.coalesce("id", F.lit("without id")), F.lit(": "), F.array_join("errors", ", "))
+    return told.where(F.when(F.size("errors") > 0, F.raise_error(message).cast("boolean")).otherwise(True)).select(*sources.columns)
+
+
+def document_input(files: DataFrame, landed: DataFrame) -> DataFrame:
+    """(url, title, text) of documents given as files, and of landed ones whose address no file has."""
+    known = files.select(F.col("url").alias("__url")).distinct()
+    return files.select("url", "title", "text").unionByName(landed.select("url", "title", "text").join(known, F.col("url") == F.col("__url"), "left_anti"))
+
+
 def configured(spark: SparkSession, setting: str, registry: list[tuple], builtin: list[tuple]) -> DataFrame:
     """name, url, group from a setting 'Name|url[|group];…', else the registry, else the built-in list: the first that isn't empty."""
     parts = [tuple(x.strip() for x in entry.split("|")) for entry in (setting or "").split(";") if "|" in entry]

@@ -92,6 +92,26 @@ def vendor_items(landed: DataFrame, as_of: Column, most: int = 25) -> DataFrame:
     return _first_of(rows, ["feed"], most)
 
 
+ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a\s*>"
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, url, pos, href, title, hints (attributes title and type) of all links, whatever their attributes and inner tags."""
+    each = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
+    group = lambda i: F.regexp_extract("a", ANCHOR, i)
+    attribute = lambda n: F.regexp_extract("a", rf"(?is)^<a\b[^>]*?\s{n}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    title = F.regexp_replace(group(4), "<[^>]+>", " ")
+    return each.select("page_id", "url", "pos", F.trim(F.concat(group(1), group(2), group(3))).alias("href"), title.alias("title"), F.concat_ws(" ", attribute("title"), attribute("type")).alias("hints"))
+
+
+def pdf_links(pages: DataFrame) -> DataFrame:
+    """url, title, context, discovered_from: the PDFs that pages (page_id, url, html) link to, each once per page, legal papers left out."""
+    found = links(pages).where(U.is_pdf_link(F.col("href"), F.concat_ws(" ", "title", "hints")))
+    told = found.select("pos", F.col("url").alias("discovered_from"), U.resolve(F.col("url"), F.col("href")).alias("url"), T.title_collapsed(F.col("title")).alias("title"), F.col("hints").alias("context"))
+    first = F.row_number().over(Window.partitionBy("discovered_from", "url").orderBy("pos"))
+    return told.withColumn("__n", first).where("__n = 1").select("url", "title", "context", "discovered_from")
+
+
 FIELDS = ["id", "name", "source_type", "url", "html_parser", "category", "query", "engine"]
 REGISTRY = "file string, error string, " + ", ".join(f"{f} string" for f in FIELDS) + ", priority int, enabled boolean"
 

@@ -237,3 +237,25 @@ def test_sinks(spark, tmp_path):
     assert meta["source_url"] == "http://s" and meta["summary"] == "body…" and meta["tags"] == [] and meta["seo"] == {"a": 1}
     assert json.loads(one(spark, sinks.with_part(F.lit("{}"), "x", F.lit("2")))) == {"x": 2}
     assert [(r["column"], r["type"]) for r in sinks.described({"s": sources}).collect()][:2] == [("source_type", "string"), ("id", "string")]
+
+
+def test_pdf_links_and_inputs(spark):
+    page = "<a href='/x.pdf'>Data <b>sheet</b></a><a href='/x.pdf'>again</a><a href='/terms.pdf'>Terms</a><a href='/m' title='PDF manual'>Manual</a>"
+    got = {(r["url"], r["title"], r["discovered_from"]) for r in listings.pdf_links(spark.createDataFrame([(1, "http://h/p", page)], "page_id long, url string, html string")).collect()}
+    assert got == {("http://h/x.pdf", "Data sheet", "http://h/p"), ("http://h/m", "Manual", "http://h/p")}
+    docs = lambda *rows: spark.createDataFrame(list(rows), "url string, title string, text string")
+    both = landing.document_input(docs(("u", "t", "file")), docs(("u", "t", "landed"), ("v", "t", "landed")))
+    assert {(r["url"], r["text"]) for r in both.collect()} == {("u", "file"), ("v", "landed")}
+
+
+def test_strict_registry(spark):
+    kind = "id string, name string, source_type string, url string, html_parser string, category string, priority int"
+    fine = spark.createDataFrame([("ok-1", "n", "rss", "https://a", None, None, 3)], kind)
+    assert landing.registry_strict(fine).count() == 1
+    with pytest.raises(Exception, match="priority not in 1 to 10"):
+        landing.registry_strict(fine.union(spark.createDataFrame([("ok-2", "n", "rss", "https://a", None, None, 30)], kind))).collect()
+
+
+def test_package_with_json_ld(spark):
+    got = one(spark, briefs.seo_with_json_ld(F.lit("A title"), F.lit("The body of reflow"), F.lit(""), F.lit("AOI"), [("reflow", "/r")], "https://s.example", "P", as_of()))
+    assert got["slug"] == "a-title" and json.loads(got["jsonld"])["mainEntityOfPage"]["@id"] == "https://s.example/news/a-title" and got["internal_links"][0]["url"] == "/r"
