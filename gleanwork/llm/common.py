@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwork.operators.checkpoints import materialize, narrow_result
 
-__all__ = ["crc_bucket", "documents", "materialize", "narrow_result", "unit_hash", "word_count"]
+__all__ = ["crc_bucket", "documents", "materialize", "narrow_result", "release_memory", "unit_hash", "word_count"]
 
 #: What stands between the words of the near-duplicate and mixing operators: ASCII white space.
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at a task's end: workers are reused, and what one stage held would stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

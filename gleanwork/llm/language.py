@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import crc_bucket, documents
+from gleanwork.llm.common import crc_bucket, documents, release_memory
 
 BITS, LEAST_BITS = 15, 6
 #: Entries of the matrix, and so of what is broadcast, up to 2**18 languages.
@@ -126,6 +126,7 @@ def count_grams(bits: int):
         for lang, table in counts.items():
             at = np.flatnonzero(table)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": table[at]})
+        release_memory()
 
     return count
 
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield predict(shared.value, batch.tolist())
+        release_memory()
 
     return docs.withColumn("__predicted", predicted("text"))
 

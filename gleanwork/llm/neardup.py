@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, materialize, narrow_result
+from gleanwork.llm.common import documents, materialize, narrow_result, release_memory
 
 PIECE = 1 << 20
 MEMO = 200_000
@@ -157,6 +157,7 @@ def signatures(docs: DataFrame, how: Settings) -> DataFrame:
                 out.append((doc_id, len(found), both[0], both[1], None if low is None else s.bands(low), None if low is None else s.sketch(low)))
             frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
             yield frame.astype({"doc_id": "Int64"})
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, SIGNED)
 
@@ -169,6 +170,7 @@ def shingle_sets(docs: DataFrame, how: Settings) -> DataFrame:
         s = Shingler(how)
         for batch in texts:
             yield pd.Series([s.shingles(t).view(np.int64) for t in batch])
+        release_memory()
 
     return docs.select(*[c for c in docs.columns if c != "text"], sets("text").alias("set"))
 
@@ -219,6 +221,8 @@ def roots_of_cells(placed: DataFrame, percent: int) -> DataFrame:
                 sets.append(np.array(v))
             yield pd.DataFrame(out, columns=["family", "id", "root"], dtype="int64")
         yield pd.DataFrame(found(), columns=["family", "id", "root"], dtype="int64")
+        sets.clear()
+        release_memory()
 
     cells = placed.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
     return cells.mapInPandas(link, "family long, id long, root long")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, materialize, narrow_result
+from gleanwork.llm.common import documents, materialize, narrow_result, release_memory
 from gleanwork.llm.tokenize import encoder
 
 BUCKETS = 256
@@ -80,6 +80,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -> Data
                         rows, held = [], 0
         if rows:
             yield flush()
+        rows.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import crc_bucket, documents, materialize
+from gleanwork.llm.common import crc_bucket, documents, materialize, release_memory
 
 BITS = 17
 BUCKETS = 1 << BITS
@@ -87,6 +87,7 @@ def class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts[int(label), BUCKETS] += 1
     at = np.flatnonzero(counts.any(axis=0))
     yield pd.DataFrame({"bucket": at.astype(np.int32), "n0": counts[0, at], "n1": counts[1, at]})
+    release_memory()
 
 
 def log_count_ratios(train: DataFrame, smoothing: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +173,7 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0, max_f
         found = Indicators()
         for batch in texts:
             yield pd.Series([found(t).astype(np.int32) for t in batch])
+        release_memory()
 
     wanted = max_rows + max_rows // 4
     spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
@@ -191,6 +193,8 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0, max_f
         if at:
             w, slope, shift = fit_sample(at, np.array(labels), np.array(times, dtype=np.float64), ratios, cost)
             yield pd.DataFrame({"w": [w], "slope": slope, "shift": shift})
+        at.clear()
+        release_memory()
 
     sample = different.select("h", "label", "n", indicators("text").alias("at")).repartition(1).sortWithinPartitions("h", "label")
     got = sample.mapInPandas(fit, "w array<double>, slope double, shift double").first()
@@ -219,6 +223,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         found, m = Indicators(), shared.value
         for batch in texts:
             yield pd.Series([m.score(found(t)) for t in batch], dtype="float64")
+        release_memory()
 
     return docs.withColumn("__score", scored("text"))
 
