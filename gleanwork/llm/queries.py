@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanwork.llm.ann import op6_ann
+from gleanwork.llm.clusters import OP12_SQL, op12_clusters
 from gleanwork.llm.html_text import op4_html_text
 from gleanwork.llm.language import op7_language_id
 from gleanwork.llm.licenses import op9_licenses
@@ -13,5 +14,5 @@ from gleanwork.llm.quality import op2_quality
 from gleanwork.llm.sharding import op8_sharding
 from gleanwork.llm.topk import OP3_SQL, op3_topk
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_topk, op4_html_text, op5_mixing, op6_ann, op7_language_id, op8_sharding, op9_licenses, op10_neardup)}
-SQL = {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_topk, op4_html_text, op5_mixing, op6_ann, op7_language_id, op8_sharding, op9_licenses, op10_neardup, op12_clusters)}
+SQL = {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op12_clusters": OP12_SQL}

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clean_vectors(vectors: DataFrame, allow_zero: bool = True) -> DataFrame:
+def clean_vectors(vectors: DataFrame, allow_zero: bool = True, need_id: bool = True) -> DataFrame:
     """vec_id, v of the vectors that take part: not null or empty, all components finite. v keeps its type; tasks widen it to double."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    out = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
+    out = vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & finite)
+    out = out.where("vec_id IS NOT NULL") if need_id else out
     return out if allow_zero else out.where(F.exists("v", lambda x: x != 0))
 
 
