@@ -8,9 +8,8 @@ weight the sum of its features' gains. Weights are joined back to the documents
 text's SHA-256, and only there is noise added that depends on the document: the highest
 of weight plus Gumbel noise are a sample without replacement by weight.
 
-The join back has one broadcast side of bounded size, the texts that make up a
-thousandth of all rows or more, and a shuffled one for the others. The driver sees one
-number per bucket.
+The join back broadcasts the texts that make up a thousandth of all rows or more, and shuffles
+for the others. The driver sees one number per bucket.
 
 CRC-32 is linear, so that of ``a b`` follows from those of ``a`` and ``b`` and the length of
 ``b``: hashes of runs come from words' hashes in NumPy, without building the runs.
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, materialize, narrow_result, release_memory
+from gleanwork.llm.common import documents, join_by_frequency, materialize, narrow_result, release_memory
 from gleanwork.operators.checkpoints import numbered
 
 BUCKETS = 10_000
@@ -42,8 +41,6 @@ BUCKETS = 10_000
 SLICE = 1 << 22
 #: Words up to so many bytes are hashed together, column of bytes by column; longer ones one by one.
 SHORT_WORD = 24
-#: Texts with at least this share of all rows are joined by broadcast.
-HOT = 1000
 #: A-Z to a-z; what stands between words to a space: ASCII but for letters and digits.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 POLYNOMIAL = 0xEDB88320
@@ -236,22 +233,6 @@ def gumbel(seed: str, key: Column, factor: int = 1000) -> Column:
     return F.floor(F.lit(-float(factor)) * F.log(-F.log((h + 0.5) / 4294967296.0)))
 
 
-def with_weights(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """doc_id and its text's weight columns. Copies of a frequent text stay where they are; the others meet their text in a shuffle.
-
-    ``weights`` is a written table, so counting it first costs little.
-    """
-    told = ["n_words", "n_features", "weight"]
-    total = weights.agg(F.sum("n")).first()[0] or 0
-    hot = weights.where(F.col("n") * HOT >= total).select(F.col("digest").alias("hot"), *(F.col(c).alias(f"hot_{c}") for c in told))  # at most HOT rows
-    cold = weights.where(F.col("n") * HOT < total).select(F.col("digest").alias("key"), *(F.col(c).alias(f"cold_{c}") for c in told))
-    rows = docs.select("doc_id", text_digest(F.col("text")).alias("digest")).join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
-    # rows that have their weight already go anywhere: their key is longer than any digest
-    apart = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit("-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    joined = rows.withColumn("key", apart).join(cold, "key", "left")
-    return joined.select("doc_id", *(F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in told))
-
-
 @narrow_result
 def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 100), least_words: int = 20, seed: str = "42", buckets: int = BUCKETS, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, n_words, n_features, weight, score and rank of every document; rank is null for those that aren't drawn.
@@ -263,9 +244,10 @@ def resampled(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 1
     wanted = bucket_counts(target.select(F.lit(1).alias("n"), F.coalesce(F.col("text"), F.lit("")).alias("text")), buckets, slice_bytes)
     gain = gains(bucket_counts(texts, buckets, slice_bytes), wanted)
     weights = materialize(weighed(texts, gain, slice_bytes))
-    eligible = weights.agg(F.sum(F.when(F.col("n_words") >= least_words, F.col("n")))).first()[0] or 0
-    drawn = share[0] * eligible // share[1]
-    scored = with_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights)
+    rows, eligible = weights.agg(F.sum("n"), F.sum(F.when(F.col("n_words") >= least_words, F.col("n")))).first()
+    drawn = share[0] * (eligible or 0) // share[1]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    scored = join_by_frequency(named, weights, "digest", "n", rows or 0, apart=F.col("doc_id")).drop("digest")
     scored = scored.withColumn("score", F.col("weight") + gumbel(seed, F.col("doc_id"))).withColumn("enough", F.col("n_words") >= least_words)
     placed = numbered(scored, [F.desc("enough"), F.desc("score"), F.asc_nulls_last("doc_id"), F.desc("weight"), F.desc("n_features")], "place")
     rank = F.when(F.col("enough") & (F.col("place") <= drawn), F.col("place")).cast("long")
