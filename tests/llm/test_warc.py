@@ -71,7 +71,7 @@ def test_damage_is_a_row_with_an_error(spark):
     assert got["u0"] is None and got["u1"] == "chunk 3 differs from its digest" and got["u2"] == "chunk 2 is missing" and got["u3"] == "record ends early"
     assert got["4"] and got["u5"]
     with pytest.raises(Exception, match="differs from its digest"):
-        kind = F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise("x")
+        kind = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise("x")
         warc.read_records(chunks.withColumn("data", flipped)).select(kind).collect()
 
 
