@@ -101,7 +101,7 @@ def insert(drafts: DataFrame, new: DataFrame) -> DataFrame:
 
 def fresh_cache(entries: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """Cache entries (key, at, value) that haven't expired."""
-    return entries.where(F.col("at") > as_of - F.make_dt_interval(hours=F.lit(hours)))
+    return entries.where(F.col("at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
 
 
 def cached(entries: DataFrame, key: Column, value: Column, at: Column, new: DataFrame) -> DataFrame:

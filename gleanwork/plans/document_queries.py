@@ -158,16 +158,18 @@ def lint_grounding(spark, folder):
     return _docs(spark, folder).select("doc_id", (F.size(issues) > 0).alias("ungrounded"))
 
 
-_CV = f"(SELECT stddev_pop(n) / avg(n) FROM (SELECT unnest({_LENGTHS}) AS n))"
+_PARAGRAPHS = r"list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: trim(p, chr(32) || chr(10) || chr(9)) <> '' AND NOT regexp_matches(trim(p, chr(32) || chr(10) || chr(9)), '^##\s+\S'))"
+_PARAGRAPH_LENGTHS = rf"list_transform({_PARAGRAPHS}, lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda w: w <> '')))"
 _REPORT = rf"""WITH d AS (SELECT doc_id, text, {_kind_sql()} AS kind FROM documents),
 l AS (SELECT doc_id, unnest({_LENGTHS}) AS n FROM d), r AS (SELECT doc_id, count(*) AS n, stddev_pop(n) / avg(n) AS cv FROM l GROUP BY doc_id),
+pl AS (SELECT doc_id, unnest({_PARAGRAPH_LENGTHS}) AS n FROM d), p AS (SELECT doc_id, count(*) AS n, sqrt(CAST(count(*) * sum(n * n) - sum(n) * sum(n) AS DOUBLE)) / sum(n) AS cv FROM pl GROUP BY doc_id),
 parts AS (SELECT d.doc_id, kind, len({_WORDS}) AS n, len(list_filter({S.strings(lint.BANNED_PHRASES)}, lambda p: contains(lower(substr(text, 1, 60) || ' ' || text), p))) AS errors,
-  CAST({_THREES} >= 2 AS INTEGER) AS threes, CAST(coalesce(r.n >= 6 AND r.cv < {lint.FLAT_SENTENCES}, false) AS INTEGER) AS flat,
+  CAST({_THREES} >= 2 AS INTEGER) AS threes, CAST(coalesce(r.n >= 6 AND r.cv < {lint.FLAT_SENTENCES}, false) AS INTEGER) AS flat, CAST(coalesce(p.n >= 4 AND p.cv < {lint.FLAT_PARAGRAPHS}, false) AS INTEGER) AS paragraphs, CAST(len({_WORDS}) < {_bound_sql(0)} OR len({_WORDS}) > {_bound_sql(1)} AS INTEGER) AS out_of_range,
   CAST(list_contains({S.strings(lint.WITH_HEADINGS)}, kind) AND len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(trim(s), '^##\s+\S'))) = 0 AS INTEGER) AS heads,
   CAST(NOT (regexp_matches(substr(text, 1, 60), '\d') OR regexp_matches({S.wordy('substr(text, 1, 60)')}, '\b[A-Z]{{2,}}\b')
     OR len(list_filter(({_TITLE_WORDS})[2:], lambda w: regexp_matches(w, '^\p{{Lu}}') AND NOT list_contains({S.strings(lint.GENERIC_TITLE_WORDS)}, lower(trim(w, '.,:'))))) > 0) AS INTEGER) AS generic
-  FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
-scored AS (SELECT doc_id, CAST(greatest(0, 100 - 15 * errors - 6 * (threes + flat + heads + generic + CAST(n < {_bound_sql(0)} OR n > {_bound_sql(1)} AS INTEGER))) AS INTEGER) AS score, errors > 0 AS has_errors FROM parts)"""
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id),
+scored AS (SELECT doc_id, CAST(greatest(0, 100 - 15 * errors - 6 * (threes + flat + paragraphs + heads + generic + out_of_range)) AS INTEGER) AS score, errors > 0 AS has_errors FROM parts)"""
 
 
 def _reports(spark, folder):
