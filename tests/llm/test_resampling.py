@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gleanwork.llm import common, resampling
+from gleanwork.llm import resampling
+from gleanwork.operators import joins
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,7 +80,7 @@ def test_against_plain_loops(spark, prose, slice_bytes):
 
 def test_frequent_and_rare_texts_are_joined(spark, monkeypatch):
     docs = [(i, f"text {i % 40} " * 12) for i in range(400)] + [(900 + i, "the same " * 15) for i in range(200)]
-    monkeypatch.setattr(common, "FREQUENT", 10)  # only the last text is broadcast
+    monkeypatch.setattr(joins, "FREQUENT", 10)  # only the last text is broadcast
     assert got(resampling.resampled(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("text 3 the",)], "text string"))) == plain(docs, ["text 3 the"])
 
 

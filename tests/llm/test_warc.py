@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanwork.llm import common, warc
+from gleanwork.operators import joins
 
 PAGES = "page_id long, url string, html string"
 b32 = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -40,7 +41,7 @@ def told(df):
 
 @pytest.mark.parametrize(("chunk_bytes", "frequent"), [(7, 1000), (1000, 5), (1 << 20, 1)])
 def test_round_trip(spark, monkeypatch, chunk_bytes, frequent):
-    monkeypatch.setattr(common, "FREQUENT", frequent)
+    monkeypatch.setattr(joins, "FREQUENT", frequent)
     rows = [r for r in some_pages() if chunk_bytes > 7 or r[0] != 921]
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' AS digest", "1 AS n", "2 AS data", "3 AS first", "4 AS record_id").repartition(5)
     assert told(warc.round_trip(pages, chunk_bytes)) == plain(rows)
