@@ -15,14 +15,16 @@ STORED = 2000
 EXCERPT_LINES, EXCERPT_CHARS = 6, 1200
 
 
-def accepted(items: DataFrame, days: int, as_of: Column, strict: bool = True, threshold: float = 0.85) -> DataFrame:
-    """Of (seq, title, source, published) the items that stay: fresh, the first of their URL, no near-copy of an earlier title.
+def accepted(items: DataFrame, days: int, as_of: Column, strict: bool = True, threshold: float = 0.85, known: DataFrame | None = None) -> DataFrame:
+    """Of (seq, title, source, published) the items that stay: fresh, and in order of seq no address and no near-copy of a title that stayed before.
 
-    Freshness is tested first, so a stale item never blocks a later one.
+    Freshness is tested first, so a stale item never blocks a later one; a later item of an address enters
+    when the earlier ones fell to their titles. ``known`` (title, source): items of earlier runs.
     """
     fresh = items.where((F.coalesce("source", F.lit("")) != "") & dates.is_fresh(F.col("published"), days, as_of, strict))
-    first = dedupe.keep_first(fresh, F.col("source"), "seq")
-    return dedupe.greedy_keep(first, "seq", T.scan_tokens(F.col("title")), threshold).where("kept").drop("kept")
+    before = None if known is None else known.select(F.col("source").alias("key"), T.scan_tokens(F.col("title")).alias("tokens"))
+    stay = dedupe.greedy_distinct(fresh, "seq", F.col("source"), T.scan_tokens(F.col("title")), threshold, before)
+    return fresh.join(stay, F.col("seq") == F.col("k"), "left_semi")
 
 
 def enriched(scored: DataFrame, texts: DataFrame, n: int = 20) -> DataFrame:

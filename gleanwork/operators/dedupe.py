@@ -24,21 +24,27 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def by_token(sets: DataFrame, threshold: float) -> DataFrame:
-    """Rows (side, id, tokens, size, token, is_prefix): every token, and whether it is among the rarest that a smaller set must share."""
-    each = sets.select("side", "id", "tokens", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    """Rows (side, id, size, token, is_prefix): every token, and whether it is among the rarest that a smaller set must share."""
+    each = sets.select("side", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     frequent = each.groupBy("token").agg(F.count("*").alias("df")).withColumnRenamed("token", "of_token")
     place = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "token"))
     length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
     known = each.join(frequent, F.col("token") == F.col("of_token"))
-    return known.withColumn("is_prefix", place <= length).select("side", "id", "tokens", "size", "token", "is_prefix")
+    return known.withColumn("is_prefix", place <= length).select("side", "id", "size", "token", "is_prefix")
 
 
-def _met(small: DataFrame, large: DataFrame, fits: Column, threshold: float) -> DataFrame:
-    """(s, l, score) of rows whose prefix token the other side has and that fit."""
-    a = small.where("is_prefix").select(F.col("id").alias("s"), F.col("tokens").alias("ts"), F.col("size").alias("ns"), "token")
-    b = large.select(F.col("id").alias("l"), F.col("tokens").alias("tl"), F.col("size").alias("nl"), F.col("token").alias("lt"))
-    met = a.join(b, (F.col("token") == F.col("lt")) & fits)
-    return met.withColumn("score", T.overlap(F.col("ts"), F.col("tl"))).where(F.col("score") >= threshold).select("s", "l", "score")
+def _met(small: DataFrame, large: DataFrame, fits: Column) -> DataFrame:
+    """(s, l) of rows whose prefix token the other side has and that fit; a pair may come several times."""
+    a = small.where("is_prefix").select(F.col("id").alias("s"), F.col("size").alias("ns"), "token")
+    b = large.select(F.col("id").alias("l"), F.col("size").alias("nl"), F.col("token").alias("lt"))
+    return a.join(b, (F.col("token") == F.col("lt")) & fits).select("s", "l")
+
+
+def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of different candidate pairs (a, b) that overlap enough; token sets (id, tokens) meet each pair once."""
+    found = pairs.distinct().join(left.select(F.col("id").alias("__a"), F.col("tokens").alias("ta")), F.col("a") == F.col("__a"))
+    found = found.join(right.select(F.col("id").alias("__b"), F.col("tokens").alias("tb")), F.col("b") == F.col("__b"))
+    return found.withColumn("score", T.overlap(F.col("ta"), F.col("tb"))).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -46,41 +52,75 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     sides = [x.where(F.size("tokens") > 0).select(F.lit(i).alias("side"), "id", "tokens") for i, x in enumerate((left, right))]
     both = materialize(by_token(sides[0].unionByName(sides[1]), threshold))
     l, r = both.where("side = 0"), both.where("side = 1")
-    one = _met(l, r, F.col("ns") <= F.col("nl"), threshold).select(F.col("s").alias("a"), F.col("l").alias("b"), "score")
-    two = _met(r, l, F.col("ns") < F.col("nl"), threshold).select(F.col("l").alias("a"), F.col("s").alias("b"), "score")
-    return one.unionByName(two).groupBy("a", "b").agg(F.max("score").alias("score"))
+    one = _met(l, r, F.col("ns") <= F.col("nl")).select(F.col("s").alias("a"), F.col("l").alias("b"))
+    two = _met(r, l, F.col("ns") < F.col("nl")).select(F.col("l").alias("a"), F.col("s").alias("b"))
+    return _scored(one.unionByName(two), left, right, threshold)
 
 
 def similar_within(sets: DataFrame, threshold: float) -> DataFrame:
     """``similar_pairs`` of rows with themselves, each pair once, as a < b."""
     each = materialize(by_token(sets.where(F.size("tokens") > 0).select(F.lit(0).alias("side"), "id", "tokens"), threshold))
-    met = _met(each, each, (F.col("ns") < F.col("nl")) | (F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")), threshold)
-    return met.groupBy(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).agg(F.max("score").alias("score"))
+    met = _met(each, each, (F.col("ns") < F.col("nl")) | (F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    return _scored(met.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")), sets, sets, threshold)
 
 
-def greedy_keep(rows: DataFrame, id_col: str, tokens: Column, threshold: float = 0.85) -> DataFrame:
-    """``rows`` with kept: in order of id, a row goes if it is near one that was kept before it.
+def settled(pairs: DataFrame) -> DataFrame | None:
+    """(d) of the rows that go when pairs (earlier a, later b) conflict and the earlier stays; None if there are no pairs.
 
-    That is the lexicographically first independent set of the pairs, found in rounds until
-    nothing waits: a row without undecided earlier neighbours is kept unless a kept one is
-    among them, so each round decides the first that waits and all near it. Rows without
-    tokens are kept and block nothing. Each round is written out.
+    That is the lexicographically first independent set, found in rounds until nothing waits: a row
+    without undecided earlier neighbours stays, so each round decides the first that waits and all near it. Each
+    round is written out.
     """
-    sets = rows.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
-    waiting = materialize(similar_within(sets, threshold).select("a", "b"))  # (earlier a, later b), both undecided
-    gone = None
+    waiting, gone = materialize(pairs.select("a", "b")), None
     while not waiting.isEmpty():
         blocked = waiting.select(F.col("b").alias("x")).distinct()
         sure = waiting.select(F.col("a").alias("k")).distinct().join(blocked, F.col("k") == F.col("x"), "left_anti")
         dropped = materialize(waiting.join(sure, F.col("a") == F.col("k"), "left_semi").select(F.col("b").alias("d")).distinct())
         gone = dropped if gone is None else gone.union(dropped)
         waiting = materialize(waiting.join(dropped, F.col("a") == F.col("d"), "left_anti").join(dropped, F.col("b") == F.col("d"), "left_anti").join(sure, F.col("a") == F.col("k"), "left_anti"))
+    return None if gone is None else gone.distinct()
+
+
+def greedy_keep(rows: DataFrame, id_col: str, tokens: Column, threshold: float = 0.85) -> DataFrame:
+    """``rows`` with kept: in order of id, a row goes if it is near one that was kept before it.
+
+    Rows without tokens are kept and block nothing.
+    """
+    gone = settled(similar_within(rows.select(F.col(id_col).alias("id"), tokens.alias("tokens")), threshold))
     if gone is None:
         return rows.withColumn("kept", F.lit(True))
-    lost = gone.distinct().select("d", F.lit(True).alias("__gone"))
+    lost = gone.select("d", F.lit(True).alias("__gone"))
     return rows.join(lost, F.col(id_col) == F.col("d"), "left").withColumn("kept", F.col("__gone").isNull()).drop("d", "__gone")
 
 
+def greedy_distinct(rows: DataFrame, id_col: str, key: Column, tokens: Column, threshold: float = 0.85, known: DataFrame | None = None) -> DataFrame:
+    """The ids (k) that stay when, in order of id, a row goes if its key, or a title near its own, was kept before it.
+
+    Two relations conflict at once: a later row of a key stays if the earlier ones of that key fell to a near title. Rows
+    of a key are a group, not pairs: in each round its first undecided row stands for it. ``known`` (key, tokens): rows that
+    were kept before all others. Rows without tokens are near nothing; a null key is a key of its own.
+    """
+    own = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.concat(F.lit("r"), F.col(id_col).cast("string")))
+    sets = materialize(rows.select(F.col(id_col).alias("id"), own.alias("key"), tokens.alias("tokens")))
+    if known is not None:
+        old = materialize(known.select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("__key"), "tokens", F.monotonically_increasing_id().alias("id")))
+        near = similar_pairs(sets.select("id", "tokens"), old.select("id", "tokens"), threshold).select(F.col("a").alias("__near")).distinct()
+        sets = sets.join(old.select("__key").distinct(), F.col("key") == F.col("__key"), "left_anti")
+        sets = materialize(sets.join(near, F.col("id") == F.col("__near"), "left_anti"))
+    waiting = materialize(similar_within(sets.select("id", "tokens"), threshold).select("a", "b"))
+    left, kept = sets.select("id", "key"), None
+    while not left.isEmpty():
+        first = left.groupBy("key").agg(F.min("id").alias("k")).withColumnRenamed("key", "__key")
+        blocked = waiting.select(F.col("b").alias("x")).distinct()
+        sure = materialize(first.join(blocked, F.col("k") == F.col("x"), "left_anti"))
+        kept = sure.select("k") if kept is None else kept.union(sure.select("k"))
+        dropped = waiting.join(sure.select("k"), F.col("a") == F.col("k"), "left_semi").select(F.col("b").alias("d")).distinct()
+        left = materialize(left.join(sure.select("__key"), F.col("key") == F.col("__key"), "left_anti").join(dropped, F.col("id") == F.col("d"), "left_anti"))
+        open_ = left.select(F.col("id").alias("o"))
+        waiting = materialize(waiting.join(open_, F.col("a") == F.col("o"), "left_semi").join(open_, F.col("b") == F.col("o"), "left_semi"))
+    return kept if kept is not None else left.select(F.col("id").alias("k"))
+
+
 def match_slug(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(seq, matched_id): the lowest id with the same slug."""
     index = existing.groupBy(T.slugify(F.col("title")).alias("slug")).agg(F.min("id").alias("matched_id")).where("slug <> ''")

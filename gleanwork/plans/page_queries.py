@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from gleanwork.functions import pages as PG
 from gleanwork.functions import route
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
-from gleanwork.operators import briefs, dedupe, drafts, expand, signals
+from gleanwork.operators import briefs, checkpoints, dedupe, drafts, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
 from gleanwork.sources.listings import links
+from gleanwork.streaming import incremental
 
 NEAR, SIMILAR = 0.85, 0.72
 #: The driver's pages have language folders where news sites have sections.
@@ -65,8 +68,8 @@ def title_token_sets(spark, folder):
     return _signals(spark, folder).select("seq", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
-_PAIRS = f"""WITH {S.SIGNALS}, t AS (SELECT seq, {S.scan_tokens('title')} AS k FROM signals),
-pairs AS (SELECT x.seq AS a, y.seq AS b, {S.overlap('x.k', 'y.k')} AS score FROM t x JOIN t y ON x.seq < y.seq AND {S.overlap('x.k', 'y.k')} >= {NEAR})"""
+_PAIRS = f"""WITH {S.SIGNALS}, t AS MATERIALIZED (SELECT seq, {S.scan_tokens('title')} AS k FROM signals),
+pairs AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b, {S.overlap('x.k', 'y.k')} AS score FROM t x JOIN t y ON x.seq < y.seq AND {S.overlap('x.k', 'y.k')} >= {NEAR})"""
 
 
 @query(f"{_PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
@@ -75,22 +78,76 @@ def title_similarity_pairs(spark, folder):
     return dedupe.similar_within(sets, NEAR).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query(
-    _PAIRS.replace("WITH", "WITH RECURSIVE", 1)
-    + """, near AS (SELECT b, list(a) AS earlier FROM pairs GROUP BY b), numbered AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM signals),
+def _greedy_sql(items: str, pairs: str) -> str:
+    """CTEs ``run`` over ``items`` (seq), one after the other: kept holds those that no earlier kept one of ``pairs`` (a, b) excludes."""
+    return f"""near AS MATERIALIZED (SELECT b, list(a) AS earlier FROM {pairs} GROUP BY b), numbered AS MATERIALIZED (SELECT seq, row_number() OVER (ORDER BY seq) AS n FROM {items}),
 run(n, kept) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
   UNION ALL
   SELECT numbered.n, CASE WHEN near.earlier IS NOT NULL AND list_has_any(run.kept, near.earlier) THEN run.kept ELSE list_append(run.kept, numbered.seq) END
   FROM run JOIN numbered ON numbered.n = run.n + 1 LEFT JOIN near ON near.b = numbered.seq
-)
-SELECT seq, list_contains((SELECT kept FROM run ORDER BY n DESC LIMIT 1), seq) AS kept FROM signals"""
-)
+), chosen AS (SELECT kept FROM run ORDER BY n DESC LIMIT 1)"""
+
+
+_GREEDY = _PAIRS.replace("WITH", "WITH RECURSIVE", 1) + f""", {_greedy_sql("signals", "pairs")} SELECT seq, list_contains((SELECT kept FROM chosen), seq) AS kept FROM signals"""
+
+
+@query(_GREEDY)
 def neardup_greedy_keep(spark, folder):
     s = _signals(spark, folder).select("seq", "title")
     return dedupe.greedy_keep(s, "seq", T.scan_tokens(F.col("title")), NEAR).select("seq", "kept")
 
 
+@query(_GREEDY)
+def stream_neardup_titles(spark, folder):
+    """``neardup_greedy_keep`` as a stream over the landed pages, a second apart by id: near pairs from its state, decisions batch by batch."""
+    batch = table(spark, folder, "pages")
+    root = f"{checkpoints.folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("seq"))
+    stream = signals.signals_of(spark.readStream.schema(batch.schema).parquet(f"{folder}/pages.parquet*")).select(F.col("seq").alias("id"), "title", at.alias("at"))
+    decide = incremental.deciding(spark, f"{root}/out", 400)
+    incremental.title_pairs(stream, "1 hour", 400, NEAR).writeStream.foreachBatch(decide).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    told = checkpoints.materialize(spark.read.schema(incremental.DECIDED).parquet(f"{root}/out").select(F.col("id").alias("seq"), "kept"))
+    checkpoints.remove(spark, root)
+    return told
+
+
+def _landed(s: DataFrame) -> DataFrame:
+    """Signals with shared addresses, dated by their ids."""
+    published = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("seq") % 40).cast("int")).cast("timestamp")
+    return s.select("seq", "title", F.concat("feed", F.lit("/"), (F.col("seq") % 3).cast("string")).alias("source"), published.alias("published"))
+
+
+_LANDED = f"""WITH RECURSIVE {S.SIGNALS}, t AS MATERIALIZED (SELECT seq, {S.scan_tokens('title')} AS k, feed || '/' || seq % 3 AS source FROM signals WHERE seq % 40 >= 9 {{only}}),
+pairs AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b FROM t x JOIN t y ON {{order}} AND (x.source = y.source OR {S.overlap('x.k', 'y.k')} >= {NEAR}))"""
+_LAST = "2024-02-10"
+
+
+@query(f"""{_LANDED.format(only="", order="x.seq < y.seq")}, {_greedy_sql("t", "pairs")} SELECT unnest(kept) AS seq FROM chosen""")
+def accepted_items(spark, folder):
+    """Fresh items in order, without those whose address or near title was accepted before."""
+    return briefs.accepted(_landed(_signals(spark, folder)), 31, F.lit(_LAST).cast("timestamp"), threshold=NEAR).select("seq")
+
+
+_KNOWN = f"""known AS (SELECT seq, {S.scan_tokens('title')} AS k, feed || '/' || seq % 3 AS source FROM signals WHERE seq % 5 = 0),
+new AS (SELECT seq FROM t WHERE seq % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM known WHERE known.source = t.source OR {S.overlap('known.k', 't.k')} >= {NEAR}))"""
+
+
+@query(f"""{_LANDED.format(only="AND seq % 5 <> 0", order="x.seq < y.seq")}, {_KNOWN}, among AS (SELECT a, b FROM pairs WHERE a IN (SELECT seq FROM new) AND b IN (SELECT seq FROM new)),
+{_greedy_sql("new", "among")} SELECT unnest(kept) AS seq FROM chosen""")
+def incremental_scan(spark, folder):
+    """A scheduled scan of the landed pages by ``foreachBatch``: every fifth is stored already, of the others stay those that nothing stored or accepted covers."""
+    batch = table(spark, folder, "pages")
+    root = f"{checkpoints.folder(spark)}/stream-{uuid.uuid4().hex}"
+    stored = _landed(_signals(spark, folder).where("seq % 5 = 0"))
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/pages.parquet*").where("page_id % 5 <> 0")
+    accept = incremental.accepting(spark, f"{root}/out", 31, F.lit(_LAST).cast("timestamp"), known=stored)
+    _landed(signals.signals_of(stream)).writeStream.foreachBatch(accept).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    told = checkpoints.materialize(spark.read.schema(incremental.ACCEPTED).parquet(f"{root}/out").select("seq"))
+    checkpoints.remove(spark, root)
+    return told
+
+
 def _split(spark: SparkSession, folder: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Pages whose id n divides stand for what exists, the others for what is new."""
     s = _signals(spark, folder).select("seq", "title", F.array("source").alias("urls"))
