@@ -202,4 +202,4 @@ def repaired(before: Column, after: Column, issues_before: Column, issues_after:
 
 def is_relevant(text: Column, terms: list[str]) -> Column:
     """Any term as a substring of the lower-cased text."""
-    return contains_any(F.lower(_known(text)), terms)
+    return once(F.lower(_known(text)), lambda low: contains_any(low, terms))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions import terms
 from gleanwork.functions.bind import once
-from gleanwork.functions.url import contains_any
 
 # Pattern tables (each pattern counts once), term lists, aliases and paths.
 REVIEW = [
@@ -56,47 +54,28 @@ def normalize_section(value: Column) -> Column:
     return F.try_element_at(names, v)
 
 
-def alternatives(pattern: str) -> list[str]:
-    """The pattern's alternatives outside of brackets."""
-    out, depth = [""], 0
-    for c in pattern:
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
+def hits(low: Column, known: Column, patterns: list[tuple[str, int]]) -> Column:
+    """struct(pattern, weight) of the patterns that match, in table order; ``known``: the text's words among theirs."""
+    each = F.array(*[F.when(terms.matches(low, known, p), F.struct(F.lit(p).alias("pattern"), F.lit(w).alias("weight"))) for p, w in patterns])
+    return F.filter(each, lambda h: h.isNotNull())
 
-def needed_text(pattern: str) -> list[str] | None:
-    """Strings of which any match of the pattern holds one; None where an alternative needs none of two characters.
 
-    A search for plain strings is many times faster than one by pattern and most texts hold none.
-    """
-    out = []
-    for alternative in alternatives(pattern):
-        bare = re.sub(r"\([^()]*\)[?*]?|\\[sdw][+*?]?|\\?.[?*]", "\0", alternative.replace(r"\b", ""))
-        runs = re.findall(r"[a-z0-9-]{2,}", bare)
-        if not runs or re.search(r"[\[\]{}|^$]", bare):
-            return None
-        out.append(max(runs, key=len))
-    return out
+def _weight(found: Column) -> Column:
+    return F.aggregate(found, F.lit(0), lambda total, h: total + h["weight"])
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    needed = needed_text(pattern)
-    found = text.rlike("(?U)" + pattern)
-    return found if needed is None else contains_any(text, needed) & found
+def _hits_of(text: Column, patterns: list[tuple[str, int]]) -> Column:
+    return once(terms.known_words(text, [p for p, _ in patterns]), lambda known: hits(text, known, patterns))
 
 
 def weighted_score(text: Column, patterns: list[tuple[str, int]]) -> Column:
     """The weights of the patterns that match the (lower-cased) text, each once."""
-    return sum((F.when(_matches(text, p), w).otherwise(0) for p, w in patterns), F.lit(0))
+    return _weight(_hits_of(text, patterns))
 
 
 def weighted_hits(text: Column, patterns: list[tuple[str, int]]) -> Column:
     """The patterns that match, in table order: the reasons of ``weighted_score``."""
-    return F.filter(F.array(*[F.when(_matches(text, p), p) for p, _ in patterns]), lambda p: p.isNotNull())
+    return _hits_of(text, patterns)["pattern"]
 
 
 def routed_text(title: Column, body: Column, category: Column | None = None, tags: Column | None = None, brief: Column | None = None) -> Column:
@@ -106,30 +85,35 @@ def routed_text(title: Column, body: Column, category: Column | None = None, tag
 
 
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return _matches(text, "|".join(patterns))
+    return once(terms.known_words(text, patterns), lambda known: terms.matches(text, known, "|".join(patterns)))
 
 
 def scores(text: Column, review=REVIEW, insight=INSIGHT, news=NEWS, vendor=VENDOR, equipment=EQUIPMENT, product=PRODUCT_LIKE, buyer=BUYER) -> Column:
-    """Scores and flags of the lower-cased text; other pattern tables can be given."""
+    """Scores, flags and hits of the lower-cased text, which is split once for all tables; other pattern tables can be given."""
+    tables = {"review": review, "insight": insight, "news": news, "vendor": vendor}
+    flags = {"equipment": equipment, "product": product, "buyer": buyer}
+    every = [*(p for t in tables.values() for p, _ in t), *(p for t in flags.values() for p in t)]
 
-    def scored(low: Column) -> Column:
-        return F.struct(
-            weighted_score(low, review).alias("review"), weighted_score(low, insight).alias("insight"), weighted_score(low, news).alias("news"),
-            weighted_score(low, vendor).alias("vendor"), any_match(low, equipment).alias("equipment"), any_match(low, product).alias("product"),
-            any_match(low, buyer).alias("buyer"),
-        )
+    def scored(low: Column, known: Column) -> Column:
+        found = F.struct(*[hits(low, known, t).alias(name) for name, t in tables.items()])
+        held = [terms.matches(low, known, "|".join(t)).alias(name) for name, t in flags.items()]
+        return once(found, lambda f: F.struct(*[_weight(f[name]).alias(name) for name in tables], *held, *[f[name]["pattern"].alias(f"{name}_hits") for name in ("review", "insight", "news")]))
 
-    return once(F.lower(F.coalesce(text, F.lit(""))), scored)
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: once(terms.known_words(low, every), lambda known: scored(low, known)))
 
 
 def decide(scores: Column, explicit: Column, sourced: Column) -> Column:
-    """section, confidence and reason from ``scores``; the first rule that holds decides. ``explicit`` is a section or null."""
+    """section, section_path, confidence, reason and reasons from ``scores``; the first rule that holds decides. ``explicit`` is a section or null.
+
+    ``reasons``: the reason and, where a score decides, the first three patterns that made it.
+    """
     return once(scores, lambda s: _decision(s, explicit, sourced))
 
 
 def _decision(s: Column, explicit: Column, sourced: Column) -> Column:
     wanted = F.coalesce(explicit, F.lit(""))
     product = s["equipment"] & s["product"]
+    because = {"equipment with review marks": "review", "process explainer": "insight", "company event": "news"}
     rules = [
         ((wanted == "vendor") | (s["vendor"] >= 25), "vendor", 0.9, "vendor profile"),
         (wanted == "review", "review", 0.92, "explicit review"),
@@ -143,7 +127,18 @@ def _decision(s: Column, explicit: Column, sourced: Column) -> Column:
         ((s["review"] >= 22) & s["equipment"], "review", 0.78, "equipment review"),
         (F.coalesce(sourced, F.lit(False)), "news", 0.62, "sourced fresh signal"),
     ]
-    decision = lambda section, sure, why: F.struct(F.lit(section).alias("section"), F.lit(PATHS[section]).alias("section_path"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
+
+    def reasons(why: str) -> Column:
+        of = because.get(why)
+        told = F.array(F.lit(why))
+        if of is None:
+            return told
+        first = F.array_join(F.slice(s[f"{of}_hits"], 1, 3), ", ")
+        return F.when(F.size(s[f"{of}_hits"]) > 0, F.concat(told, F.array(F.concat(F.lit(f"{of} hits: "), first)))).otherwise(told)
+
+    def decision(section: str, sure: float, why: str) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(PATHS[section]).alias("section_path"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"), reasons(why).alias("reasons"))
+
     out = decision("insight", 0.6, "technical editorial")
     for holds, section, sure, why in reversed(rules):
         out = F.when(holds, decision(section, sure, why)).otherwise(out)

@@ -193,7 +193,11 @@ def _section_scores():
     return route.scores(F.col("text"), TEST_REVIEW, TEST_INSIGHT, TEST_NEWS, TEST_VENDOR, TEST_EQUIPMENT, TEST_PRODUCT, TEST_BUYER)
 
 
-_SCORES = f"""WITH s AS (SELECT doc_id, {S.weighted('words', TEST_REVIEW)} AS review, {S.weighted('words', TEST_INSIGHT)} AS insight, {S.weighted('words', TEST_NEWS)} AS news,
+def _first_hits(patterns) -> str:
+    return f"array_to_string((list_filter([{', '.join(f'CASE WHEN regexp_matches(words, {S.quoted(p)}) THEN {S.quoted(p)} END' for p, _ in patterns)}], lambda p: p IS NOT NULL))[1:3], ', ')"
+
+
+_SCORES = f"""WITH s AS (SELECT doc_id, words, {S.weighted('words', TEST_REVIEW)} AS review, {S.weighted('words', TEST_INSIGHT)} AS insight, {S.weighted('words', TEST_NEWS)} AS news,
   {S.weighted('words', TEST_VENDOR)} AS vendor, {S.any_match('words', TEST_EQUIPMENT)} AS equipment, {S.any_match('words', TEST_PRODUCT)} AS product, {S.any_match('words', TEST_BUYER)} AS buyer,
   CASE doc_id % 5 WHEN 0 THEN 'news' WHEN 1 THEN 'insight' END AS explicit, doc_id % 2 = 0 AS sourced FROM (SELECT doc_id, {S.wordy('lower(text)')} AS words FROM documents))"""
 
@@ -204,7 +208,7 @@ def _routed(spark, folder):
 
 @query(f"{_SCORES} SELECT doc_id, review, insight, news, vendor, equipment, product, buyer FROM s")
 def section_scores(spark, folder):
-    return _routed(spark, folder).select("doc_id", "s.*")
+    return _routed(spark, folder).select("doc_id", *[f"s.{c}" for c in ("review", "insight", "news", "vendor", "equipment", "product", "buyer")])
 
 
 @query(f"""{_SCORES} SELECT doc_id, CASE
@@ -216,10 +220,13 @@ def section_scores(spark, folder):
   WHEN vendor >= 25 THEN 0.9 WHEN buyer AND equipment THEN 0.88 WHEN equipment AND product AND review >= 18 THEN 0.84
   WHEN explicit = 'insight' AND equipment AND product AND (review >= 14 OR review > insight + 6) THEN 0.84 WHEN explicit = 'insight' THEN 0.9
   WHEN insight >= greatest(news, review) + 5 AND insight >= 18 THEN 0.82 WHEN explicit = 'news' AND NOT (equipment AND product AND review >= 24) THEN 0.86
-  WHEN news > review AND news >= 16 THEN 0.78 WHEN review >= 22 AND equipment THEN 0.78 WHEN sourced THEN 0.62 ELSE 0.6 END::DOUBLE AS confidence FROM s""")
+  WHEN news > review AND news >= 16 THEN 0.78 WHEN review >= 22 AND equipment THEN 0.78 WHEN sourced THEN 0.62 ELSE 0.6 END::DOUBLE AS confidence,
+  CASE WHEN vendor >= 25 OR (buyer AND equipment) THEN '' WHEN equipment AND product AND review >= 18 THEN 'review hits: ' || {_first_hits(TEST_REVIEW)}
+  WHEN explicit = 'insight' THEN '' WHEN insight >= greatest(news, review) + 5 AND insight >= 18 THEN 'insight hits: ' || {_first_hits(TEST_INSIGHT)}
+  WHEN explicit = 'news' AND NOT (equipment AND product AND review >= 24) THEN '' WHEN news > review AND news >= 16 THEN 'news hits: ' || {_first_hits(TEST_NEWS)} ELSE '' END AS hits FROM s""")
 def section_decision(spark, folder):
     decision = route.decide(F.col("s"), route.normalize_section(F.col("explicit")), F.col("sourced"))
-    return _routed(spark, folder).select("doc_id", decision.alias("d")).select("doc_id", "d.section", "d.confidence")
+    return _routed(spark, folder).select("doc_id", decision.alias("d")).select("doc_id", "d.section", "d.confidence", F.coalesce(F.try_element_at("d.reasons", F.lit(2)), F.lit("")).alias("hits"))
 
 
 @query(f"SELECT doc_id, CASE lower(trim(source)) {' '.join(f'WHEN {S.quoted(a)} THEN {S.quoted(b)}' for a, b in {**{s: s for s in route.SECTIONS}, **route.ALIASES}.items())} END AS section FROM (SELECT doc_id, (['news', 'Insights', ' guide ', '/news/', 'supplier', ''])[CAST(doc_id % 6 AS INTEGER) + 1] AS source FROM documents)")
