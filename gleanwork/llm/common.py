@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from gleanwork.operators.checkpoints import materialize, narrow_result
 from gleanwork.operators.joins import join_by_frequency
 
-__all__ = ["crc_bucket", "documents", "join_by_frequency", "materialize", "narrow_result", "release_memory", "unit_hash", "word_count"]
+__all__ = ["crc_bucket", "documents", "join_by_frequency", "materialize", "narrow_result", "release_memory", "small_batches", "unit_hash", "word_count"]
 
 #: What stands between the words of the near-duplicate and mixing operators: ASCII white space.
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
@@ -25,6 +27,18 @@ def release_memory() -> None:
         trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While this is open, jobs hand Python workers at most so many bytes of rows at once: long texts and sets come one by one, short ones together."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, materialize, narrow_result, release_memory
+from gleanwork.llm.common import documents, materialize, narrow_result, release_memory, small_batches
 
 PIECE = 1 << 20
 MEMO = 200_000
@@ -49,7 +49,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 BROADCAST_ROWS = 500_000
 STAR_TURNS = 2
 #: Documents of one family, and shingles of theirs, that a task intersects at once; members of a bucket that it compares with as many.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -358,9 +358,14 @@ def sketch_families(classes: DataFrame, how: Settings) -> DataFrame:
     return components(merged).withColumnRenamed("component", "family")
 
 
-@narrow_result
 def near_duplicates(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, how)
+
+
+@narrow_result
+def _near_duplicates(docs: DataFrame, how: Settings) -> DataFrame:
     signed = materialize(signatures(docs, how))
     full = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(full.groupBy(F.col("set_a").alias("ca"), F.col("set_b").alias("cb")).agg(F.min("doc_id").alias("id")))
