@@ -14,6 +14,7 @@ from gleanwork.functions import url as U
 from gleanwork.operators import briefs, checkpoints, dedupe, drafts, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
+from gleanwork.sources import tree
 from gleanwork.sources.listings import links
 from gleanwork.streaming import incremental
 
@@ -224,6 +225,19 @@ _CLEAN = S.collapsed("title")
 _ABS = r"CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) || href ELSE href END"
 
 
+_ELEMENTS = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '<\1></\1>', 'g')"
+
+
+@query(f"""SELECT page_id, len(regexp_extract_all({_ELEMENTS}, '(?i)<a(?:\s[^>]*)?>')) AS n_links, len(regexp_extract_all({_ELEMENTS}, '(?i)<h[1-6](?:\s[^>]*)?>')) AS n_headings,
+  len(regexp_extract_all({_ELEMENTS}, '(?i)<p(?:\s[^>]*)?>')) AS n_paragraphs, len(regexp_extract_all({_ELEMENTS}, '(?i)<li(?:\s[^>]*)?>')) AS n_items FROM pages""")
+def page_elements(spark, folder):
+    """Elements of every page's tree."""
+    t = F.col("tree")
+    parsed = table(spark, folder, "pages").select("page_id", tree.page_tree(F.col("html")).alias("tree"))
+    n = lambda *tags: F.size(F.filter(t["tag"], lambda x: x.isin(*tags))).cast("long")
+    return parsed.select("page_id", n("a").alias("n_links"), n("h1", "h2", "h3", "h4", "h5", "h6").alias("n_headings"), n("p").alias("n_paragraphs"), n("li").alias("n_items"))
+
+
 @query(f"""WITH links AS ({_LINKS}), a AS (SELECT *, {_CLEAN} AS clean, {_ABS} AS absolute FROM links)
 SELECT page_id, CAST(pos AS BIGINT) AS pos, NOT (length(clean) < 8 OR list_contains({S.strings(U.GENERIC_LINK_TITLES)}, lower(clean)) OR regexp_matches(lower(clean), '^(read more|skip|contact)')
   OR rtrim(absolute, '/') = rtrim(url, '/') OR {S.any_of('lower(' + S.path('absolute') + ')', U.LINK_SKIP_PATHS)}

@@ -1,8 +1,8 @@
 """Landed HTML to dated items: search results, listing pages, vendor pages; registry files to rows.
 
-Markup is cut by patterns: a search result runs to the next result, a listed item from
-its heading or card to the next one, and a vendor link stands in the text up to 600
-characters to either side of it, the neighbouring links' included.
+A search result is cut by patterns, to the next result. Listing and vendor pages are read as flat trees: a listed
+item is what its heading's or card's parent holds, a vendor link is dated by the closest of the four elements around
+it that says a date and isn't long.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from gleanwork.functions import dates
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
-from gleanwork.functions.bind import once
+from gleanwork.sources import tree
 
-LINK = r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 SHORTEST_TITLE = 8
-AROUND = 1200
 
 
 def _bare(html: Column) -> Column:
@@ -46,26 +44,51 @@ def search_results(landed: DataFrame, as_of: Column, most: int = 5) -> DataFrame
     return _first_of(rows.where("title <> '' AND source <> ''"), ["query"], most)
 
 
-#: What begins a listed item: a heading, or a card's link or its holder by class.
-ITEM = r"(?i)(?=<h[2-4]\b|<a\b[^>]*\bclass=[\"'][^\"']*\b(?:entry-)?title\b|<(?!h[2-4]|a\b)\w+\b[^>]*\bclass=[\"'][^\"']*\b(?:post-title|headline)\b)"
-CARD = r"(?is)^<(?!h[2-4]\b)"
+# Classes of card links and of their holders, and the longest text around a vendor's link that dates it.
+CARD_LINKS, CARD_HOLDERS = ["title", "entry-title"], ["post-title", "headline"]
+LONGEST_BLOCK, AROUND = 1200, 4
+HEADINGS = ("h2", "h3", "h4")
 
 
-def listed_items(landed: DataFrame, as_of: Column, most: int = 50, page_dates: DataFrame | None = None) -> DataFrame:
-    """feed, pos, title, snippet, source, published from listing pages (feed, page, html): headings h2 to h4 that hold a link, then cards.
+def _without(block: Column, title: Column) -> Column:
+    """A block's text without the first place where it says the title."""
+    at = F.instr(block, title)
+    rest = F.concat(F.substring(block, F.lit(1), at - 1), F.substring(block, at + F.char_length(title), F.char_length(block)))
+    return F.when((at > 0) & (title != ""), rest).otherwise(block)
 
-    Items without a date get that of their own page from ``page_dates`` (url, at), where it is landed.
+
+def _heading_links(t: Column, headings: tuple[str, ...]) -> Column:
+    """(el, a) of headings that hold a link with an address."""
+    found = F.filter(tree.every(t), lambda i: t["tag"][i].isin(*headings))
+    pairs = F.transform(found, lambda i: F.struct(i.alias("el"), tree.first_inside(t, i, "a").alias("a")))
+    return F.filter(pairs, lambda p: p["a"].isNotNull() & (F.coalesce(t["href"][p["a"]], F.lit("")) != ""))
+
+
+def _card_links(t: Column) -> Column:
+    """(el, a) of links that are cards' titles by their class or by that of an element around them."""
+    holders = F.filter(tree.every(t), lambda i: tree.has_class(t, i, CARD_HOLDERS))
+    inside = lambda i: F.exists(holders, lambda h: (h < i) & (t["last"][h] >= i))
+    found = F.filter(tree.every(t), lambda i: (t["tag"][i] == "a") & (F.coalesce(t["href"][i], F.lit("")) != "") & (tree.has_class(t, i, CARD_LINKS) | inside(i)))
+    return F.transform(found, lambda i: F.struct(i.alias("el"), i.alias("a")))
+
+
+def listed_items(landed: DataFrame, as_of: Column, most: int = 50, page_dates: DataFrame | None = None, headings: tuple[str, ...] = HEADINGS, cards: bool = True, shortest: int = SHORTEST_TITLE) -> DataFrame:
+    """feed, pos, title, snippet, source, published from listing pages (feed, page, html): ``headings`` that hold a link, then cards.
+
+    The first ``most`` of a page, each address once. Items without a date get that of their own page from
+    ``page_dates`` (url, at), where it is landed.
     """
-    parts = F.filter(F.split("html", ITEM), lambda b: b.rlike(r"(?is)^<(h[2-4]\b|a\b[^>]*\bclass=|\w+\b[^>]*\bclass=)"))
-    ordered = F.concat(F.filter(parts, lambda b: ~b.rlike(CARD)), F.filter(parts, lambda b: b.rlike(CARD)))
-    each = landed.select("feed", "page", F.posexplode(ordered).alias("pos", "b"))
-    head = F.coalesce(F.nullif(F.regexp_extract("b", r"(?is)^(<h[2-4]\b[^>]*>.*?</h[2-4]>)", 1), F.lit("")), F.when(F.col("b").rlike(CARD), F.col("b")), F.lit(""))
-    title, block = _bare(F.regexp_extract(head, LINK, 2)), _bare(F.col("b"))
+    t = F.col("tree")
+    parsed = landed.select("feed", "page", tree.page_tree(F.col("html")).alias("tree"))
+    both = F.concat(_heading_links(t, headings), _card_links(t)) if cards else _heading_links(t, headings)
+    told = F.transform(both, lambda p: F.struct(tree.text_of(t, p["a"]).alias("title"), t["href"][p["a"]].alias("href"), tree.text_of(t, t["parent"][p["el"]]).alias("block")))
+    long_enough = F.filter(told, lambda x: F.char_length(x["title"]) >= shortest)
+    each = parsed.select("feed", "page", F.posexplode(F.slice(long_enough, 1, most)).alias("pos", "x"))
     rows = each.select(
-        "feed", "pos", title.alias("title"), F.substring(F.trim(F.replace(block, title, F.lit(""))), 1, 350).alias("snippet"),
-        U.resolve(F.col("page"), F.nullif(F.regexp_extract(head, LINK, 1), F.lit(""))).alias("source"), dates.parse_any_date(block, as_of).alias("published"),
+        "feed", "pos", F.col("x.title").alias("title"), F.substring(F.trim(_without(F.col("x.block"), F.col("x.title"))), 1, 350).alias("snippet"),
+        U.resolve(F.col("page"), F.col("x.href")).alias("source"), dates.parse_any_date(F.col("x.block"), as_of).alias("published"),
     )
-    kept = _first_of(rows.where((F.char_length("title") >= SHORTEST_TITLE) & F.col("source").isNotNull()), ["feed"], most)
+    kept = _first_of(rows.where(F.col("source").isNotNull()), ["feed"], most)
     if page_dates is None:
         return kept
     known = page_dates.groupBy(F.col("url").alias("__of")).agg(F.max("at").alias("__at"))
@@ -73,21 +96,24 @@ def listed_items(landed: DataFrame, as_of: Column, most: int = 50, page_dates: D
 
 
 def vendor_items(landed: DataFrame, as_of: Column, most: int = 25) -> DataFrame:
-    """feed, pos, title, snippet, source, published from vendors' pages (feed, page, html): links that may be news, dated by the text around."""
-
-    def around(texts: Column, anchors: Column) -> Column:
-        get = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
-        before = lambda i: F.right(F.concat(get(texts, i - 1), get(anchors, i - 1), get(texts, i)), F.lit(AROUND // 2))
-        after = lambda i: F.left(F.concat(get(texts, i + 1), get(anchors, i + 1), get(texts, i + 2)), F.lit(AROUND // 2))
-        return F.transform(anchors, lambda a, i: F.struct(a.alias("a"), F.concat(before(i), a, after(i)).alias("near")))
-
-    found = F.struct(F.split("html", LINK, -1).alias("texts"), F.regexp_extract_all("html", F.lit(LINK), F.lit(0)).alias("anchors"))
-    each = landed.select("feed", "page", F.posexplode(once(found, lambda f: around(f["texts"], f["anchors"]))).alias("pos", "x")).select("feed", "page", "pos", "x.a", "x.near")
-    near = _bare(F.regexp_replace("near", r"^[^<]*>|<[^>]*$", ""))
-    title, href = _bare(F.regexp_extract("a", LINK, 2)), F.regexp_extract("a", LINK, 1)
-    rows = each.where(U.is_link_candidate(F.col("page"), href, title)).select(
-        "feed", "pos", title.alias("title"), F.substring(F.trim(F.replace(near, title, F.lit(""))), 1, 350).alias("snippet"),
-        U.resolve(F.col("page"), href).alias("source"), dates.parse_any_date(near, as_of).alias("published"),
+    """feed, pos, title, snippet, source, published from vendors' pages (feed, page, html): links that may be news.
+
+    Of the elements around a link, up to four, those of at most 1200 characters that hold its title count: the closest with a
+    date dates it and gives the snippet; without a date the outermost gives the snippet.
+    """
+    t = F.col("tree")
+    parsed = landed.select("feed", "page", tree.page_tree(F.col("html")).alias("tree"))
+    anchors = F.filter(tree.every(t), lambda i: (t["tag"][i] == "a") & t["href"][i].isNotNull())
+    bounded = lambda i: F.left(tree.text_of(t, i), F.lit(LONGEST_BLOCK + 1))
+    told = F.transform(anchors, lambda i: F.struct(tree.text_of(t, i).alias("title"), t["href"][i].alias("href"), F.transform(tree.ancestors(t, i, AROUND), bounded).alias("blocks")))
+    each = parsed.select("feed", "page", F.posexplode(told).alias("pos", "x")).select("feed", "page", "pos", "x.title", "x.href", "x.blocks")
+    each = each.where(U.is_link_candidate(F.col("page"), F.col("href"), F.col("title")))
+    fitting = F.filter("blocks", lambda b: (F.char_length(b) <= LONGEST_BLOCK) & F.contains(b, F.col("title")))
+    dated = F.transform(fitting, lambda b: F.struct(b.alias("block"), dates.parse_any_date(b, as_of).alias("at")))
+    chosen = F.coalesce(F.try_element_at(F.filter(dated, lambda d: d["at"].isNotNull()), F.lit(1)), F.try_element_at(dated, F.lit(-1)))
+    rows = each.withColumn("d", chosen).select(
+        "feed", "pos", "title", F.substring(T.title_collapsed(_without(F.coalesce("d.block", F.element_at("blocks", 1)), F.col("title"))), 1, 350).alias("snippet"),
+        U.resolve(F.col("page"), F.col("href")).alias("source"), F.col("d.at").alias("published"),
     )
     return _first_of(rows, ["feed"], most)
 

@@ -104,7 +104,7 @@ def test_listings(spark):
     result = '<div class="result__body"><a rel="x" class="result__a" href="//go/?uddg=http%3A%2F%2Fa%2F1&x=1">A <b>title</b></a><a class="result__snippet" href="y">said Jan 3, 2024</a></div>'
     got = listings.search_results(spark.createDataFrame([("q", result * 2), ("n", None)], "query string, html string"), as_of()).collect()
     assert [(r["title"], r["source"], str(r["published"])[:10]) for r in got] == [("A title", "http://a/1", "2024-01-03")]
-    page = '<h2><a href="/n/1">A heading here</a></h2><p>2024-01-05 words</p><h3><a href="/n/2">short</a></h3><h3>no link at all</h3>'
+    page = '<div><h2><a href="/n/1">A heading here</a></h2><p>2024-01-05 words</p></div><h3><a href="/n/2">short</a></h3><h3>no link at all</h3>'
     got = listings.listed_items(spark.createDataFrame([("f", "http://h/p", page)], "feed string, page string, html string"), as_of()).collect()
     assert [(r["title"], r["source"], r["snippet"], str(r["published"])[:10]) for r in got] == [("A heading here", "http://h/n/1", "2024-01-05 words", "2024-01-05")]
     vendor = '<ul><li><a href="/news/1">We launch a platform</a> 2024-01-06</li><li><a href="/privacy">Privacy and more</a></li></ul>'

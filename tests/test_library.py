@@ -132,13 +132,13 @@ def test_search_feeds_and_discovery(spark):
 
 
 def test_cards_and_page_dates(spark):
-    page = '<a class="x entry-title" href="/n/3">A card of its own</a><p>2024-01-02 c</p><h2><a href="/n/1">A heading here</a></h2><p>no date</p><div class="post-title"><a href="/n/4">Held by a card</a></div><p>words</p>'
+    page = '<div><a class="x entry-title" href="/n/3">A card of its own</a><p>2024-01-02 c</p></div><div><h2><a href="/n/1">A heading here</a></h2><p>no date</p></div><div class="post-title"><a href="/n/4">Held by a card</a></div><p>words</p>'
     landed = spark.createDataFrame([("f", "http://h/p", page)], "feed string, page string, html string")
     known = spark.createDataFrame([("http://h/n/1", dt.datetime(2024, 1, 9))], "url string, at timestamp")
     got = sorted(listings.listed_items(landed, as_of(), page_dates=known).collect(), key=lambda r: r["pos"])
     assert [(r["title"], r["source"], str(r["published"])[:10]) for r in got] == [("A heading here", "http://h/n/1", "2024-01-09"), ("A card of its own", "http://h/n/3", "2024-01-02"), ("Held by a card", "http://h/n/4", "None")]
     same = "<a href='/news/x'>We launch a platform</a>"
-    vendor = f"<p>{'old ' * 400}</p>{same} 2024-01-06 {'words ' * 300} <a href='/news/y'>We launch a system</a> 2024-01-08"
+    vendor = f"<p>{'old ' * 400}</p><div><p>{same} 2024-01-06</p>{'words ' * 300} <p><a href='/news/y'>We launch a system</a> 2024-01-08</p></div>"
     got = sorted(listings.vendor_items(spark.createDataFrame([("v", "http://h/p", vendor)], "feed string, page string, html string"), as_of()).collect(), key=lambda r: r["pos"])
     assert [(r["source"], str(r["published"])[:10]) for r in got] == [("http://h/news/x", "2024-01-06"), ("http://h/news/y", "2024-01-08")]
 
