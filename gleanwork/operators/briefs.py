@@ -22,8 +22,8 @@ def accepted(items: DataFrame, days: int, as_of: Column, strict: bool = True, th
     when the earlier ones fell to their titles. ``known`` (title, source): items of earlier runs.
     """
     fresh = items.where((F.coalesce("source", F.lit("")) != "") & dates.is_fresh(F.col("published"), days, as_of, strict))
-    before = None if known is None else known.select(F.col("source").alias("key"), T.scan_tokens(F.col("title")).alias("tokens"))
-    stay = dedupe.greedy_distinct(fresh, "seq", F.col("source"), T.scan_tokens(F.col("title")), threshold, before)
+    before = None if known is None else known.select(F.array("source").alias("keys"), T.scan_tokens(F.col("title")).alias("tokens"))
+    stay = dedupe.greedy_distinct(fresh, "seq", F.array("source"), T.scan_tokens(F.col("title")), threshold, before)
     return fresh.join(stay, F.col("seq") == F.col("k"), "left_semi")
 
 

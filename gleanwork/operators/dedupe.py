@@ -93,32 +93,40 @@ def greedy_keep(rows: DataFrame, id_col: str, tokens: Column, threshold: float =
     return rows.join(lost, F.col(id_col) == F.col("d"), "left").withColumn("kept", F.col("__gone").isNull()).drop("d", "__gone")
 
 
-def greedy_distinct(rows: DataFrame, id_col: str, key: Column, tokens: Column, threshold: float = 0.85, known: DataFrame | None = None) -> DataFrame:
-    """The ids (k) that stay when, in order of id, a row goes if its key, or a title near its own, was kept before it.
+def greedy_distinct(rows: DataFrame, id_col: str, keys: Column, tokens: Column, threshold: float = 0.85, known: DataFrame | None = None) -> DataFrame:
+    """The ids (k) that stay when, in order of id, a row goes if one of its keys, or a title near its own, was kept before it.
 
-    Two relations conflict at once: a later row of a key stays if the earlier ones of that key fell to a near title. Rows
-    of a key are a group, not pairs: in each round its first undecided row stands for it. ``known`` (key, tokens): rows that
-    were kept before all others. Rows without tokens are near nothing; a null key is a key of its own.
+    Two relations conflict at once: a later row of a key stays if the earlier ones of that key fell to others. Rows
+    of a key are a group, not pairs: in each round a row that is first in all its keys, and near no earlier one that is
+    undecided, stays. ``keys`` is an array; nulls in it are none. ``known`` (keys, tokens): rows that were kept before all
+    others. Rows without tokens are near nothing.
     """
-    own = F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.concat(F.lit("r"), F.col(id_col).cast("string")))
-    sets = materialize(rows.select(F.col(id_col).alias("id"), own.alias("key"), tokens.alias("tokens")))
+    filled = lambda c: F.array_distinct(F.array_compact(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>"))))
+    sets = materialize(rows.select(F.col(id_col).alias("id"), filled(keys).alias("keys"), tokens.alias("tokens")))
     if known is not None:
-        old = materialize(known.select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("__key"), "tokens", F.monotonically_increasing_id().alias("id")))
-        near = similar_pairs(sets.select("id", "tokens"), old.select("id", "tokens"), threshold).select(F.col("a").alias("__near")).distinct()
-        sets = sets.join(old.select("__key").distinct(), F.col("key") == F.col("__key"), "left_anti")
-        sets = materialize(sets.join(near, F.col("id") == F.col("__near"), "left_anti"))
+        old = materialize(known.select(filled(F.col("keys")).alias("keys"), "tokens", F.monotonically_increasing_id().alias("id")))
+        near = similar_pairs(sets.select("id", "tokens"), old.select("id", "tokens"), threshold).select(F.col("a").alias("__lost"))
+        taken = old.select(F.explode("keys").alias("__key")).distinct()
+        same = sets.select("id", F.explode("keys").alias("key")).join(taken, F.col("key") == F.col("__key"), "left_semi").select(F.col("id").alias("__lost"))
+        sets = materialize(sets.join(near.union(same).distinct(), F.col("id") == F.col("__lost"), "left_anti"))
     waiting = materialize(similar_within(sets.select("id", "tokens"), threshold).select("a", "b"))
-    left, kept = sets.select("id", "key"), None
+    left, kept = sets.select("id", "keys"), None
     while not left.isEmpty():
-        first = left.groupBy("key").agg(F.min("id").alias("k")).withColumnRenamed("key", "__key")
+        each = left.select("id", F.explode("keys").alias("key"))
+        first = each.groupBy("key").agg(F.min("id").alias("k")).withColumnRenamed("key", "__key")
+        leads = first.groupBy("k").agg(F.count("*").alias("n"))
         blocked = waiting.select(F.col("b").alias("x")).distinct()
-        sure = materialize(first.join(blocked, F.col("k") == F.col("x"), "left_anti"))
-        kept = sure.select("k") if kept is None else kept.union(sure.select("k"))
-        dropped = waiting.join(sure.select("k"), F.col("a") == F.col("k"), "left_semi").select(F.col("b").alias("d")).distinct()
-        left = materialize(left.join(sure.select("__key"), F.col("key") == F.col("__key"), "left_anti").join(dropped, F.col("id") == F.col("d"), "left_anti"))
+        free = left.select("id", F.size("keys").alias("wanted")).join(leads, F.col("id") == F.col("k"), "left").where(F.coalesce("n", F.lit(0)) == F.col("wanted"))
+        sure = materialize(free.select(F.col("id").alias("s")).join(blocked, F.col("s") == F.col("x"), "left_anti"))
+        kept = sure if kept is None else kept.union(sure)
+        theirs = first.join(sure, F.col("k") == F.col("s"), "left_semi").select("__key")
+        same = each.join(theirs, F.col("key") == F.col("__key"), "left_semi").select("id")
+        near = waiting.join(sure, F.col("a") == F.col("s"), "left_semi").select("b")
+        decided = same.union(near).union(sure).distinct().withColumnRenamed("id", "__done")
+        left = materialize(left.join(decided, F.col("id") == F.col("__done"), "left_anti"))
         open_ = left.select(F.col("id").alias("o"))
         waiting = materialize(waiting.join(open_, F.col("a") == F.col("o"), "left_semi").join(open_, F.col("b") == F.col("o"), "left_semi"))
-    return kept if kept is not None else left.select(F.col("id").alias("k"))
+    return (kept if kept is not None else left.select(F.col("id").alias("s"))).withColumnRenamed("s", "k")
 
 
 def match_slug(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -162,6 +170,31 @@ def find_duplicates(new: DataFrame, existing: DataFrame, threshold: float = 0.72
     return out.withColumn("m", F.coalesce(*names)).select(*new.columns, "m.reason", "m.matched_id", "m.score")
 
 
+REASONS = ["same_slug", "same_source_url", "same_title", "similar_title"]
+
+
+def draft_keys(title: Column, urls: Column) -> Column:
+    """What may stand once among drafts: slug, canonical addresses and normalised title, those that aren't empty."""
+    named = lambda kind, c: F.when(c != "", F.concat(F.lit(f"{kind}:"), c))
+    return F.concat(F.array(named("slug", T.slugify(title)), named("title", T.title_spaced(title))), F.transform(urls, lambda u: named("url", U.canonical_url(u))))
+
+
+def blocked_by_batch(lost: DataFrame, kept: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """(seq, place, matched_id, score): for rows ``lost`` (seq, title, urls) the first reason, as its place in ``REASONS``, for which an earlier kept row (seq, id, title, urls) blocks it.
+
+    Kept rows share no slug, address or title, so each key leads to one of them.
+    """
+    keys = lambda d: F.explode(F.array_compact(draft_keys(F.col("title"), F.col("urls"))))
+    held = kept.select(F.col("seq").alias("ks"), F.col("id").alias("matched_id"), keys(kept).alias("kk"))
+    same = lost.select("seq", keys(lost).alias("key")).join(held, (F.col("key") == F.col("kk")) & (F.col("ks") < F.col("seq")))
+    place = F.when(F.col("key").startswith("slug:"), 0).when(F.col("key").startswith("url:"), 1).otherwise(2)
+    tokens = lambda d: d.select(F.col("seq").alias("id"), T.title_tokens(F.col("title")).alias("tokens"))
+    near = similar_pairs(tokens(lost), tokens(kept), threshold).where("b < a").join(kept.select(F.col("seq").alias("ks"), "id"), F.col("b") == F.col("ks"))
+    every = same.select("seq", place.alias("place"), "matched_id", F.lit(1.0).alias("score")).unionByName(near.select(F.col("a").alias("seq"), F.lit(3).alias("place"), F.col("id").alias("matched_id"), "score"))
+    best = F.max(F.struct(-F.col("place"), "score", "matched_id")).alias("m")
+    return every.groupBy("seq").agg(best).select("seq", (-F.col("m.col1")).alias("place"), "m.matched_id", "m.score")
+
+
 def split_covered(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The new items that nothing covers yet, and the covered ones with their match."""
     told = find_duplicates(new, existing)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwork.functions import route
+from gleanwork.functions import pages, route
 from gleanwork.functions import text as T
 from gleanwork.operators import dedupe
 from gleanwork.operators.checkpoints import materialize, numbered
@@ -121,26 +121,56 @@ def latest_drafts(drafts: DataFrame, k: int = 30) -> DataFrame:
     return drafts.where(~F.col("is_published")).orderBy(F.desc("id")).limit(k)
 
 
-def submit(new: DataFrame, existing: DataFrame, stored: DataFrame, as_of: Column, allow_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Drafts of ``new`` (seq, title, body, category, tags, explicit, link), and what the duplicate guard blocks (seq, reason, matched_id).
+def _guarded(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with what ``find_duplicates`` says of them: those that stay beside each other (k), and the rest."""
+    alone = told.where("reason IS NULL")
+    stay = materialize(dedupe.greedy_distinct(alone, "seq", dedupe.draft_keys(F.col("title"), F.col("urls")), T.title_tokens(F.col("title")), 0.72))
+    return stay, told.join(stay, F.col("seq") == F.col("k"), "left_anti")
+
 
-    ``existing`` (id, slug) are the stored rows, ``stored`` (id, title, urls) those that the guard compares
-    with. A draft: seq, id after the highest, slug, title, editorial_type, section_path, url, summary, at, is_published.
+def submit(new: DataFrame, existing: DataFrame, stored: DataFrame, as_of: Column, allow_duplicates: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Drafts of ``new``, and what the duplicate guard blocks (seq, reason, matched_id), as if submitted one after the other by seq.
+
+    ``new``: seq, title, body, category, tags, explicit, link, and as far as there are source_url, source,
+    author, summary, is_rss and seo (struct of slug, meta_description, jsonld, internal_links). ``existing`` (id, slug) are the stored
+    rows, ``stored`` (id, title, urls) those that the guard compares with; it also compares with the batch's own earlier drafts. A
+    draft: seq, id after the highest, slug, title, content, link, source, at, category_name, is_rss, is_expert, is_published,
+    editorial_type, section_path, url, summary, source_url, author_name and frontmatter_json, which carries the section routing and
+    the tags. Where two reasons hold, the one of a stored row goes before the same one of the batch, but for titles, where the
+    highest id does.
     """
-    told = dedupe.find_duplicates(new.withColumn("urls", F.filter(F.array("link"), lambda u: F.coalesce(u, F.lit("")) != "")), stored)
-    told = materialize(told.drop("urls"))
-    free = told if allow_duplicates else told.where("reason IS NULL")
-    text = route.routed_text(F.col("title"), F.col("body"), F.col("category"), F.col("tags"))
-    section = route.decide(route.scores(text), route.normalize_section(F.col("explicit")), F.coalesce("link", F.lit("")) != "")
+    given = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other) if c in new.columns else other
+    link = F.coalesce("link", F.lit(""))
+    rows = new.withColumns({"source_url": given("source_url", link), "urls": F.filter(F.array(link, given("source_url", link)), lambda u: u != "")})
+    told = materialize(dedupe.find_duplicates(rows, stored))
+    if allow_duplicates:
+        free, lost = told, told.limit(0)
+    else:
+        stay, lost = _guarded(told)
+        free = told.join(stay, F.col("seq") == F.col("k"), "left_semi")
+    text = route.routed_text(F.col("title"), F.col("body"), F.col("category"), F.col("tags"), link)
+    section = route.decide(route.scores(text), route.normalize_section(F.col("explicit")), link != "")
     slugs = unique_slugs(free.select("seq", T.slugify(F.col("title")).alias("base")), existing.select("slug")).select(F.col("seq").alias("s"), "slug")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    placed = numbered(free.select(*new.columns), [F.asc("seq")], "__place").join(slugs, F.col("seq") == F.col("s"))
-    summary = F.concat(F.rtrim(F.substring(F.coalesce("body", F.lit("")), 1, 200)), F.lit("…"))
-    out = placed.withColumn("d", section).select(
-        "seq", (F.lit(top) + F.col("__place")).cast("long").alias("id"), "slug", "title", F.col("d.section").alias("editorial_type"), "d.section_path",
-        F.concat("d.section_path", "slug").alias("url"), summary.alias("summary"), as_of.alias("at"), F.lit(False).alias("is_published"),
+    placed = materialize(numbered(free, [F.asc("seq")], "__place").withColumn("id", (F.lit(top) + F.col("__place")).cast("long")))
+    house = F.lit("Editorial")
+    summary = given("summary", F.concat(F.rtrim(F.substring(F.coalesce("body", F.lit("")), 1, 200)), F.lit("…")))
+    seo = F.col("seo") if "seo" in new.columns else F.lit(None).cast("struct<slug:string,meta_description:string,jsonld:string,internal_links:array<string>>")
+    made = placed.join(slugs, F.col("seq") == F.col("s")).withColumn("d", section)
+    routing = F.struct(F.col("d.section").alias("editorial_type"), "d.section_path", "d.confidence", "d.reasons")
+    out = made.select(
+        "seq", "id", "slug", "title", F.coalesce("body", F.lit("")).alias("content"), link.alias("link"), given("source", house).alias("source"), as_of.alias("at"), F.col("category").alias("category_name"),
+        (F.coalesce("is_rss", F.lit(False)) if "is_rss" in new.columns else F.lit(False)).alias("is_rss"), F.lit(False).alias("is_expert"), F.lit(False).alias("is_published"),
+        F.col("d.section").alias("editorial_type"), "d.section_path", F.concat("d.section_path", "slug").alias("url"), summary.alias("summary"), "source_url",
+        given("author", house).alias("author_name"), pages.front_matter(F.col("tags"), routing, F.col("source_url"), seo, F.col("slug")).alias("frontmatter_json"),
     )
-    return out, told.where("reason IS NOT NULL").select("seq", "reason", "matched_id")
+    inside = dedupe.blocked_by_batch(lost.select("seq", "title", "urls"), placed.select("seq", "id", "title", "urls")).select(F.col("seq").alias("s"), "place", F.col("matched_id").alias("batch_id"), F.col("score").alias("batch_score"))
+    names = F.array(*[F.lit(r) for r in dedupe.REASONS])
+    both = lost.join(inside, F.col("seq") == F.col("s"), "left").withColumn("own", F.array_position(names, F.coalesce("reason", F.lit(""))) - 1)
+    later = (F.col("place") == 2) | (F.col("place") == 3) & (F.col("batch_score") >= F.col("score"))
+    theirs = F.col("place").isNotNull() & ((F.col("own") < 0) | (F.col("place") < F.col("own")) | (F.col("place") == F.col("own")) & later)
+    reason = F.when(theirs, F.element_at(names, (F.col("place") + 1).cast("int"))).otherwise(F.col("reason"))
+    return out, both.select("seq", reason.alias("reason"), F.when(theirs, F.col("batch_id")).otherwise(F.col("matched_id")).alias("matched_id"))
 
 
 def insert_videos(videos: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:

@@ -436,13 +436,21 @@ def brief_rule_mode(spark, folder):
     return told.select("topic_id", "topic", "category", "section", "source_count", F.array_join(F.transform("sources", lambda s: s["url"]), " ").alias("urls"))
 
 
-@query(f"""{_PRECEDENCE}, top AS (SELECT max(id) AS top FROM old),
-free AS (SELECT new.seq, {S.slug('title')} AS base, row_number() OVER (ORDER BY new.seq) AS n, row_number() OVER (PARTITION BY {S.slug('title')} ORDER BY new.seq) AS again FROM new JOIN told ON told.seq = new.seq WHERE reason IS NULL)
-SELECT seq, CAST(top + n AS BIGINT) AS id, base || CASE WHEN again > 1 THEN '-' || again ELSE '' END AS slug FROM free, top""")
+_GUARDED = f"""{_PRECEDENCE.replace("WITH", "WITH RECURSIVE", 1)}, alone AS MATERIALIZED (SELECT new.seq, {S.slug('title')} AS slug, {S.canonical('source')} AS url, {S.spaced('title')} AS spaced, {_TOK['new']} AS k
+  FROM new JOIN told ON told.seq = new.seq WHERE reason IS NULL),
+clashes AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b FROM alone x JOIN alone y ON x.seq < y.seq AND (x.slug = y.slug AND x.slug <> '' OR x.url = y.url OR x.spaced = y.spaced AND x.spaced <> '' OR {S.overlap('x.k', 'y.k')} >= {SIMILAR})),
+{_greedy_sql("alone", "clashes")}, free AS (SELECT unnest(kept) AS seq FROM chosen)"""
+
+
+@query(f"""{_GUARDED}, top AS (SELECT max(id) AS top FROM old)
+SELECT seq, CAST(top + row_number() OVER (ORDER BY seq) AS BIGINT) AS id, {S.slug('title')} AS slug, snippet AS content, source AS link, source AS source_url, rtrim(substr(snippet, 1, 200)) || '…' AS summary,
+  'c' AS category_name, 'Editorial' AS author_name, false AS is_published, '["' || feed || '"]' AS tags
+FROM free JOIN signals USING (seq), top""")
 def submitted_drafts(spark, folder):
-    """New pages as drafts, without those that what exists covers already."""
-    new, old = _split(spark, folder, 5)
-    empty = F.lit("").alias("body"), F.lit("").alias("category"), F.array().cast("array<string>").alias("tags"), F.lit("news").alias("explicit")
+    """New pages as drafts, one after the other: without those that what exists, or an earlier draft, covers already."""
+    _, old = _split(spark, folder, 5)
+    new = _signals(spark, folder).where("seq % 5 <> 0").select("seq", "title", F.col("snippet").alias("body"), F.lit("c").alias("category"), F.array("feed").alias("tags"), F.lit("news").alias("explicit"), F.col("source").alias("link"))
     existing = old.select("id", T.slugify(F.col("title")).alias("slug"))
-    made, _ = drafts.submit(new.select("seq", "title", *empty, F.col("urls")[0].alias("link")), existing, old, F.lit("2024-01-20").cast("timestamp"))
-    return made.select("seq", "id", "slug")
+    made, _ = drafts.submit(new, existing, old, F.lit("2024-01-20").cast("timestamp"))
+    tags = F.to_json(F.from_json("frontmatter_json", "tags array<string>")["tags"])
+    return made.select("seq", "id", "slug", "content", "link", "source_url", "summary", "category_name", "author_name", "is_published", tags.alias("tags"))

@@ -18,7 +18,10 @@ from gleanwork.functions import url as U
 
 # Media types of feeds, and the rules of a source registry.
 FEED_TYPES = ["application/rss+xml", "application/atom+xml", "application/x.atom+xml", "application/x-atom+xml"]
-SOURCE_TYPES = ["rss", "vendor", "html", "search"]
+SOURCE_TYPES = ["rss", "vendor", "html", "youtube"]
+TRUST_LEVELS = ["official_vendor", "industry_media", "aggregator", "unknown"]
+HTML_PARSERS = ["smtnet_news", "generic_dated_list"]
+SOURCE_ID, LONGEST_URL = r"^[a-z0-9][a-z0-9-]{1,79}$", 2083
 TRACKED = r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;)"
 
 
@@ -119,20 +122,29 @@ def document_signals(documents: DataFrame, facts: Column) -> DataFrame:
 
 
 def registry_errors(sources: DataFrame) -> DataFrame:
-    """``sources`` (id, name, source_type, url, html_parser, category, priority) with the array of rules each row breaks, repeated ids among them."""
-    filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
-    repeated = sources.groupBy("id").agg(F.count("*").alias("__n")).withColumnRenamed("id", "__id")
-    joined = sources.join(repeated, F.col("id").eqNullSafe(F.col("__id")), "left")
-    rules = [
-        (~F.coalesce(F.col("id").rlike(r"^[a-z0-9][a-z0-9_-]+$"), F.lit(False)), "bad id"),
-        (F.col("__n") > 1, "repeated id"),
-        (~filled("name"), "no name"),
+    """``sources`` with the array of rules each row breaks, repeated ids among them.
+
+    A source: id, name, source_type, url, html_parser, category, priority and perhaps trust_level. Rows without source_type that
+    have a query are search queries: id and query are all they need.
+    """
+    has = lambda c: c in sources.columns
+    is_query = F.col("source_type").isNull() & F.col("query").isNotNull() if has("query") else F.lit(False)
+    repeated = sources.where("id IS NOT NULL").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"))
+    joined = sources.join(repeated, F.col("id") == F.col("__id"), "left")
+    known = lambda c, names: F.col(c).isNull() | F.col(c).isin(names)
+    source_rules = [
+        (F.col("name").isNull(), "no name"),
         (~F.coalesce(F.col("source_type").isin(SOURCE_TYPES), F.lit(False)), "unknown source_type"),
-        (~F.coalesce(F.col("url").rlike(r"^https?://[^\s/]+"), F.lit(False)), "bad url"),
+        (~F.coalesce(F.col("url").rlike(r"(?i)^https?://[^\s/?#]+(?:[/?#]\S*)?$") & (F.char_length("url") <= LONGEST_URL), F.lit(False)), "bad url"),
         (~F.coalesce(F.col("priority").between(1, 10), F.lit(False)), "priority not in 1 to 10"),
-        ((F.col("source_type") == "html") & ~filled("html_parser"), "html without html_parser"),
-        ((F.col("source_type") == "vendor") & ~filled("category"), "vendor without category"),
+        (~known("html_parser", HTML_PARSERS), "unknown html_parser"),
+        (~known("trust_level", TRUST_LEVELS) if has("trust_level") else F.lit(False), "unknown trust_level"),
+        ((F.col("source_type") == "html") & F.col("html_parser").isNull(), "html without html_parser"),
+        ((F.col("source_type") == "vendor") & (F.coalesce("category", F.lit("")) == ""), "vendor without category"),
     ]
+    rules = [(~F.coalesce(F.col("id").rlike(SOURCE_ID), F.lit(False)), "bad id"), (F.col("__n") > 1, "repeated id"), *((~is_query & broken, name) for broken, name in source_rules)]
+    if has("query"):
+        rules.append((is_query & (F.trim("query", F.lit(" \t\n\r")) == ""), "empty query"))
     errors = F.filter(F.array(*[F.when(broken, name) for broken, name in rules]), lambda e: e.isNotNull())
     return joined.select(*sources.columns, errors.alias("errors"))
 

@@ -138,7 +138,8 @@ def pdf_links(pages: DataFrame) -> DataFrame:
     return told.withColumn("__n", first).where("__n = 1").select("url", "title", "context", "discovered_from")
 
 
-FIELDS = ["id", "name", "source_type", "url", "html_parser", "category", "query", "engine"]
+FIELDS = ["id", "name", "source_type", "url", "html_parser", "category", "trust_level", "query", "engine"]
+QUERY_FIELDS = {"id", "query", "engine", "enabled"}
 REGISTRY = "file string, error string, " + ", ".join(f"{f} string" for f in FIELDS) + ", priority int, enabled boolean"
 
 
@@ -166,7 +167,8 @@ def registry_files(spark: SparkSession, folder: str) -> DataFrame:
                     continue
                 for r in found:
                     told = {f: None if r.get(f) is None else str(r[f]) for f in FIELDS}
-                    unknown = sorted(set(r) - {*FIELDS, "priority", "enabled", "tags", "trust_level", "language", "notes"})
+                    is_query = "query" in r and "source_type" not in r
+                    unknown = sorted(set(r) - (QUERY_FIELDS if is_query else {*FIELDS, "priority", "enabled", "tags", "language", "notes"} - {"query", "engine"}))
                     priority = r.get("priority", 5)
                     out.append({"file": file, "error": f"unknown field {unknown[0]}" if unknown else None, **told, "priority": priority if isinstance(priority, int) else None, "enabled": bool(r.get("enabled", True))})
             frame = pd.DataFrame(out, columns=["file", "error", *FIELDS, "priority", "enabled"])

@@ -209,11 +209,84 @@ def test_submission_and_its_guard(spark):
     new = [(1, "Old News!", "b", "http://n/1", None), (2, "Another", "b", "http://o/1?utm_a=1", None), (3, "Brand new thing", "x " * 200, "http://n/3", "review"), (4, "Brand new thing", "y", "", None)]
     frame = spark.createDataFrame(new, "seq long, title string, body string, link string, explicit string").withColumn("category", F.lit("c")).withColumn("tags", F.array(F.lit("t")))
     made, blocked = drafts.submit(frame, existing, stored, as_of())
-    assert {(r["seq"], r["reason"], r["matched_id"]) for r in blocked.collect()} == {(1, "same_slug", 7), (2, "same_source_url", 7)}
+    assert {(r["seq"], r["reason"], r["matched_id"]) for r in blocked.collect()} == {(1, "same_slug", 7), (2, "same_source_url", 7), (4, "same_slug", 10)}
     got = {r["seq"]: r for r in made.collect()}
-    assert {s: (r["id"], r["slug"], r["editorial_type"], r["url"]) for s, r in got.items()} == {3: (10, "brand-new-thing", "review", "/reviews/brand-new-thing"), 4: (11, "brand-new-thing-2", "insight", "/insights/brand-new-thing-2")}
+    assert {s: (r["id"], r["slug"], r["editorial_type"], r["url"]) for s, r in got.items()} == {3: (10, "brand-new-thing", "review", "/reviews/brand-new-thing")}
     assert got[3]["summary"].endswith("x…") and not got[3]["is_published"]
-    assert drafts.submit(frame, existing, stored, as_of(), allow_duplicates=True)[0].count() == 4
+    every = drafts.submit(frame, existing, stored, as_of(), allow_duplicates=True)[0].collect()
+    assert {r["seq"]: r["slug"] for r in every} == {1: "old-news-2", 2: "another", 3: "brand-new-thing", 4: "brand-new-thing-2"}
+
+
+def test_a_draft_keeps_its_article(spark):
+    empty = spark.createDataFrame([], "id long, slug string"), spark.createDataFrame([], "id long, title string, urls array<string>")
+    kind = "seq long, title string, body string, link string, source_url string, explicit string, category string, tags array<string>, author string, summary string, seo struct<slug:string,meta_description:string,jsonld:string,internal_links:array<string>>"
+    rows = [
+        (1, "A new AOI", "## Head\n\nBody of it.", "http://l/1", "http://s/1", "news", "AOI", ["a", "b"], "Author", "Short.", ("a-new-aoi-old", "about", '{"@id": "/a-new-aoi-old"}', ["/x"])),
+        (2, "Other things", None, None, None, None, None, None, None, "", None),
+    ]
+    made, blocked = drafts.submit(spark.createDataFrame(rows, kind), *empty, as_of())
+    got = {r["seq"]: r for r in made.collect()}
+    one_, two = got[1], got[2]
+    assert (one_["content"], one_["link"], one_["source_url"], one_["source"], one_["author_name"], one_["category_name"], one_["summary"]) == ("## Head\n\nBody of it.", "http://l/1", "http://s/1", "Editorial", "Author", "AOI", "Short.")
+    matter = json.loads(one_["frontmatter_json"])
+    assert matter["tags"] == ["a", "b"] and matter["source_url"] == "http://s/1" and matter["section_routing"]["section_path"] == "/news/" and matter["section_routing"]["reasons"]
+    assert matter["seo"]["jsonld"] == '{"@id": "/a-new-aoi"}' and matter["seo"]["internal_links"] == ["/x"]
+    assert (two["content"], two["link"], two["source_url"], two["summary"], two["author_name"]) == ("", "", "", "…", "Editorial") and json.loads(two["frontmatter_json"])["tags"] == []
+    assert not (one_["is_published"] or one_["is_rss"] or one_["is_expert"]) and blocked.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_batch_guard_against_one_at_a_time(spark, seed):
+    draw = random.Random(seed)
+    words = "amber birch cedar delta ember flint grove heath".split()
+    title = lambda: " ".join(draw.sample(words, draw.randrange(2, 6))) + draw.choice(["", "!", "?"])
+    old = [(i, title(), [f"http://h/{draw.randrange(30)}"]) for i in range(1, 6)]
+    new = [(s, title(), f"http://h/{draw.randrange(60)}" if draw.random() < 0.8 else "", f"http://h/{draw.randrange(60)}" if draw.random() < 0.3 else "") for s in range(60)]
+    bare = lambda t: t.rstrip("!?")
+    index, want = [(i, bare(t), set(u)) for i, t, u in old], {}
+    for s, t, link, src in new:
+        urls, mine = [u for u in (link, src or link) if u], set(bare(t).split())
+        like = [(len(mine & set(o.split())) / min(len(mine), len(o.split())), i) for i, o, _ in index]
+        same = [i for i, o, _ in index if o == bare(t)]
+        hit = [min(i for i, _, us in index if u in us) for u in urls if any(u in us for _, _, us in index)]
+        best = max((x for x in like if x[0] >= 0.72), default=None)
+        if same:
+            want[s] = ("same_slug", min(same))
+        elif hit:
+            want[s] = ("same_source_url", hit[0])
+        elif best:
+            want[s] = ("similar_title", best[1])
+        else:
+            index.append((6 + len(index) - 5, bare(t), set(urls)))
+    frame = spark.createDataFrame(new, "seq long, title string, link string, source_url string").selectExpr("*", "'' AS body", "'' AS category", "array('t') AS tags", "'news' AS explicit")
+    made, blocked = drafts.submit(frame, spark.createDataFrame([(i, f"s-{i}") for i, *_ in old], "id long, slug string"), spark.createDataFrame(old, "id long, title string, urls array<string>"), as_of())
+    got = {r["seq"]: (r["reason"], r["matched_id"]) for r in blocked.collect()}
+    assert {r["id"]: r["title"].rstrip("!?") for r in made.collect()} == {i: t for i, t, _ in index[5:]}
+    assert set(got) == set(want) and {s: r for s, (r, _) in got.items()} == {s: r for s, (r, _) in want.items()}
+    assert all(got[s][1] == m for s, (r, m) in want.items() if r != "same_source_url")
+
+
+def test_registry_rules(spark):
+    kind = "id string, name string, source_type string, url string, html_parser string, category string, priority int, trust_level string, query string"
+    fine = dict(id="x-rss", name="X", source_type="rss", url="https://example.com/feed", html_parser=None, category=None, priority=5, trust_level="unknown", query=None)
+    search = dict(id="aoi-query", name=None, source_type=None, url=None, html_parser=None, category=None, priority=None, trust_level=None, query="AOI inspection")
+    cases = [
+        ({}, []), ({"source_type": "youtube"}, []), ({"id": "X RSS"}, ["bad id"]), ({"id": "a"}, ["bad id"]), ({"id": "a_b"}, ["bad id"]), ({"id": "a" * 81}, ["bad id"]), ({"id": "9" + "a" * 79}, []), ({"id": None}, ["bad id"]),
+        ({"url": "not-a-url"}, ["bad url"]), ({"url": "ftp://h/x"}, ["bad url"]), ({"url": "HTTPS://h"}, []), ({"url": "https:///x"}, ["bad url"]), ({"url": "https://h/" + "x" * 2100}, ["bad url"]), ({"url": None}, ["bad url"]),
+        ({"source_type": "search"}, ["unknown source_type"]), ({"source_type": "html"}, ["html without html_parser"]), ({"source_type": "html", "html_parser": "smtnet_news"}, []),
+        ({"html_parser": "guess"}, ["unknown html_parser"]), ({"source_type": "vendor"}, ["vendor without category"]), ({"source_type": "vendor", "category": "placement"}, []),
+        ({"priority": 99}, ["priority not in 1 to 10"]), ({"priority": 0}, ["priority not in 1 to 10"]), ({"trust_level": "friends"}, ["unknown trust_level"]), ({"name": None}, ["no name"]), ({"name": ""}, []),
+    ]
+    queries = [({}, []), ({"query": "   "}, ["empty query"]), ({"id": "Not A Slug!"}, ["bad id"])]
+    rows = [{**fine, **c} for c, _ in cases] + [{**search, **c} for c, _ in queries]
+    for i, r in enumerate(rows):
+        r["id"] = f"{r['id']}{i}" if r["id"] in ("x-rss", "aoi-query") else r["id"]
+    rows += [{**fine, "id": "twice"}, {**fine, "id": "twice"}]
+    names = kind.replace(" string", "").replace(" int", "").split(", ")
+    told = landing.registry_errors(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kind)).collect()
+    want = [e for _, e in [*cases, *queries]] + [["repeated id"]] * 2
+    key = lambda r: tuple(str(r[n]) for n in names)
+    assert sorted((key(r), r["errors"]) for r in told) == sorted((key(r), e) for r, e in zip(rows, want, strict=True))
 
 
 def test_sinks(spark, tmp_path):
