@@ -73,6 +73,16 @@ def narrow_result(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return called
 
 
+def running(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to and with each row in ``order``: ranges are sorted apart, and the sums of the ranges before are added."""
+    ranges = materialize(rows.withColumn("__value", value).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = ranges.groupBy(F.col("__range").alias("__of")).agg(F.sum("__value").alias("__n"))  # one row per range
+    before = sums.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranges.withColumn(name, F.sum("__value").over(inside)).join(F.broadcast(before), F.col("__range") == F.col("__of"))
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__of", "__n", "__before", "__value")
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``rows`` with their place from 1 on in ``order``: ranges are sorted apart, and the counts of the ranges before are added."""
     ranges = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))

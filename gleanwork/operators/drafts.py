@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gleanwork.functions import pages, route
 from gleanwork.functions import text as T
 from gleanwork.operators import dedupe
-from gleanwork.operators.checkpoints import materialize, numbered
+from gleanwork.operators.checkpoints import materialize, numbered, running
+from gleanwork.operators.joins import join_by_frequency
 
 
 def content_stats(items: DataFrame, since: Column) -> DataFrame:
@@ -50,23 +51,47 @@ def per_feed_counts(items: DataFrame, feed: str, kept: Column) -> DataFrame:
     return items.groupBy(feed).agg(F.count("*").alias("seen"), F.count_if(kept).alias("kept"))
 
 
+def _within(rows: DataFrame, base: str, order: str, name: str) -> DataFrame:
+    """``rows`` with their place from 1 on within their base, in order; no task gets all rows of a base."""
+    placed = materialize(numbered(rows, [F.asc(base), F.asc(order)], "__p"))
+    starts = materialize(placed.groupBy(base).agg(F.count("*").alias("__n"), F.min("__p").alias("__start")))
+    told = join_by_frequency(placed, starts, base, "__n", placed.count(), F.col(order))
+    return told.withColumn(name, F.col("__p") - F.col("__start") + 1).drop("__p", "__start")
+
+
+def free_numbers(wanted: DataFrame, busy: DataFrame) -> DataFrame:
+    """``wanted`` (seq, base) with number: in order of seq the smallest numbers from 1 on that ``busy`` (base, n) lacks.
+
+    The i-th busy number n of a base has n - i free ones before it, so busy numbers in a row are one island. The r-th
+    free number is r and the sizes of all islands with fewer than r free ones before: one running sum over both, sorted by base.
+    """
+    ranked = _within(wanted, "base", "seq", "r")
+    if busy.isEmpty():
+        return ranked.withColumnRenamed("r", "number")
+    gap = (F.col("n") - F.col("i")).alias("pos")
+    islands = _within(busy.distinct(), "base", "n", "i").groupBy("base", gap).agg(F.count("*").alias("taken"))
+    none = F.lit(None).cast("long")
+    events = ranked.select("base", (F.col("r") - 1).alias("pos"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("taken"), "seq", "r")
+    events = events.unionByName(islands.select("base", "pos", F.lit(0).alias("kind"), "taken", none.alias("seq"), none.alias("r")))
+    summed = materialize(running(events, [F.asc("base"), F.asc("pos"), F.asc("kind"), F.asc("seq")], F.col("taken"), "below"))
+    starts = materialize(summed.groupBy("base").agg(F.count("*").alias("__n"), F.min(F.col("below") - F.col("taken")).alias("__start")))
+    told = join_by_frequency(summed.where("kind = 1"), starts, "base", "__n", summed.count(), F.col("seq"))
+    return told.select("seq", "base", (F.col("r") + F.col("below") - F.col("__start")).alias("number"))
+
+
 def unique_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
     """``new`` (seq, base) with slug: the smallest free of base, base-2, base-3 ..., in order of seq.
 
     Rows of one base get consecutive free numbers. A base may itself look like a numbered
     one, so rounds go on until no two rows want the same slug; the first in order keeps it.
     """
-    left, used, done = new.select("seq", "base"), taken.select("slug").distinct(), None
+    left, used, done = new.select(F.col("seq").cast("long").alias("seq"), "base"), taken.select("slug").distinct(), None
     while not left.isEmpty():
-        low = F.when(F.col("slug") == F.col("base"), 1).otherwise(F.regexp_extract(F.col("slug"), r"-(\d+)$", 1).try_cast("int"))
+        low = F.when(F.col("slug") == F.col("base"), 1).otherwise(F.regexp_extract(F.col("slug"), r"-(\d+)$", 1).try_cast("long"))
         bases = left.select("base").distinct()
         stems = F.explode(F.array_distinct(F.array("slug", F.regexp_replace("slug", r"-[1-9]\d*$", ""))))
-        mine = used.select("slug", stems.alias("b")).join(bases, F.col("b") == F.col("base"))
-        numbers = mine.select("base", low.alias("n")).where("n = 1 OR n >= 2").groupBy(F.col("base").alias("nb")).agg(F.sort_array(F.collect_set("n")).alias("busy"))
-        ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("base").orderBy("seq"))).join(numbers, F.col("base") == F.col("nb"), "left")
-        # the r-th free number: r plus how many busy ones lie at or below it
-        number = F.aggregate(F.coalesce("busy", F.array().cast("array<int>")), F.col("r"), lambda at, b: F.when(b <= at, at + 1).otherwise(at))
-        wish = ranked.withColumn("number", number).withColumn("slug", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"))))
+        busy = materialize(used.select("slug", stems.alias("b")).join(bases, F.col("b") == F.col("base")).select("base", low.alias("n")).where("n = 1 OR n >= 2"))
+        wish = free_numbers(left, busy).withColumn("slug", F.when(F.col("number") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("number").cast("string"))))
         first = F.row_number().over(Window.partitionBy("slug").orderBy("seq"))
         settled = materialize(wish.select("seq", "base", "slug", (first == 1).alias("ok")))
         won = settled.where("ok").select("seq", "base", "slug")
