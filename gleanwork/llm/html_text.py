@@ -4,14 +4,17 @@ Pages are cut into blocks at block-level tags. The first pass classifies each bl
 its length, link density and stop-word density, and by where it stands: inside menus,
 footers or forms, as tags and roles tell, it is boilerplate. Class names that tell of
 adverts, notices, comments and the like lower a block's label, where they enclose it more
-closely than the page's other dense text: a dense block needs good neighbours on both
-sides then, and undecided ones go. Short blocks and blocks of middling density stay undecided; in the second
+closely than the page's other dense text: names that leave no doubt, such as comments or
+newsletter, make it boilerplate unless the page's own text stands in the same element; after others
+a dense block needs good neighbours on both sides, and undecided ones go. What follows a heading
+such as "3 comments" beside it is no article either. Short blocks and blocks of middling density stay undecided; in the second
 pass they inherit the label of their nearest decided neighbours. All pages go through
 both passes. A marked article is evidence only: its edges count as good neighbours of the
 undecided blocks inside, and blocks without stop words inside stay undecided, as their
 language may have none here. It counts for nothing where it holds no dense text and less
 text than the dense blocks elsewhere, as teasers do; dense text outside of it is kept. On
-pages whose long blocks hold next to none of the known stop words, length and links decide.
+pages whose text holds next to none of the known stop words, length and links decide; a character of a
+script without spaces counts as two and a half.
 
 Nulls and edge cases: a null or empty page gives an empty text and 0 characters; broken
 markup is read as far as it goes (unclosed and unmatched tags, a ``<`` that begins no
@@ -45,6 +48,11 @@ BOILERPLATE_WORDS = set(
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations popular trending "
     "pagination pager tags toolbar copyright legal disclaimer search form skip".split()
 )
+#: Class words that leave no doubt.
+STRONG_WORDS = set(
+    "ad ads adv advert advertisement advertising adbox adslot sponsor sponsored promo sidebar comment comments commentlist respond disqus reply replies cookie cookies consent "
+    "gdpr popup modal overlay newsletter subscribe subscription signup share sharing".split()
+)
 #: Class words that tell of boilerplate unless the same name tells of content, as article-header does.
 WEAK_WORDS = set("header head side form notice notices search legal".split())
 CONTENT_WORDS = set("article post entry story content body text main".split())
@@ -71,6 +79,8 @@ NAMED = re.compile(r"\b(class|id|role|aria-hidden|style|hidden)\b(?:\s*=\s*(?:\"
 PARTS = re.compile(r"[a-z]+")
 RIGHTS = re.compile(r"©|\(c\) \d{4}|all rights reserved", re.I)
 WORD = re.compile(r"\w+")
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+REMARKS = re.compile(r"(?:\d+\s+)?(?:user |reader )?(?:comments?|commentaires?|comentarios?|kommentare?)(?:\s*[(\[]?\d+[)\]]?)?:?|\d+\s+(?:replies|responses|reply|response)|leave a (?:comment|reply)", re.I)
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 
 
@@ -82,14 +92,26 @@ class Block:
     region: int  # which marked article it stands in, from 1 on; 0: none
     outcast: bool
     depth: int  # how many elements around it have class words of boilerplate
-    path: tuple[int, ...]  # the elements that it stands in, innermost first, at most ``LEVELS``
-    holder: int  # the marked article that it stands in, as such an element
+    strong: int  # how many of them leave no doubt
+    level: int  # how many elements it stands in
+    low: int  # the fewest that were open between the block before and this one
+    holder: int  # the level of the marked article that it stands in
 
     @cached_property
+    def counted(self) -> tuple[int, int]:
+        """Its stop words and words."""
+        words = WORD.findall(self.text.lower())
+        return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+    @property
     def stops(self) -> float:
         """The share of stop words among its words."""
-        words = WORD.findall(self.text.lower())
-        return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+        return self.counted[0] / max(1, self.counted[1])
+
+    @cached_property
+    def length(self) -> float:
+        """Its characters; one of a script without spaces stands for about two and a half of others."""
+        return len(self.text) + (0 if self.text.isascii() else 1.5 * len(WIDE.findall(self.text)))
 
 
 def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -109,12 +131,12 @@ def _told_by_attributes(attrs: str) -> bool:
     return False
 
 
-def _has_class_words(tag: str, attrs: str) -> bool:
-    """Class words of the page and its article as a whole tell of a part of it or of its layout."""
+def _class_words(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether class words tell of boilerplate, and whether they leave no doubt; those of the page and its article as a whole tell of a part of it or of its layout."""
     if "=" not in attrs or tag in ("html", "body", "main", "article"):
-        return False
-    names = [name for n, a, b, c in NAMED.findall(attrs) if n.lower() in ("class", "id") for name in (a or b or c).lower().split()]
-    return any(_is_boilerplate_name(set(PARTS.findall(name))) for name in names)
+        return False, False
+    names = [set(PARTS.findall(name)) for n, a, b, c in NAMED.findall(attrs) if n.lower() in ("class", "id") for name in (a or b or c).lower().split()]
+    return any(map(_is_boilerplate_name, names)), any(not n.isdisjoint(STRONG_WORDS) for n in names)
 
 
 def _is_boilerplate_name(parts: set[str]) -> bool:
@@ -229,25 +251,25 @@ def _ends_title(x: tuple[bool, str, str]) -> bool:
     return x[1] == "title" or x[1] == "body" and not x[0] or x[:2] == (True, "head")
 
 
-LEVELS = 8
-OUTSIDE = ("", False, 0, 0, ())
+OUTSIDE = ("", False, 0, 0, 0, 0)
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, then what holds from here on: boilerplate, in which article, class words around; its path
+    stack: list[tuple[str, bool, int, int, int, int]] = []  # tag, then what holds from here on: boilerplate, in which article, class words around, strong ones, level
     holders = [0]
     rescued: set[int] = set()  # articles inside of boilerplate
     text: list[str] = []
-    linked = anchors = regions = elements = 0
+    linked = anchors = regions = lowest = 0
     tag = "body"
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, lowest
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
-            out.append(Block(joined, min(linked, len(joined)), tag, region, bad, depth, path, holders[region]))
+            _, bad, region, depth, strong, level = stack[-1] if stack else OUTSIDE
+            out.append(Block(joined, min(linked, len(joined)), tag, region, bad, depth, strong, level, min(lowest, level), holders[region]))
+            lowest = level
         text.clear()
         linked = 0
 
@@ -267,12 +289,12 @@ def blocks_of(page: str) -> list[Block]:
             anchors = 0
             tag = name if not closing else (stack[-1][0] if stack else "body")
             if name in ("p", "hr"):
-                marked, worded = not closing and _is_boilerplate(name, attrs, False), not closing and _has_class_words(name, attrs)
+                marked, (worded, sure) = not closing and _is_boilerplate(name, attrs, False), (False, False) if closing else _class_words(name, attrs)
                 if not closing and stack and stack[-1][0] == "p":
                     stack.pop()
                 if name == "p" and (marked or worded):
-                    _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
-                    stack.append((name, bad or marked, region, depth + worded, path))
+                    _, bad, region, depth, strong, level = stack[-1] if stack else OUTSIDE
+                    stack.append((name, bad or marked, region, depth + worded, strong + sure, level))
                 elif closing and stack and stack[-1][0] == "p":
                     stack.pop()
             elif closing:
@@ -283,15 +305,16 @@ def blocks_of(page: str) -> list[Block]:
             elif not attrs.endswith("/"):
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, region, depth, path = stack[-1] if stack else OUTSIDE
-                elements += 1
+                _, bad, region, depth, strong, level = stack[-1] if stack else OUTSIDE
                 marked = _is_boilerplate(name, attrs, bool(region))
                 if name in ("article", "main") and not region and not marked:
                     regions += 1
-                    holders.append(elements)
+                    holders.append(level + 1)
                     rescued.update([regions] if bad else [])
                     bad, region = False, regions  # an unclosed menu or header doesn't swallow the article
-                stack.append((name, bad or marked, region, depth + _has_class_words(name, attrs), (elements, *path)[:LEVELS]))
+                worded, sure = _class_words(name, attrs)
+                stack.append((name, bad or marked, region, depth + worded, strong + sure, level + 1))
+            lowest = min(lowest, stack[-1][5] if stack else 0)
     close()
     for r in rescued:  # they are boilerplate after all where the page has more text elsewhere
         if _mass(b for b in out if b.region == r) <= _mass(b for b in out if b.region not in rescued):
@@ -307,16 +330,16 @@ def _mass(blocks: Iterable[Block]) -> int:
 
 def first_pass(b: Block, inside: bool = False, foreign: bool = False) -> str:
     """good, bad, or undecided: near (middling) or short. ``foreign``: stop words tell nothing, so length and links decide."""
-    if b.outcast or not inside and len(b.text) < LONG and RIGHTS.search(b.text):
+    if b.outcast or not inside and b.length < LONG and RIGHTS.search(b.text):
         return "bad"
     density = b.linked / len(b.text)
     if density > LINKS:
         return "bad"
-    if len(b.text) < SHORT:
+    if b.length < SHORT:
         return "bad" if b.linked and not inside else "short"
-    stops = b.stops if not foreign else STOPS_HIGH if len(b.text) > LONG else STOPS_LOW
+    stops = b.stops if not foreign else STOPS_HIGH if b.length > LONG else STOPS_LOW
     if stops >= STOPS_HIGH:
-        return "good" if len(b.text) > LONG else "near"
+        return "good" if b.length > LONG else "near"
     if stops >= STOPS_LOW:
         return "near"
     return "short" if inside else "bad"
@@ -338,13 +361,41 @@ def trusted_regions(blocks: list[Block], labels: list[str]) -> set[int]:
 
 
 def lowered(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[str]:
-    """Labels after class words: they count where more of them enclose a block than the text with the strongest label does."""
-    among = [(b.depth, x) for b, x in zip(blocks, labels, strict=True) if not trusted or b.region in trusted]
-    base = next((min(d for d, x in among if x == label) for label in ("good", "near", "short") if any(x == label for _, x in among)), 0)
-    return [x if b.depth <= base else "low" if x == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
+    """Labels after class words: they count where more of them enclose a block than the text with the strongest label does.
+
+    Words that leave no doubt count where some text of the page, a long block's worth, has fewer of them around it.
+    """
+    among = [(b, x) for b, x in zip(blocks, labels, strict=True) if not trusted or b.region in trusted]
+    base = next((min(b.depth for b, x in among if x == label) for label in ("good", "near", "short") if any(x == label for _, x in among)), 0)
+    mass: dict[int, float] = {}
+    for b, x in among:
+        if x in ("good", "near"):
+            mass[b.strong] = mass.get(b.strong, 0.0) + b.length
+    sure, held = max(mass, default=0), 0.0
+    for strong in sorted(mass):
+        held += mass[strong]
+        if held >= LONG:
+            sure = strong
+            break
+    return ["bad" if b.strong > sure else x if b.depth <= base else "low" if x == "good" else "bad" for b, x in zip(blocks, labels, strict=True)]
+
+
+def remarks_out(blocks: list[Block]) -> None:
+    """A heading that announces comments takes with it what follows beside it, up to the next heading that is no deeper and says something else."""
+    level = rank = None
+    for b in blocks:
+        heading = b.tag in HEADINGS
+        told = (heading or b.length < SHORT) and REMARKS.fullmatch(b.text.strip()) is not None
+        if level is not None and (b.low < level - 1 or heading and not told and b.level <= level and b.tag <= rank):
+            level = rank = None
+        if told and heading and level is None:
+            level, rank = b.level, b.tag
+        if level is not None:
+            b.outcast = True
 
 
-Decided = tuple[str, tuple[int, ...]]
+#: A neighbour's label and the level of the closest element that a block shares with it.
+Decided = tuple[str, int]
 
 
 def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> list[bool]:
@@ -355,23 +406,28 @@ def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> li
     """
     regions = [b.region if b.region in trusted else 0 for b in blocks]
 
-    def one_way(decided: Iterable[tuple[str, int, Block]]) -> list[Decided]:
-        out, last, at = [], ("bad", ()), 0
-        for x, region, b in decided:
+    def one_way(labels: Iterable[str], regions: Iterable[int], blocks: Iterable[Block], lows: Iterable[int]) -> list[Decided]:
+        """``lows``: the fewest open elements between each block and the one before it on this way."""
+        out, last, shared, at, edge = [], "bad", -1, 0, False
+        for x, region, b, low in zip(labels, regions, blocks, lows, strict=True):
+            shared = min(shared, low)
             if region and region != at:
-                last = ("good", (b.holder,))
+                last, shared, edge = "good", b.holder, True
+            elif region != at and edge:  # an article's edge is near to nothing outside of it
+                shared = -1
             at = region
-            out.append(last)
-            last = (x, b.path) if x in ("good", "bad") and not b.outcast else last
+            out.append((last, shared))
+            if x in ("good", "bad") and not b.outcast:
+                last, shared, edge = x, b.level, False
         return out
 
     def neighbours(decided: list[str]) -> list[tuple[Decided, Decided]]:
-        each = list(zip(decided, regions, blocks, strict=True))
-        return list(zip(one_way(each), reversed(one_way(reversed(each))), strict=True))
+        lows = [b.low for b in blocks]
+        back = one_way(reversed(decided), reversed(regions), reversed(blocks), reversed([*lows[1:], 0][: len(lows)]))
+        return list(zip(one_way(decided, regions, blocks, lows), reversed(back), strict=True))
 
-    def nearer(b: Block, before: Decided, after: Decided) -> str:
-        away = [next((i for i, e in enumerate(b.path) if e in path), LEVELS) for _, path in (before, after)]
-        return "bad" if before[0] != after[0] and away[0] == away[1] else before[0] if away[0] <= away[1] else after[0]
+    def nearer(before: Decided, after: Decided) -> str:
+        return "bad" if before[0] != after[0] and before[1] == after[1] else before[0] if before[1] >= after[1] else after[0]
 
     around = neighbours(labels)
     nears = [("good" if "good" in (around[i][0][0], around[i][1][0]) else "bad") if x == "near" else x for i, x in enumerate(labels)]
@@ -382,7 +438,7 @@ def second_pass(blocks: list[Block], labels: list[str], trusted: set[int]) -> li
     out = []
     for b, x, (before, after) in zip(blocks, nears, neighbours(nears), strict=True):
         if x == "short":
-            x = "good" if b.tag in HEADINGS and after[0] == "good" else nearer(b, before, after)
+            x = "good" if b.tag in HEADINGS and after[0] == "good" else nearer(before, after)
         elif x == "low":
             x = "good" if before[0] == after[0] == "good" else "bad"
         out.append(x == "good")
@@ -393,8 +449,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    long = [b for b in blocks if len(b.text) > LONG and not b.outcast and b.linked <= LINKS * len(b.text)]
-    foreign = bool(long) and all(b.stops < STOPS_LOW / 2 for b in long)
+    remarks_out(blocks)
+    told = [b.counted for b in blocks if b.length >= SHORT and not b.outcast and b.linked <= LINKS * len(b.text)]
+    foreign = bool(told) and sum(n for n, _ in told) < STOPS_LOW / 2 * sum(n for _, n in told)
     labels = [first_pass(b, False, foreign) for b in blocks]
     trusted = trusted_regions(blocks, labels)
     labels = [first_pass(b, True, foreign) if b.region in trusted else x for b, x in zip(blocks, labels, strict=True)]

@@ -118,3 +118,47 @@ def test_precision_and_recall_of_blocks():
         kept += len(got)
         wanted += len(main)
     assert hit / kept >= 0.97 and hit / wanted >= 0.97, (hit / kept, hit / wanted)
+
+
+LONG_TEXT = "The committee said on Monday that the plan for the new bridge would be ready in the spring and that all of the people who live by the river have been told about the work that is to be done there before the end of the year."
+READER = "I think that this is the best thing that I have seen in a long time and I would like to say that all of the people here should be able to see it as well because it is so good and it was so easy to do for me and for my friends."
+
+
+@pytest.mark.parametrize("name", ["advert", "cookie-notice", "newsletter-signup", "sidebar", "comments", "user-comments", "share-box", "ad slot", "comment-body"])
+def test_names_without_doubt_beat_density(name):
+    block = f"<div class='{name}'><p>{READER}</p></div>"
+    for page, n in (
+        (f"<article><h1>Head</h1><p>{LONG_TEXT}</p>{block}<p>{LONG_TEXT}</p></article>", 2), (f"<main><h1>Head</h1><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p>{block}</main>", 2),
+        (f"<div><h1>Head</h1><p>{LONG_TEXT}</p>{block}<p>{LONG_TEXT}</p></div>", 2), (f"<article><h1>Head</h1><p>{LONG_TEXT}</p>{block * 8}</article>", 1),
+    ):
+        assert html_text.main_text(page).split("\n\n") == ["Head", *[LONG_TEXT] * n], page
+    whole = html_text.main_text(f"<div class='{name}'><article><h1>Head</h1><p>{LONG_TEXT}</p><p>{READER}</p></article></div>")
+    assert whole.split("\n\n") == ["Head", LONG_TEXT, READER]
+
+
+def test_what_a_heading_of_comments_announces_goes():
+    article = f"<h1>Head</h1><p>{LONG_TEXT}</p>"
+    for page in (
+        f"<article>{article}<h3>3 Comments</h3><ul><li>{READER}</li><li>{READER}</li></ul></article>", f"<div>{article}</div><section><h3>Comments (12)</h3><div>{READER}</div></section>",
+        f"<article>{article}<h2>Leave a comment</h2><p>{READER}</p></article>", f"<div>{article}<h3>2 Replies</h3><div><p>{READER}</p></div></div>",
+    ):
+        assert html_text.main_text(page).split("\n\n") == ["Head", LONG_TEXT], page
+    goes_on = html_text.main_text(f"<article>{article}<h3>Comments</h3><p>{READER}</p><h2>More of it</h2><p>{LONG_TEXT}</p></article>")
+    assert goes_on.split("\n\n") == ["Head", LONG_TEXT, "More of it", LONG_TEXT]
+    said = html_text.main_text(f"<article>{article}<h2>Discussion of results</h2><p>{LONG_TEXT}</p></article>")
+    assert said.count(LONG_TEXT) == 2
+
+
+@pytest.mark.parametrize("deep", [0, 1, 5, 7, 8, 9, 12, 60])
+def test_any_depth_counts_alike(deep):
+    page = f"<div><p>{LONG_TEXT}</p>{'<div>' * deep}<p>{LONG_TEXT}</p><p>A short line</p>{'</div>' * deep}<ul><li><a href=x>a link here</a></li><li><a href=x>b link here</a></li></ul></div>"
+    assert html_text.main_text(page).split("\n\n") == [LONG_TEXT, LONG_TEXT, "A short line"]
+
+
+def test_short_paragraphs_of_languages_without_stop_words():
+    russian = "Совет города сообщил в понедельник что план нового моста будет готов весной и всем жителям реки уже сообщили об этом."
+    chinese = "市议会周一表示新桥的计划将在春季准备就绪所有住在河边的人都已被告知年底之前将在那里进行的工作并且将会有更多的消息"
+    menu = "<ul><li><a href=/>首页</a></li><li><a href=/b>新闻</a></li></ul>"
+    for title, text in (("Заголовок", russian), ("标题", chinese)):
+        got = html_text.main_text(f"<div>{menu}<h1>{title}</h1><p>{text}</p><p>{text}</p><p>{text}</p></div>")
+        assert got.split("\n\n") == [title, text, text, text]
