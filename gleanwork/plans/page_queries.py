@@ -384,8 +384,9 @@ _SAID = S.topic_tokens("clean || ' ' || absolute", T.TOPIC_STOPS)
 _BARE = lambda c: f"replace({S.host(c)}, 'www.', '')"
 
 
-@query(f"""WITH {S.SIGNALS}, links AS (SELECT p.seq AS page_id, p.source AS url, q.seq AS pos, q.source AS href, q.title FROM signals p JOIN signals q ON q.seq % 40 = p.seq % 40 AND q.seq <> p.seq),
-a AS (SELECT *, {_CLEAN} AS clean, {S.canonical('href', False)} AS absolute FROM links),
+@query(f"""WITH {S.SIGNALS}, links AS (SELECT p.seq AS page_id, p.source AS url, q.seq AS pos, q.source AS href, q.title FROM signals p JOIN signals q ON q.seq BETWEEN p.seq + 1 AND p.seq + 12),
+real AS ({_LINKS}), a AS (SELECT page_id, url, pos, href, title, {_CLEAN} AS clean, {S.canonical('href', False)} AS absolute FROM links
+  UNION ALL SELECT page_id, url, 1000000 + pos, href, title, {_CLEAN}, {S.canonical(_ABS, False)} FROM real),
 topic AS (SELECT seq, {S.topic_tokens("concat_ws(' ', title, snippet)", T.TOPIC_STOPS)} AS asked FROM signals),
 told AS (SELECT page_id, pos, absolute AS url, clean, asked, {_SAID} AS said, {_BARE('a.url')} AS here, {_BARE('absolute')} AS there, lower({S.path('absolute')}) AS p FROM a JOIN topic ON topic.seq = page_id),
 kept AS (SELECT * FROM told WHERE regexp_matches(url, '^https?://') AND NOT list_contains({_SOCIAL}, there) AND NOT {S.any_of('p', expand.NAVIGATION_PATHS)}
@@ -393,10 +394,11 @@ kept AS (SELECT * FROM told WHERE regexp_matches(url, '^https?://') AND NOT list
 one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
 SELECT page_id AS topic_id, CAST(pos AS BIGINT) AS pos, url FROM one QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 20""")
 def context_links(spark, folder):
-    """Each page as a topic of its own, as if it linked to every page whose id leaves the same rest by 40."""
+    """Each page as a topic of its own: its links, and twelve more, to the pages after it."""
     s = _signals(spark, folder)
-    to = s.select((F.col("seq") % 40).alias("rest"), F.col("seq").alias("pos"), F.col("source").alias("href"), F.col("title").alias("name"))
-    found = s.join(to, (F.col("seq") % 40 == F.col("rest")) & (F.col("seq") != F.col("pos")))
+    near = s.select(F.col("seq").alias("pos"), F.col("source").alias("href"), F.col("title").alias("name"), F.explode(F.sequence(F.col("seq") - 12, F.col("seq") - 1)).alias("from"))
+    own = links(table(spark, folder, "pages")).select((F.lit(1_000_000) + F.col("pos")).cast("long").alias("pos"), "href", F.col("title").alias("name"), F.col("page_id").alias("from"))
+    found = s.join(near.unionByName(own), F.col("seq") == F.col("from"))
     told = expand.context_links(found.select(F.col("seq").alias("topic_id"), F.concat_ws(" ", "title", "snippet").alias("topic_text"), F.col("source").alias("page_url"), "pos", "href", F.col("name").alias("title")))
     return told.select("topic_id", F.col("pos").cast("long").alias("pos"), "url")
 
