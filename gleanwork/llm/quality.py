@@ -37,6 +37,8 @@ PIECE = 1 << 18
 MEMO = 200_000
 #: Labels up to which they are broadcast to the scan of the texts (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Different rows that the sample takes of a class, on average at least, if there are as many.
+LEAST_OF_CLASS = 200
 
 
 class _WordHashes(dict):
@@ -131,16 +133,16 @@ def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.nd
     return w
 
 
-def logistic_fit(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """slope, shift of P(label 1) = 1 / (1 + exp(-(slope * margin + shift))), by damped Newton steps on smoothed targets."""
-    up, down = (y == 1).sum(), (y == 0).sum()
+def logistic_fit(margin: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """slope, shift of P(label 1) = 1 / (1 + exp(-(slope * margin + shift))), by damped Newton steps on smoothed targets; a row counts ``times`` times."""
+    up, down = times[y == 1].sum(), times[y == 0].sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
     b = np.array([1.0, 0.0])
     x = np.column_stack([margin, np.ones(len(margin))])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (t - p))
+        hess = (x * (times * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (times * (t - p)))
         b = b + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
             break
@@ -178,7 +180,10 @@ def fit_quality(train: DataFrame, max_rows: int = 8000, cost: float = 4.0, max_f
     wanted = max_rows + max_rows // 4
     spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     share = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
-    picked = train.withColumn("h", spread).where(share < wanted / rows.sum())
+    # shares are of different rows, so repeats don't thin them out; a rare class keeps enough to learn from
+    each = {r["label"]: r["n"] for r in train.select(spread.alias("h"), "label").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    part = {label: max(wanted / sum(each.values()), LEAST_OF_CLASS / n) for label, n in each.items()}
+    picked = train.withColumn("h", spread).where(share < F.when(F.col("label") == 1, part[1]).otherwise(part[0]))
     different = picked.groupBy("h", "label").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +216,7 @@ def fit_sample(at: list[np.ndarray], labels: np.ndarray, times: np.ndarray, rati
     w = dual_coordinate_descent([at[i] for i in np.flatnonzero(fit_on)], ratios, y[fit_on], (cost * balance * times)[fit_on])
     model = QualityModel(ratios, w, 1.0, 0.0)
     rest = np.flatnonzero(~fit_on) if (~fit_on).sum() >= 20 else np.arange(len(at))
-    return w, *logistic_fit(np.array([model.margin(at[i]) for i in rest]), labels[rest])
+    return w, *logistic_fit(np.array([model.margin(at[i]) for i in rest]), labels[rest], times[rest])
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

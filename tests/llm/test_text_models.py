@@ -375,3 +375,22 @@ def test_patterns_meet_every_count():
         for n, c in pattern.items():
             used[n] += c * times
     assert used == dict(zip(lengths.tolist(), counts.tolist()))
+
+
+@pytest.mark.parametrize("own_ids", [False, True])
+def test_quality_of_repeated_rows(spark, own_ids):
+    good, bad = "the cat and the dog of the house are in the garden now", "zx qq vv buy now buy now click click"
+    odd = F.col("id") % 2 == 0
+    rows = spark.range(80_000).select((F.col("id") if own_ids else F.lit(0)).cast("long").alias("doc_id"), F.when(odd, good).otherwise(bad).alias("text"), odd.cast("int").alias("label"))
+    told = quality.score_quality(spark.createDataFrame([(good,), (bad,)], "text string"), quality.fit_quality(rows)).collect()
+    score = {r["text"]: r["__score"] for r in told}
+    assert score[good] > 0.9 and score[bad] < 0.1
+
+
+def test_quality_of_a_rare_class(spark, prose):
+    rows = [(i, f"{prose(i, 30)} fine words", 1) for i in range(3000)] + [(9000 + i, f"{prose(i, 30)} junk zz qq", 0) for i in range(5)]
+    model = quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string, label int"), max_rows=200)
+    told = quality.score_quality(spark.createDataFrame([("alpha beta fine words",), ("alpha beta junk zz qq",)], "text string"), model).collect()
+    assert told[0]["__score"] > told[1]["__score"]
+    one_class = quality.fit_quality(spark.createDataFrame(rows[:50], "doc_id long, text string, label int"))
+    assert all(r["__score"] > 0.9 for r in quality.score_quality(spark.createDataFrame([("x",), ("",)], "text string"), one_class).collect())
