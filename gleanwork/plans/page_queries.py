@@ -228,7 +228,7 @@ _ABS = r"CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A
 _ELEMENTS = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '<\1></\1>', 'g')"
 
 
-@query(f"""SELECT page_id, len(regexp_extract_all({_ELEMENTS}, '(?i)<a(?:\s[^>]*)?>')) AS n_links, len(regexp_extract_all({_ELEMENTS}, '(?i)<h[1-6](?:\s[^>]*)?>')) AS n_headings,
+@query(rf"""SELECT page_id, len(regexp_extract_all({_ELEMENTS}, '(?i)<a(?:\s[^>]*)?>')) AS n_links, len(regexp_extract_all({_ELEMENTS}, '(?i)<h[1-6](?:\s[^>]*)?>')) AS n_headings,
   len(regexp_extract_all({_ELEMENTS}, '(?i)<p(?:\s[^>]*)?>')) AS n_paragraphs, len(regexp_extract_all({_ELEMENTS}, '(?i)<li(?:\s[^>]*)?>')) AS n_items FROM pages""")
 def page_elements(spark, folder):
     """Elements of every page's tree."""

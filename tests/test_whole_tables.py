@@ -145,15 +145,3 @@ def test_ordinary_pages(spark, tmp_path):
     assert leaders[1] == "One. Two b." and leaders[2] == "All of it. And more."
     assert {r["pos"]: r["candidate"] for r in run("link_candidates")} == {i: i in (0, 4) for i in range(6)}  # a path with .pdf is a hint
     assert [tuple(r) for r in run("pdf_links")] == [(6, 6, 3)]
-
-
-def test_needed_text_is_in_every_match():
-    from gleanwork.functions import route
-
-    assert route.needed_text(r"\bvs\.?\b|\blaunch(?:es|ed)?\b|\bx-?ray\b|\btr\d+\b") == ["vs", "launch", "ray", "tr"]
-    assert route.needed_text(r"\w+\s\d") is None and route.needed_text(r"[ab]c") is None
-    found = "a review vs. the buyer  guide launched x-ray tr500 cv-3 spare part questions to ask before shortlisting hires"
-    for table in (route.REVIEW, route.INSIGHT, route.NEWS, route.VENDOR, [(p, 1) for p in [*route.EQUIPMENT, *route.PRODUCT_LIKE, *route.BUYER]]):
-        for pattern, _ in table:
-            needed = route.needed_text(pattern)
-            assert needed is None or not re.search(pattern, found) or any(n in found for n in needed)
