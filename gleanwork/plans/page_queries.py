@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from gleanwork.functions import url as U
 from gleanwork.operators import briefs, checkpoints, dedupe, drafts, expand, signals
 from gleanwork.plans import sqltext as S
 from gleanwork.plans.registry import query, table
-from gleanwork.sources import tree
+from gleanwork.sources import fetching, tree
 from gleanwork.sources.listings import links
 from gleanwork.streaming import incremental
 
@@ -456,3 +457,19 @@ def submitted_drafts(spark, folder):
     made, _ = drafts.submit(new, existing, old, F.lit("2024-01-20").cast("timestamp"))
     tags = F.to_json(F.from_json("frontmatter_json", "tags array<string>")["tags"])
     return made.select("seq", "id", "slug", "content", "link", "source_url", "summary", "category_name", "author_name", "is_published", tags.alias("tags"))
+
+
+def answering(url: str) -> tuple[int, bytes]:
+    """A web of its own: some addresses fail, some are gone, the others say a digest of their name."""
+    if len(url) % 5 == 0:
+        raise ConnectionError("reset")
+    return (404 if len(url) % 7 == 0 else 200), hashlib.md5(url.encode()).hexdigest().encode()
+
+
+@query("""SELECT url, CASE WHEN length(url) % 5 = 0 THEN NULL WHEN length(url) % 7 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN length(url) % 5 = 0 OR length(url) % 7 = 0 THEN NULL ELSE md5(url) END AS body,
+  CASE WHEN length(url) % 5 = 0 THEN 'ConnectionError: reset' WHEN length(url) % 7 = 0 THEN 'status 404' END AS error, CASE WHEN length(url) % 5 = 0 OR length(url) % 7 = 0 THEN 3 ELSE 1 END AS n_attempts
+FROM (SELECT DISTINCT url FROM pages)""")
+def fetched_pages(spark, folder):
+    """The pages' addresses, asked of a function that stands for the web."""
+    made = fetching.attempts(table(spark, folder, "pages").select("url"), answering)
+    return fetching.responses(made).withColumn("body", F.decode("body", "utf-8"))
