@@ -24,13 +24,18 @@ def excerpts(sources: DataFrame, signals: DataFrame) -> DataFrame:
     return sources.join(known, U.canonical_url(F.col("url"), fold_host=False) == F.col("cu"), "left").withColumn("excerpt", text).drop("cu", "s")
 
 
-def related(topics: DataFrame, signals: DataFrame, low: float = 0.28, high: float = 0.97) -> DataFrame:
-    """(topic_id, seq, score) of signals similar to topics (topic_id, text, has_primary); near-copies count only without a primary source."""
-    t = topics.select(F.col("topic_id").alias("id"), T.topic_tokens(F.col("text")).alias("tokens"))
-    s = signals.where("title <> '' AND source <> ''").select(F.col("seq").alias("id"), T.topic_tokens(F.concat_ws(" ", "title", "snippet")).alias("tokens"))
-    scored = similar_pairs(t, s, low).select(F.col("a").alias("of_topic"), F.col("b").alias("seq"), "score")
-    joined = scored.join(topics.select("topic_id", "has_primary"), F.col("of_topic") == F.col("topic_id"))
-    return joined.where((F.col("score") < high) | ~F.col("has_primary")).select("topic_id", "seq", "score")
+def related(topics: DataFrame, signals: DataFrame, low: float = 0.28, high: float = 0.97, taken: DataFrame | None = None, room: int | None = None) -> DataFrame:
+    """(topic_id, seq, score) of signals similar to topics (topic_id, text, has_primary); near-copies count only without a primary source.
+
+    With ``room``, of each topic only some, among them all that ``diverse(..., taken, room)`` picks.
+    """
+    below = F.when(F.col("has_primary"), high).when(~F.col("has_primary"), float("inf")).otherwise(high)
+    t = topics.select(F.col("topic_id").alias("id"), T.topic_tokens(F.col("text")).alias("tokens"), below.alias("below"))
+    s = signals.where("title <> '' AND source <> ''").select(F.col("seq").alias("id"), T.topic_tokens(F.concat_ws(" ", "title", "snippet")).alias("tokens"), U.host(F.col("source")).alias("label"))
+    if room is not None:
+        held = taken.groupBy(F.col("topic_id").alias("t")).agg(F.collect_set("domain").alias("held"))
+        t = t.join(held, F.col("id") == F.col("t"), "left").drop("t")
+    return similar_pairs(t, s, low, room).select(F.col("a").alias("topic_id"), F.col("b").alias("seq"), "score")
 
 
 def diverse(scored: DataFrame, taken: DataFrame, room: int | None) -> DataFrame:
