@@ -206,15 +206,16 @@ def stream_dedup_events(spark, folder):
     return told
 
 
-@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS seen, count(*) FILTER (WHERE value > 20) AS kept FROM events
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS seen, count(*) FILTER (WHERE value > 20) AS kept FROM events GROUP BY ALL")
 def stream_daily_counts(spark, folder):
-    """Seen and kept per type and day by the streaming twin, run until it has read all: the days that the watermark has closed, each written once and then dropped from the state."""
+    """Seen and kept per type and day by the streaming twin, run until it has read all; every batch replaces the table by the counts so far, those of days still open too."""
     batch = table(spark, folder, "events")
     root = f"{checkpoints.folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*").select("event_type", "value", F.col("ts").cast("timestamp").alias("at"))
     counted = twins.feed_counts(stream, "event_type", "at", "1 day", "1 day", F.col("value") > 20).select("event_type", F.to_date("window.start").alias("day"), "seen", "kept")
-    counted.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    spark.createDataFrame([], counted.schema).write.parquet(f"{root}/out")
+    keep = lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")  # noqa: E731  in complete mode a batch holds all so far
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     told = checkpoints.materialize(spark.read.schema(counted.schema).parquet(f"{root}/out"))
     checkpoints.remove(spark, root)
     return told
