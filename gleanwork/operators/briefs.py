@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import dates, extract, pages, route
 from gleanwork.functions import text as T
+from gleanwork.functions.bind import once
+from gleanwork.functions.url import contains_any
 from gleanwork.operators import dedupe, expand, signals
 from gleanwork.operators.checkpoints import materialize
 
@@ -50,10 +52,15 @@ def segments(docs: DataFrame, vendors: list[str], themes: dict[str, list[str]],
     its terms occurs. The excerpt is the first lines that do so, or the text's beginning.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.trim(s) != "")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    rules = [("vendor", v, rf"(?i)\b\Q{v.split()[0]}\E\b") for v in vendors] + [("theme", t, "(?i)" + "|".join(rf"\Q{x}\E" for x in terms)) for t, terms in themes.items()]
-    hit = lambda kind, name, pattern: F.when(low.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.array_join(F.slice(F.filter(lines, lambda s: s.rlike(pattern)), 1, EXCERPT_LINES), "\n").alias("excerpt")))
-    found = F.slice(F.filter(F.array(*[hit(*r) for r in rules]), lambda s: s.isNotNull()), 1, most)
+    rules = [("vendor", v, [v.split()[0]], rf"(?i)\b\Q{v.split()[0]}\E\b") for v in vendors] + [("theme", t, terms, "(?i)" + "|".join(rf"\Q{x}\E" for x in terms)) for t, terms in themes.items()]
+    small = lambda x: "".join(c.lower() if c.isascii() else c for c in x)  # noqa: E731  as (?i) sees it in a lower-cased text
+
+    def hits(low: Column) -> Column:
+        """The rules that hold; a pattern is tried only where one of its terms stands in the text."""
+        hit = lambda kind, name, terms, pattern: F.when(contains_any(low, [small(x) for x in terms]) & low.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.array_join(F.slice(F.filter(lines, lambda s: s.rlike(pattern)), 1, EXCERPT_LINES), "\n").alias("excerpt")))
+        return F.array_compact(F.array(*[hit(*r) for r in rules]))
+
+    found = F.slice(once(F.lower(F.coalesce("text", F.lit(""))), hits), 1, most)
     each = docs.select("doc_id", F.substring("text", 1, EXCERPT_CHARS).alias("__start"), F.posexplode(found).alias("place", "s"))
     return each.select("doc_id", "place", "s.kind", "s.name", F.coalesce(F.nullif("s.excerpt", F.lit("")), "__start").alias("excerpt"))
 
