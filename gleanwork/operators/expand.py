@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import text as T
 from gleanwork.functions import url as U
+from gleanwork.functions.bind import once
 from gleanwork.operators.dedupe import similar_pairs
 
 # Hosts and paths that no context link leads to, and words in paths of products.
@@ -81,17 +82,20 @@ def is_context_link(page_url: Column, url: Column, link_text: Column, topic_text
     """
     bare_host = lambda u: F.replace(U.host(u), F.lit("www."), F.lit(""))
     here, there, path = bare_host(page_url), bare_host(url), F.lower(U.path(url))
-    asked, said = T.topic_tokens(topic_text), T.topic_tokens(F.concat_ws(" ", F.coalesce(link_text, F.lit("")), url))
-    elsewhere = (F.size(F.array_intersect(asked, said)) > 0) | U.contains_any(path, PRODUCT_PATHS)
-    close = T.overlap(asked, said) >= SAME_HOST_LEAST
+    both = F.struct(T.topic_tokens(topic_text).alias("asked"), T.topic_tokens(F.concat_ws(" ", F.coalesce(link_text, F.lit("")), url)).alias("said"))
+    elsewhere = lambda t: (F.size(F.array_intersect(t["asked"], t["said"])) > 0) | U.contains_any(path, PRODUCT_PATHS)
+    fits = once(both, lambda t: F.when(here == there, T.overlap(t["asked"], t["said"]) >= SAME_HOST_LEAST).otherwise(elsewhere(t)))
     allowed = url.rlike("^https?://") & ~there.isin(SOCIAL_HOSTS) & ~U.contains_any(path, NAVIGATION_PATHS)
-    return F.coalesce(allowed & F.when(here == there, close).otherwise(elsewhere), F.lit(False))
+    return F.coalesce(allowed & fits, F.lit(False))
 
 
 def context_links(links: DataFrame, limit: int = 20) -> DataFrame:
     """(topic_id, page_url, pos, title, url) of links (topic_id, topic_text, page_url, pos, href, title) that give context: each address once, the first ``limit`` of a page."""
-    absolute = links.withColumn("url", U.canonical_url(U.resolve(F.col("page_url"), F.trim("href")), fold_host=False)).withColumn("title", T.title_collapsed(F.col("title")))
-    kept = absolute.where((F.col("url") != "") & is_context_link(F.col("page_url"), F.col("url"), F.col("title"), F.col("topic_text")))
+    title = T.title_collapsed(F.col("title"))
+    gives = lambda u: (u != "") & is_context_link(F.col("page_url"), u, title, F.col("topic_text"))
+    # as a generator: a filter on the address would be planned with the address written out at each of its uses
+    found = once(U.canonical_url(U.resolve(F.col("page_url"), F.trim("href")), fold_host=False), lambda u: F.when(gives(u), F.array(u)))
+    kept = links.select("topic_id", "page_url", "pos", title.alias("title"), found.alias("__found")).select("topic_id", "page_url", "pos", "title", F.explode("__found").alias("url"))
     page = ["topic_id", "page_url"]
     one = kept.withColumn("__n", F.row_number().over(Window.partitionBy(*page, "url").orderBy("pos"))).where("__n = 1")
     place = F.row_number().over(Window.partitionBy(*page).orderBy("pos"))
